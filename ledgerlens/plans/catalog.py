@@ -151,3 +151,111 @@ def run_counters(spark, sf_dir):
     e = _enriched(spark, sf_dir)
     a = enrich.tolerance_alerts(e, dims.thresholds(spark), run_date())
     return enrich.run_counters(a)
+
+
+# --------------------------------------------------------------- sensitivities
+def _sensis_last(spark, sf_dir) -> DataFrame:
+    return enrich.last_wins(B.sensitivities(spark, sf_dir), ["code"], "src_row")
+
+
+@register
+def last_wins_by_code(spark, sf_dir):
+    """AGG-11: last sensitivity row per code (by source row)."""
+    return _sensis_last(spark, sf_dir)
+
+
+@register
+def sensitivity_enrich(spark, sf_dir):
+    """JN-1, NUM-8, CTL-3: six sensitivity columns joined to the report."""
+    e = enrich.enrich_sensitivities(report_rows(spark, sf_dir), _sensis_last(spark, sf_dir))
+    return e.select("trade_id", "code", "sensi_matched", *enrich.SENSI_COLUMNS)
+
+
+@register
+def codes_missing_sensitivity(spark, sf_dir):
+    """JN-2: report rows whose code has no sensitivity (repeats kept)."""
+    return enrich.missing_codes(report_rows(spark, sf_dir), B.sensitivities(spark, sf_dir)).select("trade_id", "code")
+
+
+@register
+def override_duration(spark, sf_dir):
+    """JN-11, SRC-9: leg-1 modified duration overridden for Real Rate Swaps."""
+    from ..sources.feeds import override_table
+
+    e = enrich.enrich_sensitivities(report_rows(spark, sf_dir), _sensis_last(spark, sf_dir))
+    o = enrich.apply_overrides(e, override_table(spark), dims.OVERRIDE_CLASS, "duration_leg1")
+    return o.select("trade_id", "code", "classif", "duration_leg1", "overridden")
+
+
+# --------------------------------------------------------------- bond forwards
+def _forwards(spark, sf_dir) -> DataFrame:
+    from ..operators import forwards
+
+    return forwards.forward_quality(forwards.select_forwards(B.marks_feed(spark, sf_dir)))
+
+
+@register
+def forward_filter(spark, sf_dir):
+    """FLT-3, STR-5, MAP-12: bond-forward rows of allowed books."""
+    from ..operators import forwards
+
+    f = forwards.select_forwards(B.marks_feed(spark, sf_dir))
+    return f.select("o_orderkey", "free_text", F.col("book_norm").alias("book"), F.col("cp_clean").alias("cp"),
+                    F.col("notional_d").alias("notional"), F.col("mtm_value_d").alias("mtm_value"),
+                    F.col("mtm_diff_d").alias("mtm_diff"))
+
+
+@register
+def forward_quality(spark, sf_dir):
+    """CHK-3 (S2): missing fields, status and message of each forward row."""
+    return _forwards(spark, sf_dir).select("o_orderkey", "label", "missing", "status", "message")
+
+
+@register
+def forward_alerts(spark, sf_dir):
+    """CTL-6, MAP-12: accepted forwards with ratios, gap and alert (A-K)."""
+    from ..operators import forwards
+
+    a = forwards.forward_alerts(_forwards(spark, sf_dir))
+    return a.select("o_orderkey", "free_text", F.col("book_norm").alias("book"), F.col("cp_out").alias("cp"),
+                    F.col("notional_d").alias("notional"), F.col("mtm_value_d").alias("mtm_own"),
+                    "cpty_price", "mtm_pct", "cpty_pct", "threshold", "gap_pct", "alert")
+
+
+@register
+def report_row_placement(spark, sf_dir):
+    """SRT-5, SNK-2: sheet row of each accepted forward, from row 2, rejected
+    rows leaving no gap; numbered without a single-partition window."""
+    from ..operators import forwards
+    from ..operators.placement import sequential_index
+
+    a = forwards.forward_alerts(_forwards(spark, sf_dir)).select("o_orderkey", "free_text", "alert")
+    return sequential_index(a, ["o_orderkey"], name="sheet_row", start=2)
+
+
+# --------------------------------------------------------------- perimeter
+def _perimeter_input(spark, sf_dir) -> DataFrame:
+    t = B.trades(spark, sf_dir)
+    return t.select(F.col("trade_id").alias("Trade ID"), "code_raw", "classif",
+                    F.col("cpty").alias("Counterparty"), "ord")
+
+
+@register
+def perimeter_dedup_first(spark, sf_dir):
+    """AGG-9, MAP-11, FLT-1: perimeter projection, first row per trade id."""
+    from ..operators.perimeter import build_perimeter
+
+    p = build_perimeter(_perimeter_input(spark, sf_dir), "code_raw", "classif", ["#Ticket", "Trade ID", "External Id"],
+                        ["Counterparty", "Currency"])
+    return p.select(F.col("Trade ID").alias("trade_id"), "code_di", "classif_di", "class",
+                    F.col("Counterparty").alias("counterparty"))
+
+
+@register
+def perimeter_dedup_stats(spark, sf_dir):
+    """AGG-10: rows before / after dedup and the keys used."""
+    from ..operators.perimeter import build_perimeter, dedup_stats
+
+    p = build_perimeter(_perimeter_input(spark, sf_dir), "code_raw", "classif", ["#Ticket", "Trade ID", "External Id"],
+                        ["Counterparty", "Currency"], dedup=False)
+    return dedup_stats(p, ["Trade ID"])

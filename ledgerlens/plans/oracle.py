@@ -77,3 +77,84 @@ from a group by classif"""
 ORACLE["run_counters"] = _ALERTS + """
 select count(*) filter (where matched) as n_updated, count(*) filter (where not matched) as n_missing,
  count(*) filter (where alert is not null) as n_alerts from a"""
+
+_SL = "select * from (select *, row_number() over (partition by code order by src_row desc) as rn from s) z where rn = 1"
+
+ORACLE["last_wins_by_code"] = B.with_(s=B.SENS, sl=_SL) + """
+select code, src_row, sensi_leg1, sensi_leg2, sensi_total, duration_leg1 from sl"""
+
+_SENS_ENRICH = B.with_(t=B.T, r=B.R, s=B.SENS, sl=_SL) + """,
+se as (select r.trade_id, r.code, r.classif, sl.code is not null as sensi_matched,
+ sl.duration_leg1, sl.sensi_leg1, cast(null as double) as duration_leg2, sl.sensi_leg2,
+ cast(null as double) as duration_total,
+ coalesce(sl.sensi_total, case when sl.sensi_leg1 is not null or sl.sensi_leg2 is not null
+   then coalesce(sl.sensi_leg1, 0) + coalesce(sl.sensi_leg2, 0) end) as sensi_total
+ from r left join sl on r.code = sl.code)
+"""
+
+ORACLE["sensitivity_enrich"] = _SENS_ENRICH + """
+select trade_id, code, sensi_matched, duration_leg1, sensi_leg1, duration_leg2, sensi_leg2, duration_total, sensi_total from se"""
+
+ORACLE["codes_missing_sensitivity"] = B.with_(t=B.T, r=B.R, s=B.SENS) + """
+select trade_id, code from r where code not in (select code from s)"""
+
+_OVR = "select * from (values " + ",".join(
+    f"({S.q(line.split(chr(9))[0].strip())}, {float(line.split(chr(9))[1].replace(',', '.'))!r})"
+    for line in dims.OVERRIDE_TSV.splitlines()[1:] if line.strip()
+) + ") v(code, value)"
+
+ORACLE["override_duration"] = _SENS_ENRICH + f""",
+o as ({_OVR})
+select se.trade_id, se.code, se.classif,
+ case when {S.strip('se.classif')} = {S.q(dims.OVERRIDE_CLASS)} and o.code is not null then o.value else se.duration_leg1 end as duration_leg1,
+ ({S.strip('se.classif')} = {S.q(dims.OVERRIDE_CLASS)} and o.code is not null) as overridden
+from se left join o on se.code = o.code"""
+
+_BOOK = f"""case when {S.parse_eu('book')} is not null then
+  case when {S.parse_eu('book')} = floor({S.parse_eu('book')}) then cast(cast({S.parse_eu('book')} as decimal(38,0)) as varchar)
+       else cast({S.parse_eu('book')} as varchar) end
+ when {S.strip('book')} = '' or lower({S.strip('book')}) = 'nan' then null else {S.strip('book')} end"""
+
+_FWD = B.with_(m=B.M) + f""",
+f0 as (select o_orderkey, {S.strip("replace(coalesce(" + S.strip('free_text_1') + ", ''), chr(160), ' ')")} as free_text,
+ {_BOOK} as book_norm, coalesce({S.strip('cp')}, '') as cp_clean,
+ cast(notional as double) as n, cast(mtm_value as double) as v, cast(mtm_diff as double) as d from m),
+f as (select * from f0 where starts_with(upper(free_text), 'BDFWD') and book_norm in ('601','602','603')),
+fq as (select *, (case when free_text = '' then 1 else 0 end) + (case when cp_clean = '' then 1 else 0 end) as n_warn,
+   (case when n is null or n = 0 then 1 else 0 end) + (case when v is null then 1 else 0 end) + (case when d is null then 1 else 0 end) as n_rej,
+   concat_ws(', ', case when free_text = '' then 'FREE_TEXT_1' end, case when cp_clean = '' then 'CP' end,
+   case when n is null or n = 0 then 'NOTIONAL' end, case when v is null then 'MTM_VALUE' end,
+   case when d is null then 'MTM_DIFF' end) as missing from f),
+fs as (select *, case when n_rej > 0 then 'rejected' when n_warn > 0 then 'warning' else 'ok' end as status,
+  case when free_text <> '' then free_text end as label from fq)
+"""
+
+ORACLE["forward_filter"] = _FWD + """
+select o_orderkey, free_text, book_norm as book, cp_clean as cp, n as notional, v as mtm_value, d as mtm_diff from f"""
+
+ORACLE["forward_quality"] = _FWD + """
+select o_orderkey, label, missing, status,
+ case when n_rej + n_warn > 0 then concat(label, ' → données manquantes: ', missing) end as message from fs"""
+
+_FWD_ALERTS = _FWD + f""",
+fa as (select o_orderkey, free_text, book_norm as book, nullif(cp_clean, '') as cp, n as notional, v as mtm_own,
+ {S.sub_opt('v', 'd')} as cpty_price, {S.div_opt('v', 'n')} as mtm_pct, {S.div_opt(S.sub_opt('v', 'd'), 'n')} as cpty_pct,
+ 0.005 as threshold, {S.div_opt('v', 'n')} - {S.div_opt(S.sub_opt('v', 'd'), 'n')} as gap_pct
+ from fs where status <> 'rejected')
+"""
+
+ORACLE["forward_alerts"] = _FWD_ALERTS + """
+select *, case when gap_pct is not null and abs(gap_pct) > 0.005 then 'alerte' end as alert from fa"""
+
+ORACLE["report_row_placement"] = _FWD_ALERTS + """
+select o_orderkey, free_text, case when gap_pct is not null and abs(gap_pct) > 0.005 then 'alerte' end as alert,
+ row_number() over (order by o_orderkey) + 1 as sheet_row from fa"""
+
+ORACLE["perimeter_dedup_first"] = B.with_(t=B.T) + f""",
+p as (select trade_id, {S.code_text('code_raw')} as code_di, classif as classif_di, classif as class, cpty as counterparty,
+ row_number() over (partition by trade_id order by {B.ORD}) as rn from t where {S.valid_code('code_raw')})
+select trade_id, code_di, classif_di, class, counterparty from p where rn = 1"""
+
+ORACLE["perimeter_dedup_stats"] = B.with_(t=B.T) + f"""
+select 'Trade ID' as dedup_keys, count(*) as dedup_before, count(distinct trade_id) as dedup_after
+from t where {S.valid_code('code_raw')}"""
