@@ -29,23 +29,24 @@ from ..functions import (
 )
 
 
-def aggregate_marks(feed: DataFrame, code_col: str = "free_text_2") -> DataFrame:
+def aggregate_marks(feed: DataFrame, code_col: str = "free_text_2", as_double: bool = True) -> DataFrame:
     """AGG-1 (+FLT-8, STR-4, NUM-9): counterparty marks summed per code.
 
     Per row: counterparty MtM = MTM_VALUE - MTM_DIFF (null if either is null);
     each amount counts 0 when null; blank codes are dropped.  Output
-    ``code, mtm_value, mtm_diff, mtm_cpty`` as doubles.
+    ``code, mtm_value, mtm_diff, mtm_cpty`` as doubles (``as_double=False``
+    keeps exact decimal inputs exact).
     """
     v, d = F.col("mtm_value"), F.col("mtm_diff")
     rows = feed.select(code_prefix(code_col).alias("code"), v.alias("v"), d.alias("d"), (v - d).alias("c"))
+    def total(c: str) -> Column:
+        s = F.sum(F.coalesce(c, F.lit(0)))
+        return s.cast("double") if as_double else s
+
     return (
         rows.where(F.col("code") != "")
         .groupBy("code")
-        .agg(
-            F.sum(F.coalesce("v", F.lit(0))).cast("double").alias("mtm_value"),
-            F.sum(F.coalesce("d", F.lit(0))).cast("double").alias("mtm_diff"),
-            F.sum(F.coalesce("c", F.lit(0))).cast("double").alias("mtm_cpty"),
-        )
+        .agg(total("v").alias("mtm_value"), total("d").alias("mtm_diff"), total("c").alias("mtm_cpty"))
     )
 
 

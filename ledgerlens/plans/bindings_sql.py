@@ -27,7 +27,7 @@ R = f"""select trade_id, {S.code_text('code_raw')} as code, classif, index_rate,
  end_date, l_returnflag, l_linestatus, {ORD}
 from t where {S.valid_code('code_raw')}"""
 
-M = """select o_orderkey,
+M = """select o_orderkey, o_orderstatus,
  case when o_orderkey%11=0 then null when o_orderkey%13=0 then '' else concat('SWAP_',cast(o_custkey*2 as varchar),'/',o_orderpriority) end as free_text_2,
  case o_orderkey%3 when 0 then concat(' bdfwd ',cast(o_orderkey as varchar)) when 1 then 'BDFWD' else 'IRS' end as free_text_1,
  case o_orderkey%5 when 0 then '601' when 1 then '602.0' when 2 then ' 603' when 3 then '604' else null end as book,

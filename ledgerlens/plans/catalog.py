@@ -259,3 +259,179 @@ def perimeter_dedup_stats(spark, sf_dir):
     p = build_perimeter(_perimeter_input(spark, sf_dir), "code_raw", "classif", ["#Ticket", "Trade ID", "External Id"],
                         ["Counterparty", "Currency"], dedup=False)
     return dedup_stats(p, ["Trade ID"])
+
+
+# --------------------------------------------------------------- reconciliation
+def _recon_inputs(spark, sf_dir):
+    from ..operators import forwards
+    from ..operators import reconcile as R
+
+    t = B.trades(spark, sf_dir).where(valid_code("code_raw")).withColumn("code", code_text("code_raw"))
+    marks = enrich.aggregate_marks(B.marks_feed(spark, sf_dir), as_double=False)
+    swaps = t.join(marks.select("code", F.col("mtm_cpty").alias("mark")), "code", "left")
+    swap_sheet = R.sheet_amounts(swaps, F.col("classif"), F.col("cpty"), F.col("mtm_own"), F.col("mark"))
+    fw = forwards.forward_alerts(_forwards(spark, sf_dir))
+    from ..functions import sub_optional
+
+    fwd_sheet = R.sheet_amounts(fw, F.lit("Forward"), F.col("cp_out"), F.col("mtm_value"),
+                                sub_optional(F.col("mtm_value"), F.col("mtm_diff")))
+    template = R.mtm_by_class_cpty(swap_sheet, fwd_sheet)
+    c = B.collateral(spark, sf_dir).withColumn("ord", F.struct("cpty", "typology"))
+    collat = R.load_collateral(c, "cpty", "typology", "mtm_own", "mtm_cpty")
+    return template, collat
+
+
+def _as_double(df: DataFrame, cols) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("double") for c in cols})
+
+
+@register
+def mtm_by_class_cpty(spark, sf_dir):
+    """AGG-2, SET-4, FLT-5, FLT-6: report MtM per (class, counterparty) over
+    the swap and bond-forward sheets."""
+    template, _ = _recon_inputs(spark, sf_dir)
+    return _as_double(template, ["mtm_gam", "mtm_cpty"]).orderBy("classif", "counterparty")
+
+
+@register
+def alias_normalise(spark, sf_dir):
+    """JN-8, STR-2, STR-9: collateral labels normalised through the alias tables."""
+    from ..operators import reconcile as R
+
+    c = B.collateral(spark, sf_dir).select(F.col("cpty").alias("counterparty"), "typology")
+    n = R.normalize_label(c, "counterparty", B.cpty_aliases(spark, sf_dir), "norm_counterparty")
+    n = R.normalize_label(n, "typology", B.typology_aliases(spark), "norm_typology", broadcast=True)
+    return n.select("counterparty", "typology", "norm_counterparty", "norm_typology")
+
+
+@register
+def alias_text(spark, sf_dir):
+    """DIM-1, SRC-11: alias dimension parsed from alias text lines (one to two
+    lines per supplier; comments, three separators, later lines overriding)."""
+    from ..operators import reconcile as R
+
+    s = B.table(spark, sf_dir, "supplier", "s_suppkey")
+    k = F.col("s_suppkey")
+    ks = k.cast("string")
+    main = (
+        F.when(k % 4 == 0, F.concat(F.lit("sup"), ks, F.lit(" = SUPPLIER#"), ks, F.lit(" # desk")))
+        .when(k % 4 == 1, F.concat(F.lit("sup"), ks, F.lit(" : SUPPLIER#"), ks))
+        .when(k % 4 == 2, F.concat(F.lit("sup"), ks, F.lit("\tSUPPLIER#"), ks))
+        .otherwise(F.concat(F.lit("# sup"), ks, F.lit(" = skipped")))
+    )
+    extra = F.when(k % 10 == 0, F.concat(F.lit("  SUP"), ks, F.lit(" =  Supplier#"), ks, F.lit(" bis ")))
+    lines = s.select(
+        F.explode(F.array(F.struct((k * 2).alias("line_no"), main.alias("line")),
+                          F.struct((k * 2 + 1).alias("line_no"), extra.alias("line")))).alias("x")
+    ).select("x.line_no", "x.line").where(F.col("line").isNotNull())
+    return R.parse_aliases(lines)
+
+
+@register
+def aggregate_by_norm(spark, sf_dir):
+    """AGG-3, FLT-4, UDF-2: collateral lines by normalised keys, first
+    non-null labels and null-skipping sums."""
+    from ..operators import reconcile as R
+
+    _, c = _recon_inputs(spark, sf_dir)
+    n = R.normalize_label(c, "counterparty", B.cpty_aliases(spark, sf_dir), "norm_counterparty")
+    n = R.normalize_label(n, "typology", B.typology_aliases(spark), "norm_typology", broadcast=True)
+    n = n.where(F.col("norm_counterparty").isNotNull() & F.col("norm_typology").isNotNull())
+    a = R.aggregate_by_norm(n, ["norm_counterparty", "norm_typology"], ["counterparty", "typology"],
+                            ["mtm_gam", "mtm_cpty"], "ord")
+    return _as_double(a, ["mtm_gam", "mtm_cpty"])
+
+
+def _recon(spark, sf_dir) -> DataFrame:
+    from ..operators import reconcile as R
+
+    template, collat = _recon_inputs(spark, sf_dir)
+    r = R.reconcile(template, collat, B.cpty_aliases(spark, sf_dir), B.typology_aliases(spark))
+    return _as_double(r, ["mtm_gam_template", "mtm_cpty_template", "mtm_gam_collateral", "mtm_cpty_collateral",
+                          "gap_mtm_gam", "gap_mtm_cpty"])
+
+
+@register
+def collateral_recon(spark, sf_dir):
+    """JN-6, CTL-7, SRT-1, MAP-14: report vs collateral, full outer by
+    normalised (counterparty, typology), 14 columns, sorted."""
+    from ..operators import reconcile as R
+
+    return R.sort_recon(_recon(spark, sf_dir))
+
+
+@register
+def recon_max_gap(spark, sf_dir):
+    """AGG-7, CHK-5: largest absolute gap and the concordance flag."""
+    from ..operators import reconcile as R
+
+    return R.max_gap(_recon(spark, sf_dir))
+
+
+# --------------------------------------------------------------- period comparison
+def _production(spark, sf_dir, linestatus: str, orderstatus: str) -> DataFrame:
+    from ..operators import forwards
+    from ..operators import period as P
+
+    t = B.trades(spark, sf_dir).where(F.col("l_linestatus") == linestatus)
+    swaps = t.select("classif", F.col("mtm_own").alias("dirty"))
+    fw = forwards.forward_alerts(_forwards(spark, sf_dir)).where(F.col("o_orderstatus") == orderstatus)
+    return P.dirty_by_class(swaps, fw.select(F.col("mtm_value").alias("prix_gam")))
+
+
+def _productions(spark, sf_dir):
+    return _production(spark, sf_dir, "O", "O"), _production(spark, sf_dir, "F", "F")
+
+
+@register
+def dirty_by_class(spark, sf_dir):
+    """AGG-4, AGG-5, FLT-7: dirty value per class of each production, bond
+    forwards under 'Bond Forward'."""
+    cur, prev = _productions(spark, sf_dir)
+    u = cur.withColumn("production", F.lit("current")).unionByName(prev.withColumn("production", F.lit("previous")))
+    return _as_double(u, ["total"])
+
+
+@register
+def period_compare(spark, sf_dir):
+    """JN-7, CTL-8, NUM-10, SRT-2, SET-2: class totals of both productions,
+    gap and gap %, largest gap first."""
+    from ..operators import period as P
+
+    cur, prev = _productions(spark, sf_dir)
+    return P.sort_by_gap(_as_double(P.compare_periods(cur, prev), ["dirty_previous", "dirty_current", "gap"]))
+
+
+@register
+def period_totals(spark, sf_dir):
+    """AGG-6: grand totals and delta."""
+    from ..operators import period as P
+
+    cur, prev = _productions(spark, sf_dir)
+    return _as_double(P.period_totals(cur, prev), ["total_current", "total_previous", "delta_total"])
+
+
+def _rollups(spark, sf_dir):
+    from ..operators import period as P
+
+    cur, prev = _productions(spark, sf_dir)
+    bridge, items = dims.category_bridge(spark), dims.summary_items(spark)
+    return (_as_double(P.rollup_categories(cur, bridge, items), ["value"]),
+            _as_double(P.rollup_categories(prev, bridge, items), ["value"]))
+
+
+@register
+def category_rollup(spark, sf_dir):
+    """JN-10, DIM-4, AGG-8: overlapping category subtotals per production."""
+    cur, prev = _rollups(spark, sf_dir)
+    u = cur.withColumn("production", F.lit("current")).unionByName(prev.withColumn("production", F.lit("previous")))
+    return u.select("production", "item_ord", "item_label", "value")
+
+
+@register
+def mtm_summary_text(spark, sf_dir):
+    """CTL-9, STR-7: the MtM summary text of the two productions."""
+    from ..operators import period as P
+
+    cur, prev = _rollups(spark, sf_dir)
+    return P.summary_text(cur, prev, "30/06/1995", "31/03/1995")

@@ -158,3 +158,153 @@ select trade_id, code_di, classif_di, class, counterparty from p where rn = 1"""
 ORACLE["perimeter_dedup_stats"] = B.with_(t=B.T) + f"""
 select 'Trade ID' as dedup_keys, count(*) as dedup_before, count(distinct trade_id) as dedup_after
 from t where {S.valid_code('code_raw')}"""
+
+# ------------------------------------------------------------------ reconciliation
+_FWD_DEC = _FWD.replace(" cast(notional as double) as n,", " o_orderstatus, mtm_value as mv, mtm_diff as md, cast(notional as double) as n,")
+
+_TPL = _FWD_DEC + f""",
+t as ({B.T}),
+mkd as (select code, sum(coalesce(mtm_value - mtm_diff, 0)) as mark
+  from (select {S.code_prefix('free_text_2')} as code, mtm_value, mtm_diff from m) x where code <> '' group by code),
+sw as (select t.classif, t.cpty, t.mtm_own as gam, mkd.mark as cp from t left join mkd on {S.code_text('t.code_raw')} = mkd.code
+  where {S.valid_code('t.code_raw')}),
+fw as (select 'Forward' as classif, nullif(cp_clean, '') as cpty, mv as gam, {S.sub_opt('mv', 'md')} as cp from fs where status <> 'rejected'),
+sh0 as (select {S.clean_label('classif')} as classif, {S.clean_label('cpty')} as counterparty, gam, cp from sw
+  union all select {S.clean_label('classif')}, {S.clean_label('cpty')}, gam, cp from fw),
+sh as (select * from sh0 where classif is not null and counterparty is not null
+  and lower(counterparty) not in ('counterparty', 'contrepartie', 'cp', 'total') and (gam is not null or cp is not null)),
+tpl as (select classif, counterparty, coalesce(sum(gam), 0) as mtm_gam, coalesce(sum(cp), 0) as mtm_cpty from sh group by classif, counterparty),
+a as ({B.A}), y as ({B.Y}), c as ({B.C}),
+col as (select {S.clean_label('cpty')} as counterparty, {S.clean_label('typology')} as typology, mtm_own as mtm_gam, mtm_cpty,
+  cpty as o1, typology as o2 from c),
+col2 as (select * from col where counterparty is not null and typology is not null)
+"""
+
+ORACLE["mtm_by_class_cpty"] = _TPL + """
+select classif, counterparty, cast(mtm_gam as double) as mtm_gam, cast(mtm_cpty as double) as mtm_cpty from tpl order by classif, counterparty"""
+
+def _norm(src: str, label: str, alias: str, out: str) -> str:
+    return (f"coalesce((select {alias}.canonical from {alias} where {alias}.alias_key = lower({S.clean_label(src + '.' + label)})), "
+            f"upper({S.clean_label(src + '.' + label)})) as {out}")
+
+ORACLE["alias_normalise"] = B.with_(c=B.C, a=B.A, y=B.Y) + f"""
+select c.cpty as counterparty, c.typology, {_norm('c', 'cpty', 'a', 'norm_counterparty')}, {_norm('c', 'typology', 'y', 'norm_typology')} from c"""
+
+_ALIAS_LINES = f"""select s_suppkey*2 as line_no,
+ case s_suppkey%4 when 0 then concat('sup', cast(s_suppkey as varchar), ' = SUPPLIER#', cast(s_suppkey as varchar), ' # desk')
+  when 1 then concat('sup', cast(s_suppkey as varchar), ' : SUPPLIER#', cast(s_suppkey as varchar))
+  when 2 then concat('sup', cast(s_suppkey as varchar), chr(9), 'SUPPLIER#', cast(s_suppkey as varchar))
+  else concat('# sup', cast(s_suppkey as varchar), ' = skipped') end as line from supplier
+ union all select s_suppkey*2+1, concat('  SUP', cast(s_suppkey as varchar), ' =  Supplier#', cast(s_suppkey as varchar), ' bis ')
+ from supplier where s_suppkey%10 = 0"""
+
+ORACLE["alias_text"] = B.with_(lines=_ALIAS_LINES) + f""",
+l0 as (select line_no, {S.strip('line')} as l0 from lines),
+l1 as (select line_no, case when strpos(l0, '#') > 0 then {S.strip("split_part(l0, '#', 1)")} else l0 end as l from l0
+  where l0 <> '' and not starts_with(l0, '#')),
+l2 as (select line_no, l from l1 where l <> ''),
+p as (select line_no,
+  case when strpos(l, '=') > 0 then split_part(l, '=', 1) when strpos(l, ':') > 0 then split_part(l, ':', 1)
+   else {S.strip("split_part(l, chr(9), 1)")} end as a0,
+  case when strpos(l, '=') > 0 then substr(l, strpos(l, '=') + 1) when strpos(l, ':') > 0 then substr(l, strpos(l, ':') + 1)
+   else {S.strip("split_part(l, chr(9), 2)")} end as c0 from l2),
+p2 as (select line_no, {S.clean_label('a0')} as a, {S.clean_label('c0')} as c from p),
+p3 as (select * from p2 where a is not null and c is not null),
+e as (select lower(a) as alias_key, arg_max(c, line_no) as ce from p3 group by 1),
+d as (select lower(c) as alias_key, arg_min(c, line_no) as cd from p3 group by 1)
+select coalesce(e.alias_key, d.alias_key) as alias_key, coalesce(e.ce, d.cd) as canonical from e full join d on e.alias_key = d.alias_key"""
+
+_COLN = """coln as (select col2.*, """ + _norm('col2', 'counterparty', 'a', 'norm_counterparty') + ", " + _norm('col2', 'typology', 'y', 'norm_typology') + """ from col2),
+cola as (select norm_counterparty, norm_typology,
+  first(counterparty order by o1, o2) filter (where counterparty is not null) as counterparty,
+  first(typology order by o1, o2) filter (where typology is not null) as typology,
+  coalesce(sum(mtm_gam), 0) as mtm_gam, coalesce(sum(mtm_cpty), 0) as mtm_cpty
+  from coln where norm_counterparty is not null and norm_typology is not null group by 1, 2)"""
+
+ORACLE["aggregate_by_norm"] = _TPL + "," + _COLN + """
+select norm_counterparty, norm_typology, counterparty, typology, cast(mtm_gam as double) as mtm_gam, cast(mtm_cpty as double) as mtm_cpty from cola"""
+
+_RECON = _TPL + "," + _COLN + """,
+tn as (select tpl.*, """ + _norm('tpl', 'counterparty', 'a', 'norm_counterparty') + ", " + _norm('tpl', 'classif', 'y', 'norm_typology') + """ from tpl),
+tpa as (select norm_counterparty, norm_typology,
+  first(counterparty order by classif, counterparty) filter (where counterparty is not null) as counterparty_template,
+  first(classif order by classif, counterparty) filter (where classif is not null) as classif_di,
+  coalesce(sum(mtm_gam), 0) as tg, coalesce(sum(mtm_cpty), 0) as tc
+  from tn where norm_counterparty is not null and norm_typology is not null group by 1, 2),
+rc as (select coalesce(cola.norm_counterparty, tpa.norm_counterparty) as norm_counterparty,
+  coalesce(cola.norm_typology, tpa.norm_typology) as norm_typology,
+  tpa.counterparty_template, tpa.classif_di,
+  cast(coalesce(tg, 0) as double) as mtm_gam_template, cast(coalesce(tc, 0) as double) as mtm_cpty_template,
+  cola.counterparty as counterparty_collateral, cola.typology,
+  cast(coalesce(cola.mtm_gam, 0) as double) as mtm_gam_collateral, cast(coalesce(cola.mtm_cpty, 0) as double) as mtm_cpty_collateral,
+  cast(coalesce(tg, 0) - coalesce(cola.mtm_gam, 0) as double) as gap_mtm_gam,
+  cast(coalesce(tc, 0) - coalesce(cola.mtm_cpty, 0) as double) as gap_mtm_cpty,
+  tpa.counterparty_template is not null as present_template, cola.counterparty is not null as present_collateral
+  from cola full join tpa on cola.norm_counterparty = tpa.norm_counterparty and cola.norm_typology = tpa.norm_typology)
+"""
+
+ORACLE["collateral_recon"] = _RECON + "select * from rc order by norm_counterparty nulls last, norm_typology nulls last"
+
+ORACLE["recon_max_gap"] = _RECON + """
+select max(greatest(abs(gap_mtm_gam), abs(gap_mtm_cpty))) as max_abs_gap,
+ max(greatest(abs(gap_mtm_gam), abs(gap_mtm_cpty))) < 1e-6 as concordant from rc"""
+
+# ------------------------------------------------------------------ period comparison
+def _prod(name: str, ls: str, os_: str) -> str:
+    return f"""{name} as (select classif, sum(amount) as total from (
+  select {S.strip('classif')} as classif, mtm_own as amount from t where l_linestatus = '{ls}'
+  union all select 'Bond Forward', mv from fs where status <> 'rejected' and o_orderstatus = '{os_}') z
+ where classif is not null and classif <> '' and amount is not null group by classif)"""
+
+_PERIOD = _FWD_DEC + f""",
+t as ({B.T}),
+{_prod('cur', 'O', 'O')},
+{_prod('prev', 'F', 'F')}
+"""
+
+ORACLE["dirty_by_class"] = _PERIOD + """
+select classif, cast(total as double) as total, 'current' as production from cur
+union all select classif, cast(total as double), 'previous' from prev"""
+
+ORACLE["period_compare"] = _PERIOD + """,
+j as (select coalesce(p.classif, c.classif) as classif, coalesce(p.total, 0) as o, coalesce(c.total, 0) as n
+ from prev p full join cur c on p.classif = c.classif)
+select classif, cast(o as double) as dirty_previous, cast(n as double) as dirty_current, cast(n - o as double) as gap,
+ case when abs(cast(o as double)) > 1e-12 then (cast(n as double) - cast(o as double)) / cast(o as double) * 100.0 end as gap_pct
+from j order by abs(n - o) desc, classif"""
+
+ORACLE["period_totals"] = _PERIOD + """
+select cast(coalesce((select sum(total) from cur), 0) as double) as total_current,
+ cast(coalesce((select sum(total) from prev), 0) as double) as total_previous,
+ cast(coalesce((select sum(total) from cur), 0) - coalesce((select sum(total) from prev), 0) as double) as delta_total"""
+
+_BRIDGE = "select * from (values " + ",".join(
+    f"({o}, {S.q(lab)}, {S.q(b)}, {str(r).lower()}, {('null' if cat is None else S.q(cat))}, {S.q(al)}, {str(fb).lower()})"
+    for o, lab, b, r, cat, al, fb in [
+        (o, lab, b, r, cat, " ".join(a.strip().lower().split()), False)
+        for o, lab, b, r, cats, _ in dims.SUMMARY_ITEMS for cat in cats for a in sorted(set(dims.CATEGORY_ALIASES[cat]))
+    ] + [
+        (o, lab, b, r, None, " ".join(a.strip().lower().split()), True)
+        for o, lab, b, r, _, fbs in dims.SUMMARY_ITEMS for a in fbs
+    ]
+) + ") v(item_ord, item_label, bullet, needs_reason, category, alias_norm, is_fallback)"
+
+_ITEMS = "select distinct item_ord, item_label, bullet, needs_reason from br"
+
+
+def _roll(name: str, src: str) -> str:
+    return f"""{name}_n as (select {S.norm_label('classif')} as alias_norm, sum(total) as v from {src} group by 1),
+{name}_i as (select item_ord, sum(v) filter (where not is_fallback) as cat, count(*) filter (where not is_fallback) as ncat,
+  sum(v) filter (where is_fallback) as fb from (select distinct * from br) b join {name}_n using (alias_norm) group by item_ord),
+{name} as (select it.item_ord, it.item_label, it.bullet, it.needs_reason,
+  cast(case when ncat > 0 then cat else fb end as double) as value from it left join {name}_i using (item_ord))"""
+
+_ROLL = _PERIOD + f""",
+br as ({_BRIDGE}), it as ({_ITEMS}),
+{_roll('rc', 'cur')},
+{_roll('rp', 'prev')}
+"""
+
+ORACLE["category_rollup"] = _ROLL + """
+select 'current' as production, item_ord, item_label, value from rc
+union all select 'previous', item_ord, item_label, value from rp"""

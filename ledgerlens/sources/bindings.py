@@ -102,6 +102,7 @@ def marks_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return o.select(
         k.alias("o_orderkey"),
+        "o_orderstatus",
         free_text_2.alias("free_text_2"),
         free_text_1.alias("free_text_1"),
         book.alias("book"),
