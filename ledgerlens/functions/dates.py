@@ -34,7 +34,8 @@ def excel_serial_to_timestamp(c) -> Column:
     """DATE-1 (mapping path): serial number -> timestamp keeping the time of day."""
     x = _c(c)
     secs = F.round(x * F.lit(86400.0)).try_cast("long")
-    return F.timestamp_seconds(secs + F.unix_timestamp(F.lit(EXCEL_EPOCH + " 00:00:00")))
+    base = F.lit(EXCEL_EPOCH + " 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_add("SECOND", secs, base)
 
 
 def _try_date(s: Column, gate: str, fmt: str) -> Column:
@@ -59,20 +60,22 @@ def parse_date_strict(c, serial=None) -> Column:
 def parse_date_lenient(c, serial=None) -> Column:
     """DATE-2: native / serial (> 59) / day-first text, then month-first text.
 
-    Returns a timestamp (the mapping path keeps the time of day).  The
+    Returns a timestamp without time zone (the mapping path keeps the time
+    of day).  The
     reference hands text to a free-form parser; the formats tried here are an
     explicit list: d/M/yyyy, d-M-yyyy, d.M.yyyy, yyyy-M-d [H:mm[:ss]], then
     the month-first M/d/yyyy.
     """
     s = strip_ws(_c(c))
-    ts = F.coalesce(
+    ts = F.coalesce(*[
+        t.cast("timestamp_ntz") for t in (
         F.when(s.rlike(_DMY_SLASH), F.try_to_timestamp(s, F.lit("d/M/yyyy"))),
         F.when(s.rlike(_DMY_DASH), F.try_to_timestamp(s, F.lit("d-M-yyyy"))),
         F.when(s.rlike(_DMY_DOT), F.try_to_timestamp(s, F.lit("d.M.yyyy"))),
         F.when(s.rlike(_YMD_DASH), F.try_to_timestamp(s, F.lit("yyyy-M-d"))),
         F.when(s.rlike(_YMD_TIME), F.try_to_timestamp(F.replace(s, F.lit("T"), F.lit(" ")), F.lit("yyyy-M-d H:mm[:ss]"))),
         F.when(s.rlike(_DMY_SLASH), F.try_to_timestamp(s, F.lit("M/d/yyyy"))),
-    )
+    )])
     if serial is None:
         return ts
     num = _c(serial)

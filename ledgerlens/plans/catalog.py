@@ -435,3 +435,7 @@ def mtm_summary_text(spark, sf_dir):
 
     cur, prev = _rollups(spark, sf_dir)
     return P.summary_text(cur, prev, "30/06/1995", "31/03/1995")
+
+
+# further query groups register themselves on import
+from . import scalar_queries  # noqa: E402,F401
