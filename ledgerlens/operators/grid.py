@@ -28,6 +28,18 @@ SEARCH_ROWS = 12  # fixed value: header search depth
 UNNAMED_PREFIX = "Unnamed"
 
 
+def prepare(cells: DataFrame, expected: DataFrame, search_rows: int = SEARCH_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Headers and layout of every file, each written once as a table under
+    the checkpoint folder: both are per-file tables (files x columns) that
+    every later step joins, so materialising them keeps later plans small
+    and cuts their lineage."""
+    from ..session import materialize
+
+    headers = materialize(detect_headers(cells, expected, search_rows), "headers")
+    lay = materialize(layout(cells, headers, expected), "layout")
+    return headers, lay
+
+
 # ------------------------------------------------------------------ letters
 def letter_of(col_idx) -> Column:
     """GRD-12: 0-based column index -> Excel letters (A..XFD)."""

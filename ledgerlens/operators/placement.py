@@ -21,14 +21,17 @@ def sequential_index(
     name: str = "seq",
     start: int = 1,
     num_partitions: int | None = None,
+    checkpoint: bool = False,
 ) -> DataFrame:
     """Add ``name`` = start + rank of the row within ``group_cols`` by ``order_cols``.
 
-    ``order_cols`` must give a total order inside each group (ties would make
-    the numbering depend on the run).  The range-partitioned input is written
-    once with ``checkpoint()`` (reliable storage under spark.checkpoint.dir),
-    so the counting pass and the numbering pass see the same partitions even
-    if an executor is lost in between.
+    ``order_cols`` must give a total order inside each group.  The
+    range-partitioned rows with their position ids are written once as a
+    table under the checkpoint folder: the counting pass and the numbering
+    pass then read the same stored ids (two independent executions of the
+    exchange are not guaranteed to place rows identically), and a lost
+    executor cannot change them.  ``checkpoint=True`` also writes the
+    numbered result, for callers that reuse it many times.
     """
     group_cols = list(group_cols or [])
     keys = group_cols + list(order_cols)
@@ -38,8 +41,10 @@ def sequential_index(
         df.repartitionByRange(n, *keys)
         .sortWithinPartitions(*keys)
         .withColumn("_mid", F.monotonically_increasing_id())
-        .checkpoint(eager=True)
     )
+    from ..session import materialize
+
+    ranged = materialize(ranged, "ranged")
     pid = F.shiftright(F.col("_mid"), _POS_BITS)
     pos = F.col("_mid") - F.shiftleft(pid, _POS_BITS)
     ranged = ranged.withColumns({"_pid": pid, "_pos": pos})
@@ -49,4 +54,9 @@ def sequential_index(
     # one row per (partition, group): bounded by partitions x groups
     out = ranged.join(offsets.select("_pid", *group_cols, "_offset", "_first"), ["_pid", *group_cols], "inner")
     seq = F.col("_offset") + (F.col("_pos") - F.col("_first")) + F.lit(start)
-    return out.withColumn(name, seq).drop("_mid", "_pid", "_pos", "_offset", "_first", "_cnt")
+    out = out.withColumn(name, seq).drop("_mid", "_pid", "_pos", "_offset", "_first", "_cnt")
+    if checkpoint:
+        from ..session import materialize
+
+        return materialize(out, name)
+    return out

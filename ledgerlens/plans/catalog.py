@@ -440,3 +440,4 @@ def mtm_summary_text(spark, sf_dir):
 # further query groups register themselves on import
 from . import scalar_queries  # noqa: E402,F401
 from . import grid_queries  # noqa: E402,F401
+from . import mapping_queries  # noqa: E402,F401

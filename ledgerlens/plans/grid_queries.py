@@ -28,9 +28,7 @@ def _grid(spark, sf_dir):
     key = (id(spark), sf_dir)
     if key not in _CACHE:
         c = cells_binding(spark, sf_dir)
-        exp = dims.expected_headers(spark)
-        h = grid.detect_headers(c, exp)
-        lay = grid.layout(c, h, exp)
+        h, lay = grid.prepare(c, dims.expected_headers(spark))
         _CACHE.clear()
         _CACHE[key] = (c, h, lay)
     return _CACHE[key]

@@ -71,3 +71,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="ledgerlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return path
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as a parquet table under the session's checkpoint
+    folder (shared storage on a cluster) and return it read back.
+
+    This cuts lineage like ``checkpoint()`` but computes the plan only once
+    (``Dataset.checkpoint`` runs it again to write the files) and the result
+    keeps column pruning and filter pushdown.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/ledgerlens-tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.placement import sequential_index
+from ..session import materialize
 from .bindings import LINEITEM_ORDER, _classif_of
 from .tables import table
 
@@ -68,4 +69,5 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = spark.createDataFrame(
         [(f"IR_{f}.xls", r, c, v) for f, r, c, v in HEADER_CELLS], CELLS_SCHEMA
     )
-    return head.unionByName(body)
+    # reused by every grid step: written once under the checkpoint folder
+    return materialize(head.unionByName(body), "cells")
