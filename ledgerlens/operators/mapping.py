@@ -230,9 +230,15 @@ def source_binding(lay: DataFrame, mapping: Mapping) -> DataFrame:
         lay.join(specs.where(F.col("kind").isin("name", "leg")), lay["label_norm"] == F.col("base"))
         .groupBy("source_file", "name").agg(F.min("col_idx").alias("col_idx"))
     )
+    # "starts with base" as an equi-join: every prefix of a label is a row
+    # (labels are short and the layout has files x columns rows)
+    prefixes = lay.select(
+        "source_file", "col_idx", "label_norm",
+        F.explode(F.sequence(F.lit(1), F.greatest(F.length("label_norm"), F.lit(1)))).alias("_n"),
+    ).withColumn("base", F.substring("label_norm", F.lit(1), F.col("_n")))
     by_leg = (
-        lay.join(specs.where(F.col("kind") == "leg"),
-                 lay["label_norm"].startswith(F.col("base")) & F.col("label_norm").contains(F.col("tag")))
+        prefixes.join(specs.where(F.col("kind") == "leg"), "base")
+        .where(F.col("label_norm").contains(F.col("tag")))
         .groupBy("source_file", "name").agg(F.min("col_idx").alias("col_idx"))
     )
     leg_names = specs.where(F.col("kind") == "leg").select("name")
