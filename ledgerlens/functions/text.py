@@ -28,6 +28,7 @@ WS_CHARS = (
 
 # Sentinel texts that do not count as a trade code (FLT-1).
 INVALID_CODE_PATTERN = r"(?i)^(nan|none|null|na|n/?a|#n/?a|-|—)$"
+BLANK_OR_INVALID_CODE_PATTERN = r"(?i)^(nan|none|null|na|n/?a|#n/?a|-|—)?$"
 
 
 def _c(x) -> Column:
@@ -79,9 +80,12 @@ def code_text(c) -> Column:
 
 
 def valid_code(c) -> Column:
-    """FLT-1: not null, not blank after NBSP->space + strip, not a sentinel."""
-    s = code_text(c)
-    return _c(c).isNotNull() & (s != F.lit("")) & ~s.rlike(INVALID_CODE_PATTERN)
+    """FLT-1: not null, not blank after NBSP->space + strip, not a sentinel.
+
+    The cleaned text is referenced once (blank is an alternative of the
+    sentinel pattern), so a pushed-down filter evaluates it once per row.
+    """
+    return ~code_text(c).rlike(BLANK_OR_INVALID_CODE_PATTERN)
 
 
 def legacy_code_present(c) -> Column:

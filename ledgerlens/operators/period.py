@@ -33,15 +33,15 @@ def dirty_by_class(swaps: DataFrame, forwards: DataFrame | None = None) -> DataF
     missing amount skipped).  ``forwards``: ``prix_gam``; its parsed amounts
     are added under ``Bond Forward`` (no key when none parses).
     """
-    s = swaps.select(strip_ws("classif").alias("classif"), F.col("dirty").alias("amount")).where(
-        F.col("classif").isNotNull() & (F.col("classif") != "") & F.col("amount").isNotNull()
-    )
+    s = swaps.select(F.col("classif").alias("classif_raw"), F.col("dirty").alias("amount"))
     if forwards is not None:
-        f = forwards.select(F.lit(BOND_FORWARD_KEY).alias("classif"), F.col("prix_gam").alias("amount")).where(
-            F.col("amount").isNotNull()
-        )
+        f = forwards.select(F.lit(BOND_FORWARD_KEY).alias("classif_raw"), F.col("prix_gam").alias("amount"))
         s = s.unionByName(f)
-    return s.groupBy("classif").agg(F.sum("amount").alias("total"))
+    # pre-aggregate by the raw label, strip once per distinct label, regroup
+    pre = s.groupBy("classif_raw").agg(F.sum("amount").alias("t"), F.count("amount").alias("n"))
+    k = pre.select(strip_ws("classif_raw").alias("classif"), "t", "n")
+    keep = F.when(F.col("n") > 0, F.col("classif").isNotNull() & (F.col("classif") != "")).otherwise(F.lit(False))
+    return k.where(keep).groupBy("classif").agg(F.sum("t").alias("total"))
 
 
 def compare_periods(current: DataFrame, previous: DataFrame) -> DataFrame:

@@ -127,20 +127,17 @@ def normalize_label(df: DataFrame, label_col: str, aliases: DataFrame, out_col:
 
 
 def sheet_amounts(df: DataFrame, classif: Column, cpty: Column, gam: Column, cp: Column) -> DataFrame:
-    """AGG-2 input for one sheet: cleaned labels and the two amounts, with
-    FLT-5 (header / total lines) and FLT-6 (no amount) applied."""
-    rows = df.select(
-        clean_label(classif).alias("classif"),
-        clean_label(cpty).alias("counterparty"),
+    """AGG-2 input for one sheet: raw labels and the two amounts.
+
+    Cleaning and the label filters (FLT-5) run in ``mtm_by_class_cpty`` after
+    a pre-aggregation by raw label, i.e. once per distinct label instead of
+    once per row."""
+    return df.select(
+        classif.alias("classif_raw"),
+        cpty.alias("counterparty_raw"),
         gam.alias("mtm_gam"),
         cp.alias("mtm_cpty"),
     )
-    return rows.where(
-        F.col("classif").isNotNull()
-        & F.col("counterparty").isNotNull()
-        & ~F.lower("counterparty").isin(*SKIP_COUNTERPARTY_LABELS)
-        & (F.col("mtm_gam").isNotNull() | F.col("mtm_cpty").isNotNull())
-    )
 
 
 def load_collateral(df: DataFrame, cpty: str, typology: str, gam: str, cp: str, order_col: str = "ord") -> DataFrame:
@@ -165,14 +162,38 @@ def text_amount(c) -> Column:
 
 
 def mtm_by_class_cpty(*sheets: DataFrame) -> DataFrame:
-    """AGG-2 + SET-4: sum both amounts per (class, counterparty) over the
-    union of the sheets; nulls are skipped, a key with none sums to 0."""
+    """AGG-2 + SET-4 + FLT-5 + FLT-6: sum both amounts per (clean class,
+    clean counterparty) over the union of the sheets; rows without any
+    amount, blank labels and repeated header / total lines are skipped;
+    nulls are skipped in the sums, a key with none sums to 0.
+
+    Plan: partial + final aggregate by the raw labels (a few rows per
+    distinct label pair), then labels are cleaned and filtered on that small
+    result and the clean keys re-aggregated.  The label test is combined with
+    the row count so Catalyst cannot push it back below the aggregate.
+    """
     u = sheets[0]
     for s in sheets[1:]:
         u = u.unionByName(s)
-    return u.groupBy("classif", "counterparty").agg(
-        F.coalesce(F.sum("mtm_gam"), F.lit(0)).alias("mtm_gam"),
-        F.coalesce(F.sum("mtm_cpty"), F.lit(0)).alias("mtm_cpty"),
+    pre = u.groupBy("classif_raw", "counterparty_raw").agg(
+        F.sum("mtm_gam").alias("g"),
+        F.sum("mtm_cpty").alias("c"),
+        F.count_if(F.col("mtm_gam").isNotNull() | F.col("mtm_cpty").isNotNull()).alias("n"),
+    )
+    k = pre.select(
+        clean_label("classif_raw").alias("classif"),
+        clean_label("counterparty_raw").alias("counterparty"),
+        "g", "c", "n",
+    )
+    keep = F.when(
+        F.col("n") > 0,
+        F.col("classif").isNotNull()
+        & F.col("counterparty").isNotNull()
+        & ~F.lower("counterparty").isin(*SKIP_COUNTERPARTY_LABELS),
+    ).otherwise(F.lit(False))
+    return k.where(keep).groupBy("classif", "counterparty").agg(
+        F.coalesce(F.sum("g"), F.lit(0)).alias("mtm_gam"),
+        F.coalesce(F.sum("c"), F.lit(0)).alias("mtm_cpty"),
     )
 
 
