@@ -85,7 +85,7 @@ def valid_code(c) -> Column:
     The cleaned text is referenced once (blank is an alternative of the
     sentinel pattern), so a pushed-down filter evaluates it once per row.
     """
-    return ~code_text(c).rlike(BLANK_OR_INVALID_CODE_PATTERN)
+    return F.coalesce(~code_text(c).rlike(BLANK_OR_INVALID_CODE_PATTERN), F.lit(False))
 
 
 def legacy_code_present(c) -> Column:
