@@ -106,10 +106,12 @@ def detect_headers(cells: DataFrame, expected: DataFrame, search_rows: int = SEA
     )
 
 
-def header_labels(cells: DataFrame, best: DataFrame, expected: DataFrame) -> DataFrame:
+def header_labels(cells: DataFrame, best: DataFrame, expected: DataFrame, search_rows: int = SEARCH_ROWS) -> DataFrame:
     """Per (file, col_idx): single-row label, two-row label, and hit flags."""
     b = best.select("source_file", "header_row")
-    two = cells.join(b, "source_file").where(
+    # header rows lie within the search depth: filter the cells before joining
+    top = cells.where(F.col("row_idx") <= search_rows)
+    two = top.join(b, "source_file").where(
         (F.col("row_idx") == F.col("header_row")) | (F.col("row_idx") == F.col("header_row") + 1)
     )
     per_col = two.groupBy("source_file", "col_idx").agg(
@@ -142,8 +144,12 @@ def layout(cells: DataFrame, headers: DataFrame, expected: DataFrame) -> DataFra
         "source_file", "col_idx",
         F.when(F.col("merged"), F.col("merged_label")).otherwise(F.col("upper")).alias("raw_label"),
     )
-    body = cells.join(h.select("source_file", "body_start"), "source_file").where(F.col("row_idx") >= F.col("body_start"))
-    body_cols = body.groupBy("source_file", "col_idx").agg(F.count(F.lit(1)).alias("_n"))
+    # a column has body cells iff its last used row is at or after the body
+    # start: one partial aggregate over the cells, no join of all cells
+    last = cells.groupBy("source_file", "col_idx").agg(F.max("row_idx").alias("_last"))
+    body_cols = last.join(h.select("source_file", "body_start"), "source_file").where(
+        F.col("_last") >= F.col("body_start")
+    ).select("source_file", "col_idx")
     cols = body_cols.join(labels, ["source_file", "col_idx"], "left")
     base = F.coalesce(F.col("raw_label"), F.lit(""))
     base = F.when(base.startswith(UNNAMED_PREFIX), F.lit("")).otherwise(base)
