@@ -44,11 +44,16 @@ def read_delimited(spark: SparkSession, paths, sep: str = ";", key_column: str =
     CHK-1 / CHK-2 checks.  Only the header widths (one number) reach the
     driver.
     """
-    lines = (
-        spark.read.text(paths)
-        .select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("source_file"))
-        .where(strip_ws("line") != "")
+    lines = spark.read.text(paths).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("source_file")
     )
+    return bind_lines(lines, sep, key_column)
+
+
+def bind_lines(lines: DataFrame, sep: str = ";", key_column: str = "FREE_TEXT_2") -> tuple[DataFrame, DataFrame]:
+    """``(line, source_file)`` rows -> (rows bound by each file's header,
+    layouts).  Shared by the batch reader and the file stream."""
+    lines = lines.where(strip_ws("line") != "")
     is_header = F.array_contains(F.transform(F.split("line", _re_quote(sep)), lambda x: F.trim(x)), key_column)
     headers = lines.where(is_header).groupBy("source_file").agg(F.min("line").alias("header_line"))
     width = headers.select(F.max(F.size(F.split("header_line", _re_quote(sep)))).alias("w")).first()["w"] or 1

@@ -81,3 +81,17 @@ def test_run_partitions_dynamic_overwrite(spark):
     back = sorted(rows(spark.read.parquet(d), "k", "year", "month", "mode"))
     assert back == [(2, 2025, "09-2025", "close"), (3, 2025, "06-2025", "close"), (10, 2025, "09-2025", "fast")]
     assert os.path.isdir(os.path.join(d, "year=2025", "month=09-2025", "mode=fast"))
+
+
+def test_feed_stream_available_now(spark):
+    from ledgerlens.streaming import start_feed_stream
+
+    d, out, ck = _tmp(), os.path.join(_tmp(), "out"), os.path.join(_tmp(), "ck")
+    with open(os.path.join(d, "f1.csv"), "w") as fh:
+        fh.write("FREE_TEXT_2;MTM_VALUE;MTM_DIFF\nSWAP_1/a;1,5;0,5\n")
+    with open(os.path.join(d, "f2.csv"), "w") as fh:
+        fh.write("MTM_DIFF;MTM_VALUE;FREE_TEXT_2\n1;2;SWAP_2\n")
+    q = start_feed_stream(spark, d, out, ck)
+    q.awaitTermination(120)
+    got = sorted(rows(spark.read.parquet(out), "free_text_2", "mtm_value", "mtm_diff"))
+    assert got == [("SWAP_1/a", 1.5, 0.5), ("SWAP_2", 2.0, 1.0)]
