@@ -84,7 +84,7 @@ GAP_COLUMNS = (
 
 @register
 def marks_enrich_gap(spark, sf_dir):
-    """JN-3, CTL-1, CTL-2, CTL-3, NUM-4/5/11: marks joined to the report."""
+    """JN-3, CTL-1, CTL-2, CTL-3, NUM-4, NUM-5, NUM-11: marks joined to the report."""
     e = _enriched(spark, sf_dir)
     return e.select("trade_id", "code", "notional", "dirty_total", "dirty_pct", "matched", *GAP_COLUMNS)
 

@@ -98,8 +98,9 @@ lay as (select source_file, col_idx, {_letter('col_idx')} as letter, label, {_no
 # ------------------------------------------------------------------ header detection and layout
 @register
 def header_detect(spark, sf_dir):
-    """GRD-1, GRD-2, GRD-3, GRD-4, DIM-3: header row of each file, scores,
-    two-row merge and first body row."""
+    """GRD-1, GRD-2, GRD-3, GRD-4, DIM-3, SRC-5: header row of each file
+    (cells table written as parquet and scanned back), scores, two-row merge
+    and first body row."""
     return _grid(spark, sf_dir)[1]
 
 

@@ -192,3 +192,61 @@ select dest, member, basename, case when j = 0 then basename
 
 
 ORACLE["archive_members"] = _archive_oracle()
+
+
+# Collateral report headers (with their trailing blanks) and our names.
+COLLATERAL_HEADERS = ("Counterparty ", "Typologie ", "MTM Gam ", "MTM Counterparty ")
+
+
+@register
+def collateral_file(spark, sf_dir):
+    """SRC-8, CHK-1, FLT-4, NUM-2, STR-1: collateral report file with
+    trailing-blank headers, matched on trimmed names, labels cleaned, text
+    amounts parsed (mixed dialect), rows without both labels dropped."""
+    base = _scratch(spark, "collateral")
+    c = B.collateral(spark, sf_dir)
+    dec_comma = (F.hash("cpty", "typology") % 2) == 0
+    as_text = lambda x: F.when(dec_comma, F.replace(F.col(x).cast("string"), F.lit("."), F.lit(","))).otherwise(F.col(x).cast("string"))
+    blank_label = F.when(F.col("typology") == "Repo", F.lit("  ")).otherwise(F.col("typology"))
+    out = c.select(F.col("cpty").alias(COLLATERAL_HEADERS[0]), blank_label.alias(COLLATERAL_HEADERS[1]),
+                   as_text("mtm_own").alias(COLLATERAL_HEADERS[2]), as_text("mtm_cpty").alias(COLLATERAL_HEADERS[3]))
+    out.write.options(header=True, sep=";", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(base)
+    rows_, layouts = feeds.read_delimited(spark, [f"{base}/*.csv"], sep=";", key_column="Counterparty")
+    trimmed = {c_.strip(): c_ for c_ in rows_.columns}
+    missing = [h for h in COLLATERAL_HEADERS if h.strip() not in trimmed]
+    if missing:  # CHK-1 at plan time
+        raise KeyError(f"collateral report lacks columns: {missing}")
+    named = rows_.select(*[F.col(f"`{trimmed[h.strip()]}`").alias(n) for h, n in
+                           zip(COLLATERAL_HEADERS, ("cpty", "typology", "mtm_gam", "mtm_cpty"))],
+                         F.struct("source_file").alias("ord"))
+    loaded = R.load_collateral(named, "cpty", "typology", "mtm_gam", "mtm_cpty")
+    return loaded.select("counterparty", "typology", "mtm_gam", "mtm_cpty")
+
+
+ORACLE["collateral_file"] = f"""with c as ({BS.C}),
+t as (select {S.clean_label('cpty')} as counterparty,
+  {S.clean_label("case when typology = 'Repo' then '  ' else typology end")} as typology,
+  cast(mtm_own as double) as mtm_gam, cast(mtm_cpty as double) as mtm_cpty from c)
+select * from t where counterparty is not null and typology is not null"""
+
+
+@register
+def csv_export(spark, sf_dir):
+    """SNK-3, SNK-4: the reconciliation exported as CSV with a header line
+    and as a table, both read back (CSV columns as text)."""
+    from .catalog import _recon
+
+    base = _scratch(spark, "export")
+    r = _recon(spark, sf_dir)
+    sinks.write_csv(r, f"{base}/csv")
+    r.write.mode("overwrite").parquet(f"{base}/table")
+    csv = spark.read.option("header", True).csv(f"{base}/csv")
+    tbl = spark.read.parquet(f"{base}/table")
+    keys = ["norm_counterparty", "norm_typology"]
+    return csv.select(*keys, F.col("present_template").alias("present_template_text")).join(
+        tbl.select(*keys, "gap_mtm_gam", "gap_mtm_cpty"), keys, "inner")
+
+
+ORACLE["csv_export"] = ORACLE["collateral_recon"].replace(
+    "select * from rc order by norm_counterparty nulls last, norm_typology nulls last",
+    "select norm_counterparty, norm_typology, cast(present_template as varchar) as present_template_text, gap_mtm_gam, gap_mtm_cpty from rc")

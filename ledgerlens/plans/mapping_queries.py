@@ -161,8 +161,9 @@ def _legs(spark, sf_dir):
 
 @register
 def ratio_columns(spark, sf_dir):
-    """MAP-5, MAP-7, MAP-8, NUM-5: the nine shipped ratio formulas (legs over
-    their notional, total over the leg-1 notional) compiled to Columns."""
+    """MAP-5, MAP-7, MAP-8, NUM-5, SRC-10: the nine shipped ratio formulas
+    (legs over their notional, total over the leg-1 notional) loaded from the
+    YAML config and compiled to Columns."""
     m = mapping.compile_mapping(mapping.shipped_config())
     x = _legs(spark, sf_dir)
     env = {n: F.col(n) for n in x.columns if n not in ("l_orderkey", "l_linenumber")}

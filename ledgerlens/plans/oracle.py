@@ -308,3 +308,21 @@ br as ({_BRIDGE}), it as ({_ITEMS}),
 ORACLE["category_rollup"] = _ROLL + """
 select 'current' as production, item_ord, item_label, value from rc
 union all select 'previous', item_ord, item_label, value from rp"""
+
+
+def _summary_sql() -> str:
+    from ..operators import period as P
+
+    head = "\n".join([P.SUMMARY_GREETING, "", P.SUMMARY_INTRO.format(date="30/06/1995"), P.SUMMARY_SECTION]) + "\n"
+    unit = P.SUMMARY_UNIT_DATED.format(date="31/03/1995")
+    line = f"concat(bullet, item_label, ' : ', {S.format_money('cur')}, ' vs ', {S.format_money('prev')}, {S.q(unit)})"
+    block = (f"case when needs_reason then concat({line}, chr(10), {S.q(P.SUMMARY_REASON)}, chr(10)) "
+             f"else concat({line}, chr(10)) end")
+    text = f"concat({S.q(head)}, string_agg({block}, chr(10) order by item_ord))"
+    return _ROLL + f""",
+j as (select rc.item_ord, rc.item_label, rc.bullet, rc.needs_reason, rc.value as cur, rp.value as prev
+  from rc join rp using (item_ord) where rc.value is not null or rp.value is not null)
+select case when count(*) > 0 then {S.strip(text)} end as summary from j"""
+
+
+ORACLE["mtm_summary_text"] = _summary_sql()

@@ -71,3 +71,10 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # reused by every grid step: written once under the checkpoint folder
     return materialize(head.unionByName(body), "cells")
+
+
+def read_cells(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """SRC-5: a cells table (one row per non-blank cell) from parquet or CSV."""
+    if fmt == "csv":
+        return spark.read.schema(CELLS_SCHEMA).option("header", True).csv(path)
+    return spark.read.parquet(path).select("source_file", "row_idx", "col_idx", "value")
