@@ -35,10 +35,10 @@ def sequential_index(
     """
     group_cols = list(group_cols or [])
     keys = group_cols + list(order_cols)
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # without an explicit count AQE may coalesce the range partitions; the
+    # ids are taken after that and stored, so both passes agree
     ranged = (
-        df.repartitionByRange(n, *keys)
+        (df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys))
         .sortWithinPartitions(*keys)
         .withColumn("_mid", F.monotonically_increasing_id())
     )

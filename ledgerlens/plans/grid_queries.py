@@ -4,8 +4,6 @@ detection, layout and resolution rules in SQL on the same cells."""
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from ..functions import header_norm, norm_label
@@ -25,7 +23,7 @@ _CACHE: dict = {}
 def _grid(spark, sf_dir):
     """Cells, headers and layout of G (the cells are numbered once per
     session and directory: their row numbering checkpoints)."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
     if key not in _CACHE:
         c = cells_binding(spark, sf_dir)
         h, lay = grid.prepare(c, dims.expected_headers(spark))

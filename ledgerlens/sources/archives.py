@@ -10,12 +10,18 @@ repartitioned afterwards when they feed heavier steps.
 from __future__ import annotations
 
 import io
+import sys
 import zipfile
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The task-side functions below travel to the Python workers by value, so
+# executors need no copy of this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MEMBER_SCHEMA = "archive string, member string, basename string, is_dir boolean, size long, content binary"
 
 # Member suffixes extracted (case-insensitive); the legacy
