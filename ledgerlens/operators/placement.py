@@ -62,7 +62,7 @@ def sequential_index(
     return out
 
 
-def top_k_per_group(df: DataFrame, group_cols: list[str], order_col: str, k: int, salt_buckets: int = 64) -> DataFrame:
+def top_k_per_group(df: DataFrame, group_cols: list[str], order_col: str, k: int, salt_buckets: int | None = None) -> DataFrame:
     """Exact first ``k`` rows per group by ``order_col`` (ascending), with a
     ``rank`` column (1..k) and the group size ``n_group``.
 
@@ -70,6 +70,10 @@ def top_k_per_group(df: DataFrame, group_cols: list[str], order_col: str, k: int
     are first split by a hash salt, each (group, salt) keeps its own first k,
     and only those ``salt_buckets * k`` candidates per group are ranked.
     """
+    if salt_buckets is None:
+        # as many salts as shuffle partitions (at least 64): a hot group's
+        # share per task shrinks as the cluster and its partition count grow
+        salt_buckets = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     salt = F.abs(F.xxhash64(F.col(order_col))) % salt_buckets
     s = df.withColumn("_salt", salt)
     w1 = Window.partitionBy(*group_cols, "_salt").orderBy(order_col)

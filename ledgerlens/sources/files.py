@@ -165,18 +165,20 @@ def collision_names(members: DataFrame, existing: DataFrame) -> DataFrame:
     counting on past the occurrences already taken.  ``collides`` flags the
     rare names that still clash with a pre-existing suffixed file.
     """
-    from pyspark.sql import Window
+    from ..operators.placement import sequential_index
 
     stem = F.regexp_extract("basename", r"^(.*?)(\.[^.]*)?$", 1)
     ext = F.regexp_extract("basename", r"^(.*?)(\.[^.]*)?$", 2)
-    w = Window.partitionBy("dest", "basename").orderBy("ord")
     ex = existing.select("dest", F.col("file_name").alias("basename"), F.lit(True).alias("_pre"))
-    m = members.join(ex.distinct(), ["dest", "basename"], "left")
-    k = F.row_number().over(w) - 1
+    # occurrence number per (dest, basename) in extraction order: range-partitioned
+    # numbering, so one very common name is not numbered inside a single task
+    numbered = sequential_index(members, ["ord"], group_cols=["dest", "basename"], name="_k", start=0)
+    m = numbered.join(ex.distinct(), ["dest", "basename"], "left")
+    k = F.col("_k")
     pre = F.coalesce("_pre", F.lit(False))
     j = k + F.when(pre, 1).otherwise(0)
     name = F.when(j == 0, F.col("basename")).otherwise(F.concat(stem, F.lit("_"), j.cast("string"), ext))
-    out = m.withColumn("target_name", name).drop("_pre")
+    out = m.withColumn("target_name", name).drop("_pre", "_k")
     clash = existing.select("dest", F.col("file_name").alias("target_name"), F.lit(True).alias("_c")).distinct()
     out = out.join(clash, ["dest", "target_name"], "left")
     return out.withColumn("collides", F.coalesce("_c", F.lit(False)) & (F.col("target_name") != F.col("basename"))).drop("_c")
