@@ -14,8 +14,18 @@ TABLE_NAMES = (
 )
 
 
+_RELATIONS: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """The table as a lazy relation; the file listing / footer read of a
+    path is done once per session (the relation is reused by every query)."""
     if name not in TABLE_NAMES:
         raise ValueError(f"unknown table {name!r}")
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, id(spark), path)
+    df = _RELATIONS.get(key)
+    if df is None:
+        df = spark.read.parquet(path)
+        _RELATIONS[key] = df
     return df.select(*columns) if columns else df
