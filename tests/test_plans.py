@@ -45,3 +45,16 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["classif", "n_trades", "n_matched", "n_alerts", "max_abs_gap_pct"]
     assert df.count() >= 1
+
+
+# single-partition exchanges only where the input is one row per partition
+# (final step of a global aggregate, or the per-partition offset table)
+SINGLE_PARTITION_OK = {"mtm_summary_text", "perimeter_dedup_stats", "period_totals", "recon_max_gap",
+                       "report_row_placement", "run_counters"}
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_no_unbounded_single_partition(spark, name):
+    plan = _plan(E.queries()[name](spark, SF))
+    if name not in SINGLE_PARTITION_OK:
+        assert "SinglePartition" not in plan
