@@ -18,14 +18,28 @@ _RELATIONS: dict = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """The table as a lazy relation; the file listing / footer read of a
-    path is done once per session (the relation is reused by every query)."""
+    """The table as a lazy relation with only ``columns`` selected.
+
+    The file listing / footer read of a path is done once per session.  When
+    the files give fewer read splits than the cluster's default parallelism
+    (e.g. one small file with a single row group), the selected columns are
+    spread round-robin over that many partitions so per-row work is not
+    serialised in one task.  Large inputs already have more splits than
+    cores and get no extra exchange.
+    """
     if name not in TABLE_NAMES:
         raise ValueError(f"unknown table {name!r}")
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     key = (spark.sparkContext.applicationId, id(spark), path)
-    df = _RELATIONS.get(key)
-    if df is None:
+    entry = _RELATIONS.get(key)
+    if entry is None:
         df = spark.read.parquet(path)
-        _RELATIONS[key] = df
-    return df.select(*columns) if columns else df
+        splits = df._jdf.rdd().getNumPartitions()  # planning only, no job
+        entry = (df, splits)
+        _RELATIONS[key] = entry
+    df, splits = entry
+    out = df.select(*columns) if columns else df
+    target = spark.sparkContext.defaultParallelism
+    if splits < target:
+        out = out.repartition(target)
+    return out
