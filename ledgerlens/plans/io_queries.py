@@ -112,7 +112,7 @@ def archive_members(spark, sf_dir):
     base = _scratch(spark, "archives")
     A.write_archives(_members(spark, sf_dir), base).write.format("noop").mode("overwrite").save()
     mem = A.select_members(A.read_archives(spark, base))
-    mem = mem.withColumn("dest", F.regexp_extract("archive", r"^(.*)-[0-9a-f]{32}\.zip$", 1))
+    mem = mem.withColumn("dest", F.regexp_extract("archive", r"^(.*)-p[0-9]+-b[0-9]+\.zip$", 1))
     named = collision_names(mem.select("dest", "basename", F.col("member").alias("ord"), "size"),
                             mem.sparkSession.createDataFrame([], "dest string, file_name string"))
     return named.select("dest", F.col("ord").alias("member"), "basename", "target_name", "size")

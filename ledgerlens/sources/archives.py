@@ -71,19 +71,22 @@ def select_members(members: DataFrame, suffixes=EXTRACT_SUFFIXES) -> DataFrame:
 
 def _write_zip(batches, base: str):
     """Task-side writer used to build archives from table rows: one ZIP per
-    input batch, written through pyarrow's filesystem layer (local or a
-    shared cluster filesystem)."""
-    import uuid
+    archive key and input batch, written through pyarrow's filesystem layer
+    (local or a shared cluster filesystem).  File names are deterministic
+    (archive key, partition, batch), so a retried task attempt rewrites the
+    same files instead of adding copies."""
+    import warnings
 
     from pyarrow import fs
+    from pyspark import TaskContext
 
+    ctx = TaskContext.get()
+    pid = ctx.partitionId() if ctx is not None else 0
     filesystem, root = fs.FileSystem.from_uri(base)
     filesystem.create_dir(root, recursive=True)
-    for pdf in batches:
+    for n, pdf in enumerate(batches):
         if pdf.empty:
             continue
-        import warnings
-
         buf = io.BytesIO()
         with warnings.catch_warnings(), zipfile.ZipFile(buf, "w", compression=zipfile.ZIP_DEFLATED) as zf:
             warnings.simplefilter("ignore", UserWarning)  # repeated member names are kept, as in real archives
@@ -92,7 +95,7 @@ def _write_zip(batches, base: str):
                     zf.writestr(zipfile.ZipInfo(member), b"")
                 else:
                     zf.writestr(member, text.encode("utf-8"))
-        name = f"{root}/{pdf['archive'].iloc[0]}-{uuid.uuid4().hex}.zip"
+        name = f"{root}/{pdf['archive'].iloc[0]}-p{pid:05d}-b{n:05d}.zip"
         with filesystem.open_output_stream(name) as out:
             out.write(buf.getvalue())
         yield pd.DataFrame({"zip_path": [name], "n_members": [len(pdf)]})
@@ -106,6 +109,5 @@ def write_archives(rows: DataFrame, base_uri: str) -> DataFrame:
 
 
 def _split_write(batches, base_uri):
-    for pdf in batches:
-        for _, part in pdf.groupby("archive", sort=True):
-            yield from _write_zip([part.reset_index(drop=True)], base_uri)
+    parts = (part.reset_index(drop=True) for pdf in batches for _, part in pdf.groupby("archive", sort=True))
+    yield from _write_zip(parts, base_uri)
