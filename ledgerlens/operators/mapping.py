@@ -333,3 +333,43 @@ def apply_mapping(records: DataFrame, mapping: Mapping, template_header: list[st
 def preview(mapped: DataFrame, limit: int = 200) -> DataFrame:
     """MAP-10 + SRT-4: the first rows in source order (a top-k, not a sort)."""
     return mapped.orderBy("ord").limit(limit).drop("ord")
+
+
+def report_cells(report: DataFrame, template_header: list[str], header_row: int, run_date) -> DataFrame:
+    """SNK-2: the mapped report in the sheet's long cell form.
+
+    Report rows (in source order, ``ord``) are placed from ``header_row + 1``
+    (1-based sheet rows) with no gaps (SRT-5, numbered without a
+    single-partition window); every ``target#k`` column goes to the position
+    of the k-th ``target`` label of the template header; the run date goes to
+    B3.  Values keep their type in one of three columns.
+    """
+    from .placement import sequential_index
+
+    index = template_index(template_header)
+    placed = sequential_index(report, ["ord"], name="sheet_row", start=header_row + 1)
+    fields = []
+    for name in report.columns:
+        if "#" not in name:
+            continue
+        label, occ = name.rsplit("#", 1)
+        pos = index.get((_norm(label), int(occ)))
+        if pos is None:
+            continue
+        dtype = dict(report.dtypes)[name]
+        v = F.col(f"`{name}`")
+        fields.append(F.struct(
+            F.lit(pos + 1).alias("col"),
+            (v if dtype == "string" else F.lit(None).cast("string")).alias("text"),
+            (v.cast("double") if dtype in ("double", "float", "int", "bigint") else F.lit(None).cast("double")).alias("number"),
+            (v.cast("timestamp_ntz") if dtype.startswith("timestamp") or dtype == "date" else F.lit(None).cast("timestamp_ntz")).alias("stamp"),
+        ))
+    cells = placed.select("sheet_row", F.explode(F.array(*fields)).alias("c")).select(
+        F.col("sheet_row").cast("long").alias("sheet_row"), F.col("c.col").cast("long").alias("sheet_col"),
+        "c.text", "c.number", "c.stamp",
+    ).where(F.col("text").isNotNull() | F.col("number").isNotNull() | F.col("stamp").isNotNull())
+    spark = report.sparkSession
+    b3 = spark.range(1).select(F.lit(3).cast("long").alias("sheet_row"), F.lit(2).cast("long").alias("sheet_col"),
+                               F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("number"),
+                               F.lit(run_date).cast("date").cast("timestamp_ntz").alias("stamp"))
+    return cells.unionByName(b3)

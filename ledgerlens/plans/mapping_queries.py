@@ -216,3 +216,46 @@ ORACLE["computed_expression"] = """select l_orderkey, l_linenumber,
  cast(null as double) as e6, cast(null as double) as e7, cast(null as double) as e8, cast(null as double) as e9
 from (select l_orderkey, l_linenumber, l_extendedprice as a, l_discount - 0.04 as b,
  case when l_linenumber <> 7 then l_extendedprice end as c from lineitem) z"""
+
+
+@register
+def report_cells(spark, sf_dir):
+    """SNK-2, SRT-5, MAP-6, CTL-5: the mapped report as sheet cells: rows
+    from header row 6 + 1 in source order without gaps, columns at the
+    template position of each target occurrence, run date in B3."""
+    from ..sources.bindings import RUN_DATE
+
+    out = _mapped(spark, sf_dir, False)
+    return mapping.report_cells(out, G_TEMPLATE, 6, RUN_DATE)
+
+
+def _cells_sql() -> str:
+    from ..sources.bindings import RUN_DATE
+
+    idx = mapping.template_index(G_TEMPLATE)
+    numeric = {"Notional#1", "Notional#2", "Dirty Value#3"} | {n for n, _ in _CALC}
+    parts = []
+    for name, _ in _COLS + _CALC:
+        label, occ = name.rsplit("#", 1)
+        pos = idx.get((" ".join(label.strip().lower().split()), int(occ)))
+        if pos is None:
+            continue
+        text, num, stamp = "cast(null as varchar)", "cast(null as double)", "cast(null as timestamp)"
+        if name == "Start Date#1":
+            stamp = f'cast("{name}" as timestamp)'
+        elif name in numeric:
+            num = f'cast("{name}" as double)'
+        else:
+            text = f'"{name}"'
+        parts.append(f"select sheet_row, {pos + 1} as sheet_col, {text} as text, {num} as number, {stamp} as stamp from rp")
+    head, sel = ORACLE["mapped_report"].rsplit("select source_file, row_idx, ", 1)
+    sel = sel[: sel.rindex(" from v")]
+    return head.rstrip() + f""",
+rp as (select row_number() over (order by source_file, row_idx) + 6 as sheet_row, {sel} from v),
+rc as ({" union all ".join(parts)})
+select cast(sheet_row as bigint) as sheet_row, cast(sheet_col as bigint) as sheet_col, text, number, stamp from rc
+where text is not null or number is not null or stamp is not null
+union all select 3, 2, null, null, cast(date '{RUN_DATE}' as timestamp)"""
+
+
+ORACLE["report_cells"] = _cells_sql()

@@ -202,3 +202,11 @@ def test_top_k_per_group_exact(spark):
     df = spark.createDataFrame([("a", i) for i in range(500)] + [("b", i) for i in range(3)], "g string, o int")
     got = sorted(rows(top_k_per_group(df, ["g"], "o", 4, salt_buckets=8), "g", "o", "rank", "n_group"))
     assert got == [("a", i, i + 1, 500) for i in range(4)] + [("b", i, i + 1, 3) for i in range(3)]
+
+
+def test_ctl5_run_date_argument_else_b3(spark):
+    cells = spark.createDataFrame([("a", 2, 1, "19/09/2025"), ("b", 2, 1, "45919"), ("c", 0, 0, "x")], CELLS)
+    got = dict(rows(enrich.run_date_of(cells), "source_file", "run_date"))
+    assert got == {"a": dt.date(2025, 9, 19), "b": dt.date(2025, 9, 19), "c": None}
+    given = dict(rows(enrich.run_date_of(cells, "2025-06-30"), "source_file", "run_date"))
+    assert set(given.values()) == {dt.date(2025, 6, 30)}
