@@ -50,7 +50,7 @@ def test_entry_smoke(spark):
 # single-partition exchanges only where the input is one row per partition
 # (final step of a global aggregate, or the per-partition offset table)
 SINGLE_PARTITION_OK = {"mtm_summary_text", "perimeter_dedup_stats", "period_totals", "recon_max_gap",
-                       "report_row_placement", "run_counters"}
+                       "report_row_placement", "report_cells", "run_counters"}
 
 
 @pytest.mark.parametrize("name", QUERIES)
