@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import norm_label, parse_date_lenient, parse_number, valid_code
+from ..functions import parse_date_lenient, parse_number, valid_code
 from . import grid
 
 CONFIG_DIR = os.path.join(os.path.dirname(os.path.dirname(__file__)), "config")

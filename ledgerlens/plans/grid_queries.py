@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import header_norm, norm_label
+from ..functions import norm_label
 from ..operators import dims, grid, mapping
 from ..sources import bindings as B
 from ..sources.cells import BODY_START, HEADER_CELLS, IR1_POSITIONS

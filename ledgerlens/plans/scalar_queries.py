@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from ..functions import (
     date_tag,
     div_optional,
-    excel_serial_to_date,
-    excel_serial_to_timestamp,
     format_money,
     mul,
     next_business_day,
