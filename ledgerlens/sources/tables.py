@@ -15,6 +15,7 @@ TABLE_NAMES = (
 
 
 _RELATIONS: dict = {}
+SPREAD_MAX_BYTES = 1 << 30
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -24,8 +25,9 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     the files give fewer read splits than the cluster's default parallelism
     (e.g. one small file with a single row group), the selected columns are
     spread round-robin over that many partitions so per-row work is not
-    serialised in one task.  Large inputs already have more splits than
-    cores and get no extra exchange.
+    serialised in one task.  Only inputs of at most ``SPREAD_MAX_BYTES`` on
+    disk are spread (the exchange is then cheap); large inputs already have
+    more splits than cores and are never shuffled for this.
     """
     if name not in TABLE_NAMES:
         raise ValueError(f"unknown table {name!r}")
@@ -35,7 +37,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     if entry is None:
         df = spark.read.parquet(path)
         splits = df._jdf.rdd().getNumPartitions()  # planning only, no job
-        entry = (df, splits)
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        entry = (df, splits if size <= SPREAD_MAX_BYTES else 1 << 30)
         _RELATIONS[key] = entry
     df, splits = entry
     out = df.select(*columns) if columns else df
