@@ -26,33 +26,42 @@ SUMMARY_UNIT = " MEUR"
 SUMMARY_REASON = "-> Dégradation/Amélioration du MTM en raison (à remplir)"
 
 
-def dirty_by_class(swaps: DataFrame, forwards: DataFrame | None = None) -> DataFrame:
+def dirty_by_class(swaps: DataFrame, forwards: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """AGG-4 + AGG-5 + FLT-7: dirty value per class plus the bond-forward total.
 
     ``swaps``: ``classif, dirty`` (class stripped, case kept; blank class or
     missing amount skipped).  ``forwards``: ``prix_gam``; its parsed amounts
-    are added under ``Bond Forward`` (no key when none parses).
+    are added under ``Bond Forward`` (no key when none parses).  ``keys``
+    (e.g. a production column present in both inputs) group several
+    productions in the same single pass.
     """
-    s = swaps.select(F.col("classif").alias("classif_raw"), F.col("dirty").alias("amount"))
+    s = swaps.select(*keys, F.col("classif").alias("classif_raw"), F.col("dirty").alias("amount"))
     if forwards is not None:
-        f = forwards.select(F.lit(BOND_FORWARD_KEY).alias("classif_raw"), F.col("prix_gam").alias("amount"))
+        f = forwards.select(*keys, F.lit(BOND_FORWARD_KEY).alias("classif_raw"), F.col("prix_gam").alias("amount"))
         s = s.unionByName(f)
     # pre-aggregate by the raw label, strip once per distinct label, regroup
-    pre = s.groupBy("classif_raw").agg(F.sum("amount").alias("t"), F.count("amount").alias("n"))
-    k = pre.select(strip_ws("classif_raw").alias("classif"), "t", "n")
+    pre = s.groupBy(*keys, "classif_raw").agg(F.sum("amount").alias("t"), F.count("amount").alias("n"))
+    k = pre.select(*keys, strip_ws("classif_raw").alias("classif"), "t", "n")
     keep = F.when(F.col("n") > 0, F.col("classif").isNotNull() & (F.col("classif") != "")).otherwise(F.lit(False))
-    return k.where(keep).groupBy("classif").agg(F.sum("t").alias("total"))
-
-
-def compare_periods(current: DataFrame, previous: DataFrame) -> DataFrame:
-    """JN-7 + CTL-8 + NUM-10 + SET-2: full outer join on class, missing = 0,
-    gap = new - old, gap % = gap / old * 100 (null when |old| <= 1e-12)."""
-    c = current.select("classif", F.col("total").alias("_new"))
-    p = previous.select("classif", F.col("total").alias("_old"))
-    j = p.join(c, "classif", "full")
+    return k.where(keep).groupBy(*keys, "classif").agg(F.sum("t").alias("total"))
+
+
+def compare_long(totals: DataFrame, production_col: str = "production",
+                 current: str = "current", previous: str = "previous") -> DataFrame:
+    """JN-7 + CTL-8 + NUM-10 + SET-2 on long totals (``production, classif,
+    total``): one grouped aggregate with conditional sums instead of a full
+    outer join; a class present in either production appears once, a
+    missing side counts 0, gap = new - old, gap % = gap / old * 100 (null
+    when |old| <= 1e-12)."""
+    p = F.col(production_col)
+    g = totals.groupBy("classif").agg(
+        F.sum(F.when(p == current, F.col("total"))).alias("_new"),
+        F.sum(F.when(p == previous, F.col("total"))).alias("_old"),
+        F.count_if(p.isin(current, previous)).alias("_n"),
+    ).where(F.col("_n") > 0)
     old = F.coalesce("_old", F.lit(0))
     new = F.coalesce("_new", F.lit(0))
-    return j.select(
+    return g.select(
         "classif",
         old.alias("dirty_previous"),
         new.alias("dirty_current"),
@@ -61,6 +70,13 @@ def compare_periods(current: DataFrame, previous: DataFrame) -> DataFrame:
     )
 
 
+def compare_periods(current: DataFrame, previous: DataFrame) -> DataFrame:
+    """Two productions given apart: tagged, unioned, compared by ``compare_long``."""
+    u = current.select(F.lit("current").alias("production"), "classif", "total").unionByName(
+        previous.select(F.lit("previous").alias("production"), "classif", "total"))
+    return compare_long(u)
+
+
 def sort_by_gap(df: DataFrame) -> DataFrame:
     """SRT-2: largest absolute gap first, ties by class."""
     return df.orderBy(F.abs("gap").desc(), F.col("classif").asc())
@@ -68,10 +84,19 @@ def sort_by_gap(df: DataFrame) -> DataFrame:
 
 def period_totals(current: DataFrame, previous: DataFrame) -> DataFrame:
     """AGG-6: grand totals of both productions and their difference."""
-    u = current.select(F.col("total").alias("_c"), F.lit(None).cast(current.schema["total"].dataType).alias("_p"))
-    u = u.unionByName(previous.select(F.lit(None).cast(previous.schema["total"].dataType).alias("_c"), F.col("total").alias("_p")))
-    # one global aggregate over both productions' class totals
-    t = u.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("total_current"), F.coalesce(F.sum("_p"), F.lit(0)).alias("total_previous"))
+    u = current.select(F.lit("current").alias("production"), "total").unionByName(
+        previous.select(F.lit("previous").alias("production"), "total"))
+    return totals_long(u)
+
+
+def totals_long(totals: DataFrame, production_col: str = "production",
+                current: str = "current", previous: str = "previous") -> DataFrame:
+    """AGG-6 on long totals: one global aggregate (partial sums per task)."""
+    p = F.col(production_col)
+    t = totals.agg(
+        F.coalesce(F.sum(F.when(p == current, F.col("total"))), F.lit(0)).alias("total_current"),
+        F.coalesce(F.sum(F.when(p == previous, F.col("total"))), F.lit(0)).alias("total_previous"),
+    )
     return t.withColumn("delta_total", F.col("total_current") - F.col("total_previous"))
 
 

@@ -369,27 +369,33 @@ def recon_max_gap(spark, sf_dir):
 
 
 # --------------------------------------------------------------- period comparison
-def _production(spark, sf_dir, linestatus: str, orderstatus: str) -> DataFrame:
+def _totals_long(spark, sf_dir) -> DataFrame:
+    """Class totals of both productions, current (open lines / orders) and
+    previous (filled), in one grouped pass keyed by production."""
     from ..operators import forwards
     from ..operators import period as P
 
-    t = B.trades(spark, sf_dir).where(F.col("l_linestatus") == linestatus)
-    swaps = t.select("classif", F.col("mtm_own").alias("dirty"))
-    fw = forwards.forward_alerts(_forwards(spark, sf_dir)).where(F.col("o_orderstatus") == orderstatus)
-    return P.dirty_by_class(swaps, fw.select(F.col("mtm_value").alias("prix_gam")))
+    t = B.trades(spark, sf_dir).where(F.col("l_linestatus").isin("O", "F"))
+    swaps = t.select(F.when(F.col("l_linestatus") == "O", "current").otherwise("previous").alias("production"),
+                     "classif", F.col("mtm_own").alias("dirty"))
+    fw = forwards.forward_alerts(_forwards(spark, sf_dir)).where(F.col("o_orderstatus").isin("O", "F"))
+    fw = fw.select(F.when(F.col("o_orderstatus") == "O", "current").otherwise("previous").alias("production"),
+                   F.col("mtm_value").alias("prix_gam"))
+    return P.dirty_by_class(swaps, fw, keys=("production",))
 
 
 def _productions(spark, sf_dir):
-    return _production(spark, sf_dir, "O", "O"), _production(spark, sf_dir, "F", "F")
+    both = _totals_long(spark, sf_dir)
+    cur = both.where(F.col("production") == "current").drop("production")
+    prev = both.where(F.col("production") == "previous").drop("production")
+    return cur, prev
 
 
 @register
 def dirty_by_class(spark, sf_dir):
     """AGG-4, AGG-5, FLT-7: dirty value per class of each production, bond
     forwards under 'Bond Forward'."""
-    cur, prev = _productions(spark, sf_dir)
-    u = cur.withColumn("production", F.lit("current")).unionByName(prev.withColumn("production", F.lit("previous")))
-    return _as_double(u, ["total"])
+    return _as_double(_totals_long(spark, sf_dir), ["total"])
 
 
 @register
@@ -398,8 +404,7 @@ def period_compare(spark, sf_dir):
     gap and gap %, largest gap first."""
     from ..operators import period as P
 
-    cur, prev = _productions(spark, sf_dir)
-    return P.sort_by_gap(_as_double(P.compare_periods(cur, prev), ["dirty_previous", "dirty_current", "gap"]))
+    return P.sort_by_gap(_as_double(P.compare_long(_totals_long(spark, sf_dir)), ["dirty_previous", "dirty_current", "gap"]))
 
 
 @register
@@ -407,8 +412,7 @@ def period_totals(spark, sf_dir):
     """AGG-6: grand totals and delta."""
     from ..operators import period as P
 
-    cur, prev = _productions(spark, sf_dir)
-    return _as_double(P.period_totals(cur, prev), ["total_current", "total_previous", "delta_total"])
+    return _as_double(P.totals_long(_totals_long(spark, sf_dir)), ["total_current", "total_previous", "delta_total"])
 
 
 def _rollups(spark, sf_dir):
