@@ -119,6 +119,51 @@ def rollup_categories(totals: DataFrame, bridge: DataFrame, items: DataFrame) ->
     return out.select("item_ord", "item_label", "bullet", "needs_reason", value.alias("value"))
 
 
+def rollup_productions(totals: DataFrame, bridge: DataFrame, items: DataFrame, production_col: str = "production",
+                       current: str = "current", previous: str = "previous") -> DataFrame:
+    """JN-10 + AGG-8 for two productions in one pass over long totals
+    (``production, classif, total``): one row per summary item with its
+    current and previous value (same rules as ``rollup_categories``)."""
+    p = F.col(production_col)
+    norm = totals.groupBy(p.alias("_p"), norm_label("classif").alias("alias_norm")).agg(F.sum("total").alias("v"))
+    j = norm.join(F.broadcast(bridge), "alias_norm", "inner")
+    cat, fb = ~F.col("is_fallback"), F.col("is_fallback")
+
+    def side(tag: str, name: str):
+        mine = F.col("_p") == tag
+        return [
+            F.sum(F.when(mine & cat, F.col("v"))).alias(f"_{name}_cat"),
+            F.count_if(mine & cat).alias(f"_{name}_n"),
+            F.sum(F.when(mine & fb, F.col("v"))).alias(f"_{name}_fb"),
+        ]
+
+    per_item = j.groupBy("item_ord").agg(*side(current, "cur"), *side(previous, "prev"))
+    out = F.broadcast(items).join(per_item, "item_ord", "left")
+
+    def value(name: str):
+        return F.when(F.col(f"_{name}_n") > 0, F.col(f"_{name}_cat")).otherwise(F.col(f"_{name}_fb"))
+
+    return out.select("item_ord", "item_label", "bullet", "needs_reason", value("cur").alias("cur"), value("prev").alias("prev"))
+
+
+def summary_text_wide(items: DataFrame, current_date: str, previous_date: str) -> DataFrame:
+    """CTL-9 on ``item_ord, item_label, bullet, needs_reason, cur, prev``."""
+    j = items.where(F.col("cur").isNotNull() | F.col("prev").isNotNull())
+    unit = SUMMARY_UNIT_DATED.format(date=previous_date) if current_date else SUMMARY_UNIT
+    line = F.concat(F.col("bullet"), F.col("item_label"), F.lit(" : "), format_money("cur"), F.lit(" vs "),
+                    format_money("prev"), F.lit(unit))
+    block = F.when(F.col("needs_reason"), F.concat_ws("\n", line, F.lit(SUMMARY_REASON), F.lit(""))).otherwise(
+        F.concat_ws("\n", line, F.lit(""))
+    )
+    body = j.groupBy().agg(
+        F.array_sort(F.collect_list(F.struct(F.col("item_ord"), block.alias("b")))).alias("_blocks"),
+        F.count(F.lit(1)).alias("_n"),
+    )
+    head = "\n".join([SUMMARY_GREETING, "", SUMMARY_INTRO.format(date=current_date), SUMMARY_SECTION])
+    text = F.concat(F.lit(head + "\n"), F.array_join(F.transform("_blocks", lambda x: x["b"]), "\n"))
+    return body.select(F.when(F.col("_n") > 0, strip_ws(text)).alias("summary"))
+
+
 def summary_text(current_items: DataFrame, previous_items: DataFrame, current_date: str, previous_date: str) -> DataFrame:
     """CTL-9 + STR-7: MtM summary text (one row, null when no item has a value).
 

@@ -415,21 +415,22 @@ def period_totals(spark, sf_dir):
     return _as_double(P.totals_long(_totals_long(spark, sf_dir)), ["total_current", "total_previous", "delta_total"])
 
 
-def _rollups(spark, sf_dir):
+def _rollup_wide(spark, sf_dir):
     from ..operators import period as P
 
-    cur, prev = _productions(spark, sf_dir)
-    bridge, items = dims.category_bridge(spark), dims.summary_items(spark)
-    return (_as_double(P.rollup_categories(cur, bridge, items), ["value"]),
-            _as_double(P.rollup_categories(prev, bridge, items), ["value"]))
+    w = P.rollup_productions(_totals_long(spark, sf_dir), dims.category_bridge(spark), dims.summary_items(spark))
+    return _as_double(w, ["cur", "prev"])
 
 
 @register
 def category_rollup(spark, sf_dir):
-    """JN-10, DIM-4, AGG-8: overlapping category subtotals per production."""
-    cur, prev = _rollups(spark, sf_dir)
-    u = cur.withColumn("production", F.lit("current")).unionByName(prev.withColumn("production", F.lit("previous")))
-    return u.select("production", "item_ord", "item_label", "value")
+    """JN-10, DIM-4, AGG-8: overlapping category subtotals per production
+    (both productions in one pass, unpivoted)."""
+    w = _rollup_wide(spark, sf_dir)
+    pairs = F.explode(F.array(F.struct(F.lit("current").alias("production"), F.col("cur").alias("value")),
+                              F.struct(F.lit("previous").alias("production"), F.col("prev").alias("value"))))
+    return w.select("item_ord", "item_label", pairs.alias("x")).select(
+        F.col("x.production").alias("production"), "item_ord", "item_label", F.col("x.value").alias("value"))
 
 
 @register
@@ -437,8 +438,7 @@ def mtm_summary_text(spark, sf_dir):
     """CTL-9, STR-7: the MtM summary text of the two productions."""
     from ..operators import period as P
 
-    cur, prev = _rollups(spark, sf_dir)
-    return P.summary_text(cur, prev, "30/06/1995", "31/03/1995")
+    return P.summary_text_wide(_rollup_wide(spark, sf_dir), "30/06/1995", "31/03/1995")
 
 
 # further query groups register themselves on import
