@@ -45,7 +45,7 @@ RULES = (
     Rule("word_length", "word_chars", "n_words", 2.0, 20.0),
     Rule("symbols", "n_symbols", "n_words", None, 0.5),
     Rule("stop_words", "n_stop_words", "n_words", 0.02, None, 50),
-    Rule("dup_lines", "n_dup_lines", "n_lines", None, 0.3),
+    Rule("dup_lines", "n_dup_lines", "n_lines", None, 0.5),
     Rule("repeat_words", "n_repeat_words", "n_words", None, 0.2),
 )
 

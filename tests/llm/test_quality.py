@@ -35,7 +35,7 @@ def test_measures(awkward, corpus, none_at_all):
 def test_rules_drop_junk_and_keep_prose(spark):
     prose = "The end of the road was in sight and they had to walk for a day to reach it."
     junk = " ".join(f"{w}$$$" for w in prose.split())
-    docs = spark.createDataFrame([(1, prose), (2, junk), (3, "x" * 30 + " y" * 3), (4, prose + "\n" + prose)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, prose), (2, junk), (3, "x" * 30 + " y" * 3), (4, f"{prose}\n{prose}\n{prose}")], "doc_id long, text string")
     kept = {r["doc_id"]: r["kept"] for r in quality.judge(docs).collect()}
     assert kept == {1: True, 2: False, 3: False, 4: False}
 
