@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chat, langid, mixing, packing, quality, token_counts
+from ledgerlens.llm import chat, jaccard, langid, mixing, packing, quality, token_counts, urls
 from ledgerlens.llm.tables import read
 
 
@@ -34,6 +34,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    return urls.judge(read(spark, sf_dir, "pages"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one that holds control strings, formatted and read back."""
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -49,6 +54,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by 5-word shingles at 0.8."""
+    return jaccard.link(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text."""
     return token_counts.token_counts(read(spark, sf_dir, "documents"), byte_bpe(), limit=512)
@@ -56,5 +66,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_mixing, op4_language_id, op6_chat_formatting, op7_quality_rules, op10_token_counts)
+    for f in (
+        op1_packing, op2_mixing, op4_language_id, op5_url_filters, op6_chat_formatting, op7_quality_rules,
+        op8_ngram_jaccard, op10_token_counts,
+    )
 }
