@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.components import components
@@ -111,7 +111,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def describe(documents: DataFrame, level: np.ndarray, percent: int) -> DataFrame:
-    """doc_id, n, class, gid, prefix of each row (class: digest of the set)."""
+    """doc_id, key, n, class, gid, prefix of each row (key: hash of the text, class: digest of the set)."""
     shared = documents.sparkSession.sparkContext.broadcast(level)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,14 +128,14 @@ def describe(documents: DataFrame, level: np.ndarray, percent: int) -> DataFrame
                 gids.append(xxhash.xxh3_64_intdigest(prefix.tobytes()) - (1 << 63))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.binary()),
+                    batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(classes, pa.binary()),
                     pa.array(gids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n", "class", "gid", "prefix"],
+                names=["doc_id", "key", "n", "class", "gid", "prefix"],
             )
 
-    ids = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return ids.mapInArrow(rows, "doc_id long, n long, class binary, gid long, prefix array<long>")
+    ids = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
+    return ids.mapInArrow(rows, "doc_id long, key long, n long, class binary, gid long, prefix array<long>")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +179,7 @@ def similar(percent: int, small: str, large: str):
 
 
 def link(documents: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, class and component_id of each row.
+    """doc_id, key, n_shingles and component_id of each row.
 
     Two documents are linked when their sets of 5-word shingles (fewer words:
     the whole sequence) have 100 * intersection >= ``percent`` * union;
@@ -264,5 +264,26 @@ def link(documents: DataFrame, percent: int = 80) -> DataFrame:
     least = by_class.groupBy("root").agg(F.min("rep").alias("component_id"))
     ids = by_class.join(least, "root").select("class", "component_id")
     return described.join(ids, "class", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), "class", F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def keep_first(documents: DataFrame, percent: int = 80) -> DataFrame:
+    """The document with the smallest id of each component, whole rows.
+
+    Of rows that repeat that id inside the component one stays.  A row without
+    shingles stays, once for each id and text.  A null id counts as the smallest.
+    """
+    lowest = F.lit(-(1 << 63))
+    linked = link(documents, percent).select(
+        F.coalesce("component_id", lowest).alias("c"),
+        F.when(F.col("n_shingles") == 0, F.struct("key", "doc_id")).alias("alone"),
+        F.struct(F.coalesce("doc_id", lowest).alias("__id"), F.col("key").alias("__key")).alias("row"),
+    )
+    first = linked.groupBy("c", "alone").agg(F.min("row").alias("row")).select("row.*").distinct()
+    rows = documents.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), lowest)).withColumn(
+        "__key", F.xxhash64("text")
+    )
+    same = Window.partitionBy("__id", "__key").orderBy("__id")
+    one = rows.withColumn("__row", F.row_number().over(same)).where(F.col("__row") == 1)
+    return one.join(first, ["__id", "__key"], "left_semi").select(*documents.columns)

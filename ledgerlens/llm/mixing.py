@@ -100,6 +100,10 @@ def route(
     return flow
 
 
+def pattern_of(sources: Column) -> Column:
+    return F.to_json(F.sort_array(F.array_distinct(sources)))
+
+
 def mix(
     documents: DataFrame,
     sources: Column,
@@ -127,7 +131,7 @@ def mix(
     narrow = materialize(
         documents.select(
             *keep,
-            F.to_json(F.sort_array(F.array_distinct(sources))).alias("pattern"),
+            pattern_of(sources).alias("pattern"),
             word_count(F.col("text")).alias("size"),
             order.alias("__order"),
             F.shiftrightunsigned(order, 64 - bucket_bits).alias("__bucket"),
@@ -171,3 +175,28 @@ def mix(
     left = F.col("edge_rest") - F.coalesce(F.sum("size").over(ordered), F.lit(0))
     last = decided.where(at_edge).withColumn("taken", whole + F.greatest(F.lit(0), F.least(F.col("size"), left)))
     return plain.unionByName(last).select(*keep, "pattern", "size", "source_size", "target", "taken")
+
+
+def repeat_documents(documents: DataFrame, sources: Column, weights: Sequence[float], **options) -> DataFrame:
+    """Each document as many times as the mix takes it, whole rows and whole texts.
+
+    A document that the mix takes in part is taken whole where that part is at
+    least half of it, so a pattern's words differ from the routed ones by at
+    most half of one document.
+    """
+    keyed = documents.withColumn("__key", F.xxhash64("text")).withColumn("__sources", sources)
+    mixed = mix(keyed, F.col("__sources"), weights, keep=("doc_id", "__key"), **options)
+    times = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
+    plan = (
+        mixed.where(F.col("taken") > 0)
+        .groupBy(F.col("doc_id").alias("__id"), "__key", F.col("pattern").alias("__pattern"))
+        .agg(F.sum(times).cast("int").alias("__times"))
+        .where(F.col("__times") > 0)
+    )
+    # rows repeated as they are share their takes: one of them stands for all
+    rows = keyed.withColumn("__pattern", pattern_of(F.col("__sources"))).withColumn("__id", F.col("doc_id"))
+    same = Window.partitionBy("__id", "__key", "__pattern").orderBy("__id")
+    first = rows.withColumn("__row", F.row_number().over(same)).where(F.col("__row") == 1)
+    equal = [first[c].eqNullSafe(plan[c]) for c in ("__id", "__key", "__pattern")]
+    chosen = first.join(plan, equal[0] & equal[1] & equal[2])
+    return chosen.select(*documents.columns, F.explode(F.sequence(F.lit(1), "__times")).alias("__nth")).drop("__nth")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chat, jaccard, langid, mixing, packing, quality, token_counts, urls
+from ledgerlens.llm import chat, jaccard, langid, mixing, packing, passages, quality, token_counts, topk, urls
 from ledgerlens.llm.tables import read
 
 
@@ -29,6 +29,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest inner products of every hundredth vector against all others."""
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text, learned from the documents that are not held out."""
     return langid.identify(read(spark, sf_dir, "documents"))
@@ -59,6 +64,12 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the passages that an earlier document holds, and the spans."""
+    cut = passages.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "text", F.col("__kept").alias("kept"), F.col("__removed").alias("removed"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text."""
     return token_counts.token_counts(read(spark, sf_dir, "documents"), byte_bpe(), limit=512)
@@ -67,7 +78,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_packing, op2_mixing, op4_language_id, op5_url_filters, op6_chat_formatting, op7_quality_rules,
-        op8_ngram_jaccard, op10_token_counts,
+        op1_packing, op2_mixing, op3_exact_topk, op4_language_id, op5_url_filters, op6_chat_formatting,
+        op7_quality_rules, op8_ngram_jaccard, op9_substring_dedup, op10_token_counts,
     )
 }
