@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import langid, mixing, packing
+from ledgerlens.llm import jaccard, langid, mixing, packing, passages
 from ledgerlens.llm.queries import byte_bpe
 from ledgerlens.llm.tables import read
 from ledgerlens.session import materialize
@@ -24,6 +24,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_identified(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one with the smallest id."""
+    return jaccard.keep_first(docs, percent=80)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document holds are cut out."""
+    return passages.clean(docs)
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at weights 3, 1, 2; a document the mix takes twice appears twice."""
     return mixing.repeat_documents(docs, F.array("source"), weights=(3, 1, 2), share=1.5, most=2)
@@ -36,6 +46,8 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_id", language),
+    ("ngram_jaccard", near_copies),
+    ("substring_dedup", substrings),
     ("mixing", mixture),
     ("packing", sequences),
 ]
