@@ -4,11 +4,15 @@
    it orders shingles from rare to frequent (hash breaks ties).  Any order
    gives the same links; this one keeps common passages out of prefixes.
 2. Documents with one set are one class; classes with the same size and the
-   same prefix in that order are one group.  Two sets can reach the threshold
-   only if their prefixes share a shingle.
-3. Within each prefix shingle, groups are first paired with its smallest group
-   only, then, for shingles whose members are still in different components,
-   with each other where sizes allow; pairs are expanded to classes.
+   same prefix in that order are one group.  Two sets of sizes n and m reach the
+   threshold only if they share a shingle among the first n - o + 1 of one and
+   m - o + 1 of the other, o being the overlap they need.  So a shingle at place
+   i of a set of size n speaks only for partners up to a size that falls with i,
+   and a pair of groups passes if each size is within the other's.
+3. Within each prefix shingle, groups are first paired with one hub only, the
+   group where it speaks for the largest partners; then, for shingles whose
+   members are still in different components, with each other.  Pairs that pass
+   are expanded to classes.
 4. The classes in such pairs are read again and verified on whole sets.
 
 No step lists the pairs of a group of copies: copies are one class, and near
@@ -24,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.components import components
@@ -32,27 +36,32 @@ from ledgerlens.session import materialize
 
 WORDS, LEVEL_BITS, RANGES = 5, 20, 64
 CACHED_WORDS = 1_000_000
+BROADCAST_IDS = 1_000_000
 _ODD = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64
 )
 
 
+class _WordHashes(dict):
+    """Remembers the hash of each word it was asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
 class Shingler:
     """Sets of 64-bit shingle hashes of texts, sorted; one for each task."""
 
     def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = _WordHashes()
 
     def hashes(self, text: bytes | None) -> np.ndarray:
         # bytes.lower() changes A-Z only and bytes.split() splits at blank and \t..\r
         words = text.lower().split() if text else []
-        known = self.known
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         if len(h) == 0:
             return h
         if len(h) < WORDS:
@@ -67,7 +76,8 @@ class Shingler:
         x ^= x >> np.uint64(27)
         x *= np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
-        return np.unique(x)
+        x.sort()
+        return x if len(x) < 2 else x[np.concatenate([[True], x[1:] != x[:-1]])]
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
@@ -151,6 +161,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of the ids: by broadcast where they are few, else by a shuffle."""
+    ids = materialize(ids, "wanted")
+    texts = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("__id"), "text")
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "__id", "left_semi").select("text")
+
+
 def verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets reach the threshold, as (u, v).
 
@@ -159,9 +176,8 @@ def verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame, percent
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     ids = wanted.join(classes, "class").select(F.coalesce("rep", F.lit(-(1 << 63))).alias("__id")).distinct()
-    texts = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("__id"), "text")
     sets = (
-        texts.join(ids, "__id", "left_semi").select("text").mapInArrow(_sets, "class binary, hashes array<long>")
+        texts_of(documents, ids).mapInArrow(_sets, "class binary, hashes array<long>")
         .join(wanted, "class", "left_semi")
         .groupBy("class").agg(F.first("hashes").alias("hashes"))
     )
@@ -173,9 +189,15 @@ def verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame, percent
     return pairs.join(left, "a").join(right, "b").where(enough).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def similar(percent: int, small: str, large: str):
-    """Sizes that can reach the threshold at all."""
-    return 100 * F.least(small, large) >= percent * F.greatest(small, large)
+def speaks_for(n: Column, place: Column, percent: int) -> Column:
+    """Largest partner for which place ``place`` (from 0) of a set of size ``n``
+    lies in the prefix: overlap (n + m) * percent / (100 + percent) <= n - place."""
+    return F.floor((n - place) * (100 + percent) / F.lit(percent)).cast("int") - n
+
+
+def passes(x: str, y: str) -> Column:
+    """Each side's shingle speaks for a partner of the other's size."""
+    return (F.col(f"{x}.n") <= F.col(f"{y}.reach")) & (F.col(f"{y}.n") <= F.col(f"{x}.reach"))
 
 
 def link(documents: DataFrame, percent: int = 80) -> DataFrame:
@@ -192,24 +214,30 @@ def link(documents: DataFrame, percent: int = 80) -> DataFrame:
     described = materialize(describe(documents, levels(documents), percent), "shingled")
     some = described.where(F.col("n") > 0)
     classes = materialize(
-        some.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("gid").alias("gid")),
+        some.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").cast("int").alias("n"), F.first("gid").alias("gid")),
         "classes",
     )
     heads = classes.groupBy("gid", "n").agg(F.min("class").alias("head"), F.max("class").alias("last"))
     # one exchange by shingle serves the aggregate and the join
-    postings = some.select(F.explode("prefix").alias("token"), "gid", "n").repartition("token")
-    ends = postings.groupBy("token").agg(
-        F.min(F.struct("n", "gid")).alias("hub"), F.max(F.struct("n", "gid")).alias("end")
-    ).where(F.col("hub") != F.col("end"))
+    postings = (
+        some.select(F.posexplode("prefix").alias("place", "token"), "gid", F.col("n").cast("int").alias("n"))
+        .select("token", "gid", "n", speaks_for(F.col("n"), F.col("place"), percent).alias("reach"))
+        .repartition("token")
+    )
+    member = F.struct("reach", "gid", "n")
+    ends = postings.groupBy("token").agg(F.max(member).alias("hub"), F.min(member).alias("end")).where(
+        F.col("hub") != F.col("end")
+    )
     shared = materialize(postings.join(ends.select("token", "hub"), "token").distinct(), "postings")
 
     def head(side: str) -> DataFrame:
         return heads.select(F.col("gid").alias(f"{side}_gid"), F.col("n").alias(f"{side}_n"), F.col("head").alias(side))
 
     stars = (
-        shared.where((F.col("gid") != F.col("hub.gid")) | (F.col("n") != F.col("hub.n")))
+        shared.alias("x")
+        .where((F.col("x.gid") != F.col("hub.gid")) | (F.col("x.n") != F.col("hub.n")))
+        .where(passes("x", "hub"))
         .select(F.col("gid").alias("a_gid"), F.col("n").alias("a_n"), F.col("hub.gid").alias("b_gid"), F.col("hub.n").alias("b_n"))
-        .where(similar(percent, "a_n", "b_n"))
         .distinct()
         .join(head("a"), ["a_gid", "a_n"]).join(head("b"), ["b_gid", "b_n"])
         .select("a", "b")
@@ -240,17 +268,17 @@ def link(documents: DataFrame, percent: int = 80) -> DataFrame:
         .select("token")
     )
     open_rows = materialize(
-        shared.join(torn, "token").join(rooted, ["gid", "n"]).select("token", "class", "n", "root")
+        shared.join(torn, "token").join(rooted, ["gid", "n"]).select("token", "class", "n", "reach", "root")
         .unionByName(
             rooted.join(group_roots.where(F.col("low") != F.col("high")).select("gid", "n"), ["gid", "n"])
-            .select(F.col("gid").alias("token"), "class", "n", "root")
+            .select(F.col("gid").alias("token"), "class", "n", F.col("n").alias("reach"), "root")
         ),
         "open",
     )
     x, y = open_rows.alias("x"), open_rows.alias("y")
     rest = (
         x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root")))
-        .where(similar(percent, "x.n", "y.n"))
+        .where(passes("x", "y"))
         .select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
         .distinct()
         .join(first_pairs, ["a", "b"], "left_anti")
