@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.components import components
 from ledgerlens.session import materialize
 
-WORDS, LEVEL_BITS, RANGES = 5, 20, 64
+WORDS, LEVEL_BITS, RANGES = 5, 22, 64
 CACHED_WORDS = 1_000_000
 BROADCAST_IDS = 1_000_000
 _ODD = np.array(
@@ -100,9 +100,9 @@ def _add_counts(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def levels(documents: DataFrame) -> np.ndarray:
-    """How far above the mean each hash bucket is, in powers of two.
+    """How often the shingles of each hash bucket occur, in eighths of powers of two.
 
-    Counts cover all documents.  The table has 2^20 bytes whatever the input;
+    Counts cover all documents.  The table has 2^22 bytes whatever the input;
     tasks send their counts compressed and they are added in 64 ranges.
     """
     counted = documents.select("text").mapInArrow(_count_levels, "part int, counts binary")
@@ -111,8 +111,7 @@ def levels(documents: DataFrame) -> np.ndarray:
     for r in rows:
         width = len(total) // RANGES
         total[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
-    mean = max(1.0, total.mean())
-    return np.floor(np.log2(np.maximum(1.0, total / mean))).astype(np.uint8)
+    return np.minimum(255, np.floor(8 * np.log2(np.maximum(1, total)))).astype(np.uint8)
 
 
 def prefix_length(n: int, percent: int) -> int:
