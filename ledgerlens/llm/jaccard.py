@@ -31,11 +31,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.batches import by_bytes
 from ledgerlens.llm.components import components
 from ledgerlens.session import materialize
 
 WORDS, LEVEL_BITS, RANGES = 5, 22, 64
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 200_000
 BROADCAST_IDS = 1_000_000
 _ODD = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64
@@ -86,7 +87,7 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
 
 def _count_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler, counts = Shingler(), np.zeros(1 << LEVEL_BITS, np.int64)
-    for batch in batches:
+    for batch in by_bytes(batches, 0):
         for text in _texts(batch, 0):
             found = shingler.hashes(text) >> np.uint64(64 - LEVEL_BITS)
             np.add.at(counts, found.astype(np.int64), 1)
@@ -125,7 +126,7 @@ def describe(documents: DataFrame, level: np.ndarray, percent: int) -> DataFrame
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, order = Shingler(), shared.value
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             n, classes, gids, prefixes = [], [], [], []
             for text in _texts(batch, 1):
                 found = shingler.hashes(text)
@@ -149,7 +150,7 @@ def describe(documents: DataFrame, level: np.ndarray, percent: int) -> DataFrame
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
-    for batch in batches:
+    for batch in by_bytes(batches, 0):
         found = [shingler.hashes(t) for t in _texts(batch, 0)]
         yield pa.RecordBatch.from_arrays(
             [

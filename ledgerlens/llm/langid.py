@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.batches import by_bytes
 from ledgerlens.llm.tokens import text_of
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 4
 UNDECIDED = "und"
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
+COUNTED_BYTES = 8 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -40,7 +42,7 @@ def grams(word: str, n: int) -> list[str]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) -> (lang, kind, token, n): kind 0 words, else n-gram length."""
-    for batch in batches:
+    for batch in by_bytes(batches, 1, COUNTED_BYTES):
         words: dict[str, Counter] = {}
         for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
             words.setdefault(lang, Counter()).update(LETTERS.findall(text_of(raw).lower()))
@@ -73,7 +75,7 @@ class Model(NamedTuple):
 def train(
     documents: DataFrame,
     sample_docs: int = 20_000,
-    model_rows: int = 200_000,
+    model_rows: int = 100_000,
     max_langs: int = 200,
 ) -> Model:
     """Fit on a sample of about ``sample_docs`` labelled texts outside the held-out part.
@@ -188,7 +190,7 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
 
     def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in by_bytes(batches, 2):
             texts = batch.column(2).cast(pa.binary()).to_pylist()
             found = [(UNDECIDED, 0.0) if t is None else scorer.score(text_of(t)) for t in texts]
             yield pa.RecordBatch.from_arrays(
@@ -221,7 +223,7 @@ def keep_identified(documents: DataFrame, least: float = 0.3, **bounds: int) ->
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in by_bytes(batches, at):
             texts = batch.column(at).cast(pa.binary()).to_pylist()
             found = [(UNDECIDED, 0.0) if t is None else scorer.score(text_of(t)) for t in texts]
             yield batch.filter(pa.array([f[0] != UNDECIDED and f[1] >= least for f in found], pa.bool_()))

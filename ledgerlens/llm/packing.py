@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.batches import by_bytes
 from ledgerlens.llm.tables import text_or_empty
-from ledgerlens.llm.token_counts import BATCH_BYTES, PART_CHARS, byte_batches
+from ledgerlens.llm.token_counts import PART_CHARS
 from ledgerlens.llm.tokens import encoder, pieces, text_of
 from ledgerlens.session import materialize
 
@@ -85,22 +86,19 @@ def _cutter(path: str, capacity: int, end_id: int, with_ids: bool):
         encode, cut = encoder(path)
         end = np.array([end_id], dtype=np.uint32)
         names = [c.split()[0] for c in PIECE_SCHEMA.split(", ")] + ["ids"] * with_ids
-        for whole in batches:
-            for batch in byte_batches(whole, 1, BATCH_BYTES):
-                docs = batch.column(0).to_pylist()
-                out: list[list] = [[] for _ in names]
-                for doc, value in zip(docs, batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                    parts = [encode(p) for p in pieces(text_of(value), cut, PART_CHARS)]
-                    ids = np.concatenate([*parts, end]).astype("<u4", copy=False)
-                    for start in range(0, len(ids), capacity):
-                        piece = ids[start : start + capacity]
-                        row = (doc, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), piece.astype(np.int64))
-                        for values, v in zip(out, row, strict=False):
-                            values.append(v)
-                kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * with_ids
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=names
-                )
+        for batch in by_bytes(batches, 1):
+            docs = batch.column(0).to_pylist()
+            out: list[list] = [[] for _ in names]
+            for doc, value in zip(docs, batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                parts = [encode(p) for p in pieces(text_of(value), cut, PART_CHARS)]
+                ids = np.concatenate([*parts, end]).astype("<u4", copy=False)
+                for start in range(0, len(ids), capacity):
+                    piece = ids[start : start + capacity]
+                    row = (doc, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), piece.astype(np.int64))
+                    for values, v in zip(out, row, strict=False):
+                        values.append(v)
+            kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * with_ids
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=names)
 
     return cut_batches
 

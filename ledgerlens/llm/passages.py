@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.batches import by_bytes
 from ledgerlens.llm.tokens import text_of
 
 BREAK = re.compile(r"\n\s*|(?<=[.!?])[^\S\n]+")
@@ -48,7 +49,7 @@ def units(text: str) -> Iterator[Unit]:
 
 def _digests(unit_words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 2):
             docs, keys, at, high, low = [], [], [], [], []
             ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for doc, key, raw in zip(ids, hashes, batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
@@ -100,7 +101,7 @@ def removed_spans(text: str, copies: set[int], min_words: int) -> list[tuple[int
 def _cut(min_words: int, text_at: int, copies_at: int, names: list[str]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in by_bytes(batches, text_at):
             texts, removed, kept = [], [], []
             copies = batch.column(copies_at).to_pylist()
             for raw, marks in zip(batch.column(text_at).cast(pa.binary()).to_pylist(), copies, strict=True):

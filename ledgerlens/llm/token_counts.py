@@ -15,40 +15,25 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.batches import BATCH_BYTES, by_bytes
 from ledgerlens.llm.tables import text_or_empty
 from ledgerlens.llm.tokens import encoder, pieces, text_of
 
 PART_CHARS = 1 << 16
-BATCH_BYTES = 4 << 20
-
-
-def byte_batches(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batch`` of about ``most`` bytes in a column; one row at least."""
-    sizes = pc.binary_length(batch.column(column)).to_pylist()
-    start = held = 0
-    for i, n in enumerate(sizes):
-        if i > start and held + (n or 0) > most:
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += n or 0
-    if start < batch.num_rows:
-        yield batch.slice(start)
 
 
 def _counter(path: str, part_chars: int, batch_bytes: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, cut = encoder(path)
-        for whole in batches:
-            for batch in byte_batches(whole, 1, batch_bytes):
-                raw = batch.column(1).cast(pa.binary())
-                tokens = [
-                    sum(len(encode(part)) for part in pieces(text_of(v), cut, part_chars))
-                    for v in raw.to_pylist()
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pc.cast(pc.binary_length(raw), pa.int64()), pa.array(tokens, pa.int64())],
-                    names=["doc_id", "n_bytes", "n_tokens"],
-                )
+        for batch in by_bytes(batches, 1, batch_bytes):
+            raw = batch.column(1).cast(pa.binary())
+            tokens = [
+                sum(len(encode(part)) for part in pieces(text_of(v), cut, part_chars)) for v in raw.to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pc.cast(pc.binary_length(raw), pa.int64()), pa.array(tokens, pa.int64())],
+                names=["doc_id", "n_bytes", "n_tokens"],
+            )
 
     return count
 
