@@ -86,15 +86,14 @@ def enrich_marks(report: DataFrame, marks: DataFrame) -> DataFrame:
 
 def missing_codes(report: DataFrame, lookup: DataFrame, key: str = "code") -> DataFrame:
     """JN-2 / JN-4: report rows whose code has no entry (repeats kept)."""
-    return report.join(lookup.select(key).distinct(), key, "left_anti")
+    return report.join(lookup.select(key), key, "left_anti")
 
 
 def unused_codes(lookup: DataFrame, report: DataFrame, key: str = "code") -> DataFrame:
     """JN-5: lookup codes the report never uses, distinct, sorted."""
     return (
-        lookup.select(key)
-        .join(report.select(key), key, "left_anti")
-        .distinct()
+        lookup.select(key).distinct()
+        .join(report.select(key).distinct(), key, "left_anti")
         .orderBy(key)
     )
 
@@ -148,9 +147,9 @@ def enrich_sensitivities(report: DataFrame, sensis: DataFrame) -> DataFrame:
 def apply_overrides(report: DataFrame, overrides: DataFrame, class_name: str, column: str = "duration_leg1") -> DataFrame:
     """JN-11: replace ``column`` by the override value for codes of one class.
 
-    ``overrides`` is ``(code, value)``, a small fixed table (broadcast).
+    ``overrides`` is ``(code, value)``; Spark broadcasts it if its size allows.
     """
-    o = F.broadcast(overrides.select(F.col("code").alias("_ocode"), F.col("value").alias("_ovalue")))
+    o = overrides.select(F.col("code").alias("_ocode"), F.col("value").alias("_ovalue"))
     j = report.join(o, report["code"] == o["_ocode"], "left")
     in_class = strip_ws(F.col("classif")) == F.lit(class_name)
     base = _old(report, column)

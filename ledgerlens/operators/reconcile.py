@@ -114,14 +114,12 @@ def parse_aliases(lines: DataFrame) -> DataFrame:
     )
 
 
-def normalize_label(df: DataFrame, label_col: str, aliases: DataFrame, out_col: str, broadcast: bool = False) -> DataFrame:
+def normalize_label(df: DataFrame, label_col: str, aliases: DataFrame, out_col: str) -> DataFrame:
     """JN-8 / STR-2: canonical label via the alias table, else the clean
     label upper-cased; null when the label is blank."""
     cleaned = clean_label(label_col)
     keyed = df.withColumn("_nk", F.lower(cleaned))
     a = aliases.select(F.col("alias_key").alias("_ak"), F.col("canonical").alias("_canon"))
-    if broadcast:
-        a = F.broadcast(a)
     j = keyed.join(a, keyed["_nk"] == a["_ak"], "left")
     return j.withColumn(out_col, F.coalesce(F.col("_canon"), F.upper(clean_label(label_col)))).drop("_nk", "_ak", "_canon")
 
@@ -230,13 +228,13 @@ def reconcile(template: DataFrame, collateral: DataFrame, cp_aliases: DataFrame,
     other side's rows.)
     """
     t = normalize_label(template, "counterparty", cp_aliases, "norm_counterparty")
-    t = normalize_label(t, "classif", typ_aliases, "norm_typology", broadcast=True)
+    t = normalize_label(t, "classif", typ_aliases, "norm_typology")
     t = t.where(F.col("norm_counterparty").isNotNull() & F.col("norm_typology").isNotNull())
     t = t.withColumn("_ord", F.struct("classif", "counterparty"))
     t = aggregate_by_norm(t, ["norm_counterparty", "norm_typology"], ["counterparty", "classif"],
                           ["mtm_gam", "mtm_cpty"], "_ord")
     c = normalize_label(collateral, "counterparty", cp_aliases, "norm_counterparty")
-    c = normalize_label(c, "typology", typ_aliases, "norm_typology", broadcast=True)
+    c = normalize_label(c, "typology", typ_aliases, "norm_typology")
     c = c.where(F.col("norm_counterparty").isNotNull() & F.col("norm_typology").isNotNull())
     c = aggregate_by_norm(c, ["norm_counterparty", "norm_typology"], ["counterparty", "typology"],
                           ["mtm_gam", "mtm_cpty"], "ord")

@@ -94,7 +94,7 @@ def codes_missing_marks(spark, sf_dir):
     """JN-4: report rows without a mark (row order kept through ``ord``)."""
     marks = enrich.aggregate_marks(B.marks_feed(spark, sf_dir))
     r = report_rows(spark, sf_dir)
-    return enrich.missing_codes(r, marks).select("trade_id", "code")
+    return enrich.missing_codes(r, marks).orderBy("ord").select("trade_id", "code")
 
 
 @register
@@ -174,7 +174,8 @@ def sensitivity_enrich(spark, sf_dir):
 @register
 def codes_missing_sensitivity(spark, sf_dir):
     """JN-2: report rows whose code has no sensitivity (repeats kept)."""
-    return enrich.missing_codes(report_rows(spark, sf_dir), B.sensitivities(spark, sf_dir)).select("trade_id", "code")
+    missing = enrich.missing_codes(report_rows(spark, sf_dir), B.sensitivities(spark, sf_dir))
+    return missing.orderBy("ord").select("trade_id", "code")
 
 
 @register
@@ -300,7 +301,7 @@ def alias_normalise(spark, sf_dir):
 
     c = B.collateral(spark, sf_dir).select(F.col("cpty").alias("counterparty"), "typology")
     n = R.normalize_label(c, "counterparty", B.cpty_aliases(spark, sf_dir), "norm_counterparty")
-    n = R.normalize_label(n, "typology", B.typology_aliases(spark), "norm_typology", broadcast=True)
+    n = R.normalize_label(n, "typology", B.typology_aliases(spark), "norm_typology")
     return n.select("counterparty", "typology", "norm_counterparty", "norm_typology")
 
 
@@ -335,7 +336,7 @@ def aggregate_by_norm(spark, sf_dir):
 
     _, c = _recon_inputs(spark, sf_dir)
     n = R.normalize_label(c, "counterparty", B.cpty_aliases(spark, sf_dir), "norm_counterparty")
-    n = R.normalize_label(n, "typology", B.typology_aliases(spark), "norm_typology", broadcast=True)
+    n = R.normalize_label(n, "typology", B.typology_aliases(spark), "norm_typology")
     n = n.where(F.col("norm_counterparty").isNotNull() & F.col("norm_typology").isNotNull())
     a = R.aggregate_by_norm(n, ["norm_counterparty", "norm_typology"], ["counterparty", "typology"],
                             ["mtm_gam", "mtm_cpty"], "ord")

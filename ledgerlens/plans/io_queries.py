@@ -211,14 +211,11 @@ def collateral_file(spark, sf_dir):
     out = c.select(F.col("cpty").alias(COLLATERAL_HEADERS[0]), blank_label.alias(COLLATERAL_HEADERS[1]),
                    as_text("mtm_own").alias(COLLATERAL_HEADERS[2]), as_text("mtm_cpty").alias(COLLATERAL_HEADERS[3]))
     out.write.options(header=True, sep=";", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(base)
-    rows_, layouts = feeds.read_delimited(spark, [f"{base}/*.csv"], sep=";", key_column="Counterparty")
-    trimmed = {c_.strip(): c_ for c_ in rows_.columns}
-    missing = [h for h in COLLATERAL_HEADERS if h.strip() not in trimmed]
-    if missing:  # CHK-1 at plan time
-        raise KeyError(f"collateral report lacks columns: {missing}")
-    named = rows_.select(*[F.col(f"`{trimmed[h.strip()]}`").alias(n) for h, n in
-                           zip(COLLATERAL_HEADERS, ("cpty", "typology", "mtm_gam", "mtm_cpty"))],
-                         F.struct("source_file").alias("ord"))
+    # CHK-1 is a report over the layouts (feeds.missing_columns), not a plan-time stop
+    wanted = tuple(h.strip() for h in COLLATERAL_HEADERS)
+    rows_, _ = feeds.read_delimited(spark, [f"{base}/*.csv"], sep=";", columns=wanted)
+    named = rows_.select(*[F.col(f"`{h}`").alias(n) for h, n in zip(wanted, ("cpty", "typology", "mtm_gam", "mtm_cpty"))],
+                         F.struct("source_file", "position").alias("ord"))
     loaded = R.load_collateral(named, "cpty", "typology", "mtm_gam", "mtm_cpty")
     return loaded.select("counterparty", "typology", "mtm_gam", "mtm_cpty")
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 # executors need no copy of this package on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MEMBER_SCHEMA = "archive string, member string, basename string, is_dir boolean, size long, content binary"
+MEMBER_SCHEMA = "archive string, member string, basename string, is_dir boolean, size long, content binary, error string"
 
 # Member suffixes extracted (case-insensitive); the legacy
 # page kept ``.xls`` only.
@@ -32,20 +32,32 @@ LEGACY_SUFFIXES = (".xls",)
 
 def _expand(batches):
     for pdf in batches:
-        rows = []
         for path, content in zip(pdf["path"], pdf["content"]):
-            archive = path.rsplit("/", 1)[-1]
+            yield from _members_of(path.rsplit("/", 1)[-1], content)
+
+
+def _row(archive, member, data, error=None):
+    is_dir = member is not None and member.endswith("/")
+    base = None if member is None else member.rstrip("/").rsplit("/", 1)[-1]
+    size = None if data is None else len(data)
+    return pd.DataFrame([(archive, member, base, is_dir, size, data, error)],
+                        columns=["archive", "member", "basename", "is_dir", "size", "content", "error"])
+
+
+def _members_of(archive, content):
+    """One frame for each member, so one member is unpacked at a time; a broken
+    archive or member is a row that says so."""
+    try:
+        zf = zipfile.ZipFile(io.BytesIO(content))
+    except zipfile.BadZipFile as e:
+        yield _row(archive, None, None, str(e))
+        return
+    with zf:
+        for info in zf.infolist():
             try:
-                zf = zipfile.ZipFile(io.BytesIO(content))
-            except zipfile.BadZipFile:
-                continue
-            with zf:
-                for info in zf.infolist():
-                    name = info.filename
-                    is_dir = name.endswith("/")
-                    data = b"" if is_dir else zf.read(info)
-                    rows.append((archive, name, name.rstrip("/").rsplit("/", 1)[-1], is_dir, len(data), data))
-        yield pd.DataFrame(rows, columns=["archive", "member", "basename", "is_dir", "size", "content"])
+                yield _row(archive, info.filename, b"" if info.filename.endswith("/") else zf.read(info))
+            except (zipfile.BadZipFile, zipfile.zlib.error, EOFError) as e:
+                yield _row(archive, info.filename, None, str(e))
 
 
 def read_archives(spark: SparkSession, path: str, glob: str = "*.zip") -> DataFrame:
@@ -66,7 +78,12 @@ def select_members(members: DataFrame, suffixes=EXTRACT_SUFFIXES) -> DataFrame:
     for s in suffixes:
         t = low.endswith(s)
         cond = t if cond is None else (cond | t)
-    return members.where(~F.col("is_dir") & cond)
+    return members.where(~F.col("is_dir") & F.col("error").isNull() & cond).drop("error")
+
+
+def broken(members: DataFrame) -> DataFrame:
+    """Archives and members that could not be read, with the reason."""
+    return members.where(F.col("error").isNotNull()).select("archive", "member", "error")
 
 
 def _write_zip(batches, base: str):

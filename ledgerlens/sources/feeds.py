@@ -10,7 +10,7 @@ own file's header (one distributed pass, see there).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parse_number, strip_ws
@@ -33,44 +33,69 @@ def na_to_null(df: DataFrame, columns=None) -> DataFrame:
     return df.withColumns({c: F.when(~F.col(c).isin(*NA_TOKENS), F.col(c)) for c in cols})
 
 
-def read_delimited(spark: SparkSession, paths, sep: str = ";", key_column: str = "FREE_TEXT_2") -> tuple[DataFrame, DataFrame]:
+def read_delimited(
+    spark: SparkSession, paths, sep: str = ";", columns: tuple[str, ...] = FEED_REQUIRED + FEED_OPTIONAL
+) -> tuple[DataFrame, DataFrame]:
     """Read delimited files as text columns bound by each file's own header.
 
-    One distributed pass, no per-file job: lines are read with the text
-    source, the header line of each file is the one holding ``key_column``,
-    fields are split with ``from_csv`` (quotes honoured) and zipped with that
-    file's header into a map, from which columns are taken by name.  Returns
-    (rows, layouts); ``layouts`` has one row per file with its header, for the
-    CHK-1 / CHK-2 checks.  Only the header widths (one number) reach the
-    driver.
+    Returns (rows, layouts): see ``bind_lines``.  Two passes over the lines and
+    no driver action: one for the first line of each file, one for the body.
     """
     lines = spark.read.text(paths).select(
-        F.col("value").alias("line"), F.col("_metadata.file_path").alias("source_file")
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("source_file"), line_position()
     )
-    return bind_lines(lines, sep, key_column)
+    return bind_lines(lines, sep, columns)
 
 
-def bind_lines(lines: DataFrame, sep: str = ";", key_column: str = "FREE_TEXT_2") -> tuple[DataFrame, DataFrame]:
-    """``(line, source_file)`` rows -> (rows bound by each file's header,
-    layouts).  Shared by the batch reader and the file stream."""
-    lines = lines.where(strip_ws("line") != "")
-    is_header = F.array_contains(F.transform(F.split("line", _re_quote(sep)), lambda x: F.trim(x)), key_column)
-    headers = lines.where(is_header).groupBy("source_file").agg(F.min("line").alias("header_line"))
-    width = headers.select(F.max(F.size(F.split("header_line", _re_quote(sep)))).alias("w")).first()["w"] or 1
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    opts = {"sep": sep}
+def line_position() -> Column:
+    """Position of a text line inside its file: (split offset, row in the split).
+
+    Rows of one split come in file order, so the pair orders a file's lines.
+    """
+    return F.struct(
+        F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")
+    ).alias("position")
+
+
+def split_fields(line: Column, sep: str) -> Column:
+    """All fields of a delimited line, quotes honoured, none dropped."""
+    q = _re_quote(sep)
+    raw = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(f'{q}("(?:[^"]|"")*"(?={q}|$)|[^{q}]*)'), 1)
+
+    def unquote(x: Column) -> Column:
+        inner = F.replace(F.substr(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))
+        return F.when((F.length(x) >= 2) & x.startswith('"') & x.endswith('"'), inner).otherwise(x)
+
+    return F.transform(raw, unquote)
 
-    def fields(c):
-        parsed = F.from_csv(c, schema, opts)
-        return F.array(*[parsed.getField(f"c{i}") for i in range(width)])
 
-    layouts = headers.select("source_file", F.array_compact(fields(F.col("header_line"))).alias("header"))
-    body = lines.where(~is_header).join(layouts, "source_file", "inner")
-    zipped = F.map_from_arrays(F.col("header"), F.slice(fields(F.col("line")), 1, F.size("header")))
-    rows = body.select("source_file", zipped.alias("_m"))
-    names = sorted({n for n in _all_names(layouts)})
-    rows = rows.select("source_file", *[F.col("_m").getItem(n).alias(n) for n in names])
-    return na_to_null(rows, names), layouts
+def bind_lines(
+    lines: DataFrame, sep: str = ";", columns: tuple[str, ...] = FEED_REQUIRED + FEED_OPTIONAL
+) -> tuple[DataFrame, DataFrame]:
+    """``(line, source_file, position)`` rows -> (rows bound by each file's
+    header, layouts).  Shared by the batch reader and the file stream.
+
+    The header is a file's first line that is not blank, without a byte-order
+    mark; header names are trimmed, blank ones keep their place, of repeated
+    ones the first counts.  ``rows`` holds ``source_file``, ``position``, each
+    of ``columns`` (null where the file lacks it) and ``extra_fields``, the
+    fields beyond the header.  No file is dropped: ``layouts`` has one row for
+    each with its header, for the CHK-1 / CHK-2 checks.
+    """
+    lines = lines.where(strip_ws(F.replace("line", F.lit("\ufeff"), F.lit(""))) != "")
+    first = lines.groupBy("source_file").agg(
+        F.min("position").alias("header_position"), F.min_by("line", "position").alias("header_line")
+    )
+    names = F.transform(
+        split_fields(F.regexp_replace("header_line", "^\ufeff", ""), sep), lambda x: strip_ws(x)
+    )
+    heads = first.select("source_file", "header_position", names.alias("header"))
+    body = lines.join(heads, "source_file").where(F.col("position") > F.col("header_position"))
+    fields = body.select("source_file", "position", "header", split_fields(F.col("line"), sep).alias("_f"))
+    value = lambda n: F.get("_f", F.array_position("header", n).cast("int") - 1)
+    extra = F.slice("_f", F.size("header") + 1, F.greatest(F.size("_f") - F.size("header"), F.lit(0)))
+    rows = fields.select("source_file", "position", *[value(n).alias(n) for n in columns], extra.alias("extra_fields"))
+    return na_to_null(rows, columns), heads.select("source_file", "header")
 
 
 def _re_quote(sep: str) -> str:
@@ -79,11 +104,6 @@ def _re_quote(sep: str) -> str:
     return re.escape(sep)
 
 
-def _all_names(layouts: DataFrame) -> list[str]:
-    # distinct header names across files: a handful of strings
-    return [r["n"] for r in layouts.select(F.explode("header").alias("n")).distinct().collect()]
-
-
 def feed_from_text(rows: DataFrame) -> DataFrame:
     """SRC-6 + CHK-2: typed counterparty feed from text columns.
 

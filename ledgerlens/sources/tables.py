@@ -14,35 +14,10 @@ TABLE_NAMES = (
 )
 
 
-_RELATIONS: dict = {}
-SPREAD_MAX_BYTES = 1 << 30
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """The table as a lazy relation with only ``columns`` selected.
-
-    The file listing / footer read of a path is done once per session.  When
-    the files give fewer read splits than the cluster's default parallelism
-    (e.g. one small file with a single row group), the selected columns are
-    spread round-robin over that many partitions so per-row work is not
-    serialised in one task.  Only inputs of at most ``SPREAD_MAX_BYTES`` on
-    disk are spread (the exchange is then cheap); large inputs already have
-    more splits than cores and are never shuffled for this.
-    """
+    """The table as a lazy relation with only ``columns`` selected; its read
+    splits are those of the files."""
     if name not in TABLE_NAMES:
         raise ValueError(f"unknown table {name!r}")
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, id(spark), path)
-    entry = _RELATIONS.get(key)
-    if entry is None:
-        df = spark.read.parquet(path)
-        splits = df._jdf.rdd().getNumPartitions()  # planning only, no job
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        entry = (df, splits if size <= SPREAD_MAX_BYTES else 1 << 30)
-        _RELATIONS[key] = entry
-    df, splits = entry
-    out = df.select(*columns) if columns else df
-    target = spark.sparkContext.defaultParallelism
-    if splits < target:
-        out = out.repartition(target)
-    return out
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return df.select(*columns) if columns else df

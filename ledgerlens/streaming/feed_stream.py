@@ -20,7 +20,8 @@ def _write_batch(out_path: str, sep: str):
     def run(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        rows, _ = feeds.bind_lines(batch, sep)
+        placed = batch.withColumn("position", F.struct("split", F.monotonically_increasing_id().alias("row")))
+        rows, _ = feeds.bind_lines(placed, sep)
         feeds.feed_from_text(rows).write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}")
 
     return run
@@ -32,7 +33,8 @@ def start_feed_stream(spark: SparkSession, feed_dir: str, out_path: str, checkpo
     and stops (``processingTime`` triggers are the caller's choice otherwise)."""
     lines = (
         spark.readStream.format("text").option("pathGlobFilter", glob).load(feed_dir)
-        .select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("source_file"))
+        .select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("source_file"),
+                F.col("_metadata.file_block_start").alias("split"))
     )
     w = lines.writeStream.foreachBatch(_write_batch(out_path, sep)).option("checkpointLocation", checkpoint_path)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

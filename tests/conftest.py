@@ -13,9 +13,3 @@ def spark():
     s = build_session("local[4]", app_name="ledgerlens-tests", shuffle_partitions=8)
     yield s
     s.stop()
-
-
-def rows(df, *cols):
-    """Collect ``cols`` (default: all) as a list of tuples in row order."""
-    sel = df.select(*cols) if cols else df
-    return [tuple(r) for r in sel.collect()]

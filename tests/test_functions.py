@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from ledgerlens.functions import (
     clean_label, code_prefix, date_from_name, excel_serial_to_date, format_money, next_business_day,
     normalize_book, parse_date_lenient, parse_date_strict, parse_number, pct_change, previous_quarter_end,
@@ -92,3 +92,13 @@ def test_num1_round_trips_formatted_numbers(spark, x):
     text = f"{x:,.4f}".replace(",", " ").replace(".", ",")
     got = rows(spark.createDataFrame([(text,)], "t string").select(parse_number("t", "eu")))[0][0]
     assert got == pytest.approx(round(x, 4))
+
+
+def test_lenient_dates_in_common_forms(spark):
+    import datetime as dt
+
+    day = dt.datetime(2025, 9, 19)
+    texts = [("19/09/25", day), ("19-Sep-2025", day), ("19 sep 2025", day), ("2025/09/19", day), ("20250919", day),
+             ("19/09/2025 10:30", day.replace(hour=10, minute=30)), ("19.09.25", day), ("no date", None)]
+    got = spark.createDataFrame([(t,) for t, _ in texts], "t string").select("t", parse_date_lenient("t").alias("v"))
+    assert dict(map(tuple, got.collect())) == dict(texts)

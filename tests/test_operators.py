@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from ledgerlens.operators import dims, enrich, forwards, grid, mapping, perimeter, period, reconcile
 from ledgerlens.operators.placement import sequential_index, top_k_per_group
 

@@ -7,7 +7,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from ledgerlens.operators import reconcile
 from ledgerlens.sources import archives, feeds, files, sinks
 
@@ -95,3 +95,25 @@ def test_feed_stream_available_now(spark):
     q.awaitTermination(120)
     got = sorted(rows(spark.read.parquet(out), "free_text_2", "mtm_value", "mtm_diff"))
     assert got == [("SWAP_1/a", 1.5, 0.5), ("SWAP_2", 2.0, 1.0)]
+
+
+def test_feed_headers_keep_their_places_and_no_file_is_lost(spark):
+    d = _tmp()
+    with open(os.path.join(d, "a.csv"), "w", encoding="utf-8") as fh:
+        fh.write("﻿\n FREE_TEXT_2 ;;MTM_VALUE;MTM_DIFF;MTM_DIFF\nSWAP_1/x;junk;10;4;5;beyond;more\nFREE_TEXT_2;;1;2;3\n")
+    with open(os.path.join(d, "nokey.csv"), "w") as fh:
+        fh.write("OTHER;MTM_VALUE\nx;7\n")
+    rws, layouts = feeds.read_delimited(spark, [os.path.join(d, "*.csv")], sep=";")
+    got = sorted(rows(rws, "FREE_TEXT_2", "MTM_VALUE", "MTM_DIFF", "extra_fields"), key=str)
+    assert got == sorted([("SWAP_1/x", "10", "4", ["beyond", "more"]), ("FREE_TEXT_2", "1", "2", []), (None, "7", None, [])], key=str)
+    miss = {os.path.basename(r[0]): r[1] for r in rows(feeds.missing_columns(layouts, feeds.FEED_REQUIRED, "required"), "source_file", "missing")}
+    assert miss == {"nokey.csv": ["FREE_TEXT_2", "MTM_DIFF"]}
+
+
+def test_broken_archive_is_reported(spark):
+    d = _tmp()
+    with open(os.path.join(d, "bad.zip"), "wb") as fh:
+        fh.write(b"not a zip")
+    mem = archives.read_archives(spark, d)
+    assert [(r[0], r[1]) for r in rows(archives.broken(mem), "archive", "member")] == [("bad.zip", None)]
+    assert archives.select_members(mem).count() == 0
