@@ -45,20 +45,21 @@ MK = f"""select code, cast(sum(coalesce(mtm_value,0)) as double) as mtm_value,
 from (select {S.code_prefix('free_text_2')} as code, mtm_value, mtm_diff from m) x
 where code <> '' group by code"""
 
-SENS = """select concat('SWAP_',cast(p_partkey as varchar)) as code, p_partkey*2+k.k as src_row,
+SENS = """select concat(case when p_partkey%10=3 then 'UNUSED_' else 'SWAP_' end,cast(p_partkey as varchar)) as code, p_partkey*2+k.k as src_row,
  case when p_size%5=0 then null else p_retailprice+k.k end as sensi_leg1,
  case when p_size%3=0 then null else -p_retailprice end as sensi_leg2,
  case when p_size%4=0 then p_retailprice*2 else null end as sensi_total,
  cast(p_size as double) as duration_leg1
-from part cross join (select 0 as k union all select 1 as k) k where p_partkey%10<>3"""
+from part cross join (select 0 as k union all select 1 as k) k"""
 
-C = """select case l_suppkey%5 when 0 then concat('SUP',cast(l_suppkey as varchar))
-        when 1 then concat(' supplier#',cast(l_suppkey as varchar),'  ') else upper(concat('Supplier#',cast(l_suppkey as varchar))) end as cpty,
- case when l_suppkey%7=1 then 'Repo' else case l_partkey%4 when 0 then 'IR swap, fixed/float' when 1 then 'XpressInstrument'
+C = """select case when l_suppkey%7=0 then concat('Unlisted#',cast(l_suppkey as varchar))
+        when l_suppkey%5=0 then concat('SUP',cast(l_suppkey as varchar))
+        when l_suppkey%5=1 then concat(' supplier#',cast(l_suppkey as varchar),'  ') else upper(concat('Supplier#',cast(l_suppkey as varchar))) end as cpty,
+ case when l_suppkey%7=1 then 'Repo' when l_returnflag='A' then 'Returned line' else case l_partkey%4 when 0 then 'IR swap, fixed/float' when 1 then 'XpressInstrument'
         when 2 then 'Cross currency, fixed/fixed' else 'Forward' end end as typology,
  sum(cast(l_extendedprice as decimal(12,2))*cast(l_discount as decimal(4,2))) as mtm_own,
  sum(cast(l_extendedprice as decimal(12,2))*cast(l_tax as decimal(4,2))) as mtm_cpty
-from lineitem where l_returnflag<>'A' and l_suppkey%7<>0 group by 1,2"""
+from lineitem group by 1,2"""
 
 A = """select concat('sup',cast(s_suppkey as varchar)) as alias_key, concat('SUPPLIER#',cast(s_suppkey as varchar)) as canonical from supplier"""
 

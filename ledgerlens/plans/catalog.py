@@ -371,27 +371,20 @@ def recon_max_gap(spark, sf_dir):
 
 # --------------------------------------------------------------- period comparison
 def _totals_long(spark, sf_dir) -> DataFrame:
-    """Class totals of both productions, current (open lines / orders) and
-    previous (filled), in one grouped pass keyed by production."""
+    """Class totals of both productions, current (lines and orders open in whole
+    or in part) and previous (filled), in one grouped pass keyed by production."""
     from ..operators import forwards
     from ..operators import period as P
 
-    t = B.trades(spark, sf_dir).where(F.col("l_linestatus").isin("O", "F"))
-    swaps = t.select(F.when(F.col("l_linestatus") == "O", "current").otherwise("previous").alias("production"),
+    t = B.trades(spark, sf_dir)
+    swaps = t.select(F.when(F.col("l_linestatus") == "F", "previous").otherwise("current").alias("production"),
                      "classif", F.col("mtm_own").alias("dirty"))
-    fw = forwards.forward_alerts(_forwards(spark, sf_dir)).where(F.col("o_orderstatus").isin("O", "F"))
-    fw = fw.select(F.when(F.col("o_orderstatus") == "O", "current").otherwise("previous").alias("production"),
+    fw = forwards.forward_alerts(_forwards(spark, sf_dir))
+    fw = fw.select(F.when(F.col("o_orderstatus") == "F", "previous").otherwise("current").alias("production"),
                    F.col("mtm_value").alias("prix_gam"))
     return P.dirty_by_class(swaps, fw, keys=("production",))
 
 
-def _productions(spark, sf_dir):
-    both = _totals_long(spark, sf_dir)
-    cur = both.where(F.col("production") == "current").drop("production")
-    prev = both.where(F.col("production") == "previous").drop("production")
-    return cur, prev
-
-
 @register
 def dirty_by_class(spark, sf_dir):
     """AGG-4, AGG-5, FLT-7: dirty value per class of each production, bond

@@ -250,16 +250,16 @@ select max(greatest(abs(gap_mtm_gam), abs(gap_mtm_cpty))) as max_abs_gap,
  max(greatest(abs(gap_mtm_gam), abs(gap_mtm_cpty))) < 1e-6 as concordant from rc"""
 
 # ------------------------------------------------------------------ period comparison
-def _prod(name: str, ls: str, os_: str) -> str:
+def _prod(name: str, filled: str) -> str:
     return f"""{name} as (select classif, sum(amount) as total from (
-  select {S.strip('classif')} as classif, mtm_own as amount from t where l_linestatus = '{ls}'
-  union all select 'Bond Forward', mv from fs where status <> 'rejected' and o_orderstatus = '{os_}') z
+  select {S.strip('classif')} as classif, mtm_own as amount from t where l_linestatus {filled} 'F'
+  union all select 'Bond Forward', mv from fs where status <> 'rejected' and o_orderstatus {filled} 'F') z
  where classif is not null and classif <> '' and amount is not null group by classif)"""
 
 _PERIOD = _FWD_DEC + f""",
 t as ({B.T}),
-{_prod('cur', 'O', 'O')},
-{_prod('prev', 'F', 'F')}
+{_prod('cur', '<>')},
+{_prod('prev', '=')}
 """
 
 ORACLE["dirty_by_class"] = _PERIOD + """

@@ -114,13 +114,15 @@ def marks_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sensitivities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S: sensitivity rows, two per part (``src_row`` orders them)."""
-    p = table(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice").where(F.col("p_partkey") % 10 != 3)
+    """S: sensitivity rows, two per part (``src_row`` orders them); each tenth
+    part carries a code that no report row has."""
+    p = table(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice")
+    prefix = F.when(F.col("p_partkey") % 10 == 3, F.lit("UNUSED_")).otherwise(F.lit("SWAP_"))
     p = p.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
     size = F.col("p_size")
     price = F.col("p_retailprice")
     return p.select(
-        F.concat(F.lit("SWAP_"), F.col("p_partkey").cast("string")).alias("code"),
+        F.concat(prefix, F.col("p_partkey").cast("string")).alias("code"),
         (F.col("p_partkey") * 2 + F.col("k")).alias("src_row"),
         F.when(size % 5 != 0, price + F.col("k")).alias("sensi_leg1"),
         F.when(size % 3 != 0, -price).alias("sensi_leg2"),
@@ -130,26 +132,29 @@ def sensitivities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def collateral(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C: collateral report lines (counterparty, typology, two MtM sums)."""
+    """C: collateral report lines (counterparty, typology, two MtM sums); each
+    seventh supplier and the returned lines carry labels of their own, which
+    the report side does not have."""
     li = table(spark, sf_dir, "lineitem", "l_suppkey", "l_partkey", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
     s = F.col("l_suppkey")
     sk = s.cast("string")
     cpty = (
-        F.when(s % 5 == 0, F.concat(F.lit("SUP"), sk))
+        F.when(s % 7 == 0, F.concat(F.lit("Unlisted#"), sk))
+        .when(s % 5 == 0, F.concat(F.lit("SUP"), sk))
         .when(s % 5 == 1, F.concat(F.lit(" supplier#"), sk, F.lit("  ")))
         .otherwise(F.upper(F.concat(F.lit("Supplier#"), sk)))
     )
     pm = F.col("l_partkey") % 4
     typology = F.when(s % 7 == 1, F.lit("Repo")).otherwise(
-        F.when(pm == 0, "IR swap, fixed/float")
+        F.when(F.col("l_returnflag") == "A", "Returned line")
+        .when(pm == 0, "IR swap, fixed/float")
         .when(pm == 1, "XpressInstrument")
         .when(pm == 2, "Cross currency, fixed/fixed")
         .otherwise("Forward")
     )
     price = _dec("l_extendedprice")
     return (
-        li.where((F.col("l_returnflag") != "A") & (s % 7 != 0))
-        .groupBy(cpty.alias("cpty"), typology.alias("typology"))
+        li.groupBy(cpty.alias("cpty"), typology.alias("typology"))
         .agg(
             F.sum(price * _dec("l_discount", "decimal(4,2)")).alias("mtm_own"),
             F.sum(price * _dec("l_tax", "decimal(4,2)")).alias("mtm_cpty"),
