@@ -53,8 +53,8 @@ SENS = """select concat(case when p_partkey%10=3 then 'UNUSED_' else 'SWAP_' end
 from part cross join (select 0 as k union all select 1 as k) k"""
 
 C = """select case when l_suppkey%7=0 then concat('Unlisted#',cast(l_suppkey as varchar))
-        when l_suppkey%5=0 then concat('SUP',cast(l_suppkey as varchar))
-        when l_suppkey%5=1 then concat(' supplier#',cast(l_suppkey as varchar),'  ') else upper(concat('Supplier#',cast(l_suppkey as varchar))) end as cpty,
+        when (l_suppkey+l_partkey//4)%5=0 then concat('SUP',cast(l_suppkey as varchar))
+        when (l_suppkey+l_partkey//4)%5=1 then concat(' supplier#',cast(l_suppkey as varchar),'  ') else upper(concat('Supplier#',cast(l_suppkey as varchar))) end as cpty,
  case when l_suppkey%7=1 then 'Repo' when l_returnflag='A' then 'Returned line' else case l_partkey%4 when 0 then 'IR swap, fixed/float' when 1 then 'XpressInstrument'
         when 2 then 'Cross currency, fixed/fixed' else 'Forward' end end as typology,
  sum(cast(l_extendedprice as decimal(12,2))*cast(l_discount as decimal(4,2))) as mtm_own,

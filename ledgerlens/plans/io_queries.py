@@ -137,13 +137,11 @@ def alias_file(spark, sf_dir):
     lines = s.select(F.explode(F.array(F.struct((k * 2).alias("n"), main.alias("line")),
                                        F.struct((k * 2 + 1).alias("n"), extra.alias("line")))).alias("x")) \
         .select("x.n", "x.line").where(F.col("line").isNotNull())
-    # fixed-width line number prefix keeps the order in the text file itself
-    lines.select(F.concat(F.lpad(F.col("n").cast("string"), 12, "0"), F.lit("|"), F.col("line")).alias("value")) \
-        .orderBy("value").coalesce(1).write.text(base)
-    txt = spark.read.text(base)
-    parsed = txt.select(F.split("value", r"\|", 2).alias("p")).select(
-        F.col("p")[0].cast("long").alias("line_no"), F.col("p")[1].alias("line"))
-    return R.parse_aliases(parsed)
+    # plain lines in ranges of their order: part file names and positions keep it
+    lines.repartitionByRange("n").sortWithinPartitions("n").select("line").write.text(base)
+    txt = spark.read.text(base).select(
+        F.col("_metadata.file_name").alias("file"), feeds.line_position(), F.col("value").alias("line"))
+    return R.parse_aliases(txt.select(F.struct("file", "position").alias("line_no"), "line"))
 
 
 @register

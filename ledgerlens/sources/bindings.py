@@ -138,10 +138,11 @@ def collateral(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem", "l_suppkey", "l_partkey", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
     s = F.col("l_suppkey")
     sk = s.cast("string")
+    spelling = (s + F.col("l_partkey") / 4).cast("long") % 5  # several spellings of one supplier and typology
     cpty = (
         F.when(s % 7 == 0, F.concat(F.lit("Unlisted#"), sk))
-        .when(s % 5 == 0, F.concat(F.lit("SUP"), sk))
-        .when(s % 5 == 1, F.concat(F.lit(" supplier#"), sk, F.lit("  ")))
+        .when(spelling == 0, F.concat(F.lit("SUP"), sk))
+        .when(spelling == 1, F.concat(F.lit(" supplier#"), sk, F.lit("  ")))
         .otherwise(F.upper(F.concat(F.lit("Supplier#"), sk)))
     )
     pm = F.col("l_partkey") % 4
