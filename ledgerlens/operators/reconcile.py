@@ -133,7 +133,7 @@ def sheet_amounts(df: DataFrame, classif: Column, cpty: Column, gam: Column, cp:
     return df.select(
         classif.alias("classif_raw"),
         cpty.alias("counterparty_raw"),
-        gam.alias("mtm_gam"),
+        gam.alias("mtm_own"),
         cp.alias("mtm_cpty"),
     )
 
@@ -147,7 +147,7 @@ def load_collateral(df: DataFrame, cpty: str, typology: str, gam: str, cp: str,
     out = df.select(
         clean_label(cpty).alias("counterparty"),
         clean_label(typology).alias("typology"),
-        amount(gam).alias("mtm_gam"),
+        amount(gam).alias("mtm_own"),
         amount(cp).alias("mtm_cpty"),
         F.col(order_col).alias("ord"),
     )
@@ -174,9 +174,9 @@ def mtm_by_class_cpty(*sheets: DataFrame) -> DataFrame:
     for s in sheets[1:]:
         u = u.unionByName(s)
     pre = u.groupBy("classif_raw", "counterparty_raw").agg(
-        F.sum("mtm_gam").alias("g"),
+        F.sum("mtm_own").alias("g"),
         F.sum("mtm_cpty").alias("c"),
-        F.count_if(F.col("mtm_gam").isNotNull() | F.col("mtm_cpty").isNotNull()).alias("n"),
+        F.count_if(F.col("mtm_own").isNotNull() | F.col("mtm_cpty").isNotNull()).alias("n"),
     )
     k = pre.select(
         clean_label("classif_raw").alias("classif"),
@@ -190,7 +190,7 @@ def mtm_by_class_cpty(*sheets: DataFrame) -> DataFrame:
         & ~F.lower("counterparty").isin(*SKIP_COUNTERPARTY_LABELS),
     ).otherwise(F.lit(False))
     return k.where(keep).groupBy("classif", "counterparty").agg(
-        F.coalesce(F.sum("g"), F.lit(0)).alias("mtm_gam"),
+        F.coalesce(F.sum("g"), F.lit(0)).alias("mtm_own"),
         F.coalesce(F.sum("c"), F.lit(0)).alias("mtm_cpty"),
     )
 
@@ -212,8 +212,8 @@ def aggregate_by_norm(
 
 RECON_COLUMNS = (
     "norm_counterparty", "norm_typology", "counterparty_template", "classif_di",
-    "mtm_gam_template", "mtm_cpty_template", "counterparty_collateral", "typology",
-    "mtm_gam_collateral", "mtm_cpty_collateral", "gap_mtm_gam", "gap_mtm_cpty",
+    "mtm_own_template", "mtm_cpty_template", "counterparty_collateral", "typology",
+    "mtm_own_collateral", "mtm_cpty_collateral", "gap_mtm_own", "gap_mtm_cpty",
     "present_template", "present_collateral",
 )
 
@@ -221,9 +221,9 @@ RECON_COLUMNS = (
 def reconcile(template: DataFrame, collateral: DataFrame, cp_aliases: DataFrame, typ_aliases: DataFrame) -> DataFrame:
     """JN-6 + CTL-7 + MAP-14 + SRT-1: full outer comparison by normalised keys.
 
-    ``template``: ``classif, counterparty, mtm_gam, mtm_cpty`` (AGG-2 output,
+    ``template``: ``classif, counterparty, mtm_own, mtm_cpty`` (AGG-2 output,
     ordered by (classif, counterparty)); ``collateral``: ``counterparty,
-    typology, mtm_gam, mtm_cpty, ord``.  Missing amounts count 0; presence
+    typology, mtm_own, mtm_cpty, ord``.  Missing amounts count 0; presence
     flags come from each side's label.  (S18: an empty side still returns the
     other side's rows.)
     """
@@ -232,30 +232,30 @@ def reconcile(template: DataFrame, collateral: DataFrame, cp_aliases: DataFrame,
     t = t.where(F.col("norm_counterparty").isNotNull() & F.col("norm_typology").isNotNull())
     t = t.withColumn("_ord", F.struct("classif", "counterparty"))
     t = aggregate_by_norm(t, ["norm_counterparty", "norm_typology"], ["counterparty", "classif"],
-                          ["mtm_gam", "mtm_cpty"], "_ord")
+                          ["mtm_own", "mtm_cpty"], "_ord")
     c = normalize_label(collateral, "counterparty", cp_aliases, "norm_counterparty")
     c = normalize_label(c, "typology", typ_aliases, "norm_typology")
     c = c.where(F.col("norm_counterparty").isNotNull() & F.col("norm_typology").isNotNull())
     c = aggregate_by_norm(c, ["norm_counterparty", "norm_typology"], ["counterparty", "typology"],
-                          ["mtm_gam", "mtm_cpty"], "ord")
+                          ["mtm_own", "mtm_cpty"], "ord")
     t = t.select("norm_counterparty", "norm_typology",
                  F.col("counterparty").alias("counterparty_template"), F.col("classif").alias("classif_di"),
-                 F.col("mtm_gam").alias("_tg"), F.col("mtm_cpty").alias("_tc"))
+                 F.col("mtm_own").alias("_tg"), F.col("mtm_cpty").alias("_tc"))
     c = c.select("norm_counterparty", "norm_typology",
                  F.col("counterparty").alias("counterparty_collateral"), "typology",
-                 F.col("mtm_gam").alias("_cg"), F.col("mtm_cpty").alias("_cc"))
+                 F.col("mtm_own").alias("_cg"), F.col("mtm_cpty").alias("_cc"))
     j = c.join(t, ["norm_counterparty", "norm_typology"], "full")
     zero = F.lit(0)
     j = j.withColumns(
         {
-            "mtm_gam_template": F.coalesce("_tg", zero),
+            "mtm_own_template": F.coalesce("_tg", zero),
             "mtm_cpty_template": F.coalesce("_tc", zero),
-            "mtm_gam_collateral": F.coalesce("_cg", zero),
+            "mtm_own_collateral": F.coalesce("_cg", zero),
             "mtm_cpty_collateral": F.coalesce("_cc", zero),
         }
     ).withColumns(
         {
-            "gap_mtm_gam": F.col("mtm_gam_template") - F.col("mtm_gam_collateral"),
+            "gap_mtm_own": F.col("mtm_own_template") - F.col("mtm_own_collateral"),
             "gap_mtm_cpty": F.col("mtm_cpty_template") - F.col("mtm_cpty_collateral"),
             "present_template": F.col("counterparty_template").isNotNull(),
             "present_collateral": F.col("counterparty_collateral").isNotNull(),
@@ -271,7 +271,7 @@ def sort_recon(df: DataFrame) -> DataFrame:
 
 def max_gap(recon: DataFrame) -> DataFrame:
     """AGG-7 + CHK-5: largest absolute gap and the concordance flag."""
-    g = F.greatest(F.abs("gap_mtm_gam"), F.abs("gap_mtm_cpty"))
+    g = F.greatest(F.abs("gap_mtm_own"), F.abs("gap_mtm_cpty"))
     return recon.agg(F.max(g).alias("max_abs_gap")).withColumn(
         "concordant", F.col("max_abs_gap") < F.lit(CONCORDANCE_TOLERANCE)
     )

@@ -291,7 +291,7 @@ def mtm_by_class_cpty(spark, sf_dir):
     """AGG-2, SET-4, FLT-5, FLT-6: report MtM per (class, counterparty) over
     the swap and bond-forward sheets."""
     template, _ = _recon_inputs(spark, sf_dir)
-    return _as_double(template, ["mtm_gam", "mtm_cpty"]).orderBy("classif", "counterparty")
+    return _as_double(template, ["mtm_own", "mtm_cpty"]).orderBy("classif", "counterparty")
 
 
 @register
@@ -339,8 +339,8 @@ def aggregate_by_norm(spark, sf_dir):
     n = R.normalize_label(n, "typology", B.typology_aliases(spark), "norm_typology")
     n = n.where(F.col("norm_counterparty").isNotNull() & F.col("norm_typology").isNotNull())
     a = R.aggregate_by_norm(n, ["norm_counterparty", "norm_typology"], ["counterparty", "typology"],
-                            ["mtm_gam", "mtm_cpty"], "ord")
-    return _as_double(a, ["mtm_gam", "mtm_cpty"])
+                            ["mtm_own", "mtm_cpty"], "ord")
+    return _as_double(a, ["mtm_own", "mtm_cpty"])
 
 
 def _recon(spark, sf_dir) -> DataFrame:
@@ -348,8 +348,8 @@ def _recon(spark, sf_dir) -> DataFrame:
 
     template, collat = _recon_inputs(spark, sf_dir)
     r = R.reconcile(template, collat, B.cpty_aliases(spark, sf_dir), B.typology_aliases(spark))
-    return _as_double(r, ["mtm_gam_template", "mtm_cpty_template", "mtm_gam_collateral", "mtm_cpty_collateral",
-                          "gap_mtm_gam", "gap_mtm_cpty"])
+    return _as_double(r, ["mtm_own_template", "mtm_cpty_template", "mtm_own_collateral", "mtm_cpty_collateral",
+                          "gap_mtm_own", "gap_mtm_cpty"])
 
 
 @register

@@ -113,20 +113,26 @@ def previous_run(spark, sf_dir):
     """SRC-15, DATE-7: for every (run date, mode), the previous production:
     same month's fast for a close, previous quarter's close otherwise."""
     lst = listing(spark, sf_dir).withColumns({"year": F.year("run_date"), "month": F.month("run_date")})
-    winners = FS.latest_by_name_date(lst, ("year", "month", "mode"))
+    # each eleventh file lies in the bare month folder
+    placed = lst.withColumn("mode", F.when(F.col("o_orderkey") % 11 != 0, F.col("mode")))
+    winners = FS.latest_by_name_date(placed, ("year", "month", "mode"))
     runs = lst.select("run_date", "mode").distinct()
     return FS.previous_production(runs, winners)
 
 
 ORACLE["previous_run"] = f"""with l0 as ({_L}), l as (select *, year(run_date) as year, month(run_date) as month from l0),
-w as ({_latest_sql('year, month, mode')}),
+w as (select *, case when regexp_matches(file_name, '[0-9]{{2}}-[0-9]{{2}}-[0-9]{{4}}')
+   then try_strptime(regexp_extract(file_name, '([0-9]{{2}}-[0-9]{{2}}-[0-9]{{4}})', 1), '%d-%m-%Y') end as dd
+  from l where starts_with(file_name, 'IFT - ') and (ends_with(file_name, '.xlsm') or ends_with(file_name, '.xlsx'))),
 r as (select distinct run_date, mode from l0),
 t as (select run_date, mode,
   case when lower(mode) = 'close' then year(run_date) else year(date_trunc('quarter', run_date) - interval 1 month) end as t_year,
   case when lower(mode) = 'close' then month(run_date) else month(date_trunc('quarter', run_date) - interval 1 month) end as t_month,
-  case when lower(mode) = 'close' then 'fast' else 'close' end as t_mode from r)
-select t.t_year, t.t_month, t.t_mode, t.run_date, t.mode, w.latest as previous
-from t left join w on w.year = t.t_year and w.month = t.t_month and w.mode = t.t_mode"""
+  case when lower(mode) = 'close' then 'fast' else 'close' end as t_mode from r),
+c as (select t.*, w.file_name, row_number() over (partition by t.run_date, t.mode
+  order by w.dd is not null desc, w.dd desc nulls last, w.file_name desc nulls last) as rn
+ from t left join w on w.year = t.t_year and w.month = t.t_month and (w.mode = t.t_mode or w.o_orderkey % 11 = 0))
+select t_year, t_month, t_mode, run_date, mode, file_name as previous from c where rn = 1"""
 
 
 @register

@@ -212,16 +212,16 @@ def collateral_file(spark, sf_dir):
     # CHK-1 is a report over the layouts (feeds.missing_columns), not a plan-time stop
     wanted = tuple(h.strip() for h in COLLATERAL_HEADERS)
     rows_, _ = feeds.read_delimited(spark, [f"{base}/*.csv"], sep=";", columns=wanted)
-    named = rows_.select(*[F.col(f"`{h}`").alias(n) for h, n in zip(wanted, ("cpty", "typology", "mtm_gam", "mtm_cpty"))],
+    named = rows_.select(*[F.col(f"`{h}`").alias(n) for h, n in zip(wanted, ("cpty", "typology", "mtm_own", "mtm_cpty"))],
                          F.struct("source_file", "position").alias("ord"))
-    loaded = R.load_collateral(named, "cpty", "typology", "mtm_gam", "mtm_cpty")
-    return loaded.select("counterparty", "typology", "mtm_gam", "mtm_cpty")
+    loaded = R.load_collateral(named, "cpty", "typology", "mtm_own", "mtm_cpty")
+    return loaded.select("counterparty", "typology", "mtm_own", "mtm_cpty")
 
 
 ORACLE["collateral_file"] = f"""with c as ({BS.C}),
 t as (select {S.clean_label('cpty')} as counterparty,
   {S.clean_label("case when typology = 'Repo' then '  ' else typology end")} as typology,
-  cast(mtm_own as double) as mtm_gam, cast(mtm_cpty as double) as mtm_cpty from c)
+  cast(mtm_own as double) as mtm_own, cast(mtm_cpty as double) as mtm_cpty from c)
 select * from t where counterparty is not null and typology is not null"""
 
 
@@ -239,9 +239,9 @@ def csv_export(spark, sf_dir):
     tbl = spark.read.parquet(f"{base}/table")
     keys = ["norm_counterparty", "norm_typology"]
     return csv.select(*keys, F.col("present_template").alias("present_template_text")).join(
-        tbl.select(*keys, "gap_mtm_gam", "gap_mtm_cpty"), keys, "inner")
+        tbl.select(*keys, "gap_mtm_own", "gap_mtm_cpty"), keys, "inner")
 
 
 ORACLE["csv_export"] = ORACLE["collateral_recon"].replace(
     "select * from rc order by norm_counterparty nulls last, norm_typology nulls last",
-    "select norm_counterparty, norm_typology, cast(present_template as varchar) as present_template_text, gap_mtm_gam, gap_mtm_cpty from rc")
+    "select norm_counterparty, norm_typology, cast(present_template as varchar) as present_template_text, gap_mtm_own, gap_mtm_cpty from rc")

@@ -173,15 +173,15 @@ sh0 as (select {S.clean_label('classif')} as classif, {S.clean_label('cpty')} as
   union all select {S.clean_label('classif')}, {S.clean_label('cpty')}, gam, cp from fw),
 sh as (select * from sh0 where classif is not null and counterparty is not null
   and lower(counterparty) not in ('counterparty', 'contrepartie', 'cp', 'total') and (gam is not null or cp is not null)),
-tpl as (select classif, counterparty, coalesce(sum(gam), 0) as mtm_gam, coalesce(sum(cp), 0) as mtm_cpty from sh group by classif, counterparty),
+tpl as (select classif, counterparty, coalesce(sum(gam), 0) as mtm_own, coalesce(sum(cp), 0) as mtm_cpty from sh group by classif, counterparty),
 a as ({B.A}), y as ({B.Y}), c as ({B.C}),
-col as (select {S.clean_label('cpty')} as counterparty, {S.clean_label('typology')} as typology, mtm_own as mtm_gam, mtm_cpty,
+col as (select {S.clean_label('cpty')} as counterparty, {S.clean_label('typology')} as typology, mtm_own as mtm_own, mtm_cpty,
   cpty as o1, typology as o2 from c),
 col2 as (select * from col where counterparty is not null and typology is not null)
 """
 
 ORACLE["mtm_by_class_cpty"] = _TPL + """
-select classif, counterparty, cast(mtm_gam as double) as mtm_gam, cast(mtm_cpty as double) as mtm_cpty from tpl order by classif, counterparty"""
+select classif, counterparty, cast(mtm_own as double) as mtm_own, cast(mtm_cpty as double) as mtm_cpty from tpl order by classif, counterparty"""
 
 def _norm(src: str, label: str, alias: str, out: str) -> str:
     return (f"coalesce((select {alias}.canonical from {alias} where {alias}.alias_key = lower({S.clean_label(src + '.' + label)})), "
@@ -218,26 +218,26 @@ _COLN = """coln as (select col2.*, """ + _norm('col2', 'counterparty', 'a', 'nor
 cola as (select norm_counterparty, norm_typology,
   first(counterparty order by o1, o2) filter (where counterparty is not null) as counterparty,
   first(typology order by o1, o2) filter (where typology is not null) as typology,
-  coalesce(sum(mtm_gam), 0) as mtm_gam, coalesce(sum(mtm_cpty), 0) as mtm_cpty
+  coalesce(sum(mtm_own), 0) as mtm_own, coalesce(sum(mtm_cpty), 0) as mtm_cpty
   from coln where norm_counterparty is not null and norm_typology is not null group by 1, 2)"""
 
 ORACLE["aggregate_by_norm"] = _TPL + "," + _COLN + """
-select norm_counterparty, norm_typology, counterparty, typology, cast(mtm_gam as double) as mtm_gam, cast(mtm_cpty as double) as mtm_cpty from cola"""
+select norm_counterparty, norm_typology, counterparty, typology, cast(mtm_own as double) as mtm_own, cast(mtm_cpty as double) as mtm_cpty from cola"""
 
 _RECON = _TPL + "," + _COLN + """,
 tn as (select tpl.*, """ + _norm('tpl', 'counterparty', 'a', 'norm_counterparty') + ", " + _norm('tpl', 'classif', 'y', 'norm_typology') + """ from tpl),
 tpa as (select norm_counterparty, norm_typology,
   first(counterparty order by classif, counterparty) filter (where counterparty is not null) as counterparty_template,
   first(classif order by classif, counterparty) filter (where classif is not null) as classif_di,
-  coalesce(sum(mtm_gam), 0) as tg, coalesce(sum(mtm_cpty), 0) as tc
+  coalesce(sum(mtm_own), 0) as tg, coalesce(sum(mtm_cpty), 0) as tc
   from tn where norm_counterparty is not null and norm_typology is not null group by 1, 2),
 rc as (select coalesce(cola.norm_counterparty, tpa.norm_counterparty) as norm_counterparty,
   coalesce(cola.norm_typology, tpa.norm_typology) as norm_typology,
   tpa.counterparty_template, tpa.classif_di,
-  cast(coalesce(tg, 0) as double) as mtm_gam_template, cast(coalesce(tc, 0) as double) as mtm_cpty_template,
+  cast(coalesce(tg, 0) as double) as mtm_own_template, cast(coalesce(tc, 0) as double) as mtm_cpty_template,
   cola.counterparty as counterparty_collateral, cola.typology,
-  cast(coalesce(cola.mtm_gam, 0) as double) as mtm_gam_collateral, cast(coalesce(cola.mtm_cpty, 0) as double) as mtm_cpty_collateral,
-  cast(coalesce(tg, 0) - coalesce(cola.mtm_gam, 0) as double) as gap_mtm_gam,
+  cast(coalesce(cola.mtm_own, 0) as double) as mtm_own_collateral, cast(coalesce(cola.mtm_cpty, 0) as double) as mtm_cpty_collateral,
+  cast(coalesce(tg, 0) - coalesce(cola.mtm_own, 0) as double) as gap_mtm_own,
   cast(coalesce(tc, 0) - coalesce(cola.mtm_cpty, 0) as double) as gap_mtm_cpty,
   tpa.counterparty_template is not null as present_template, cola.counterparty is not null as present_collateral
   from cola full join tpa on cola.norm_counterparty = tpa.norm_counterparty and cola.norm_typology = tpa.norm_typology)
@@ -246,8 +246,8 @@ rc as (select coalesce(cola.norm_counterparty, tpa.norm_counterparty) as norm_co
 ORACLE["collateral_recon"] = _RECON + "select * from rc order by norm_counterparty nulls last, norm_typology nulls last"
 
 ORACLE["recon_max_gap"] = _RECON + """
-select max(greatest(abs(gap_mtm_gam), abs(gap_mtm_cpty))) as max_abs_gap,
- max(greatest(abs(gap_mtm_gam), abs(gap_mtm_cpty))) < 1e-6 as concordant from rc"""
+select max(greatest(abs(gap_mtm_own), abs(gap_mtm_cpty))) as max_abs_gap,
+ max(greatest(abs(gap_mtm_own), abs(gap_mtm_cpty))) < 1e-6 as concordant from rc"""
 
 # ------------------------------------------------------------------ period comparison
 def _prod(name: str, filled: str) -> str:

@@ -200,6 +200,10 @@ ORACLE["parse_date_lenient_text"] = f"""with dt as ({_DATE_TEXT_SQL}) select l_o
 
 
 # ------------------------------------------------------------------ calendar
+# text before and after the date in the attachment's name
+ATTACHMENT = ("Valuation ", " - control.xlsx")
+
+
 @register
 def next_business_day_tags(spark, sf_dir):
     """DATE-5, DATE-7, DATE-8, SNK-7: business-day file tag, previous
@@ -219,14 +223,14 @@ def next_business_day_tags(spark, sf_dir):
         date_tag(d, "month_folder").alias("month_folder"),
         date_tag(d, "iso").alias("iso_tag"),
         date_tag(d, "display").alias("display"),
-        F.concat(F.lit("VALO IFT "), date_tag(d, "attachment"), F.lit(" - contrôle SD vs SCD.xlsx")).alias("attachment"),
+        F.concat(F.lit(ATTACHMENT[0]), date_tag(d, "attachment"), F.lit(ATTACHMENT[1])).alias("attachment"),
     )
 
 
 ORACLE["next_business_day_tags"] = """select o_orderkey, d as ifts_date, nbd as file_day, strftime(nbd, '%m%d%Y') as file_tag,
  cast(year(pq) as integer) as prev_quarter_year, cast(month(pq) as integer) as prev_quarter_month,
  strftime(d, '%Y') as year_folder, strftime(d, '%m-%Y') as month_folder, strftime(d, '%Y-%m-%d') as iso_tag,
- strftime(d, '%d/%m/%Y') as display, concat('VALO IFT ', strftime(d, '%d-%m-%Y'), ' - contrôle SD vs SCD.xlsx') as attachment
+ strftime(d, '%d/%m/%Y') as display, concat('""" + ATTACHMENT[0] + """', strftime(d, '%d-%m-%Y'), '""" + ATTACHMENT[1] + """') as attachment
 from (select o_orderkey, d, cast(d + (case isodow(d) when 5 then 3 when 6 then 2 else 1 end) as date) as nbd,
   cast(date_trunc('quarter', d) - interval 1 month as date) as pq
  from (select o_orderkey, cast(o_orderdate as date) as d from orders) x) y"""

@@ -88,8 +88,9 @@ def previous_production(runs: DataFrame, folder_winners: DataFrame) -> DataFrame
     """SRC-15 + DATE-7: the production to compare a run with.
 
     ``runs``: ``run_date, mode``; ``folder_winners``: ``year, month, mode,
-    latest`` (one row per production folder, from ``latest_by_name_date``).
-    Mode ``close`` compares with the same month's ``fast``; any other mode
+    latest`` (one row per production folder, from ``latest_by_name_date``;
+    mode is null for a file that lies in the bare month folder).  The winner is
+    chosen over the mode folder and the bare month folder together.  Mode ``close`` compares with the same month's ``fast``; any other mode
     with the previous quarter's ``close``.
     """
     is_close = F.lower("mode") == "close"
@@ -101,8 +102,15 @@ def previous_production(runs: DataFrame, folder_winners: DataFrame) -> DataFrame
         F.when(is_close, F.lit("fast")).otherwise(F.lit("close")).alias("t_mode"),
     )
     w = folder_winners.select(F.col("year").alias("t_year"), F.col("month").alias("t_month"),
-                              F.col("mode").alias("t_mode"), F.col("latest").alias("previous"))
-    return target.join(w, ["t_year", "t_month", "t_mode"], "left")
+                              F.lower("mode").alias("_mode"), F.col("latest").alias("previous"))
+    here = F.col("_mode").isNull() | (F.col("_mode") == F.col("t_mode"))
+    d = date_from_name("previous")
+    key = F.struct(d.isNotNull().alias("dated"), d.alias("d"), F.col("previous").alias("n"))
+    return (
+        target.join(w, ["t_year", "t_month"], "left")
+        .groupBy("t_year", "t_month", "t_mode", "run_date", "mode")
+        .agg(F.max_by("previous", F.when(here & F.col("previous").isNotNull(), key)).alias("previous"))
+    )
 
 
 def current_production(runs: DataFrame, listing: DataFrame) -> DataFrame:

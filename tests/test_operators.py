@@ -154,16 +154,16 @@ def test_period_gap_antisymmetry_and_totals(spark, data):
 
 def test_reconcile_conserves_both_sides(spark):
     tmpl = spark.createDataFrame([("CMS Swap", "Bank A", 10.0, 1.0), ("Forward", "Bank B", 5.0, 2.0)],
-                                 "classif string, counterparty string, mtm_gam double, mtm_cpty double")
+                                 "classif string, counterparty string, mtm_own double, mtm_cpty double")
     col = spark.createDataFrame([(" bank a ", "IR swap, fixed/float", 7.0, 1.0, 0), ("Bank C", "Repo", 3.0, None, 1)],
-                                "counterparty string, typology string, mtm_gam double, mtm_cpty double, ord int")
+                                "counterparty string, typology string, mtm_own double, mtm_cpty double, ord int")
     aliases = reconcile.parse_aliases(reconcile.alias_lines(spark, reconcile.DEFAULT_TYPOLOGY_ALIASES))
     cp = reconcile.parse_aliases(reconcile.alias_lines(spark, "x = y"))
     r = reconcile.reconcile(tmpl, col, cp, aliases)
-    got = rows(reconcile.sort_recon(r), "norm_counterparty", "norm_typology", "gap_mtm_gam", "present_template", "present_collateral")
+    got = rows(reconcile.sort_recon(r), "norm_counterparty", "norm_typology", "gap_mtm_own", "present_template", "present_collateral")
     assert got == [("BANK A", "IR swap, fixed/float", 3.0, True, True), ("BANK B", "Forward", 5.0, True, False),
                    ("BANK C", "REPO", -3.0, False, True)]
-    tot = rows(r.agg(F.sum("mtm_gam_template"), F.sum("mtm_gam_collateral")))[0]
+    tot = rows(r.agg(F.sum("mtm_own_template"), F.sum("mtm_own_collateral")))[0]
     assert tot == (15.0, 10.0)
     assert rows(reconcile.max_gap(r), "max_abs_gap", "concordant") == [(5.0, False)]
 
