@@ -208,7 +208,7 @@ n as (select m.dest, m.basename, m.ord, (row_number() over (partition by m.dest,
   where m.o_orderstatus <> 'F'),
 t as (select dest, basename, ord, case when j = 0 then basename
   else concat(regexp_extract(basename, '^(.*?)(\\.[^.]*)?$', 1), '_', cast(j as varchar), regexp_extract(basename, '^(.*?)(\\.[^.]*)?$', 2)) end as target_name from n)
-select t.*, (t.target_name in (select basename from ex where ex.dest = t.dest) and t.target_name <> t.basename) as collides from t"""
+select t.*, t.target_name <> t.basename as collides from t"""
 
 
 # ------------------------------------------------------------------ set operations and code lists

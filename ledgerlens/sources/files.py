@@ -168,28 +168,40 @@ def collision_names(members: DataFrame, existing: DataFrame) -> DataFrame:
     """SRC-3: flattened member names made unique in their destination.
 
     ``members``: ``dest, basename, ord`` (extraction order); ``existing``:
-    ``dest, file_name``.  The k-th member (0-based) with a basename keeps it
-    when k = 0 and the name is free, else gets ``<stem>_<j><ext>`` with j
-    counting on past the occurrences already taken.  ``collides`` flags the
-    rare names that still clash with a pre-existing suffixed file.
+    ``dest, file_name``.  In extraction order each member takes its basename
+    or the first of ``<stem>_1<ext>``, ``<stem>_2<ext>`` ... that neither an
+    existing file nor an earlier member has.  ``collides`` flags the members
+    that needed a suffix.
+
+    The k-th member (0-based) of a basename cannot do better than suffix k (one
+    more where the plain name exists), so all start there at once.  Then every
+    name goes to its earliest claimant, and who loses it, or claims an existing
+    name, tries the next suffix, until nobody loses.  Further rounds only
+    happen where a suffixed name is also somebody's own name.
     """
     from ..operators.placement import sequential_index
+    from ..session import materialize
 
     stem = F.regexp_extract("basename", r"^(.*?)(\.[^.]*)?$", 1)
     ext = F.regexp_extract("basename", r"^(.*?)(\.[^.]*)?$", 2)
-    ex = existing.select("dest", F.col("file_name").alias("basename"), F.lit(True).alias("_pre"))
+    have = existing.select("dest", F.col("file_name").alias("target_name"), F.lit(True).alias("_have")).distinct()
     # occurrence number per (dest, basename) in extraction order: range-partitioned
     # numbering, so one very common name is not numbered inside a single task
-    numbered = sequential_index(members, ["ord"], group_cols=["dest", "basename"], name="_k", start=0)
-    m = numbered.join(ex.distinct(), ["dest", "basename"], "left")
-    k = F.col("_k")
-    pre = F.coalesce("_pre", F.lit(False))
-    j = k + F.when(pre, 1).otherwise(0)
-    name = F.when(j == 0, F.col("basename")).otherwise(F.concat(stem, F.lit("_"), j.cast("string"), ext))
-    out = m.withColumn("target_name", name).drop("_pre", "_k")
-    clash = existing.select("dest", F.col("file_name").alias("target_name"), F.lit(True).alias("_c")).distinct()
-    out = out.join(clash, ["dest", "target_name"], "left")
-    return out.withColumn("collides", F.coalesce("_c", F.lit(False)) & (F.col("target_name") != F.col("basename"))).drop("_c")
+    state = sequential_index(members, ["ord"], group_cols=["dest", "basename"], name="_j", start=0)
+    plain = have.select("dest", F.col("target_name").alias("basename"), F.lit(1).alias("_pre"))
+    state = state.join(plain, ["dest", "basename"], "left").withColumn("_j", F.col("_j") + F.coalesce("_pre", F.lit(0)))
+    name = F.when(F.col("_j") == 0, F.col("basename")).otherwise(F.concat(stem, F.lit("_"), F.col("_j").cast("string"), ext))
+    claim = F.struct("ord", "basename", "_j")
+    while True:
+        claims = state.withColumn("target_name", name)
+        winners = claims.groupBy("dest", "target_name").agg(F.min(claim).alias("_first"))
+        judged = claims.join(winners, ["dest", "target_name"]).join(have, ["dest", "target_name"], "left")
+        lost = F.coalesce("_have", F.lit(False)) | (claim != F.col("_first"))
+        judged = materialize(judged.withColumn("_lost", lost), "claims")
+        if judged.where("_lost").isEmpty():
+            break
+        state = judged.withColumn("_j", F.col("_j") + F.col("_lost").cast("int")).select(*members.columns, "_j")
+    return judged.select(*members.columns, "target_name", (F.col("target_name") != F.col("basename")).alias("collides"))
 
 
 def output_path(base: str, run_date: Column, mode: Column) -> Column:

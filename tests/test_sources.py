@@ -117,3 +117,30 @@ def test_broken_archive_is_reported(spark):
     mem = archives.read_archives(spark, d)
     assert [(r[0], r[1]) for r in rows(archives.broken(mem), "archive", "member")] == [("bad.zip", None)]
     assert archives.select_members(mem).count() == 0
+
+
+def test_collision_names_against_one_after_another(spark):
+    import random
+
+    r = random.Random(3)
+    cases = [("d0", ["a.xls", "a_1.xls", "a.xls"], ["a.xls", "a_2.xls"])]
+    for i in range(1, 12):
+        pool = ["a.xls", "a_1.xls", "a_2.xls", "a_1_1.xls", "b", "b_1", "c.x.y"]
+        cases.append((f"d{i}", [r.choice(pool) for _ in range(12)], r.sample(pool, 3)))
+    members, have, want = [], [], []
+    for dest, new, old in cases:
+        taken = set(old)
+        have += [(dest, o) for o in old]
+        for k, n in enumerate(new):
+            members.append((dest, n, k))
+            stem, dot, ext = n.rpartition(".") if "." in n else (n, "", "")
+            j, name = 0, n
+            while name in taken:
+                j += 1
+                name = f"{stem}_{j}{dot}{ext}"
+            taken.add(name)
+            want.append((dest, k, name))
+    got = files.collision_names(
+        spark.createDataFrame(members, "dest string, basename string, ord int"),
+        spark.createDataFrame(have, "dest string, file_name string"))
+    assert sorted(rows(got, "dest", "ord", "target_name")) == sorted(want)
