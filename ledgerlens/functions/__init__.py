@@ -14,7 +14,6 @@ from .dates import (
 from .numbers import (
     div_optional,
     mul,
-    nan_to_null,
     normalize_book,
     parse_number,
     pct_change,
@@ -31,9 +30,7 @@ from .text import (
     format_money,
     header_norm,
     legacy_code_present,
-    norm_key,
     norm_label,
-    starts_with_ci,
     strip_ws,
     valid_code,
 )

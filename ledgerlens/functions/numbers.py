@@ -53,12 +53,6 @@ def parse_number(c, dialect: str = "eu") -> Column:
     return _gated_double(s)
 
 
-def nan_to_null(c) -> Column:
-    """S1: NaN is not a value; make it null before any comparison."""
-    col = _c(c)
-    return F.when(~F.isnan(col), col)
-
-
 def sub_optional(a, b) -> Column:
     """NUM-4: a - b, null only if both are null, a missing side counts as 0."""
     a, b = _c(a), _c(b)

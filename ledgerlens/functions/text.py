@@ -59,11 +59,6 @@ def norm_label(c) -> Column:
     return F.lower(collapse_ws(c))
 
 
-def norm_key(c) -> Column:
-    """STR-9: alias key = clean label case-folded (``lower``)."""
-    return F.lower(clean_label(c))
-
-
 def clean_str(c) -> Column:
     """STR-6: null-safe clean: null -> '', else stripped."""
     return F.coalesce(strip_ws(c), F.lit(""))
@@ -104,11 +99,6 @@ def header_norm(c) -> Column:
     return norm_label(s)
 
 
-def starts_with_ci(c, prefix: str) -> Column:
-    """STR-8: case-insensitive prefix test."""
-    return F.upper(_c(c)).startswith(prefix.upper())
-
-
 def format_money(c) -> Column:
     """STR-7: amount text for the MtM summary.
 

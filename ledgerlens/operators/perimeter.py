@@ -65,7 +65,3 @@ def dedup_stats(peri_before: DataFrame, id_cols: list[str]) -> DataFrame:
         F.sum("_n").cast("long").alias("dedup_before"),
         F.count(F.lit(1)).alias("dedup_after"),
     )
-
-
-def blank_key(c) -> Column:
-    return strip_ws(c) == ""

@@ -100,30 +100,16 @@ def totals_long(totals: DataFrame, production_col: str = "production",
     return t.withColumn("delta_total", F.col("total_current") - F.col("total_previous"))
 
 
-def rollup_categories(totals: DataFrame, bridge: DataFrame, items: DataFrame) -> DataFrame:
-    """JN-10 + AGG-8: value of each summary item from the class totals.
+def rollup_productions(totals: DataFrame, bridge: DataFrame, items: DataFrame, production_col: str = "production",
+                       current: str = "current", previous: str = "previous") -> DataFrame:
+    """JN-10 + AGG-8 for two productions in one pass over long totals
+    (``production, classif, total``): one row per summary item with its
+    current and previous value.
 
     Class labels are normalised (GRD-1) and summed per spelling; an item sums
     its categories' spellings that are present; if none is present, its
     fallback spellings; else null (S10: all present spellings are summed).
     """
-    norm = totals.groupBy(norm_label("classif").alias("alias_norm")).agg(F.sum("total").alias("v"))
-    j = norm.join(F.broadcast(bridge), "alias_norm", "inner")
-    per_item = j.groupBy("item_ord").agg(
-        F.sum(F.when(~F.col("is_fallback"), F.col("v"))).alias("_cat"),
-        F.count_if(~F.col("is_fallback")).alias("_ncat"),
-        F.sum(F.when(F.col("is_fallback"), F.col("v"))).alias("_fb"),
-    )
-    out = F.broadcast(items).join(per_item, "item_ord", "left")
-    value = F.when(F.col("_ncat") > 0, F.col("_cat")).otherwise(F.col("_fb"))
-    return out.select("item_ord", "item_label", "bullet", "needs_reason", value.alias("value"))
-
-
-def rollup_productions(totals: DataFrame, bridge: DataFrame, items: DataFrame, production_col: str = "production",
-                       current: str = "current", previous: str = "previous") -> DataFrame:
-    """JN-10 + AGG-8 for two productions in one pass over long totals
-    (``production, classif, total``): one row per summary item with its
-    current and previous value (same rules as ``rollup_categories``)."""
     p = F.col(production_col)
     norm = totals.groupBy(p.alias("_p"), norm_label("classif").alias("alias_norm")).agg(F.sum("total").alias("v"))
     j = norm.join(F.broadcast(bridge), "alias_norm", "inner")
@@ -138,7 +124,7 @@ def rollup_productions(totals: DataFrame, bridge: DataFrame, items: DataFrame, p
         ]
 
     per_item = j.groupBy("item_ord").agg(*side(current, "cur"), *side(previous, "prev"))
-    out = F.broadcast(items).join(per_item, "item_ord", "left")
+    out = items.join(per_item, "item_ord", "left")
 
     def value(name: str):
         return F.when(F.col(f"_{name}_n") > 0, F.col(f"_{name}_cat")).otherwise(F.col(f"_{name}_fb"))
@@ -147,33 +133,14 @@ def rollup_productions(totals: DataFrame, bridge: DataFrame, items: DataFrame, p
 
 
 def summary_text_wide(items: DataFrame, current_date: str, previous_date: str) -> DataFrame:
-    """CTL-9 on ``item_ord, item_label, bullet, needs_reason, cur, prev``."""
-    j = items.where(F.col("cur").isNotNull() | F.col("prev").isNotNull())
-    unit = SUMMARY_UNIT_DATED.format(date=previous_date) if current_date else SUMMARY_UNIT
-    line = F.concat(F.col("bullet"), F.col("item_label"), F.lit(" : "), format_money("cur"), F.lit(" vs "),
-                    format_money("prev"), F.lit(unit))
-    block = F.when(F.col("needs_reason"), F.concat_ws("\n", line, F.lit(SUMMARY_REASON), F.lit(""))).otherwise(
-        F.concat_ws("\n", line, F.lit(""))
-    )
-    body = j.groupBy().agg(
-        F.array_sort(F.collect_list(F.struct(F.col("item_ord"), block.alias("b")))).alias("_blocks"),
-        F.count(F.lit(1)).alias("_n"),
-    )
-    head = "\n".join([SUMMARY_GREETING, "", SUMMARY_INTRO.format(date=current_date), SUMMARY_SECTION])
-    text = F.concat(F.lit(head + "\n"), F.array_join(F.transform("_blocks", lambda x: x["b"]), "\n"))
-    return body.select(F.when(F.col("_n") > 0, strip_ws(text)).alias("summary"))
-
-
-def summary_text(current_items: DataFrame, previous_items: DataFrame, current_date: str, previous_date: str) -> DataFrame:
-    """CTL-9 + STR-7: MtM summary text (one row, null when no item has a value).
+    """CTL-9 + STR-7: MtM summary text (one row, null when no item has a value)
+    from ``item_ord, item_label, bullet, needs_reason, cur, prev``.
 
     One line per item with a current or previous value: bullet, label,
     current vs previous in millions; a reason placeholder where flagged.
     At most five items, so the final string assembly is one small group.
     """
-    c = current_items.select("item_ord", "item_label", "bullet", "needs_reason", F.col("value").alias("cur"))
-    p = previous_items.select("item_ord", F.col("value").alias("prev"))
-    j = c.join(p, "item_ord", "inner").where(F.col("cur").isNotNull() | F.col("prev").isNotNull())
+    j = items.where(F.col("cur").isNotNull() | F.col("prev").isNotNull())
     unit = SUMMARY_UNIT_DATED.format(date=previous_date) if current_date else SUMMARY_UNIT
     line = F.concat(F.col("bullet"), F.col("item_label"), F.lit(" : "), format_money("cur"), F.lit(" vs "),
                     format_money("prev"), F.lit(unit))
@@ -186,5 +153,4 @@ def summary_text(current_items: DataFrame, previous_items: DataFrame, current_da
     )
     head = "\n".join([SUMMARY_GREETING, "", SUMMARY_INTRO.format(date=current_date), SUMMARY_SECTION])
     text = F.concat(F.lit(head + "\n"), F.array_join(F.transform("_blocks", lambda x: x["b"]), "\n"))
-    stripped = strip_ws(text)
-    return body.select(F.when(F.col("_n") > 0, stripped).alias("summary"))
+    return body.select(F.when(F.col("_n") > 0, strip_ws(text)).alias("summary"))

@@ -90,6 +90,22 @@ ORACLE["pattern_counts"] = f"""with l as ({_L}), p as (select * from (values {',
 select p.pattern, (select count(*) from l where regexp_matches(l.file_name, p.re)) as n_files from p"""
 
 
+# Wanted sources (folder, pattern): found, no match, missing folder.
+SOURCES = [(f"runs/{i}", p) for i in range(0, 45, 5) for p in ("IR_*.xls", "search_*.csv", "*.zip")]
+
+
+@register
+def source_status(spark, sf_dir):
+    """CHK-4: found, no match or missing source for each wanted folder and pattern."""
+    return FS.source_status(listing(spark, sf_dir), SOURCES)
+
+
+ORACLE["source_status"] = f"""with l as ({_L}), p as (select * from (values {', '.join(f"({S.q(f)}, {S.q(p)}, {S.q(FS._glob_regex(p))})" for f, p in SOURCES)}) v(folder, pattern, re)),
+n as (select folder, pattern, (select count(*) from l where l.folder = p.folder) as here,
+ (select count(*) from l where l.folder = p.folder and regexp_matches(l.file_name, p.re)) as n_files from p)
+select folder, pattern, n_files, case when here = 0 then 'missing source' when n_files = 0 then 'no match' else 'found' end as status from n"""
+
+
 def _latest_sql(group: str) -> str:
     return f"""select {group}, file_name as latest from (
  select *, row_number() over (partition by {group} order by dd is not null desc, dd desc nulls last, file_name desc) as rn

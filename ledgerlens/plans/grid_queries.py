@@ -21,9 +21,11 @@ _CACHE: dict = {}
 
 
 def _grid(spark, sf_dir):
-    """Cells, headers and layout of G (the cells are numbered once per
-    session and directory: their row numbering checkpoints)."""
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    """Cells, headers and layout of G (the cells are numbered once per session
+    and state of the table's files: their row numbering checkpoints)."""
+    files = spark.read.parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet").agg(
+        F.max("_metadata.file_modification_time"), F.count_distinct("_metadata.file_path"), F.count(F.lit(1))).first()
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, *files)
     if key not in _CACHE:
         c = cells_binding(spark, sf_dir)
         h, lay = grid.prepare(c, dims.expected_headers(spark))

@@ -18,12 +18,10 @@ from ..functions import date_from_name, next_business_day, previous_quarter_end
 # File-name patterns.
 PERIMETER_PREFIXES = ("IR_", "XCY_IR")
 PERIMETER_SUFFIX = ".xls"
-ARCHIVE_PATTERNS = ("XCY_IR_{tag}", "IR_{tag}")  # + "*.zip"
 PRODUCTION_PREFIX = "IFT - "
 PRODUCTION_SUFFIXES = (".xlsm", ".xlsx")
 SENSITIVITY_PATTERN = r"^[sS]ensis_IR_.*\.xls.*$"
 COLLATERAL_SUFFIX = "Report Collatéral.xlsx"
-FEED_PREFIX = "search_{org}_{date}"
 
 
 def list_files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
@@ -49,6 +47,23 @@ def _glob_regex(pattern: str) -> str:
     return "^" + "".join(out) + "$"
 
 
+def source_status(listing: DataFrame, sources: list[tuple[str, str]]) -> DataFrame:
+    """CHK-4: for each wanted (folder, glob pattern) the files found there and
+    ``missing source`` (no such folder), ``no match`` or ``found``.
+
+    One pass and one aggregate over the listing, whatever the number of sources.
+    """
+    spark = listing.sparkSession
+    wanted = spark.createDataFrame([(i, f, p) for i, (f, p) in enumerate(sources)], "source_no int, folder string, pattern string")
+    places = [F.when(F.col("folder") == f, F.struct(F.lit(i).alias("source_no"), F.col("file_name").rlike(_glob_regex(p)).alias("hit")))
+              for i, (f, p) in enumerate(sources)]
+    seen = listing.select(F.inline(F.array_compact(F.array(*places)))).groupBy("source_no").agg(
+        F.count_if("hit").alias("n"))
+    n = F.coalesce(F.col("n"), F.lit(0))
+    status = F.when(F.col("n").isNull(), "missing source").when(n == 0, "no match").otherwise("found")
+    return wanted.join(seen, "source_no", "left").select("folder", "pattern", n.alias("n_files"), status.alias("status"))
+
+
 def pattern_counts(listing: DataFrame, patterns: list[str]) -> DataFrame:
     """SRC-1 + CHK-4: files matched per glob pattern, zero included (the
     reference warns on patterns that match nothing)."""
@@ -202,9 +217,3 @@ def collision_names(members: DataFrame, existing: DataFrame) -> DataFrame:
             break
         state = judged.withColumn("_j", F.col("_j") + F.col("_lost").cast("int")).select(*members.columns, "_j")
     return judged.select(*members.columns, "target_name", (F.col("target_name") != F.col("basename")).alias("collides"))
-
-
-def output_path(base: str, run_date: Column, mode: Column) -> Column:
-    """SRC-17: ``<base>/<yyyy>/<MM-yyyy>/prod/<mode>``."""
-    return F.concat(F.lit(base.rstrip("/") + "/"), F.date_format(run_date, "yyyy"), F.lit("/"),
-                    F.date_format(run_date, "MM-yyyy"), F.lit("/prod/"), F.lower(mode))

@@ -103,3 +103,23 @@ def test_body_rows_are_not_regrouped(spark):
     h = SH.code_columns(r, SH.label_rows(r, SH.CODE_LABELS, default=3))
     plan = SH.body(r, h).select(SH.cell("A"))._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and plan.count("Aggregate") <= 4
+
+
+def test_source_status(spark):
+    from ledgerlens.sources import files
+
+    listing = spark.createDataFrame([("in", "IR_1.xls"), ("in", None), ("old", "x.csv")], "folder string, file_name string")
+    wanted = [("in", "IR_*.xls"), ("in", "*.zip"), ("gone", "*.zip")]
+    assert sorted(rows(files.source_status(listing, wanted))) == [
+        ("gone", "*.zip", 0, "missing source"), ("in", "*.zip", 0, "no match"), ("in", "IR_*.xls", 1, "found")]
+    assert sorted(rows(files.source_status(listing.limit(0), wanted), "status")) == [("missing source",)] * 3
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_read_cells(spark, tmp_path, fmt):
+    from ledgerlens.sources.cells import CELLS_SCHEMA, read_cells
+
+    path = str(tmp_path / fmt)
+    cells = spark.createDataFrame([("a.xls", 0, 1, "Class"), ("a.xls", 1, 1, "1,5")], CELLS_SCHEMA)
+    (cells.write.option("header", True).csv if fmt == "csv" else cells.write.parquet)(path)
+    assert sorted(rows(read_cells(spark, path, fmt))) == sorted(rows(cells))
