@@ -201,15 +201,17 @@ def passes(x: str, y: str) -> Column:
 
 
 def link(documents: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, key, n_shingles and component_id of each row.
+    """doc_id, key, n_shingles, component_id and root of each row.
 
     Two documents are linked when their sets of 5-word shingles (fewer words:
     the whole sequence) have 100 * intersection >= ``percent`` * union;
     component_id is the smallest id reachable by links, its own included.  Null,
     empty and blank texts have no shingles and no links.  Repeated rows and
     copies get the same component; a null id takes the smallest id it is linked
-    with, else stays null.  Other columns are not read; an empty table gives no
-    rows.
+    with, else stays null.  Ids may be null or used twice, so component_id does
+    not tell components apart; ``root`` does: the smallest class of the component,
+    null where there are no shingles.  Other columns are not read; an empty table
+    gives no rows.
     """
     described = materialize(describe(documents, levels(documents), percent), "shingled")
     some = described.where(F.col("n") > 0)
@@ -290,25 +292,26 @@ def link(documents: DataFrame, percent: int = 80) -> DataFrame:
         "class", "rep", F.coalesce("root", "class").alias("root")
     )
     least = by_class.groupBy("root").agg(F.min("rep").alias("component_id"))
-    ids = by_class.join(least, "root").select("class", "component_id")
+    ids = by_class.join(least, "root").select("class", "component_id", "root")
     return described.join(ids, "class", "left").select(
-        "doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root"
     )
 
 
 def keep_first(documents: DataFrame, percent: int = 80) -> DataFrame:
     """The document with the smallest id of each component, whole rows.
 
-    Of rows that repeat that id inside the component one stays.  A row without
-    shingles stays, once for each id and text.  A null id counts as the smallest.
+    Of rows that repeat that id inside the component one stays; rows of other
+    components stay whatever their ids.  A row without shingles stays, once for
+    each id and text.  A null id counts as the smallest.
     """
     lowest = F.lit(-(1 << 63))
     linked = link(documents, percent).select(
-        F.coalesce("component_id", lowest).alias("c"),
+        "root",
         F.when(F.col("n_shingles") == 0, F.struct("key", "doc_id")).alias("alone"),
         F.struct(F.coalesce("doc_id", lowest).alias("__id"), F.col("key").alias("__key")).alias("row"),
     )
-    first = linked.groupBy("c", "alone").agg(F.min("row").alias("row")).select("row.*").distinct()
+    first = linked.groupBy("root", "alone").agg(F.min("row").alias("row")).select("row.*").distinct()
     rows = documents.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), lowest)).withColumn(
         "__key", F.xxhash64("text")
     )

@@ -91,6 +91,24 @@ def test_any_order_of_shingles_gives_the_same_links(spark, monkeypatch):
         assert got(docs) == want
 
 
+def test_keep_first_tells_components_apart_by_more_than_the_id(spark):
+    text = lambda s: " ".join(f"{s}{i}" for i in range(30))
+    rows = [
+        (None, text("a")), (None, text("b")), (None, text("c")), (None, text("c").upper()), (None, "two words"),  # unlinked but for c
+        (7, text("d")), (7, text("e")),  # one id, two texts
+        (8, text("b") + " more"), (9, text("e") + " more"), (9, text("f")),  # copies of rows above, and 9 used again
+        (None, ""), (None, None), (7, ""),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = Counter((r["doc_id"], r["text"]) for r in jaccard.keep_first(docs).collect())
+    one_c = [t for d, t in kept if d is None and t and t.lower() == text("c")]
+    assert len(one_c) == 1
+    assert kept == Counter(
+        [(None, text("a")), (None, text("b")), (None, one_c[0]), (None, "two words")]
+        + [(7, text("d")), (7, text("e")), (9, text("f")), (None, ""), (None, None), (7, "")]
+    )
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randint(0, 150), r.randint(0, 150)) for _ in range(90)] + [(i, i + 1) for i in range(200, 240)] + [(300, i) for i in range(301, 340)]
