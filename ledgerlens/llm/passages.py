@@ -1,16 +1,18 @@
 """Substring dedup: hashing of lines, cut at sentence ends.
 
-A unit is a sentence inside a line.  Units are normalised (lower case, single
-blanks) and hashed to 128 bits; digests are grouped over all documents with the
-earliest ranked occurrence of each, and every later occurrence is a copy.  Runs
-of copies that reach ``min_words`` are removed, the rest of the text and the
-original offsets of what stays and goes are kept.  A unit under ``unit_words``
-words says nothing alone: it goes only inside a run of copies.
+A unit is a sentence inside a line; sentences and lines under ``UNIT_WORDS`` words
+that follow each other are units together.  Units are normalised (lower case,
+single blanks) and hashed to 128 bits; digests are grouped over all documents with
+the earliest ranked occurrence of each, and every later occurrence is a copy and
+goes.  The rest of the text and the original offsets of what stays and goes are
+kept.  A unit that stays under ``unit_words`` words says nothing alone: it goes
+only inside a run of copies.  In scripts without blanks two characters are a word.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -23,7 +25,12 @@ from ledgerlens.llm.batches import by_bytes
 from ledgerlens.llm.tokens import text_of
 
 BREAK = re.compile(r"\n\s*|(?<=[.!?])[^\S\n]+")
-UNIT_WORDS, MIN_WORDS = 4, 20
+#: Letters of scripts written without blanks: Thai, Lao, Myanmar, Khmer, kana, Han.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+UNSPACED_BREAK = re.compile(BREAK.pattern + "|(?<=[。！？｡])[^\\S\\n]*")
+UNIT_WORDS, MOST_SHORT_WORDS = 4, 16
+#: Every copy of a hashed unit goes; a higher bound keeps shorter runs.
+MIN_WORDS = UNIT_WORDS
 SPANS = "array<struct<start:long,end:long>>"
 
 
@@ -34,17 +41,47 @@ class Unit(NamedTuple):
     normal: str
 
 
-def units(text: str) -> Iterator[Unit]:
+def sentences(text: str) -> Iterator[Unit]:
     """Sentences of lines with their offsets (code points); they cover the text."""
+    unspaced = not text.isascii() and UNSPACED.search(text) is not None
     at = 0
-    for m in BREAK.finditer(text):
+
+    def unit(end: int, after: int) -> Unit:
+        words = text[at:end].lower().split()
+        normal = " ".join(words)
+        return Unit(at, after, len(words) + (len(UNSPACED.findall(normal)) // 2 if unspaced else 0), normal)
+
+    for m in (UNSPACED_BREAK if unspaced else BREAK).finditer(text):
         if m.end() > at:
-            words = text[at : m.start()].lower().split()
-            yield Unit(at, m.end(), len(words), " ".join(words))
+            yield unit(m.start(), m.end())
             at = m.end()
     if at < len(text):
-        words = text[at:].lower().split()
-        yield Unit(at, len(text), len(words), " ".join(words))
+        yield unit(len(text), len(text))
+
+
+def units(text: str) -> Iterator[Unit]:
+    """``sentences``, short ones that follow each other put together.
+
+    Such a unit ends where the hash of its last sentence is even, so that two
+    copies of a list that begin after different short lines soon agree.
+    """
+    start, words, normals = 0, 0, []
+    for unit in sentences(text):
+        if unit.words >= UNIT_WORDS:
+            if normals:
+                yield Unit(start, unit.start, words, " ".join(filter(None, normals)))
+                words, normals = 0, []
+            yield unit
+            continue
+        if not normals:
+            start = unit.start
+        words += unit.words
+        normals.append(unit.normal)
+        if words >= UNIT_WORDS and (words >= MOST_SHORT_WORDS or zlib.crc32(unit.normal.encode("utf-8", "surrogatepass")) % 2 == 0):
+            yield Unit(start, unit.end, words, " ".join(filter(None, normals)))
+            words, normals = 0, []
+    if normals:
+        yield Unit(start, len(text), words, " ".join(filter(None, normals)))
 
 
 def _digests(unit_words: int):

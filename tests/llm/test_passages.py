@@ -83,3 +83,26 @@ def test_units_cover_the_text(text):
     found = list(passages.units(text))
     assert "".join(text[u.start : u.end] for u in found) == text
     assert all(a.end == b.start for a, b in zip(found, found[1:], strict=False))
+
+
+def test_short_copies_lists_and_scripts_without_blanks_go(spark):
+    listed = [f"item {i}" for i in range(40)]
+    rows = [
+        (0, "Nine words that make up one whole short line.\nfirst of all the others here"),
+        (1, "another text of its own\nnine words that make up one whole short line.\nand its end, not the same"),
+        (2, "Nine words that make up one whole short line."),  # a whole document
+        (3, "\n".join(listed)),
+        (4, "odd line\n" + "\n".join(listed) + "\nlast"),
+        (5, "これは長い文章の最初の文です。そして次の文もここにあります。"),
+        (6, "別の書き出しです。これは長い文章の最初の文です。そして次の文もここにあります。終わり"),
+        (7, "ไม่มีช่องว่างระหว่างคำในบรรทัดนี้\nx"),
+        (8, "y\nไม่มีช่องว่างระหว่างคำในบรรทัดนี้"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    check(docs)
+    got = {r["doc_id"]: r["text"] for r in passages.dedup(docs).collect()}
+    assert [got[i] for i in (0, 3, 5, 7)] == [rows[i][1] for i in (0, 3, 5, 7)]
+    assert got[1] == "another text of its own\nand its end, not the same" and got[2] == ""
+    assert "odd line" in got[4] and len(got[4].split("\n")) <= 20
+    assert got[6] == "別の書き出しです。終わり"
+    assert got[8] == "y\n"
