@@ -139,6 +139,7 @@ class Scorer:
         self.reset()
 
     def reset(self) -> None:
+        self.unknown: set[int] = set()
         self.ids = dict(self.model.index[0])
         self.vectors = self.model.table[0].copy()
         self.used = len(self.ids)
@@ -153,6 +154,8 @@ class Scorer:
                 if found:
                     rows[i] = model.table[n][found].mean(axis=0)
                     break
+            else:
+                self.unknown.add(self.used + i)
         if self.used + len(words) > len(self.vectors):
             grown = np.zeros((2 * (self.used + len(words)), rows.shape[1]))
             grown[: self.used] = self.vectors[: self.used]
@@ -178,6 +181,13 @@ class Scorer:
         return self.model.langs[best], float(odds[best] / odds.sum())
 
 
+    def decides(self, text: str) -> bool:
+        """Whether the text has letters and a word or n-gram that the model knows."""
+        if self.score(text)[0] == UNDECIDED:
+            return False
+        return any(self.ids[w] not in self.unknown for w in LETTERS.findall(text.lower()))
+
+
 def predict(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row.
 
@@ -214,9 +224,16 @@ def identify(documents: DataFrame, **bounds: int) -> DataFrame:
     return predict(documents, train(documents, **bounds))
 
 
-def keep_identified(documents: DataFrame, least: float = 0.3, **bounds: int) -> DataFrame:
-    """The documents whose language is decided with at least ``least``, all columns."""
+def keep_identified(documents: DataFrame, **bounds: int) -> DataFrame:
+    """The documents that have letters and something the model knows, all columns.
+
+    The score is no reason to go: its share falls with the number of labels, and
+    several labels of one language split it.  A table without labels says nothing
+    about any document, so all of them stay.
+    """
     model = train(documents, **bounds)
+    if not model.langs:
+        return documents
     shared = documents.sparkSession.sparkContext.broadcast(model)
     schema = documents.schema
     at = schema.names.index("text")
@@ -225,7 +242,6 @@ def keep_identified(documents: DataFrame, least: float = 0.3, **bounds: int) ->
         scorer = Scorer(shared.value)
         for batch in by_bytes(batches, at):
             texts = batch.column(at).cast(pa.binary()).to_pylist()
-            found = [(UNDECIDED, 0.0) if t is None else scorer.score(text_of(t)) for t in texts]
-            yield batch.filter(pa.array([f[0] != UNDECIDED and f[1] >= least for f in found], pa.bool_()))
+            yield batch.filter(pa.array([t is not None and scorer.decides(text_of(t)) for t in texts], pa.bool_()))
 
     return documents.mapInArrow(keep, schema)

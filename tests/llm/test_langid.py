@@ -53,3 +53,16 @@ def test_keep_identified_returns_whole_rows(awkward):
     kept = langid.keep_identified(awkward)
     assert kept.schema == awkward.schema
     assert {r["doc_id"] for r in kept.collect()} == {4, 5, None, 7, 8, 9, 10, 11, 13, 0}
+
+
+def test_keep_identified_does_not_depend_on_the_number_of_labels(spark):
+    rows = [(i, "the words of the text and the lines", lang) for i, lang in enumerate(["en", "EN", "en-GB", "en-US"] * 5)]
+    docs = spark.createDataFrame([*rows, (100, "ξψχ жщю", "en"), (101, "12 34", "en")], "doc_id long, text string, lang string")
+    learned = langid.train(docs.where("doc_id < 100"))
+    assert len(learned.langs) == 4
+    scorer = langid.Scorer(learned)
+    assert scorer.score(rows[0][1])[1] < 0.3 and scorer.decides(rows[0][1])
+    assert not scorer.decides("ξψχ жщю") and not scorer.decides("12 34")
+    assert {r["doc_id"] for r in langid.keep_identified(docs).collect()} >= set(range(20))
+    unlabelled = docs.selectExpr("doc_id", "text", "cast(null as string) as lang")
+    assert langid.keep_identified(unlabelled).count() == 22
