@@ -40,8 +40,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 2048 ids."""
-    return packing.pack(docs, byte_bpe(), capacity=2048, end_id=1)
+    """Pieces of the documents with their ids, in sequences of at most 2048 ids."""
+    return packing.pack(docs, byte_bpe(), capacity=2048, end_id=1, with_ids=True)
 
 
 STAGES = [

@@ -29,6 +29,7 @@ from ledgerlens.llm.tokens import encoder, pieces, text_of
 from ledgerlens.session import materialize
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+IDS_SCHEMA = ", text_hash long, ids array<long>"
 
 
 class Run(NamedTuple):
@@ -85,19 +86,20 @@ def _cutter(path: str, capacity: int, end_id: int, with_ids: bool):
     def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, cut = encoder(path)
         end = np.array([end_id], dtype=np.uint32)
-        names = [c.split()[0] for c in PIECE_SCHEMA.split(", ")] + ["ids"] * with_ids
+        names = [c.split()[0] for c in PIECE_SCHEMA.split(", ")] + ["text_hash", "ids"] * with_ids
         for batch in by_bytes(batches, 1):
             docs = batch.column(0).to_pylist()
+            hashes = batch.column(2).to_pylist()
             out: list[list] = [[] for _ in names]
-            for doc, value in zip(docs, batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            for doc, text_hash, value in zip(docs, hashes, batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 parts = [encode(p) for p in pieces(text_of(value), cut, PART_CHARS)]
                 ids = np.concatenate([*parts, end]).astype("<u4", copy=False)
                 for start in range(0, len(ids), capacity):
                     piece = ids[start : start + capacity]
-                    row = (doc, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), piece.astype(np.int64))
+                    row = (doc, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), text_hash, piece.astype(np.int64))
                     for values, v in zip(out, row, strict=False):
                         values.append(v)
-            kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * with_ids
+            kinds = [pa.int64()] * 5 + [pa.int64(), pa.list_(pa.int64())] * with_ids
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=names)
 
     return cut_batches
@@ -108,7 +110,8 @@ def cut_documents(
 ) -> DataFrame:
     """The pieces of each document: full ones of ``capacity`` ids and the rest."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    schema = PIECE_SCHEMA + (", ids array<long>" if with_ids else "")
+    rows = rows.withColumn("text_hash", F.xxhash64("text") if with_ids else F.lit(0).cast("long"))
+    schema = PIECE_SCHEMA + (IDS_SCHEMA if with_ids else "")
     return rows.mapInArrow(_cutter(tokenizer, capacity, end_id, with_ids), schema)
 
 
@@ -135,9 +138,10 @@ def pack(
     with_ids: bool = False,
 ) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens,
-    sequence_id, offset (and ``ids`` on request).
+    sequence_id, offset (and ``copy`` and ``ids`` on request).
 
-    A null or empty text is the end id alone.  Repeated rows are packed each.
+    ``copy`` numbers from 0 the rows with one id and text, so that doc_id,
+    text_hash (returned with it), copy and start name one piece.  A null or empty text is the end id alone.  Repeated rows are packed each.
     Pieces of one length are interchangeable, so ties only decide which of them
     goes where; the order is by hash and id, the same in every run.  An empty
     table gives no rows.  Other columns are not read.
@@ -150,7 +154,11 @@ def pack(
         "run_length long, first_rank long, end_rank long, copies long, first_sequence long, first_offset long",
     )
     at = F.col("rank") - F.col("first_rank")
-    placed = ranked(cut, salts).join(
+    pieces_at = ranked(cut, salts)
+    if with_ids:  # copies of a piece have one length and salt: no further exchange
+        alike = Window.partitionBy("length", "salt", "doc_id", "text_hash", "start").orderBy("ids_crc32")
+        pieces_at = pieces_at.withColumn("copy", (F.row_number().over(alike) - 1).cast("long"))
+    placed = pieces_at.join(
         F.broadcast(runs),  # patterns over at most ``capacity`` lengths, whatever the input
         (F.col("length") == F.col("run_length"))
         & (F.col("rank") >= F.col("first_rank"))
@@ -160,5 +168,5 @@ def pack(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",
         (F.col("first_sequence") + F.floor(at / F.col("copies"))).cast("long").alias("sequence_id"),
         (F.col("first_offset") + F.pmod(at, F.col("copies")) * F.col("length")).cast("long").alias("offset"),
-        *(["ids"] if with_ids else []),
+        *(["text_hash", "copy", "ids"] if with_ids else []),
     )

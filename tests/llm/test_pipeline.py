@@ -83,6 +83,22 @@ def test_keep_first_and_repeats_of_awkward_rows(awkward):
     assert all(n <= 2 * have[k] for k, n in taken.items())
 
 
+def test_sequences_hold_the_ids_of_every_copy(spark):
+    long = " ".join(f"word{i}" for i in range(3000))
+    docs = spark.createDataFrame([(1, long), (1, long), (1, long + " other"), (None, "short"), (None, "short"), (2, "")], "doc_id long, text string")
+    rows = corpus_pipeline.sequences(spark, docs.repartition(3), "unused").collect()
+    whole = defaultdict(list)
+    for r in rows:
+        whole[r["doc_id"], r["text_hash"], r["copy"]].append((r["start"], r["ids"], r["doc_tokens"]))
+    assert len(whole) == docs.count() and Counter((d, c) for d, _, c in whole)[1, 1] == 1
+    for parts in whole.values():
+        ids = []
+        for start, piece, _ in sorted(parts):
+            assert start == len(ids)
+            ids += piece
+        assert len(ids) == parts[0][2] and ids[-1] == 1
+
+
 def test_run(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(rows.columns) and rows.count() > 0
