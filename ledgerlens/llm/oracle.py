@@ -124,15 +124,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND {" AND ".join(kept)} AS kept FROM f"""
 
 
-def ngram_jaccard(percent: int = 80) -> str:
+def ngram_jaccard(percent: int = 80, n: int = 5, more: str = "") -> str:
     words = WORDS.replace("coalesce(text, '')", f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')")
     return rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, {words} AS words FROM documents
 ), s AS (
   SELECT DISTINCT doc_id, shingle FROM (
-    SELECT doc_id, unnest(CASE WHEN len(words) >= 5
-      THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' '))
+    SELECT doc_id, unnest(CASE WHEN len(words) >= {n}
+      THEN list_transform(range(1, len(words) - {n - 2}), lambda i: array_to_string(words[i : i + {n - 1}], ' '))
       ELSE [array_to_string(words, ' ')] END) AS shingle
     FROM d WHERE len(words) > 0)
 ), n AS (
@@ -145,14 +145,72 @@ WITH RECURSIVE d AS (
   SELECT doc_id, doc_id FROM documents
   UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.reach = l.a
 )
-SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.reach) AS component_id
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.reach) AS component_id{more}
 FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id"""
 
 
+def fill_in_middle(seed: int = 7, fim_percent: int = 100, spm_percent: int = 50) -> str:
+    word = lambda i: f"CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)"
+    return rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
+    sha256(concat('{seed}:', doc_id)) AS h FROM documents
+), c AS (
+  SELECT doc_id, text, units, len(units) AS n,
+    CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR {word(2)} % 100 >= {fim_percent} THEN 'plain'
+      WHEN {word(3)} % 100 < {spm_percent} THEN 'spm' ELSE 'psm' END AS form,
+    least({word(0)} % (len(units) + 1), {word(1)} % (len(units) + 1)) AS a,
+    greatest({word(0)} % (len(units) + 1), {word(1)} % (len(units) + 1)) AS b FROM d
+), p AS (
+  SELECT *, array_to_string(units[1 : a], '') AS prefix, array_to_string(units[a + 1 : b], '') AS middle,
+    array_to_string(units[b + 1 : n], '') AS suffix FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p"""
+
+
+def clusters(k: int = 8, rounds: int = 10, dims: int = 64, seed: int = 3) -> str:
+    def assign(i: int) -> str:
+        return f"""a{i} AS MATERIALIZED (
+  SELECT row, any_value(vec_id) AS vec_id, any_value(w) AS w, min({{'d': d, 'k': k}}) AS best FROM (
+    SELECT row, vec_id, w, k, list_sum(list_transform(range(1, {dims + 1}), lambda i: (w[i] - c[i]) * (w[i] - c[i]))) AS d
+    FROM v, c{i}) GROUP BY row
+)"""
+
+    steps = "".join(
+        f"""{assign(i - 1)}, c{i} AS MATERIALIZED (
+  SELECT o.k, coalesce(m.c, o.c) AS c FROM c{i - 1} o LEFT JOIN (
+    SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM (
+      SELECT best.k AS k, i, sum(w[i]) AS s, count(*) AS n FROM a{i - 1}, range(1, {dims + 1}) t(i) GROUP BY ALL) GROUP BY k
+  ) m USING (k)
+), """
+        for i in range(1, rounds + 1)
+    )
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256(concat('{seed}:', vec_id)), w) - 1 AS k, w AS c FROM v
+  ORDER BY sha256(concat('{seed}:', vec_id)), w LIMIT {k}
+), {steps}{assign(rounds)}
+SELECT vec_id, CAST(best.k AS INTEGER) AS cluster, CAST(best.d AS BIGINT) AS distance,
+  CAST(sum(best.d) OVER (PARTITION BY best.k) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c{rounds}.k = best.k"""
+
+
 ORACLE: dict[str, str] = {
     "op3_exact_topk": topk(),
     "op5_url_filters": url_filters(),
     "op6_chat_formatting": chat_formatting(),
     "op7_quality_rules": quality_rules(),
     "op8_ngram_jaccard": ngram_jaccard(),
+    "op11_fill_in_middle": fill_in_middle(),
+    "op12_minhash": ngram_jaccard(85, 3, ", r.doc_id = min(r.reach) AS kept"),
+    "op13_centroids": clusters(),
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chat, jaccard, langid, mixing, packing, passages, quality, token_counts, topk, urls
+from ledgerlens.llm import centroids, chat, fim, jaccard, langid, minhash, mixing, packing, passages, quality, token_counts, topk, urls
 from ledgerlens.llm.tables import read
 
 
@@ -75,10 +75,29 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), byte_bpe(), limit=512)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut into lines, rearranged around its middle and restored from the output."""
+    made = fim.transform(read(spark, sf_dir, "documents"), seed=7, fim_percent=100, spm_percent=50)
+    columns = ("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256")
+    return fim.restore(made, columns, with_text=False)
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by 3-word shingles at 0.85."""
+    linked = minhash.link(read(spark, sf_dir, "documents"), words=3, percent=85)
+    return linked.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of 64 components in 8 clusters after 10 rounds."""
+    return centroids.cluster(read(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, seed=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_packing, op2_mixing, op3_exact_topk, op4_language_id, op5_url_filters, op6_chat_formatting,
         op7_quality_rules, op8_ngram_jaccard, op9_substring_dedup, op10_token_counts,
+        op11_fill_in_middle, op12_minhash, op13_centroids,
     )
 }
