@@ -4,13 +4,17 @@
    Rows of whole minima are hashed to band keys; then only the low ``bits`` of
    each minimum are retained and packed as bit planes (bit j of all minima side
    by side), so two signatures are compared by a few XORs and bit counts.
-2. Copies of a set are one class.  Classes that share a band key are candidates:
-   first each with the smallest class of the bucket only, later, in buckets
-   whose members are still in different components, with each other, in blocks.
+2. Copies of a set are one class.  Classes that share a band key are candidates,
+   at first each with one hub of the bucket only.
 3. The share of agreeing low bits, corrected for chance collisions
    (C = 2^-bits), estimates the similarity: J = (agreeing - C) / (1 - C).
    Candidates whose estimate lies below what a true link reaches go.
 4. The rest is confirmed on whole sets: no false link.
+5. Buckets whose members are still in different components are compared in full,
+   in blocks.  Estimates cannot tell pairs just below the threshold from links,
+   so there an exact test follows: two sets that must share o of n and m shingles
+   share ``DEEP`` of the n - o + DEEP and m - o + DEEP rarest (of all, where o is
+   less).  A pair is let through in the first band it shares.
 
 A link is missed only if it shares no band or its estimate falls below the
 bound; ``layout`` chooses rows a band and ``least_matches`` the bound so that
@@ -36,6 +40,10 @@ from ledgerlens.session import materialize
 MISS = 1e-9
 LOWEST = -(1 << 63)
 CACHED_WORDS = 200_000
+#: Shingles that the rarest of both sets must share; more let fewer pairs through.
+DEEP = 32
+#: Shingles are counted in 2^COUNT_BITS buckets of their hash to tell rare from frequent.
+COUNT_BITS = 20
 #: Shingles and hash functions handled at once: a few MB whatever the batch.
 TILE, FUNCTIONS = 8192, 16
 
@@ -58,7 +66,8 @@ def least_matches(percent: int, minima: int, bits: int) -> int:
     agree = percent / 100 + (1 - percent / 100) * 2.0**-bits
     below = 0.0
     for m in range(minima + 1):
-        below += math.comb(minima, m) * agree**m * (1 - agree) ** (minima - m)
+        ways = math.lgamma(minima + 1) - math.lgamma(m + 1) - math.lgamma(minima - m + 1)
+        below += math.exp(ways + m * math.log(agree) + (minima - m) * math.log1p(-agree))
         if below > MISS:
             return m
     return minima
@@ -245,7 +254,58 @@ def similar(x: str, y: str, percent: int, n: int, bits: int) -> Column:
     """Sizes and the corrected estimate allow a link between rows ``x`` and ``y``."""
     sizes = 100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")
     least = estimate(float(least_matches(percent, n, bits)), n, bits)
-    return sizes & (estimate(matches(F.col(f"{x}.planes"), F.col(f"{y}.planes"), n, bits), n, bits) >= least - 1e-9)
+    found = matches(F.col(f"{x}.planes"), F.col(f"{y}.planes"), n, bits)
+    return sizes & (estimate(found, n, bits) >= least - 1e-9)
+
+
+def ordered(x: str, y: str) -> tuple[Column, Column]:
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
+def hub_pairs(buckets: DataFrame, signed: DataFrame, percent: int, n: int, bits: int) -> DataFrame:
+    """Candidate pairs (a, b): each member c of a bucket with the bucket's hub.
+
+    c is 64 bits of a class: where two classes share it, both are candidates.
+    """
+    x, y = signed.alias("x"), signed.alias("y")
+    return (
+        buckets.where("c <> hub").select("c", "hub").distinct().alias("p")
+        .join(x, F.col("p.c") == F.col("x.c"))
+        .join(y, F.col("p.hub") == F.col("y.c"))
+        .where(similar("x", "y", percent, n, bits))
+        .select(*ordered("x.class", "y.class"))
+        .distinct()
+    )
+
+
+def counted(sets: DataFrame) -> np.ndarray:
+    """How many of the sets hold a shingle of each hash bucket; 2^COUNT_BITS numbers
+    whatever the input, summed in Spark."""
+    bucket = F.shiftrightunsigned("h", 64 - COUNT_BITS).cast("int")
+    rows = sets.select(F.explode("hashes").alias("h")).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    found = rows.toArrow()
+    out = np.zeros(1 << COUNT_BITS, np.int64)
+    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def rarest(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """class, rare: the shingles of each set from the rarest on (hash breaks ties), as
+    many as ``across`` needs for its smallest partner.  Any one order would do."""
+    shared = sets.sparkSession.sparkContext.broadcast(np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for batch in batches:
+            lists = batch.column(1)
+            rare = []
+            for at in range(batch.num_rows):
+                h = lists[at].values.to_numpy().view(np.uint64)
+                order = np.lexsort((h, often[(h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]))
+                rare.append(h[order[: len(h) - (percent * len(h) + 99) // 100 + DEEP]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rare, pa.list_(pa.int64()))], names=["class", "rare"])
+
+    return sets.mapInArrow(rows, "class binary, rare array<long>")
 
 
 def across(members: DataFrame, percent: int, n: int, bits: int, block_rows: int) -> DataFrame:
@@ -253,8 +313,8 @@ def across(members: DataFrame, percent: int, n: int, bits: int, block_rows: int)
 
     Members of a bucket meet by size step (linked sizes are at most one step
     apart) in blocks of about ``block_rows`` on both sides, so a bucket that holds
-    most classes is spread over many tasks; the join lets only pairs pass whose
-    estimate allows a link.
+    most classes is spread over many tasks.  The join lets only pairs pass whose
+    estimate and rarest shingles allow a link, in the first band they share.
     """
     step = math.log(100 / percent) * (1 + 1e-9)
     stepped = members.withColumn("step", F.floor(F.log(F.col("n")) / F.lit(step)).cast("int"))
@@ -270,9 +330,32 @@ def across(members: DataFrame, percent: int, n: int, bits: int, block_rows: int)
     x, y = x.alias("x"), y.alias("y")
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "step", "i", "j")]
     once = (F.col("y.own_step") < F.col("x.step")) | (F.col("x.class") < F.col("y.class"))
-    met = x.join(y, [*same, F.col("x.root") != F.col("y.root"), once, similar("x", "y", percent, n, bits)])
-    ends = F.col("x.class"), F.col("y.class")
-    return met.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct()
+    shared = F.zip_with("x.keys", "y.keys", lambda a, b: a == b)
+    here = F.array_position(shared, F.lit(True)) == F.col("x.band") + 1
+    share = F.ceil(F.lit(percent) * (F.col("x.n") + F.col("y.n")) / F.lit(100 + percent)).cast("int")
+    deep = F.least(F.lit(DEEP), share)
+    first = lambda side: F.slice(f"{side}.rare", F.lit(1), F.col(f"{side}.n") - share + deep)
+    common = F.size(F.array_intersect(first("x"), first("y")))
+    near = similar("x", "y", percent, n, bits) & here & (common >= deep)
+    met = x.join(y, [*same, F.col("x.root") != F.col("y.root"), once, near])
+    return met.select(*ordered("x.class", "y.class"))
+
+
+def merged(apart: DataFrame, links: DataFrame) -> DataFrame:
+    """class, c, root after the links between classes (u, v) have joined components."""
+    of = lambda end, name: apart.select(F.col("class").alias(end), F.col("root").alias(name))
+    edges = links.join(of("u", "x"), "u").join(of("v", "y"), "v").select(F.col("x").alias("u"), F.col("y").alias("v"))
+    moved = components(edges).select(F.col("node").alias("root"), F.col("root").alias("new"))
+    return materialize(
+        apart.join(moved, "root", "left").select("class", "c", F.coalesce("new", "root").alias("root")), "rooted"
+    )
+
+
+def torn(buckets: DataFrame, apart: DataFrame) -> DataFrame:
+    """key, band, class, c, root of the members of buckets that lie in more than one component."""
+    rows = buckets.select("key", "band", "c").join(apart.withColumn("r", F.xxhash64("root")), "c")
+    keys = rows.groupBy("key").agg(F.min("r").alias("low"), F.max("r").alias("high")).where("low < high").select("key")
+    return materialize(rows.join(keys, "key").select("key", "band", "class", "c", "root"), "torn")
 
 
 def link(
@@ -306,46 +389,23 @@ def link(
         ),
         "classes",
     )
-    postings = classes.select(F.explode("keys").alias("key"), "c")
-    ends = postings.groupBy("key").agg(F.min("c").alias("hub"), F.max("c").alias("end")).where("hub < end")
-    shared = materialize(postings.join(ends.select("key", "hub"), "key"), "buckets")
-
-    # c is 64 bits of a class: where two classes share it, both are candidates
     signed = classes.select("class", "c", "n", "planes")
-    x, y = signed.alias("x"), signed.alias("y")
-    stars = (
-        shared.where("c <> hub").select("c", "hub").distinct().alias("p")
-        .join(x, F.col("p.c") == F.col("x.c"))
-        .join(y, F.col("p.hub") == F.col("y.c"))
-        .where(similar("x", "y", percent, functions, bits))
-        .select(
-            F.col("x.class").alias("member"), F.col("y.class").alias("hub"),
-            matches(F.col("x.planes"), F.col("y.planes"), functions, bits).alias("matches"),
-        )
-    )
-    stars = materialize(stars, "stars")
-    pair = (F.least("member", "hub").alias("a"), F.greatest("member", "hub").alias("b"))
-    best = stars.groupBy("member").agg(F.max(F.struct("matches", "hub")).alias("best"))
-    first_pairs = materialize(best.select("member", "best.hub").select(*pair).distinct(), "pairs")
-    first_links = materialize(confirmed(documents, classes, first_pairs, words, percent), "links")
-
-    def rooted(links: DataFrame) -> DataFrame:
-        found = components(links).withColumnRenamed("node", "class")
-        return classes.select("class", "rep", "c", "n", "planes").join(found, "class", "left").withColumn(
-            "root", F.coalesce("root", "class")
-        )
-
-    apart = materialize(rooted(first_links), "rooted")
-    roots = apart.select("c", F.xxhash64("root").alias("r"))
-    torn = shared.join(roots, "c").groupBy("key").agg(F.min("r").alias("low"), F.max("r").alias("high")).where("low < high")
-    members = materialize(
-        shared.select("key", "c").join(torn.select("key"), "key").join(apart.drop("rep"), "c"), "torn"
-    )
-    later = across(members, percent, functions, bits, block_rows).join(first_pairs, ["a", "b"], "left_anti")
-    later = materialize(later, "pairs")
-    links = first_links.unionByName(confirmed(documents, classes, later, words, percent))
-    whole = rooted(materialize(links, "links"))
-    least = whole.groupBy("root").agg(F.min("rep").alias("component_id"))
+    postings = classes.select(F.posexplode("keys").alias("band", "key"), "c")
+    ends = postings.groupBy("key").agg(F.min("c").alias("hub"), F.max("c").alias("end")).where("hub < end")
+    buckets = materialize(postings.join(ends.select("key", "hub"), "key"), "buckets")
+
+    tested = materialize(hub_pairs(buckets, signed, percent, functions, bits), "pairs")
+    apart = merged(classes.select("class", "c", F.col("class").alias("root")), confirmed(documents, classes, tested, words, percent))
+    members = torn(buckets, apart)
+    sets = materialize(whole_sets(documents, classes, members.select("class").distinct(), words), "sets")
+    rare = materialize(rarest(sets, counted(sets), percent), "rare")
+    detailed = members.join(rare, "class").join(classes.select("class", "n", "planes", "keys"), "class")
+    close = across(detailed, percent, functions, bits, block_rows)
+    last = materialize(close.join(tested, ["a", "b"], "left_anti"), "pairs")
+    whole = merged(apart, confirmed(documents, classes, last, words, percent))
+
+    reps = classes.select("class", "rep").join(whole, "class")
+    least = reps.groupBy("root").agg(F.min("rep").alias("component_id"))
     ids = whole.select("class", "root").join(least, "root").select("class", "component_id")
     component = F.coalesce("component_id", "doc_id")
     return described.join(ids, "class", "left").select(
