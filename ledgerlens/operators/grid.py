@@ -150,6 +150,12 @@ def layout(cells: DataFrame, headers: DataFrame, expected: DataFrame) -> DataFra
     body_cols = last.join(h.select("source_file", "body_start"), "source_file").where(
         F.col("_last") >= F.col("body_start")
     ).select("source_file", "col_idx")
+    return labelled(body_cols, labels)
+
+
+def labelled(body_cols: DataFrame, labels: DataFrame) -> DataFrame:
+    """The layout from the columns that hold body cells (``source_file,
+    col_idx``) and the header labels (``source_file, col_idx, raw_label``)."""
     cols = body_cols.join(labels, ["source_file", "col_idx"], "left")
     base = F.coalesce(F.col("raw_label"), F.lit(""))
     base = F.when(base.startswith(UNNAMED_PREFIX), F.lit("")).otherwise(base)

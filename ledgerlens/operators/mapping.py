@@ -91,6 +91,7 @@ class Mapping:
     columns: list[Item] = field(default_factory=list)
     computed: list[Item] = field(default_factory=list)
     header_row: int = 6
+    sheet: str = ""
 
     def sources(self) -> list[Source]:
         seen: dict[str, Source] = {}
@@ -131,7 +132,7 @@ def _source(spec: dict | None) -> Source:
 
 
 def compile_mapping(cfg: dict) -> Mapping:
-    m = Mapping(header_row=int(cfg.get("header_row", 6)))
+    m = Mapping(header_row=int(cfg.get("header_row", 6)), sheet=str(cfg.get("sheet") or ""))
     for name, spec in (cfg.get("variables") or {}).items():
         m.variables[str(name)] = _source(spec)
     for it in cfg.get("columns") or []:
@@ -257,6 +258,29 @@ def mapped_records(cells: DataFrame, headers: DataFrame, lay: DataFrame, mapping
     return grid.to_records(cells, source_binding(lay, mapping), headers, keys)
 
 
+def sheet_records(rows: DataFrame, headers: DataFrame, lay: DataFrame, mapping: Mapping) -> DataFrame:
+    """GRD-9, GRD-20, GRD-21 on sheets in row form: one text column per source
+    key, read by position from the row's ``values`` (plus ``ord`` and all columns
+    of ``rows``).
+
+    What a file lacks, or a row is too short for, is null.  The positions of a
+    file are one array in a table with one row per file, stored so that Spark
+    knows its size; body rows are projected where they are read."""
+    from ..session import materialize
+
+    keys = [s.key for s in mapping.sources()]
+    bound = source_binding(lay, mapping).groupBy("source_file").agg(
+        F.array(*[F.max(F.when(F.col("name") == k, F.col("col_idx"))) for k in keys]).alias("_places")
+    )
+    starts = headers.select("source_file", "body_start")
+    places = materialize(starts.join(bound, "source_file", "left"), "places")
+    j = rows.join(places, "source_file").where(F.col("row_idx") >= F.col("body_start"))
+    return j.select(
+        *rows.columns, *[F.get("values", F.get("_places", F.lit(i))).alias(k) for i, k in enumerate(keys)],
+        F.struct("source_file", "row_idx").alias("ord"),
+    )
+
+
 def _cast_for_target(label: str, c: Column) -> Column:
     kind = target_kind(label)
     if kind == "number":
@@ -281,7 +305,7 @@ def template_index(template_header: list[str]) -> dict[tuple[str, int], int]:
 
 
 def apply_mapping(records: DataFrame, mapping: Mapping, template_header: list[str] | None = None,
-                  preview: bool = False) -> tuple[DataFrame, list[Item]]:
+                  preview: bool = False, keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[Item]]:
     """MAP-5..9 (+FLT-1): the mapped report rows.
 
     Rows need a valid code (FLT-1 on the ``Custom Attribute5 Value`` column).
@@ -289,7 +313,7 @@ def apply_mapping(records: DataFrame, mapping: Mapping, template_header: list[st
     (MAP-9); computed columns are compiled formulas.  Items whose target is
     not in ``template_header`` (label, occurrence) are skipped and returned.
     In ``preview`` form the columns are ``var:*``, ``direct:T#k``, ``calc:T#k``;
-    otherwise ``T#k`` in template order.
+    otherwise ``T#k`` in template order.  Columns of ``keep`` stay beside them.
     """
     code = F.col(f"`{Source('name', CODE_SOURCE).key}`")
     r = records.where(valid_code(code))
@@ -327,7 +351,7 @@ def apply_mapping(records: DataFrame, mapping: Mapping, template_header: list[st
         cols += [c.alias(name) for _, name, c in out]
     else:
         cols += [c.alias(name) for _, name, c in sorted(out, key=lambda t: t[0])]
-    return r.select(*cols, "ord"), skipped
+    return r.select(*cols, *keep, "ord"), skipped
 
 
 def preview(mapped: DataFrame, limit: int = 200) -> DataFrame:
@@ -346,8 +370,15 @@ def report_cells(report: DataFrame, template_header: list[str], header_row: int,
     """
     from .placement import sequential_index
 
-    index = template_index(template_header)
     placed = sequential_index(report, ["ord"], name="sheet_row", start=header_row + 1)
+    dates = report.sparkSession.range(1).select(F.lit(run_date).cast("date").alias("run_date"))
+    return cells_at(placed, report, template_header, dates)
+
+
+def cells_at(placed: DataFrame, report: DataFrame, template_header: list[str], dates: DataFrame, sheet: str | None = None) -> DataFrame:
+    """The cells of report rows that know their ``sheet_row``, and B3 from the
+    ``run_date`` of ``dates``; with a ``sheet`` column where it is named."""
+    index = template_index(template_header)
     fields = []
     for name in report.columns:
         if "#" not in name:
@@ -368,8 +399,8 @@ def report_cells(report: DataFrame, template_header: list[str], header_row: int,
         F.col("sheet_row").cast("long").alias("sheet_row"), F.col("c.col").cast("long").alias("sheet_col"),
         "c.text", "c.number", "c.stamp",
     ).where(F.col("text").isNotNull() | F.col("number").isNotNull() | F.col("stamp").isNotNull())
-    spark = report.sparkSession
-    b3 = spark.range(1).select(F.lit(3).cast("long").alias("sheet_row"), F.lit(2).cast("long").alias("sheet_col"),
-                               F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("number"),
-                               F.lit(run_date).cast("date").cast("timestamp_ntz").alias("stamp"))
-    return cells.unionByName(b3)
+    b3 = dates.select(F.lit(3).cast("long").alias("sheet_row"), F.lit(2).cast("long").alias("sheet_col"),
+                      F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("number"),
+                      F.col("run_date").cast("timestamp_ntz").alias("stamp"))
+    out = cells.unionByName(b3)
+    return out if sheet is None else out.select(F.lit(sheet).alias("sheet"), *out.columns)

@@ -62,6 +62,40 @@ def sequential_index(
     return out
 
 
+def with_read_position(stored: DataFrame) -> DataFrame:
+    """A table read from files, with the file and the split of every row."""
+    return stored.select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split")
+    )
+
+
+def numbered_as_read(kept: DataFrame, name: str = "seq", start: int = 1) -> DataFrame:
+    """SRT-5: add ``name`` = ``start`` + number of kept rows before this one, in
+    the order in which the files hold them (files by path, splits by place).
+
+    ``kept`` comes from one ``with_read_position`` table by filters, projections
+    and joins with tables small enough to be broadcast, so rows stay in their
+    splits.  Kept rows are counted per split; their prefix sums (one row per
+    split) are the offsets, and within a split the running id of the task
+    counts.  Nothing is sorted, shuffled or written but the offsets.  A row
+    that does not find its split's offset, or lies beyond its count (a scan
+    that was not cut alike twice), is an error.
+    """
+    from ..session import materialize
+
+    ids = kept.withColumn("_mid", F.monotonically_increasing_id())
+    counts = ids.groupBy("_file", "_split").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    before = Window.orderBy("_file", "_split").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = materialize(counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))), "offsets")
+    at = F.col("_mid") - F.col("_first")
+    number = F.when((at >= 0) & (at < F.col("_n")), F.col("_before") + at + F.lit(start)).otherwise(
+        F.raise_error(F.lit("a row was read in another split than when rows were counted"))
+    )
+    return ids.join(offsets, ["_file", "_split"], "left").withColumn(name, number).drop(
+        "_file", "_split", "_mid", "_n", "_first", "_before"
+    )
+
+
 def top_k_per_group(df: DataFrame, group_cols: list[str], order_col: str, k: int, salt_buckets: int | None = None) -> DataFrame:
     """Exact first ``k`` rows per group by ``order_col`` (ascending), with a
     ``rank`` column (1..k) and the group size ``n_group``.

@@ -1,5 +1,5 @@
 """Sheets in row form: several sheets per file, cells found by position
-(SRC-5, SRC-7, GRD-5/6/15/16/19/20, AGG-2, CTL-5, DIM-5).
+(SRC-5, SRC-7, GRD-2..6/8/10/11/15/16/19/20, AGG-2, JN-3, CTL-1/2/5/6, SNK-6, DIM-5).
 
 A row is ``(source_file, sheet, sheet_no, row_idx, values)``: 0-based
 positions, ``values`` the cell texts from column A on (null: blank cell), one
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import header_norm, norm_label, strip_ws
+from . import grid
 from .grid import letter_to_index_py
 
 KEYS = ("source_file", "sheet")
@@ -41,6 +42,19 @@ REPORT_SENSI_POSITIONS = {
     "duration_leg1": "T", "sensi_leg1": "U", "duration_leg2": "AK", "sensi_leg2": "AL",
     "duration_total": "AT", "sensi_total": "AU",
 }
+# Columns of the main report sheet that the marks step reads.
+REPORT_MARK_INPUTS = {"notional": "M", "dirty_total": "AN", "dirty_pct": "AO"}
+# Columns of the main report sheet that the marks step writes.
+REPORT_MARK_POSITIONS = {
+    "mtm_cpty": "AW", "mtm_cpty_pct": "AX", "mtm_gap": "BD", "mtm_gap_pct": "BE", "mtm_gap_ctl": "BK",
+    "cmp_bs": "BS", "cmp_bt": "BT", "cmp_ca": "CA", "cmp_cb": "CB",
+}
+# Columns of the bond-forward sheet, from its second row on.
+FORWARD_POSITIONS = {
+    "free_text": "A", "book_norm": "B", "cp_out": "C", "notional_d": "D", "mtm_value_d": "E", "cpty_price": "F",
+    "mtm_pct": "G", "cpty_pct": "H", "threshold": "I", "gap_pct": "J", "alert": "K",
+}
+FORWARD_START, FORWARD_WIDTH = 1, 12  # 0-based first row; columns A..L are cleared
 CODE_LABELS = ("code di", "code")
 CODE_ALIASES = ("code di", "code", "custom attribute5 value")
 
@@ -97,9 +111,9 @@ def body(rows: DataFrame, headers: DataFrame) -> DataFrame:
     return j
 
 
-def until_first_blank(rows: DataFrame, key: str = "code") -> DataFrame:
-    """GRD-19: body rows before the first row whose ``key`` is blank or that is
-    missing, per sheet.  Needs ``header_row``; one table row per sheet row.
+def first_blank(rows: DataFrame, key: str = "code") -> DataFrame:
+    """GRD-19: per sheet ``cut``, the first row whose ``key`` is blank or that is
+    missing.  Needs ``header_row``; one table row per sheet row.
 
     Keyed rows are counted in blocks of rows (a map-side aggregate); the first
     block that is not full holds the cut, and only its rows are looked at.
@@ -119,11 +133,100 @@ def until_first_blank(rows: DataFrame, key: str = "code") -> DataFrame:
     inside = keyed.join(sheets, list(KEYS)).where(F.col("_block") == F.col("_full")).groupBy(*KEYS).agg(
         F.array_min(F.array_except(F.sequence(F.lit(0), F.lit(BLOCK_ROWS)), F.collect_set("_at"))).alias("_gap")
     )
-    cut = sheets.join(inside, list(KEYS), "left").select(
+    return sheets.join(inside, list(KEYS), "left").select(
         *KEYS,
-        (F.col("header_row") + 1 + F.col("_full") * BLOCK_ROWS + F.coalesce("_gap", F.lit(0))).alias("_cut"),
+        (F.col("header_row") + 1 + F.col("_full") * BLOCK_ROWS + F.coalesce("_gap", F.lit(0))).alias("cut"),
+    )
+
+
+def until_first_blank(rows: DataFrame, key: str = "code") -> DataFrame:
+    """GRD-19: body rows before the first blank ``key`` of their sheet."""
+    return rows.join(first_blank(rows, key), list(KEYS)).where(F.col("row_idx") < F.col("cut")).drop("cut")
+
+
+# ------------------------------------------------------------------ writing
+def put_cells(values: Column, cells: dict[str, Column]) -> Column:
+    """SNK-6: ``values`` with the cells of the given columns replaced; a shorter
+    row is filled up with blank cells as far as needed, all others stay."""
+    at = sorted((letter_to_index_py(k), v.cast("string")) for k, v in cells.items())
+    missing = F.greatest(F.lit(at[-1][0] + 1) - F.size(values), F.lit(0))
+    filled = F.concat(values, F.array_repeat(F.lit(None).cast("string"), missing))
+    parts, start = [], 0
+    for i, v in at:
+        parts += [F.slice(filled, start + 1, i - start), F.array(v)]
+        start = i + 1
+    return F.concat(*parts, F.slice(filled, F.lit(start + 1), F.greatest(F.size(filled) - start, F.lit(0))))
+
+
+def write_marks(rows: DataFrame, headers: DataFrame, marks: DataFrame, number) -> DataFrame:
+    """JN-3, CTL-1, CTL-2, SNK-6: the sheet's rows with the nine mark and gap
+    columns written where the row's code has a mark.
+
+    Rows count up to the first blank code; those after it, the rows above the
+    body and rows without a mark keep every cell.  ``inside`` and ``matched``
+    say which is which.  ``number`` reads a cell as a number; what is compared
+    reads the values just written.  Rows only meet the marks by an equi-join;
+    the cut is one small table per sheet.
+    """
+    from .enrich import enrich_marks
+
+    cut = first_blank(body(rows, headers))
+    j = rows.join(headers, list(KEYS)).join(cut.select(*KEYS, "cut"), list(KEYS), "left")
+    inside = (F.col("row_idx") > F.col("header_row")) & F.coalesce(F.col("row_idx") < F.col("cut"), F.lit(False))
+    code = F.nullif(strip_ws(F.get("values", F.col("code_col"))), F.lit(""))
+    report = j.select(
+        *rows.columns, inside.alias("inside"), F.when(inside, code).alias("code"),
+        *[number(cell(x)).alias(n) for n, x in REPORT_MARK_INPUTS.items()],
+    )
+    e = enrich_marks(report, marks)
+    written = put_cells(F.col("values"), {x: F.col(n) for n, x in REPORT_MARK_POSITIONS.items()})
+    return e.withColumn("values", F.when(F.col("matched"), written).otherwise(F.col("values"))).select(
+        *rows.columns, "inside", "code", "matched"
+    )
+
+
+def forward_sheet(accepted: DataFrame, row: str, source_file: str, sheet: str = REPORT_SHEETS[1][0]) -> DataFrame:
+    """CTL-6, SNK-6: the bond-forward sheet's body in row form: accepted rows in
+    columns A..K at ``FORWARD_START`` + ``row`` (from 0), the cleared column L blank."""
+    blank = F.array_repeat(F.lit(None).cast("string"), FORWARD_WIDTH)
+    texts = {x: F.nullif(F.col(n).cast("string"), F.lit("")) for n, x in FORWARD_POSITIONS.items()}
+    return accepted.select(
+        F.lit(source_file).alias("source_file"), F.lit(sheet).alias("sheet"), F.lit(1).alias("sheet_no"),
+        (F.col(row) + FORWARD_START).cast("int").alias("row_idx"), put_cells(blank, texts).alias("values"),
+    )
+
+
+# ------------------------------------------------------------------ layouts
+def used_columns(rows: DataFrame, headers: DataFrame) -> DataFrame:
+    """GRD-8: ``source_file, col_idx`` of the columns with a cell in the body.
+
+    One partial aggregate with a flag for each column of the widest sheet; body
+    rows are neither exploded nor moved."""
+    width = rows.agg(F.max(F.size("values"))).first()[0] or 0
+    if not width:
+        return rows.select("source_file", F.lit(0).alias("col_idx")).limit(0)
+    inside = rows.join(headers.select("source_file", "body_start"), "source_file").where("row_idx >= body_start")
+    flags = inside.groupBy("source_file").agg(
+        *[F.bool_or(F.get("values", F.lit(i)).isNotNull()).alias(f"_{i}") for i in range(width)]
+    )
+    used = F.array_compact(F.array(*[F.when(F.col(f"_{i}"), F.lit(i)) for i in range(width)]))
+    return flags.select("source_file", F.explode(used).alias("col_idx"))
+
+
+def prepare(rows: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """GRD-2..4, GRD-8, GRD-10..12: headers and layout of every file's first
+    sheet, by the rules of ``grid`` on the cells of its first rows only; both
+    are written once (files x columns)."""
+    from ..session import materialize
+
+    first = rows.where(F.col("sheet_no") == 0)
+    top = materialize(cells_of(first.where(F.col("row_idx") <= grid.SEARCH_ROWS)), "top-cells")
+    headers = materialize(grid.detect_headers(top, expected), "headers")
+    labels = grid.header_labels(top, headers, expected).join(headers.select("source_file", "merged"), "source_file")
+    labels = labels.select(
+        "source_file", "col_idx", F.when(F.col("merged"), F.col("merged_label")).otherwise(F.col("upper")).alias("raw_label")
     )
-    return rows.join(cut, list(KEYS)).where(F.col("row_idx") < F.col("_cut")).drop("_cut")
+    return headers, materialize(grid.labelled(used_columns(first, headers), labels), "layout")
 
 
 def report_amounts(rows: DataFrame, amount, sheets=REPORT_SHEETS) -> list[DataFrame]:

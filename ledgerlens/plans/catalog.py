@@ -442,3 +442,4 @@ from . import mapping_queries  # noqa: E402,F401
 from . import file_queries  # noqa: E402,F401
 from . import io_queries  # noqa: E402,F401
 from . import sheet_queries  # noqa: E402,F401
+from . import extract_queries  # noqa: E402,F401

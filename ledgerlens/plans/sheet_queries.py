@@ -8,11 +8,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import parse_date_strict, parse_number
-from ..operators import dims, enrich, reconcile
+from ..operators import dims, enrich, forwards, reconcile
 from ..operators import sheets as SH
+from ..operators.placement import numbered_as_read, with_read_position
 from ..session import ensure_checkpoint_dir
+from ..sources import bindings
 from ..sources import sheets as B
 from ..sources.feeds import NA_TOKENS
+from . import bindings_sql as BS
 from . import sqltext as S
 from .catalog import register
 from .oracle import _THR, ORACLE
@@ -143,6 +146,79 @@ from r left join sensi s on s.code = r.code left join th t on lower(r.classif) =
  and my is not null and (t.t_lo is null or my >= t.t_lo) and (t.t_hi is null or my < t.t_hi)"""
 
 
+# ------------------------------------------------------------------ marks
+@register
+def report_sheet_marks(spark, sf_dir):
+    """JN-3, CTL-1, CTL-2, CTL-3, SNK-6, GRD-19, DIM-5: the main report sheet with
+    the nine mark and gap cells written back at their positions, up to the
+    first blank code; rows without a mark and rows beyond keep their cells."""
+    rows = _report(spark, sf_dir).where(F.col("sheet") == MAIN)
+    marks = enrich.aggregate_marks(bindings.marks_feed(spark, sf_dir))
+    w = SH.write_marks(rows, _code_headers(rows), marks, parse_number)
+    return w.select(
+        "source_file", "row_idx", "inside", "code", "matched", F.size("values").alias("width"),
+        *[parse_number(SH.cell(x)).alias(n) for n, x in SH.REPORT_MARK_POSITIONS.items()],
+        *[SH.cell(x).alias(f"cell_{x.lower()}") for x in ("B", "AN", "AO", "BL")],
+    )
+
+
+def _report_sheet_marks_sql() -> str:
+    gap = S.sub_opt("an", "mark")
+    new = {
+        "mtm_cpty": "mark", "mtm_cpty_pct": S.div_opt("mark", "m"), "mtm_gap": gap, "mtm_gap_pct": S.div_opt(gap, "m"),
+        "mtm_gap_ctl": gap, "cmp_bs": S.sub_opt("an", "bd"), "cmp_bt": S.sub_opt("ao", "be"),
+        "cmp_ca": S.sub_opt("mark", "bd"), "cmp_cb": S.sub_opt("ax", "be"),
+    }
+    old = {"mtm_cpty": "aw0", "mtm_gap_ctl": "bk0"}
+    written = ", ".join(f"case when matched then {v} else {old.get(n, 'null')} end as {n}" for n, v in new.items())
+    empty = ", ".join(f"{'1.0' if n == 'mtm_cpty' else 'cast(null as double)'} as {n}" for n in new)
+    blank = ", ".join(f"cast(null as double) as {n}" for n in new)
+    return BS.with_(m=BS.M, mk=BS.MK) + f""", r as (select o_orderkey as k, o_orderkey % 3 as f, concat('SWAP_', o_custkey) as code,
+ cast(o_totalprice as decimal(12,2)) as total, case o_custkey % 4 when 0 then 'CMS Swap' when 1 then 'Real Rate Swap' when 2 then 'Cross Currency Swap' else 'Forward' end as cls from orders),
+x as (select *, case when k % 41 = 0 then 'N/A' when k % 43 <> 0 then replace(cast(total as varchar), '.', ',') end as cell_an,
+ case when k % 47 <> 0 then concat('0,', lpad(cast(k % 100 as varchar), 2, '0')) end as cell_ao from r),
+j as (select x.*, mk.mtm_cpty as mark, mk.code is not null as matched, cast(total as double) as m,
+ case when k % 41 <> 0 and k % 43 <> 0 then cast(total as double) end as an, {S.parse_eu('cell_ao')} as ao,
+ case when k % 41 <> 0 then cast(total as double) end as aw0, case when k % 2 = 0 then 5.0 end as bk0
+ from x left join mk on mk.code = x.code),
+w as (select *, {gap} as bd, {S.div_opt(gap, 'm')} as be, {S.div_opt('mark', 'm')} as ax from j)
+select concat('REPORT_', f, '.xlsm') as source_file, cast(case f when 0 then 6 when 1 then 8 else 4 end + k // 3 as integer) as row_idx,
+ true as inside, code, matched, {B.REPORT_WIDTH} as width, {written},
+ case when k % 8 = 0 then replace(cls, ' ', '  ') else cls end as cell_b, cell_an, cell_ao, concat('-0.', lpad(cast(k % 1000 as varchar), 3, '0')) as cell_bl from w
+union all select concat('REPORT_', f, '.xlsm'), cast(n_nationkey + {B.FOOTER_START} as integer), false, null, false, {B.REPORT_WIDTH}, {empty},
+ 'CMS Swap', '1', null, null from nation, range(3) t(f)
+union all select concat('REPORT_', f, '.xlsm'), r, false, null, false, {B.REPORT_WIDTH}, {blank}, b, null, null, null
+ from (values (0, 2, '30/06/1995'), (1, 2, '34880'), (2, 2, null), (0, 5, 'Classif DI'), (1, 7, ' classif  di'), (2, 3, 'Class')) h(f, r, b)"""
+
+
+ORACLE["report_sheet_marks"] = _report_sheet_marks_sql()
+
+
+@register
+def forward_sheet(spark, sf_dir):
+    """CTL-6, CHK-3, SRT-5, SNK-6, DIM-5: the bond-forward sheet: accepted forwards
+    of the stored feed in feed order, from the second row, in columns A..K,
+    rejected ones leaving no gap."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgerlens-io/feed-{uuid.uuid4().hex}"
+    feed = bindings.marks_feed(spark, sf_dir)
+    feed.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(path)
+    stored = with_read_position(spark.read.schema(feed.schema).parquet(path))
+    accepted = forwards.forward_alerts(forwards.forward_quality(forwards.select_forwards(stored)))
+    sheet = SH.forward_sheet(numbered_as_read(accepted, "place", start=0), "place", "REPORT.xlsm")
+    numeric = "DEFGHIJ"
+    return sheet.select(
+        "source_file", "sheet", "row_idx", F.size("values").alias("width"),
+        *[(parse_number(SH.cell(x)) if x in numeric else SH.cell(x)).alias(x.lower()) for x in SH.FORWARD_POSITIONS.values()],
+    )
+
+
+# the forward rules are those of forward_alerts; only place and cells are new
+ORACLE["forward_sheet"] = f"""with a as ({ORACLE['forward_alerts']})
+select 'REPORT.xlsm' as source_file, 'BND FWD' as sheet, cast(row_number() over (order by o_orderkey) as integer) as row_idx, {SH.FORWARD_WIDTH} as width,
+ nullif(free_text, '') as a, book as b, cp as c, notional as d, mtm_own as e, cpty_price as f, mtm_pct as g, cpty_pct as h,
+ threshold as i, gap_pct as j, alert as k from a"""
+
+
 # ------------------------------------------------------------------ totals
 def _exact(c):
     """Cell text as an exact amount, so that sums do not depend on row order."""

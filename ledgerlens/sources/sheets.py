@@ -25,6 +25,7 @@ SENSI_HEAD, SENSI_CODE = (2, 5, 3), ("E", "A", "C")
 # B3 of each report file (text, serial number, blank).
 RUN_DATE_CELLS = ("30/06/1995", "34880", None)
 FOOTER_START = 1_000_000_000
+REPORT_WIDTH = 80  # up to CB
 FILES = 3
 
 
@@ -66,8 +67,8 @@ def report_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i in range(FILES):
         name = f"REPORT_{i}.xlsm"
         labels = {"B": ("Classif DI", " classif  di", "Class")[i], "E": "Counterparty", REPORT_CODE[i]: "Code DI"}
-        heads.append((name, main, 0, 2, _texts(64, {"B": RUN_DATE_CELLS[i]})))
-        heads.append((name, main, 0, REPORT_HEAD[i], _texts(64, labels)))
+        heads.append((name, main, 0, 2, _texts(REPORT_WIDTH, {"B": RUN_DATE_CELLS[i]})))
+        heads.append((name, main, 0, REPORT_HEAD[i], _texts(REPORT_WIDTH, labels)))
         if i < 2:
             heads.append((name, forward, 1, FORWARD_HEAD[i], _texts(11, {"C": "Counterparty"})))
 
@@ -85,18 +86,20 @@ def report_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "AB": F.when(f == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy")),
         "AN": F.when(k % 41 == 0, "N/A").when(k % 43 != 0, F.replace(total, F.lit("."), F.lit(","))),
         "AW": F.when(k % 41 == 0, "abc").otherwise(total),
+        "AO": F.when(k % 47 != 0, F.concat(F.lit("0,"), F.lpad((k % 100).cast("string"), 2, "0"))),
+        "BK": F.when(k % 2 == 0, "5"),
         "BL": F.concat(F.lit("-0."), F.lpad((k % 1000).cast("string"), 3, "0")),
         "T": F.lit("7"), "U": F.when(k % 2 == 0, "8,5"),
     }
     row = _of_file(REPORT_HEAD, f) + 1 + F.floor(k / FILES)
-    parts = [_rows(orders, f, "REPORT_", ".xlsm", main, 0, row, _values(64, main_cells))]
+    parts = [_rows(orders, f, "REPORT_", ".xlsm", main, 0, row, _values(REPORT_WIDTH, main_cells))]
 
     n = F.col("n_nationkey")
     footers = table(spark, sf_dir, "nation", "n_nationkey").withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(FILES - 1))))
     foot_cells = _code_cells(F.col("f"), REPORT_CODE, F.concat(F.lit("TOTAL_"), n.cast("string"))) | {
         "E": F.lit("Total"), "AN": F.lit("1"), "AW": F.lit("1")}
     foot_cells["B"] = F.lit("CMS Swap")
-    parts.append(_rows(footers, F.col("f"), "REPORT_", ".xlsm", main, 0, n + FOOTER_START, _values(64, foot_cells)))
+    parts.append(_rows(footers, F.col("f"), "REPORT_", ".xlsm", main, 0, n + FOOTER_START, _values(REPORT_WIDTH, foot_cells)))
 
     c = F.col("c_custkey")
     customers = table(spark, sf_dir, "customer", "c_custkey", "c_acctbal")
