@@ -291,7 +291,8 @@ def counted(sets: DataFrame) -> np.ndarray:
 
 def rarest(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
     """class, rare: the shingles of each set from the rarest on (hash breaks ties), as
-    many as ``across`` needs for its smallest partner.  Any one order would do."""
+    many as ``across`` needs for its smallest partner.  Any one order would do, and
+    32 bits of a shingle: where two agree by chance, a pair more is confirmed."""
     shared = sets.sparkSession.sparkContext.broadcast(np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,43 +303,38 @@ def rarest(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
             for at in range(batch.num_rows):
                 h = lists[at].values.to_numpy().view(np.uint64)
                 order = np.lexsort((h, often[(h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]))
-                rare.append(h[order[: len(h) - (percent * len(h) + 99) // 100 + DEEP]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rare, pa.list_(pa.int64()))], names=["class", "rare"])
+                first = h[order[: len(h) - (percent * len(h) + 99) // 100 + DEEP]]
+                rare.append(first.astype(np.uint32).view(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rare, pa.list_(pa.int32()))], names=["class", "rare"])
 
-    return sets.mapInArrow(rows, "class binary, rare array<long>")
+    return sets.mapInArrow(rows, "class binary, rare array<int>")
 
 
-def across(members: DataFrame, percent: int, n: int, bits: int, block_rows: int) -> DataFrame:
-    """Candidate pairs (a, b) of one bucket whose members lie in different components.
+def across(members: DataFrame, facts: DataFrame, percent: int, n: int, bits: int, block_rows: int) -> DataFrame:
+    """Candidate pairs (a, b) of c in one bucket whose members lie in different components.
 
-    Members of a bucket meet by size step (linked sizes are at most one step
-    apart) in blocks of about ``block_rows`` on both sides, so a bucket that holds
-    most classes is spread over many tasks.  The join lets only pairs pass whose
-    estimate and rarest shingles allow a link, in the first band they share.
+    The members of a bucket are dealt into blocks of about ``block_rows``, and
+    each pair of blocks is a cell of its own, so a bucket that holds most classes
+    is spread over many tasks.  Both sides of the join are one table, shuffled
+    once.  It lets only pairs pass whose estimate and rarest shingles allow a
+    link, in the first band they share.  ``facts``: one row for each c.
     """
-    step = math.log(100 / percent) * (1 + 1e-9)
-    stepped = members.withColumn("step", F.floor(F.log(F.col("n")) / F.lit(step)).cast("int"))
-    blocks = stepped.groupBy("key", "step").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    x = stepped.join(blocks, ["key", "step"]).withColumn("i", own).withColumn("j", every)
-    y = (
-        stepped.withColumn("own_step", F.col("step"))
-        .withColumn("step", F.explode(F.array(F.col("step"), F.col("step") + 1)))
-        .join(blocks, ["key", "step"]).withColumn("j", own).withColumn("i", every)
-    )
-    x, y = x.alias("x"), y.alias("y")
-    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "step", "i", "j")]
-    once = (F.col("y.own_step") < F.col("x.step")) | (F.col("x.class") < F.col("y.class"))
-    shared = F.zip_with("x.keys", "y.keys", lambda a, b: a == b)
-    here = F.array_position(shared, F.lit(True)) == F.col("x.band") + 1
+    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = members.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("c"), "blocks").cast("int")).withColumn("other", other)
+    cells = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "c", "root")
+    cells = cells.join(facts, "c")
+    x, y = cells.alias("x"), cells.alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "p", "q")]
+    once = F.when(F.col("x.p") == F.col("x.q"), F.col("x.c") < F.col("y.c")).otherwise(F.col("x.own") < F.col("y.own"))
+    here = F.get(F.array_intersect("x.keys", "y.keys"), F.lit(0)) == F.col("x.key")
     share = F.ceil(F.lit(percent) * (F.col("x.n") + F.col("y.n")) / F.lit(100 + percent)).cast("int")
     deep = F.least(F.lit(DEEP), share)
     first = lambda side: F.slice(f"{side}.rare", F.lit(1), F.col(f"{side}.n") - share + deep)
     common = F.size(F.array_intersect(first("x"), first("y")))
-    near = similar("x", "y", percent, n, bits) & here & (common >= deep)
+    near = similar("x", "y", percent, n, bits) & here & (common + F.col("x.alike") >= deep)
     met = x.join(y, [*same, F.col("x.root") != F.col("y.root"), once, near])
-    return met.select(*ordered("x.class", "y.class"))
+    return met.select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
 
 
 def merged(apart: DataFrame, links: DataFrame) -> DataFrame:
@@ -352,10 +348,11 @@ def merged(apart: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def torn(buckets: DataFrame, apart: DataFrame) -> DataFrame:
-    """key, band, class, c, root of the members of buckets that lie in more than one component."""
-    rows = buckets.select("key", "band", "c").join(apart.withColumn("r", F.xxhash64("root")), "c")
-    keys = rows.groupBy("key").agg(F.min("r").alias("low"), F.max("r").alias("high")).where("low < high").select("key")
-    return materialize(rows.join(keys, "key").select("key", "band", "class", "c", "root"), "torn")
+    """key, band, c, root (64 bits of it) of the members of buckets that lie in more
+    than one component."""
+    rows = buckets.select("key", "band", "c").join(apart.select("c", F.xxhash64("root").alias("root")), "c")
+    keys = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    return materialize(rows.join(keys.select("key"), "key").select("key", "band", "c", "root"), "torn")
 
 
 def link(
@@ -397,10 +394,16 @@ def link(
     tested = materialize(hub_pairs(buckets, signed, percent, functions, bits), "pairs")
     apart = merged(classes.select("class", "c", F.col("class").alias("root")), confirmed(documents, classes, tested, words, percent))
     members = torn(buckets, apart)
-    sets = materialize(whole_sets(documents, classes, members.select("class").distinct(), words), "sets")
-    rare = materialize(rarest(sets, counted(sets), percent), "rare")
-    detailed = members.join(rare, "class").join(classes.select("class", "n", "planes", "keys"), "class")
-    close = across(detailed, percent, functions, bits, block_rows)
+    inside = members.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("band", "key"))).alias("torn"))  # a row a band
+    named = classes.select("class", "c", "n", "planes")
+    sets = materialize(whole_sets(documents, classes, inside.join(named, "c").select("class"), words), "sets")
+    rare = rarest(sets, counted(sets), percent).join(named, "class")
+    alike = (F.size("rare") - F.size(F.array_distinct("rare"))).alias("alike")  # equal by chance, counted once below
+    facts = rare.join(inside, "c").select("c", "n", "planes", "rare", alike, F.col("torn.key").alias("keys"))
+    facts = materialize(facts, "facts")
+    close = materialize(across(members, facts, percent, functions, bits, block_rows), "pairs")
+    of = lambda end: named.select(F.col("c").alias(end), F.col("class").alias(f"{end}_class"))
+    close = close.join(of("a"), "a").join(of("b"), "b").select(*ordered("a_class", "b_class"))
     last = materialize(close.join(tested, ["a", "b"], "left_anti"), "pairs")
     whole = merged(apart, confirmed(documents, classes, last, words, percent))
 
