@@ -2,7 +2,8 @@
 
 1. Shingle hashes are counted over all documents into a table of fixed size;
    it orders shingles from rare to frequent (hash breaks ties).  Any order
-   gives the same links; this one keeps common passages out of prefixes.
+   gives the same links; this one keeps common passages out of prefixes.  A
+   shingle whose bucket was counted once has no partner and is not dealt out.
 2. Documents with one set are one class; classes with the same size and the
    same prefix in that order are one group.  Two sets of sizes n and m reach the
    threshold only if they share a shingle among the first n - o + 1 of one and
@@ -36,6 +37,7 @@ from ledgerlens.llm.components import components
 from ledgerlens.session import materialize
 
 WORDS, LEVEL_BITS, RANGES = 5, 22, 64
+FAN_IN = 64  # count tables added in one group
 CACHED_WORDS = 200_000
 BROADCAST_IDS = 1_000_000
 _ODD = np.array(
@@ -96,23 +98,38 @@ def _count_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _add_counts(frame: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(zlib.decompress(c), np.int64) for c in frame["counts"])
-    return pd.DataFrame({"part": [frame["part"].iloc[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
+    total = np.zeros((1 << LEVEL_BITS) // RANGES, np.int64)
+    for c in frame["counts"]:
+        total += np.frombuffer(zlib.decompress(c), np.int64)
+    first = frame.iloc[0]
+    return pd.DataFrame({"part": [first["part"]], "task": [first["task"]], "counts": [zlib.compress(total.tobytes(), 1)]})
 
 
-def levels(documents: DataFrame) -> np.ndarray:
-    """How often the shingles of each hash bucket occur, in eighths of powers of two.
+def bucket_counts(documents: DataFrame) -> np.ndarray:
+    """In how many documents the shingles of each hash bucket occur.
 
-    Counts cover all documents.  The table has 2^22 bytes whatever the input;
-    tasks send their counts compressed and they are added in 64 ranges.
+    Counts cover all documents.  The table has 2^22 numbers whatever the input;
+    tasks send their counts compressed, in 64 ranges, and at most ``FAN_IN`` of
+    them are added in one group, level by level.
     """
+    schema = "part int, task long, counts binary"
     counted = documents.select("text").mapInArrow(_count_levels, "part int, counts binary")
-    rows = counted.groupBy("part").applyInPandas(_add_counts, "part int, counts binary").collect()
+    rows = materialize(counted.select("part", F.spark_partition_id().cast("long").alias("task"), "counts"), "counts")
+    tasks = (rows.agg(F.max("task")).first()[0] or 0) + 1
+    while tasks > 1:
+        tasks = -(-tasks // FAN_IN)
+        added = rows.withColumn("task", F.floor(F.col("task") / FAN_IN)).groupBy("part", "task").applyInPandas(_add_counts, schema)
+        rows = materialize(added, "counts")
     total = np.zeros(1 << LEVEL_BITS, np.int64)
-    for r in rows:
+    for r in rows.collect():
         width = len(total) // RANGES
         total[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
-    return np.minimum(255, np.floor(8 * np.log2(np.maximum(1, total)))).astype(np.uint8)
+    return total
+
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    """Counts in eighths of powers of two, one byte each."""
+    return np.minimum(255, np.floor(8 * np.log2(np.maximum(1, counts)))).astype(np.uint8)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -120,32 +137,38 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def describe(documents: DataFrame, level: np.ndarray, percent: int) -> DataFrame:
-    """doc_id, key, n, class, gid, prefix of each row (key: hash of the text, class: digest of the set)."""
-    shared = documents.sparkSession.sparkContext.broadcast(level)
+def describe(documents: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """doc_id, key, n, class, gid, prefix, places of each row (key: hash of the text,
+    class: digest of the set, gid: digest of the prefix).  ``prefix`` holds only the
+    shingles that may have a partner, ``places`` their places in the whole prefix."""
+    shared = documents.sparkSession.sparkContext.broadcast((levels(counts), counts > 1))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, order = Shingler(), shared.value
+        shingler, (order, again) = Shingler(), shared.value
         for batch in by_bytes(batches, 1):
-            n, classes, gids, prefixes = [], [], [], []
+            n, classes, gids, prefixes, places = [], [], [], [], []
             for text in _texts(batch, 1):
                 found = shingler.hashes(text)
                 n.append(len(found))
                 classes.append(xxhash.xxh3_128_digest(found.tobytes()))
-                by = np.argsort(order[(found >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)], kind="stable")
-                prefix = found[by[: prefix_length(len(found), percent)]] if len(found) else found
-                prefixes.append(prefix.view(np.int64))
+                bucket = (found >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)
+                by = np.argsort(order[bucket], kind="stable")[: prefix_length(len(found), percent) if len(found) else 0]
+                prefix, place = found[by], np.flatnonzero(again[bucket[by]])
+                prefixes.append(prefix[place].view(np.int64))
+                places.append(place.astype(np.int32))
                 gids.append(xxhash.xxh3_64_intdigest(prefix.tobytes()) - (1 << 63))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(classes, pa.binary()),
                     pa.array(gids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())),
+                    pa.array(places, pa.list_(pa.int32())),
                 ],
-                names=["doc_id", "key", "n", "class", "gid", "prefix"],
+                names=["doc_id", "key", "n", "class", "gid", "prefix", "places"],
             )
 
     ids = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
-    return ids.mapInArrow(rows, "doc_id long, key long, n long, class binary, gid long, prefix array<long>")
+    schema = "doc_id long, key long, n long, class binary, gid long, prefix array<long>, places array<int>"
+    return ids.mapInArrow(rows, schema)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +236,7 @@ def link(documents: DataFrame, percent: int = 80) -> DataFrame:
     null where there are no shingles.  Other columns are not read; an empty table
     gives no rows.
     """
-    described = materialize(describe(documents, levels(documents), percent), "shingled")
+    described = materialize(describe(documents, bucket_counts(documents), percent), "shingled")
     some = described.where(F.col("n") > 0)
     classes = materialize(
         some.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").cast("int").alias("n"), F.first("gid").alias("gid")),
@@ -222,24 +245,28 @@ def link(documents: DataFrame, percent: int = 80) -> DataFrame:
     heads = classes.groupBy("gid", "n").agg(F.min("class").alias("head"), F.max("class").alias("last"))
     # one exchange by shingle serves the aggregate and the join
     postings = (
-        some.select(F.posexplode("prefix").alias("place", "token"), "gid", F.col("n").cast("int").alias("n"))
-        .select("token", "gid", "n", speaks_for(F.col("n"), F.col("place"), percent).alias("reach"))
+        some.select(F.explode(F.arrays_zip("prefix", "places")).alias("p"), "gid", F.col("n").cast("int").alias("n"))
+        .select(F.col("p.prefix").alias("token"), "gid", "n", speaks_for(F.col("n"), F.col("p.places"), percent).alias("reach"))
         .repartition("token")
     )
-    member = F.struct("reach", "gid", "n")
-    ends = postings.groupBy("token").agg(F.max(member).alias("hub"), F.min(member).alias("end")).where(
-        F.col("hub") != F.col("end")
-    )
-    shared = materialize(postings.join(ends.select("token", "hub"), "token").distinct(), "postings")
+    # numbers only, so that groups are kept in a hash table; one order picks both halves of the hub
+    widest = F.shiftleft(F.col("reach").cast("long"), 31) + F.pmod(F.xxhash64("gid", "n"), F.lit(1 << 31))
+    several = (F.col("low_gid") < F.col("high_gid")) | (F.col("low_n") < F.col("high_n"))
+    ends = postings.groupBy("token").agg(
+        F.max_by("gid", widest).alias("hub_gid"), F.max_by("n", widest).alias("hub_n"),
+        F.min("gid").alias("low_gid"), F.max("gid").alias("high_gid"), F.min("n").alias("low_n"), F.max("n").alias("high_n"),
+        F.max("reach").alias("hub_reach"),
+    ).where(several)
+    hubs = ends.select("token", "hub_gid", "hub_n", "hub_reach")
+    shared = materialize(postings.join(hubs, "token").distinct(), "postings")
 
     def head(side: str) -> DataFrame:
         return heads.select(F.col("gid").alias(f"{side}_gid"), F.col("n").alias(f"{side}_n"), F.col("head").alias(side))
 
     stars = (
-        shared.alias("x")
-        .where((F.col("x.gid") != F.col("hub.gid")) | (F.col("x.n") != F.col("hub.n")))
-        .where(passes("x", "hub"))
-        .select(F.col("gid").alias("a_gid"), F.col("n").alias("a_n"), F.col("hub.gid").alias("b_gid"), F.col("hub.n").alias("b_n"))
+        shared.where((F.col("gid") != F.col("hub_gid")) | (F.col("n") != F.col("hub_n")))
+        .where((F.col("n") <= F.col("hub_reach")) & (F.col("hub_n") <= F.col("reach")))
+        .select(F.col("gid").alias("a_gid"), F.col("n").alias("a_n"), F.col("hub_gid").alias("b_gid"), F.col("hub_n").alias("b_n"))
         .distinct()
         .join(head("a"), ["a_gid", "a_n"]).join(head("b"), ["b_gid", "b_n"])
         .select("a", "b")

@@ -7,7 +7,8 @@ shortest so far; equal packs are held as one pattern with a count, so the work
 depends on the number of lengths, not of documents.  The patterns become runs
 "ranks a..b of length L go to sequences s.. at offset o", and every piece finds
 its run by its rank among the pieces of its length.  Ranks come from salted
-counts, so a length that holds most rows is never in one task.
+counts, the salts from the most frequent length, so a length that holds most
+rows is spread over as many tasks as it needs.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ from ledgerlens.llm.tokens import encoder, pieces, text_of
 from ledgerlens.session import materialize
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-IDS_SCHEMA = ", text_hash long, ids array<long>"
+IDS_SCHEMA = ", text_hash long, ids array<int>"
+#: Rows of one length that are ranked together.
+RANKED_ROWS = 4096
 
 
 class Run(NamedTuple):
@@ -96,10 +99,10 @@ def _cutter(path: str, capacity: int, end_id: int, with_ids: bool):
                 ids = np.concatenate([*parts, end]).astype("<u4", copy=False)
                 for start in range(0, len(ids), capacity):
                     piece = ids[start : start + capacity]
-                    row = (doc, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), text_hash, piece.astype(np.int64))
+                    row = (doc, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), text_hash, piece.astype(np.int32))
                     for values, v in zip(out, row, strict=False):
                         values.append(v)
-            kinds = [pa.int64()] * 5 + [pa.int64(), pa.list_(pa.int64())] * with_ids
+            kinds = [pa.int64()] * 5 + [pa.int64(), pa.list_(pa.int32())] * with_ids
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=names)
 
     return cut_batches
@@ -134,7 +137,7 @@ def pack(
     tokenizer: str,
     capacity: int = 2048,
     end_id: int = 1,
-    salts: int = 256,
+    salts: int | None = None,
     with_ids: bool = False,
 ) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens,
@@ -154,7 +157,7 @@ def pack(
         "run_length long, first_rank long, end_rank long, copies long, first_sequence long, first_offset long",
     )
     at = F.col("rank") - F.col("first_rank")
-    pieces_at = ranked(cut, salts)
+    pieces_at = ranked(cut, salts or -(-max(histogram.values(), default=1) // RANKED_ROWS))
     if with_ids:  # copies of a piece have one length and salt: no further exchange
         alike = Window.partitionBy("length", "salt", "doc_id", "text_hash", "start").orderBy("ids_crc32")
         pieces_at = pieces_at.withColumn("copy", (F.row_number().over(alike) - 1).cast("long"))
