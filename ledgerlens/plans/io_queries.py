@@ -87,6 +87,36 @@ def feed_missing_columns(spark, sf_dir):
                       F.array_join("missing", ", ").alias("missing")).distinct()
 
 
+@register
+def feed_multiline(spark, sf_dir):
+    """SRC-6, SRC-7, STR-4, NUM-1: feed files whose quoted fields hold line feeds,
+    separators and doubled quotes; a record may span lines and read splits."""
+    k = F.col("o_orderkey")
+    note = (
+        F.when(k % 6 == 0, F.concat(F.lit("first "), k.cast("string"), F.lit("\nsecond; line\n")))
+        .when(k % 6 == 1, F.concat(F.lit('said "'), k.cast("string"), F.lit('"\n"twice"')))
+        .when(k % 6 == 2, F.lit('5" pipe'))
+        .otherwise(F.col("free_text_1"))
+    )
+    m = B.marks_feed(spark, sf_dir).select(
+        "free_text_2", note.alias("FREE_TEXT_1"), F.col("mtm_value").cast("string").alias("MTM_VALUE"),
+        F.col("mtm_diff").cast("string").alias("MTM_DIFF"), k.cast("string").alias("CP"),
+    ).withColumnRenamed("free_text_2", "FREE_TEXT_2")
+    base = _scratch(spark, "multiline")
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    m.write.options(header=True, sep=";", escape='"', **keep).csv(base)
+    rows, _ = feeds.read_delimited(spark, [f"{base}/*.csv"], sep=";")
+    feed = feeds.feed_from_text(rows)
+    return feed.select(code_prefix("free_text_2").alias("code"), "free_text_1", "cp", "mtm_value", "mtm_diff")
+
+
+ORACLE["feed_multiline"] = f"""with m as ({BS.M}), f as (
+ select free_text_2, cast(o_orderkey as varchar) as cp, cast(mtm_value as double) as mtm_value, cast(mtm_diff as double) as mtm_diff,
+  case o_orderkey % 6 when 0 then concat('first ', o_orderkey, chr(10), 'second; line', chr(10))
+   when 1 then concat('said "', o_orderkey, '"', chr(10), '"twice"') when 2 then '5" pipe' else free_text_1 end as note from m)
+select {S.code_prefix(_na('free_text_2'))} as code, {_na('note')} as free_text_1, cp, mtm_value, mtm_diff from f"""
+
+
 def _members(spark, sf_dir):
     """Archive rows from the listing binding: one member per order, grouped
     into one archive per folder, some in sub-folders, some folder entries."""

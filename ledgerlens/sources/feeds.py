@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse_number, strip_ws
 from ..operators import dims
+from . import records
 
 # The NA tokens a pandas CSV/Excel read turns into missing values.
 NA_TOKENS = (
@@ -38,13 +39,10 @@ def read_delimited(
 ) -> tuple[DataFrame, DataFrame]:
     """Read delimited files as text columns bound by each file's own header.
 
-    Returns (rows, layouts): see ``bind_lines``.  Two passes over the lines and
-    no driver action: one for the first line of each file, one for the body.
+    Returns (rows, layouts): see ``bind_lines``.  The lines are stored once with
+    their places; quoted fields may hold line feeds (``records``).
     """
-    lines = spark.read.text(paths).select(
-        F.col("value").alias("line"), F.col("_metadata.file_path").alias("source_file"), line_position()
-    )
-    return bind_lines(lines, sep, columns)
+    return bind_lines(records.records(records.stored_lines(spark, paths, sep)), sep, columns)
 
 
 def line_position() -> Column:
