@@ -248,6 +248,31 @@ def report_amounts(rows: DataFrame, amount, sheets=REPORT_SHEETS) -> list[DataFr
     return out
 
 
+def label_cells(rows: DataFrame, label: str, search_rows: int = SEARCH_ROWS, row: int | None = None) -> DataFrame:
+    """GRD-7: per sheet the first cell (row by row) that holds ``label``, within the
+    first rows or in one ``row``: KEYS, header_row, label_col; sheets without it
+    are not listed."""
+    top = rows.where(F.col("row_idx") < search_rows) if row is None else rows.where(F.col("row_idx") == row)
+    at = F.array_position(F.transform("values", lambda v: F.coalesce(norm_label(v), F.lit(""))), " ".join(label.lower().split()))
+    first = top.where(at > 0).groupBy(*KEYS).agg(F.min(F.struct("row_idx", at.cast("int").alias("at"))).alias("_f"))
+    return first.select(*KEYS, F.col("_f.row_idx").alias("header_row"), (F.col("_f.at") - 1).alias("label_col"))
+
+
+def production_amounts(rows: DataFrame, amount, main: str, forward: str, header_row: int, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """AGG-4, AGG-5, GRD-7, FLT-7: class and dirty value of the main sheet (class
+    under its label on ``header_row``, dirty value in AN) and the forward sheet's
+    prices under the cell ``Prix GAM``, with ``keys``; for ``period.dirty_by_class``."""
+    from .period import BOND_FORWARD_HEADER
+
+    sheet = rows.where(F.col("sheet") == main)
+    classes = label_cells(sheet, "Classif DI", row=header_row)
+    swaps = body(sheet, classes).select(
+        *keys, F.get("values", F.col("label_col")).alias("classif"), amount(cell("AN")).alias("dirty"))
+    other = rows.where(F.col("sheet") == forward)
+    prices = body(other, label_cells(other, BOND_FORWARD_HEADER))
+    return swaps, prices.select(*keys, amount(F.get("values", F.col("label_col"))).alias("prix_gam"))
+
+
 def run_date_cells(rows: DataFrame) -> DataFrame:
     """CTL-5: column B as cells of one column, for ``enrich.run_date_of`` (its
     filter on the third row reaches the scan)."""

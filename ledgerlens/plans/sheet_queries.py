@@ -8,11 +8,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import parse_date_strict, parse_number
-from ..operators import dims, enrich, forwards, reconcile
+from ..operators import dims, enrich, forwards, period, reconcile
 from ..operators import sheets as SH
 from ..operators.placement import numbered_as_read, with_read_position
 from ..session import ensure_checkpoint_dir
 from ..sources import bindings
+from ..sources import productions as P
 from ..sources import sheets as B
 from ..sources.feeds import NA_TOKENS
 from . import bindings_sql as BS
@@ -244,3 +245,36 @@ ORACLE["report_sheet_totals"] = """with a as (
   case when c_custkey % 13 <> 0 then cast(c_acctbal as decimal(12,2)) end from customer where c_custkey % 29 <> 0)
 select classif, counterparty, cast(coalesce(sum(own), 0) as double) as mtm_own, cast(coalesce(sum(cp), 0) as double) as mtm_cpty
 from a group by 1, 2"""
+
+
+# ------------------------------------------------------------------ productions
+def _chosen(spark, sf_dir):
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgerlens-io/productions-{uuid.uuid4().hex}"
+    P.write_productions(P.production_rows(spark, sf_dir), path)
+    runs = spark.createDataFrame([(bindings.RUN_DATE, "Fast")], "run_date string, mode string")
+    return path, P.chosen_productions(P.list_productions(spark, path), runs.withColumn("run_date", F.col("run_date").cast("date")))
+
+
+@register
+def production_totals(spark, sf_dir):
+    """AGG-4, AGG-5, FLT-7, GRD-7, SRC-1, SRC-14, SRC-15, SRC-16, DATE-7: dirty value
+    by class of the current production of a run and of the one it compares
+    with, bond forwards under their price header included; the listing picks
+    the two files and only they are read."""
+    path, chosen = _chosen(spark, sf_dir)
+    rows = P.read_productions(spark, path, chosen)
+    swaps, prices = SH.production_amounts(rows, _exact, P.MAIN, P.FORWARD, P.HEADER_ROW, ("production", "file"))
+    out = period.dirty_by_class(swaps, prices, ("production", "file"))
+    return out.withColumn("total", F.col("total").cast("double"))
+
+
+ORACLE["production_totals"] = """with p as (select *, o_orderkey as k, year(o_orderdate) as y, month(o_orderdate) as m,
+ case when o_orderkey % 2 = 0 then 'fast' else 'close' end as mode, cast(o_totalprice as decimal(12,2)) as total,
+ concat(case when o_orderkey % 10 >= 8 then 'IFT - 02-' else 'IFT - 15-' end, strftime(o_orderdate, '%m-%Y'), case when o_orderkey % 10 >= 8 then '.xlsx' else '.xlsm' end) as file from orders),
+c as (select 'current' as production, max(file) as file from p where y = 1995 and m = 6 and mode = 'fast'
+ union all select 'previous', max(file) from p where y = 1995 and m = 3 and mode = 'close'),
+r as (select p.*, c.production from p join c on c.file = p.file and p.mode = case c.production when 'current' then 'fast' else 'close' end),
+a as (select production, file, case o_custkey % 4 when 0 then 'CMS Swap' when 1 then 'Real Rate Swap' when 2 then 'Cross Currency Swap' else 'Forward' end as classif, total
+ from r where k % 9 not in (1, 2) and k % 41 <> 0 and k % 43 <> 0
+ union all select production, file, 'Bond Forward', total from r where k % 5 < 2 and k % 7 <> 0)
+select production, file, classif, cast(sum(total) as double) as total from a group by all"""

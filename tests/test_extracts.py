@@ -107,3 +107,22 @@ def test_numbering_nothing(spark, tmp_path):
     spark.range(5).write.parquet(path)
     stored = with_read_position(spark.read.parquet(path))
     assert rows(numbered_as_read(stored.where("id > 10"), "at")) == []
+
+
+def test_only_the_chosen_productions_are_read(spark):
+    from ledgerlens.plans import sheet_queries
+    from ledgerlens.sources import productions as P
+
+    path, chosen = sheet_queries._chosen(spark, SF)
+    read = P.read_productions(spark, path, chosen)
+    assert "dynamicpruning" in read._jdf.queryExecution().executedPlan().toString()
+    files = {f for (f,) in rows(read.select("source_file").distinct())}
+    assert files == {"1995/06-1995/fast/IFT - 15-06-1995.xlsm", "1995/03-1995/close/IFT - 15-03-1995.xlsm"}
+    assert spark.read.parquet(path).select(*P.PLACE).distinct().count() > 100
+
+
+def test_label_cells(spark):
+    a = sheet(spark, [["x", None, "y"], [None, " prix  GAM"], ["Prix GAM"]])
+    b = sheet(spark, [["x"]], name="b.xls")
+    assert rows(SH.label_cells(a.unionByName(b), "Prix GAM")) == [("a.xls", "S", 1, 1)]
+    assert rows(SH.label_cells(a, "prix gam", row=2)) == [("a.xls", "S", 2, 0)]
