@@ -29,12 +29,23 @@ def select_forwards(feed: DataFrame, books=FORWARD_BOOKS, prefix: str = FORWARD_
     """FLT-3: rows whose free text starts with the prefix (case-insensitive,
     after strip, then NBSP -> blank) and whose normalised book is allowed.
 
-    Adds ``free_text``, ``book_norm``, ``cp_clean`` and double amounts
-    ``notional_d, mtm_value_d, mtm_diff_d`` (NaN -> null, S1/S2).
+    Adds the columns of ``forward_fields``.
     """
+    return forward_fields(feed).where(is_forward(books, prefix))
+
+
+def is_forward(books=FORWARD_BOOKS, prefix: str = FORWARD_PREFIX) -> Column:
+    """FLT-3 on rows with the columns of ``forward_fields``; never null."""
+    hit = F.upper(F.col("free_text")).startswith(prefix) & F.col("book_norm").isin(*books)
+    return F.coalesce(hit, F.lit(False))
+
+
+def forward_fields(feed: DataFrame) -> DataFrame:
+    """Adds ``free_text``, ``book_norm``, ``cp_clean`` and double amounts
+    ``notional_d, mtm_value_d, mtm_diff_d`` (NaN -> null, S1/S2)."""
     free_text = strip_ws(F.replace(clean_str("free_text_1"), F.lit(NBSP), F.lit(" ")))
     book = normalize_book(F.col("book"))
-    out = feed.withColumns(
+    return feed.withColumns(
         {
             "free_text": free_text,
             "book_norm": book,
@@ -44,7 +55,6 @@ def select_forwards(feed: DataFrame, books=FORWARD_BOOKS, prefix: str = FORWARD_
             "mtm_diff_d": _num("mtm_diff"),
         }
     )
-    return out.where(F.upper(F.col("free_text")).startswith(prefix) & F.col("book_norm").isin(*books))
 
 
 def _num(name: str) -> Column:

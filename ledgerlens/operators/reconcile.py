@@ -173,11 +173,32 @@ def mtm_by_class_cpty(*sheets: DataFrame) -> DataFrame:
     u = sheets[0]
     for s in sheets[1:]:
         u = u.unionByName(s)
-    pre = u.groupBy("classif_raw", "counterparty_raw").agg(
+    return by_clean_labels(by_raw_labels(u))
+
+
+def by_raw_labels(amounts: DataFrame) -> DataFrame:
+    """Sums ``g``, ``c`` of both amounts and the rows ``n`` with any, per raw label."""
+    return amounts.groupBy("classif_raw", "counterparty_raw").agg(
         F.sum("mtm_own").alias("g"),
         F.sum("mtm_cpty").alias("c"),
         F.count_if(F.col("mtm_own").isNotNull() | F.col("mtm_cpty").isNotNull()).alias("n"),
     )
+
+
+def marked_trades(trades: DataFrame, marks: DataFrame) -> DataFrame:
+    """AGG-2 on trades summed before they meet their marks: ``trades`` has
+    ``code, classif_raw, counterparty_raw, own, n, n_own`` (rows, rows with an
+    amount), ``marks`` one ``mark`` a code.  Each row of a code has its mark, so
+    the marks of a group are the mark times its rows; sums of ``by_raw_labels``."""
+    j = trades.join(marks.select("code", "mark"), "code", "left")
+    return j.select(
+        "classif_raw", "counterparty_raw", F.col("own").alias("g"), (F.col("mark") * F.col("n")).alias("c"),
+        F.when(F.col("mark").isNotNull(), F.col("n")).otherwise(F.col("n_own")).alias("n"),
+    )
+
+
+def by_clean_labels(pre: DataFrame) -> DataFrame:
+    """AGG-2 from sums by raw label (a label may come several times)."""
     k = pre.select(
         clean_label("classif_raw").alias("classif"),
         clean_label("counterparty_raw").alias("counterparty"),

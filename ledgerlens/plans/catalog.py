@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import code_text, div_optional, legacy_code_present, valid_code
+from ..functions import code_prefix, code_text, div_optional, legacy_code_present, valid_code
 from ..operators import dims, enrich
+from ..session import materialize
 from ..sources import bindings as B
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -263,23 +264,54 @@ def perimeter_dedup_stats(spark, sf_dir):
 
 
 # --------------------------------------------------------------- reconciliation
-def _recon_inputs(spark, sf_dir):
-    from ..operators import forwards
+def _recon_lines(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Trades by code and label, and the collateral report: one scan of the
+    lines, one small table that both sides read."""
     from ..operators import reconcile as R
 
-    t = B.trades(spark, sf_dir).where(valid_code("code_raw")).withColumn("code", code_text("code_raw"))
-    marks = enrich.aggregate_marks(B.marks_feed(spark, sf_dir), as_double=False)
-    swaps = t.join(marks.select("code", F.col("mtm_cpty").alias("mark")), "code", "left")
-    swap_sheet = R.sheet_amounts(swaps, F.col("classif"), F.col("cpty"), F.col("mtm_own"), F.col("mark"))
-    fw = forwards.forward_alerts(_forwards(spark, sf_dir))
+    both = materialize(B.recon_lines(spark, sf_dir, valid_code, code_text), "recon-lines")
+    trades = both.where(F.col("side") == "trade").select(
+        "code", F.col("label").alias("classif_raw"), F.col("cpty").alias("counterparty_raw"), "own", "n", "n_own")
+    lines = both.where(F.col("side") == "collateral").select(
+        "cpty", F.col("label").alias("typology"), F.col("own").alias("mtm_own"), F.col("other").alias("mtm_cpty"),
+        F.struct("cpty", F.col("label").alias("typology")).alias("ord"))
+    return trades, R.load_collateral(lines, "cpty", "typology", "mtm_own", "mtm_cpty")
+
+
+def _recon_feed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Marks by code and the forward sheet's sums by label: one scan of the feed.
+
+    A feed row may be a mark, a forward or both."""
     from ..functions import sub_optional
+    from ..operators import forwards
+
+    feed = B.marks_feed(spark, sf_dir)
+    code = code_prefix("free_text_2")
+    own, diff = F.col("mtm_value"), F.col("mtm_diff")
+    chosen = forwards.forward_quality(forwards.forward_fields(feed))
+    is_forward = forwards.is_forward() & (F.col("status") != "rejected")
+    side = lambda name, key, a, b: F.struct(F.lit(name).alias("side"), key.alias("key"), a.alias("own"), b.alias("other"))
+    rows = chosen.select(F.inline(F.array_compact(F.array(
+        F.when(code != "", side("mark", code, own, F.coalesce(own - diff, F.lit(0)))),
+        F.when(is_forward, side("forward", F.nullif(F.col("cp_clean"), F.lit("")), own, sub_optional(own, diff))),
+    ))))
+    both = materialize(rows.groupBy("side", "key").agg(
+        F.sum("own").alias("own"), F.sum("other").alias("other"),
+        F.count_if(F.col("own").isNotNull() | F.col("other").isNotNull()).alias("n"),
+    ), "recon-feed")
+    marks = both.where(F.col("side") == "mark").select(F.col("key").alias("code"), F.col("other").alias("mark"))
+    sheet = both.where(F.col("side") == "forward").select(
+        F.lit("Forward").alias("classif_raw"), F.col("key").alias("counterparty_raw"),
+        F.col("own").alias("g"), F.col("other").alias("c"), "n")
+    return marks, sheet
+
+
+def _recon_inputs(spark, sf_dir):
+    from ..operators import reconcile as R
 
-    fwd_sheet = R.sheet_amounts(fw, F.lit("Forward"), F.col("cp_out"), F.col("mtm_value"),
-                                sub_optional(F.col("mtm_value"), F.col("mtm_diff")))
-    template = R.mtm_by_class_cpty(swap_sheet, fwd_sheet)
-    c = B.collateral(spark, sf_dir).withColumn("ord", F.struct("cpty", "typology"))
-    collat = R.load_collateral(c, "cpty", "typology", "mtm_own", "mtm_cpty")
-    return template, collat
+    trades, collat = _recon_lines(spark, sf_dir)
+    marks, forward_sheet = _recon_feed(spark, sf_dir)
+    return R.by_clean_labels(R.marked_trades(trades, marks).unionByName(forward_sheet)), collat
 
 
 def _as_double(df: DataFrame, cols) -> DataFrame:
@@ -334,7 +366,7 @@ def aggregate_by_norm(spark, sf_dir):
     non-null labels and null-skipping sums."""
     from ..operators import reconcile as R
 
-    _, c = _recon_inputs(spark, sf_dir)
+    _, c = _recon_lines(spark, sf_dir)
     n = R.normalize_label(c, "counterparty", B.cpty_aliases(spark, sf_dir), "norm_counterparty")
     n = R.normalize_label(n, "typology", B.typology_aliases(spark), "norm_typology")
     n = n.where(F.col("norm_counterparty").isNotNull() & F.col("norm_typology").isNotNull())

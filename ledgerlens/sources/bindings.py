@@ -37,6 +37,24 @@ def _classif_of(part_key: Column) -> Column:
     )
 
 
+def _code_raw() -> Column:
+    sk = F.col("l_suppkey") % 4
+    bad_code = F.when(sk == 0, "N/A").when(sk == 1, "  ").when(sk == 2, "-")
+    return F.when(F.col("l_linenumber") == 7, bad_code).otherwise(
+        F.concat(F.lit(" SWAP_"), F.col("l_partkey").cast("string"), F.lit(" "))
+    )
+
+
+def _trade_cpty() -> Column:
+    return F.concat(F.lit("Supplier#"), F.col("l_suppkey").cast("string"))
+
+
+def _amounts() -> tuple[Column, Column]:
+    """Own and counterparty mark of a line."""
+    price = _dec("l_extendedprice")
+    return price * _dec("l_discount", "decimal(4,2)"), price * _dec("l_tax", "decimal(4,2)")
+
+
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T: one report row per lineitem row.
 
@@ -44,11 +62,6 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair (orderkey, linenumber) repeats in the driver data).
     """
     li = table(spark, sf_dir, "lineitem", *LINEITEM_ORDER)
-    sk = F.col("l_suppkey") % 4
-    bad_code = F.when(sk == 0, "N/A").when(sk == 1, "  ").when(sk == 2, "-")
-    code_raw = F.when(F.col("l_linenumber") == 7, bad_code).otherwise(
-        F.concat(F.lit(" SWAP_"), F.col("l_partkey").cast("string"), F.lit(" "))
-    )
     s3 = F.col("l_suppkey") % 3
     price = _dec("l_extendedprice")
     notional = (
@@ -58,10 +71,10 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return li.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("trade_id"),
-        code_raw.alias("code_raw"),
+        _code_raw().alias("code_raw"),
         _classif_of(F.col("l_partkey")).alias("classif"),
         F.when(s3 == 0, "HICPXT").when(s3 == 1, "frcpixt").otherwise("OTHER").alias("index_rate"),
-        F.concat(F.lit("Supplier#"), F.col("l_suppkey").cast("string")).alias("cpty"),
+        _trade_cpty().alias("cpty"),
         notional.alias("notional"),
         (price * _dec("l_discount", "decimal(4,2)")).alias("mtm_own"),
         (price * _dec("l_tax", "decimal(4,2)")).alias("mtm_cpty"),
@@ -136,6 +149,13 @@ def collateral(spark: SparkSession, sf_dir: str) -> DataFrame:
     seventh supplier and the returned lines carry labels of their own, which
     the report side does not have."""
     li = table(spark, sf_dir, "lineitem", "l_suppkey", "l_partkey", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
+    (cpty, typology), (own, other) = _collateral_labels(), _amounts()
+    return li.groupBy(cpty.alias("cpty"), typology.alias("typology")).agg(
+        F.sum(own).alias("mtm_own"), F.sum(other).alias("mtm_cpty")
+    )
+
+
+def _collateral_labels() -> tuple[Column, Column]:
     s = F.col("l_suppkey")
     sk = s.cast("string")
     spelling = (s + F.col("l_partkey") / 4).cast("long") % 5  # several spellings of one supplier and typology
@@ -153,14 +173,22 @@ def collateral(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(pm == 2, "Cross currency, fixed/fixed")
         .otherwise("Forward")
     )
-    price = _dec("l_extendedprice")
-    return (
-        li.groupBy(cpty.alias("cpty"), typology.alias("typology"))
-        .agg(
-            F.sum(price * _dec("l_discount", "decimal(4,2)")).alias("mtm_own"),
-            F.sum(price * _dec("l_tax", "decimal(4,2)")).alias("mtm_cpty"),
-        )
-    )
+    return cpty, typology
+
+
+def recon_lines(spark: SparkSession, sf_dir: str, valid_code, code_text) -> DataFrame:
+    """T and C in one scan: each line as a trade (where its code is valid) and as
+    a collateral line, summed by side, code, label and counterparty."""
+    li = table(spark, sf_dir, "lineitem", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
+    (cpty, typology), (own, other) = _collateral_labels(), _amounts()
+    none = F.lit(None).cast("string")
+    side = lambda name, code, label, of, a, b: F.struct(
+        F.lit(name).alias("side"), code.alias("code"), label.alias("label"), of.alias("cpty"), a.alias("own"), b.alias("other"))
+    trade = F.when(valid_code(_code_raw()), side(
+        "trade", code_text(_code_raw()), _classif_of(F.col("l_partkey")), _trade_cpty(), own, F.lit(None).cast("decimal(17,4)")))
+    line = side("collateral", none, typology, cpty, own, other)
+    return li.select(F.inline(F.array_compact(F.array(trade, line)))).groupBy("side", "code", "label", "cpty").agg(
+        F.sum("own").alias("own"), F.sum("other").alias("other"), F.count(F.lit(1)).alias("n"), F.count("own").alias("n_own"))
 
 
 def cpty_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
