@@ -2,8 +2,7 @@
 
 1. Shingle hashes are counted over all documents into a table of fixed size;
    it orders shingles from rare to frequent (hash breaks ties).  Any order
-   gives the same links; this one keeps common passages out of prefixes.  A
-   shingle whose bucket was counted once has no partner and is not dealt out.
+   gives the same links; this one keeps common passages out of prefixes.
 2. Documents with one set are one class; classes with the same size and the
    same prefix in that order are one group.  Two sets of sizes n and m reach the
    threshold only if they share a shingle among the first n - o + 1 of one and
@@ -36,8 +35,9 @@ from ledgerlens.llm.batches import by_bytes
 from ledgerlens.llm.components import components
 from ledgerlens.session import materialize
 
-WORDS, LEVEL_BITS, RANGES = 5, 22, 64
+WORDS, LEVEL_BITS, RANGES = 5, 24, 64
 FAN_IN = 64  # count tables added in one group
+MOST = (1 << 31) - 1  # counts beyond are equally frequent
 CACHED_WORDS = 200_000
 BROADCAST_IDS = 1_000_000
 _ODD = np.array(
@@ -88,7 +88,7 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
 
 
 def _count_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingler, counts = Shingler(), np.zeros(1 << LEVEL_BITS, np.int64)
+    shingler, counts = Shingler(), np.zeros(1 << LEVEL_BITS, np.int32)
     for batch in by_bytes(batches, 0):
         for text in _texts(batch, 0):
             found = shingler.hashes(text) >> np.uint64(64 - LEVEL_BITS)
@@ -100,15 +100,15 @@ def _count_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _add_counts(frame: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros((1 << LEVEL_BITS) // RANGES, np.int64)
     for c in frame["counts"]:
-        total += np.frombuffer(zlib.decompress(c), np.int64)
-    first = frame.iloc[0]
+        total += np.frombuffer(zlib.decompress(c), np.int32)
+    first, total = frame.iloc[0], np.minimum(total, MOST).astype(np.int32)
     return pd.DataFrame({"part": [first["part"]], "task": [first["task"]], "counts": [zlib.compress(total.tobytes(), 1)]})
 
 
 def bucket_counts(documents: DataFrame) -> np.ndarray:
     """In how many documents the shingles of each hash bucket occur.
 
-    Counts cover all documents.  The table has 2^22 numbers whatever the input;
+    Counts cover all documents.  The table has 2^24 numbers whatever the input;
     tasks send their counts compressed, in 64 ranges, and at most ``FAN_IN`` of
     them are added in one group, level by level.
     """
@@ -120,16 +120,17 @@ def bucket_counts(documents: DataFrame) -> np.ndarray:
         tasks = -(-tasks // FAN_IN)
         added = rows.withColumn("task", F.floor(F.col("task") / FAN_IN)).groupBy("part", "task").applyInPandas(_add_counts, schema)
         rows = materialize(added, "counts")
-    total = np.zeros(1 << LEVEL_BITS, np.int64)
+    total = np.zeros(1 << LEVEL_BITS, np.int32)
     for r in rows.collect():
         width = len(total) // RANGES
-        total[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+        total[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(zlib.decompress(r["counts"]), np.int32)
     return total
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
     """Counts in eighths of powers of two, one byte each."""
-    return np.minimum(255, np.floor(8 * np.log2(np.maximum(1, counts)))).astype(np.uint8)
+    parts = np.split(counts, RANGES)  # logarithms of a part at a time
+    return np.concatenate([np.floor(8 * np.log2(np.maximum(1, p))).astype(np.uint8) for p in parts])
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -138,37 +139,33 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def describe(documents: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """doc_id, key, n, class, gid, prefix, places of each row (key: hash of the text,
-    class: digest of the set, gid: digest of the prefix).  ``prefix`` holds only the
-    shingles that may have a partner, ``places`` their places in the whole prefix."""
-    shared = documents.sparkSession.sparkContext.broadcast((levels(counts), counts > 1))
+    """doc_id, key, n, class, gid, prefix of each row (key: hash of the text, class:
+    digest of the set, gid: digest of the prefix)."""
+    shared = documents.sparkSession.sparkContext.broadcast(levels(counts))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, (order, again) = Shingler(), shared.value
+        shingler, order = Shingler(), shared.value
         for batch in by_bytes(batches, 1):
-            n, classes, gids, prefixes, places = [], [], [], [], []
+            n, classes, gids, prefixes = [], [], [], []
             for text in _texts(batch, 1):
                 found = shingler.hashes(text)
                 n.append(len(found))
                 classes.append(xxhash.xxh3_128_digest(found.tobytes()))
                 bucket = (found >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)
                 by = np.argsort(order[bucket], kind="stable")[: prefix_length(len(found), percent) if len(found) else 0]
-                prefix, place = found[by], np.flatnonzero(again[bucket[by]])
-                prefixes.append(prefix[place].view(np.int64))
-                places.append(place.astype(np.int32))
+                prefix = found[by]
+                prefixes.append(prefix.view(np.int64))
                 gids.append(xxhash.xxh3_64_intdigest(prefix.tobytes()) - (1 << 63))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(classes, pa.binary()),
                     pa.array(gids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())),
-                    pa.array(places, pa.list_(pa.int32())),
                 ],
-                names=["doc_id", "key", "n", "class", "gid", "prefix", "places"],
+                names=["doc_id", "key", "n", "class", "gid", "prefix"],
             )
 
     ids = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
-    schema = "doc_id long, key long, n long, class binary, gid long, prefix array<long>, places array<int>"
-    return ids.mapInArrow(rows, schema)
+    return ids.mapInArrow(rows, "doc_id long, key long, n long, class binary, gid long, prefix array<long>")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,8 +242,8 @@ def link(documents: DataFrame, percent: int = 80) -> DataFrame:
     heads = classes.groupBy("gid", "n").agg(F.min("class").alias("head"), F.max("class").alias("last"))
     # one exchange by shingle serves the aggregate and the join
     postings = (
-        some.select(F.explode(F.arrays_zip("prefix", "places")).alias("p"), "gid", F.col("n").cast("int").alias("n"))
-        .select(F.col("p.prefix").alias("token"), "gid", "n", speaks_for(F.col("n"), F.col("p.places"), percent).alias("reach"))
+        some.select(F.posexplode("prefix").alias("place", "token"), "gid", F.col("n").cast("int").alias("n"))
+        .select("token", "gid", "n", speaks_for(F.col("n"), F.col("place"), percent).alias("reach"))
         .repartition("token")
     )
     # numbers only, so that groups are kept in a hash table; one order picks both halves of the hub
