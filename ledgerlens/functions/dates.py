@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .date_tokens import read_date
 from .text import _c, strip_ws
 
 # Fixed value: Excel's serial-date origin.
@@ -19,13 +20,6 @@ DAYS_PER_YEAR = 365.25
 _DMY_SLASH = r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"
 _YMD_DASH = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
 _DMY_DASH = r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$"
-_DMY_DOT = r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}$"
-_YMD_SLASH = r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$"
-_YMD_PLAIN = r"^[0-9]{8}$"
-_DMY_TIME = r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}(:[0-9]{2})?$"
-_DMY_SHORT = r"^[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2}$"
-_D_MON_Y = r"^[0-9]{1,2}[- ][A-Za-z]{3}[- ][0-9]{4}$"
-_YMD_TIME = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2})?$"
 
 
 def excel_serial_to_date(c) -> Column:
@@ -65,28 +59,11 @@ def parse_date_strict(c, serial=None) -> Column:
 def parse_date_lenient(c, serial=None) -> Column:
     """DATE-2: native / serial (> 59) / day-first text, then month-first text.
 
-    Returns a timestamp without time zone (the mapping path keeps the time
-    of day).  The
-    reference hands text to a free-form parser; the formats tried here are an
-    explicit list: d/M/yyyy [H:mm[:ss]], d-M-yyyy, d.M.yyyy, yyyy-M-d
-    [H:mm[:ss]], yyyy/M/d, yyyyMMdd, d-MMM-yyyy and d MMM yyyy (English month
-    names), the month-first M/d/yyyy, and two-digit years (2000 to 2099).
+    Returns a timestamp without time zone (the mapping path keeps the time of
+    day).  The reference hands text to a free-form parser; here texts are read by
+    their tokens (``date_tokens``), which also tells why a text is no date.
     """
-    s = strip_ws(_c(c))
-    ts = F.coalesce(*[
-        t.cast("timestamp_ntz") for t in (
-        F.when(s.rlike(_DMY_SLASH), F.try_to_timestamp(s, F.lit("d/M/yyyy"))),
-        F.when(s.rlike(_DMY_DASH), F.try_to_timestamp(s, F.lit("d-M-yyyy"))),
-        F.when(s.rlike(_DMY_DOT), F.try_to_timestamp(s, F.lit("d.M.yyyy"))),
-        F.when(s.rlike(_YMD_DASH), F.try_to_timestamp(s, F.lit("yyyy-M-d"))),
-        F.when(s.rlike(_YMD_TIME), F.try_to_timestamp(F.replace(s, F.lit("T"), F.lit(" ")), F.lit("yyyy-M-d H:mm[:ss]"))),
-        F.when(s.rlike(_DMY_SLASH), F.try_to_timestamp(s, F.lit("M/d/yyyy"))),
-        F.when(s.rlike(_DMY_TIME), F.try_to_timestamp(s, F.lit("d/M/yyyy H:mm[:ss]"))),
-        F.when(s.rlike(_YMD_SLASH), F.try_to_timestamp(s, F.lit("yyyy/M/d"))),
-        F.when(s.rlike(_YMD_PLAIN), F.try_to_timestamp(s, F.lit("yyyyMMdd"))),
-        F.when(s.rlike(_D_MON_Y), F.try_to_timestamp(F.initcap(F.translate(s, "-", " ")), F.lit("d MMM yyyy"))),
-        F.when(s.rlike(_DMY_SHORT), F.try_to_timestamp(F.translate(s, "-.", "//"), F.lit("d/M/yy"))),
-    )])
+    ts = read_date(c)["value"]
     if serial is None:
         return ts
     num = _c(serial)

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.date_tokens import read_date
 from ..functions import (
     date_tag,
     div_optional,
@@ -199,6 +200,46 @@ ORACLE["parse_date_lenient_text"] = f"""with dt as ({_DATE_TEXT_SQL}) select l_o
   {_gate(_ST, _YMD, '%Y-%m-%d', 'ts')}, {_gate(_ST, _DMY, '%m/%d/%Y', 'ts')}) as value from dt"""
 
 
+def _date_styles(d, k):
+    """A date in twelve spellings, four of them unreadable, by the number of its line."""
+    style = k % 12
+    return (
+        F.when(style == 0, F.date_format(d, "d MMMM yyyy"))
+        .when(style == 1, F.concat(F.date_format(d, "EEE"), F.lit(", "), F.date_format(d, "MMM d, yyyy")))
+        .when(style == 2, F.concat(F.date_format(d, "dd-MMM-yy"), F.lit(" 14:05")))
+        .when(style == 3, F.date_format(d, "yyyyMMdd"))
+        .when(style == 4, F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T23:59:01.5Z")))
+        .when(style == 5, F.concat(F.date_format(d, "d.M.yy"), F.lit(" 2:30 pm")))
+        .when(style == 6, F.concat(F.lit("21st "), F.date_format(d, "MMM, yyyy")))
+        .when(style == 7, F.date_format(d, "MMM yyyy"))
+        .when(style == 8, F.concat(F.date_format(d, "dd/MM/yyyy"), F.lit("?")))
+        .when(style == 9, F.concat(F.date_format(d, "dd"), F.lit(" floreal "), F.date_format(d, "yyyy")))
+        .when(style == 10, F.concat(F.lit("31/02/"), F.date_format(d, "yyyy")))
+        .otherwise(F.date_format(d, "yyyy"))
+    )
+
+
+@register
+def date_text_reasons(spark, sf_dir):
+    """DATE-2: free-form date texts by tokens; unread ones with the reason."""
+    li = B.table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_shipdate")
+    k = F.col("l_orderkey") + F.col("l_linenumber")
+    t = li.select("l_orderkey", "l_linenumber", _date_styles(F.col("l_shipdate").cast("date"), k).alias("text"))
+    return t.select("l_orderkey", "l_linenumber", "text", read_date("text").alias("_r")).select(
+        "l_orderkey", "l_linenumber", "text", "_r.value", "_r.reason")
+
+
+_MIDNIGHT = "cast(d as timestamp)"
+_CENTURY = "cast(case when year(d) < 2000 then d + interval 100 year else d end as timestamp)"  # two digits are 2000 to 2099
+ORACLE["date_text_reasons"] = f"""with t as (select l_orderkey, l_linenumber, cast(l_shipdate as date) as d, (l_orderkey + l_linenumber) % 12 as s from lineitem)
+select l_orderkey, l_linenumber, case s when 0 then strftime(d, '%-d %B %Y') when 1 then strftime(d, '%a, %b %-d, %Y') when 2 then strftime(d, '%d-%b-%y 14:05')
+  when 3 then strftime(d, '%Y%m%d') when 4 then strftime(d, '%Y-%m-%dT23:59:01.5Z') when 5 then strftime(d, '%-d.%-m.%y 2:30 pm') when 6 then strftime(d, '21st %b, %Y')
+  when 7 then strftime(d, '%b %Y') when 8 then strftime(d, '%d/%m/%Y?') when 9 then strftime(d, '%d floreal %Y') when 10 then strftime(d, '31/02/%Y') else strftime(d, '%Y') end as text,
+ case when s in (0, 1, 3) then {_MIDNIGHT} when s = 2 then {_CENTURY} + interval 845 minute when s = 4 then {_MIDNIGHT} + interval 86341 second
+  when s = 5 then {_CENTURY} + interval 870 minute when s = 6 then cast(date_trunc('month', d) as timestamp) + interval 20 day when s = 7 then cast(date_trunc('month', d) as timestamp) end as value,
+ case s when 8 then 'unknown character' when 9 then 'unknown word' when 10 then 'no such date' when 11 then 'too few parts' end as reason from t"""
+
+
 # ------------------------------------------------------------------ calendar
 # text before and after the date in the attachment's name
 ATTACHMENT = ("Valuation ", " - control.xlsx")

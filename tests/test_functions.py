@@ -102,3 +102,25 @@ def test_lenient_dates_in_common_forms(spark):
              ("19/09/2025 10:30", day.replace(hour=10, minute=30)), ("19.09.25", day), ("no date", None)]
     got = spark.createDataFrame([(t,) for t, _ in texts], "t string").select("t", parse_date_lenient("t").alias("v"))
     assert dict(map(tuple, got.collect())) == dict(texts)
+
+
+def test_date_tokens_and_reasons(spark):
+    import datetime as dt
+
+    from ledgerlens.functions.date_tokens import read_date
+
+    day = dt.datetime(2025, 9, 19)
+    texts = {
+        "September 19, 2025": day, "19th of sept 2025": "unknown word", "Sept 19 2025": day, "2025 Sep 19": day, "Fri 19 Sep 2025": day,
+        "friday, 19/9/2025": day, "09-19-2025": day, "9.19.25": day, "20250919 10:30:15": day.replace(hour=10, minute=30, second=15),
+        "19/09/2025 12:00 am": day, "19/09/2025 12:00 pm": day.replace(hour=12), "2025-09-19T08:00:00.250Z": day.replace(hour=8),
+        "Sep 2025": day.replace(day=1), "9/2025": day.replace(day=1), "2025-09": day.replace(day=1), "19 Sep": "no such date",
+        "19/09/2025 25:00": "no such date", "32/13/2025": "no such date", "1 2 3 4": "too many parts", "2025": "too few parts",
+        "  ": "blank", "19\u22129\u22122025": "unknown character", "13/13/2025": "no such date", "05/04/2025": dt.datetime(2025, 4, 5),
+        "123/04/2025": "no such date", "n.c.": "unknown word", "99999999999999999999": "too few parts",
+    }
+    r = read_date("t")
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.coalesce(r["reason"], r["value"].cast("string")))
+    want = {t: v if isinstance(v, str) else str(v) for t, v in texts.items()}
+    assert dict(map(tuple, got.collect())) == want
+    assert rows(spark.createDataFrame([(None,)], "t string").select(read_date("t").isNull())) == [(True,)]
