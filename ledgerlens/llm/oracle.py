@@ -22,21 +22,22 @@ SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM (
 ) WHERE place <= {k}"""
 
 
-def url_filters(rounds: int = 8, damping: float = 0.85, least: float = 0.01) -> str:
+def url_filters(rounds: int = 8, damping: float = 0.85, least: float = 0.1) -> str:
     rules = sorted(urls.RULES, key=lambda r: (-len(r.host + r.path), r))
     fits = [(f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))", r) for r in rules]
     text = " ".join(f"WHEN {c} THEN '{r.host}{r.path}'" for c, r in fits)
     verdict = " ".join(f"WHEN {c} THEN '{r.verdict}'" for c, r in fits)
     host = lambda x: f"translate(coalesce(regexp_extract({x}, '://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}')"
     href = urls.HREF.replace("'", "''")
+    moved = lambda i: f"""SELECT kind, e."to" AS host, r.score * e.part * {damping!r} AS score, r.evenly * e.part * {damping!r} AS evenly
+    FROM r{i} r JOIN e USING (kind, host)"""
     step = "\n".join(
         f"""), r{i} AS (
-  SELECT kind, host, sum(score) AS score FROM (
-    SELECT kind, host, score * {1 - damping!r} AS score FROM r0
-    UNION ALL
-    SELECT kind, e."to", r.score * e.part * {damping!r} FROM r{i - 1} r JOIN e USING (kind, host)
+  SELECT kind, host, sum(score) AS score, sum(evenly) AS evenly FROM (
+    SELECT kind, host, score * {1 - damping!r} AS score, {1 - damping!r}::DOUBLE AS evenly FROM r0
+    UNION ALL {moved(i - 1)}
   ) GROUP BY ALL"""
-        for i in range(1, rounds + 1)
+        for i in range(1, rounds)
     )
     return rf"""
 WITH parts AS (
@@ -44,8 +45,8 @@ WITH parts AS (
 ), judged AS (
   SELECT page_id, html, host, path, CASE {text} END AS rule, CASE {verdict} END AS ruled FROM parts
 ), seeds AS (
-  SELECT host, CASE WHEN avg(CASE WHEN ruled = 'allow' THEN 1.0 ELSE 0 END) > 0.5 THEN 1.0 ELSE 0 END AS trust,
-    CASE WHEN avg(CASE WHEN ruled = 'block' THEN 1.0 ELSE 0 END) > 0.5 THEN 1.0 ELSE 0 END AS distrust
+  SELECT host, avg(CASE WHEN ruled = 'allow' THEN 1.0 ELSE 0 END) AS trust,
+    avg(CASE WHEN ruled = 'block' THEN 1.0 ELSE 0 END) AS distrust
   FROM judged WHERE host <> '' GROUP BY host
 ), links AS (
   SELECT DISTINCT page_id, host AS source, CASE
@@ -54,20 +55,25 @@ WITH parts AS (
     WHEN regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN '' ELSE host END AS target
   FROM (SELECT page_id, host, unnest(regexp_extract_all(html, '{href}', 1)) AS x FROM judged WHERE host <> '')
 ), n AS (
-  SELECT source, target, count(*) AS pages FROM links WHERE target <> '' GROUP BY ALL
+  SELECT source, target, count(*) AS pages FROM links WHERE target <> '' AND target <> source GROUP BY ALL
 ), edges2 AS (
   SELECT 'trust' AS kind, source AS host, target AS "to", pages FROM n
   UNION ALL SELECT 'distrust', target, source, pages FROM n
 ), e AS (
   SELECT kind, host, "to", pages / sum(pages) OVER (PARTITION BY kind, host) AS part FROM edges2
+), own AS (
+  SELECT 'trust' AS kind, host, trust AS seed FROM seeds UNION ALL SELECT 'distrust', host, distrust FROM seeds
 ), r0 AS (
-  SELECT 'trust' AS kind, host, CAST(trust AS DOUBLE) AS score FROM seeds WHERE trust > 0
-  UNION ALL SELECT 'distrust', host, CAST(distrust AS DOUBLE) FROM seeds WHERE distrust > 0
+  SELECT kind, host, coalesce(seed, 0.0)::DOUBLE AS score, 1.0::DOUBLE AS evenly
+  FROM (SELECT kind, host FROM e UNION SELECT kind, "to" FROM e) LEFT JOIN own USING (kind, host)
 {step}
+), shares AS (
+  SELECT kind, host, seed * {1 - damping!r} AS part FROM own
+  UNION ALL SELECT kind, host, sum(score) / sum(evenly) * {damping!r} FROM ({moved(rounds - 1)}) GROUP BY ALL
 ), bad AS (
-  SELECT host FROM r{rounds} GROUP BY host HAVING
-    coalesce(sum(score) FILTER (kind = 'distrust'), 0) >= {least}
-    AND coalesce(sum(score) FILTER (kind = 'distrust'), 0) > coalesce(sum(score) FILTER (kind = 'trust'), 0)
+  SELECT host FROM shares GROUP BY host HAVING
+    coalesce(sum(part) FILTER (kind = 'distrust'), 0) >= {least}
+    AND coalesce(sum(part) FILTER (kind = 'distrust'), 0) > coalesce(sum(part) FILTER (kind = 'trust'), 0)
 )
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged"""

@@ -3,9 +3,10 @@
 Rules judge a url by host and path.  A host that no rule judges is judged by
 its links: trust starts at hosts with allowed pages and follows links
 (personalised PageRank); distrust starts at hosts with blocked pages and goes
-against links, to those who point at them.  Links are counted by host pair
-before anything else, so a host that holds most pages is a few rows of the
-graph.  Built-in functions only.
+against links, to those who point at them.  Both are held against what would
+arrive if every host were a seed.  Links are counted by host pair before
+anything else, so a host that holds most pages is a few rows of the graph.
+Built-in functions only.
 """
 
 from __future__ import annotations
@@ -84,35 +85,48 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def spread(seeds: DataFrame, links: DataFrame, damping: float, rounds: int) -> DataFrame:
-    """host, trust, distrust after ``rounds`` of propagation.
-
-    ``seeds``: host, trust, distrust.  Both kinds go through one join and one
-    aggregate a round, over edges that are one row for each kind and host pair.
+    """host, trust, distrust after ``rounds`` of propagation, each from 0 to 1.
+
+    ``seeds``: host, trust, distrust, each from 0 to 1.  A personalised PageRank
+    runs from the seeds and one from all hosts alike, along links for trust and
+    against them for distrust; links of a host to itself are none.  What reaches
+    a host from the seeds is divided by what reaches it from all hosts, so the
+    number of hosts that share a link's target cancels out.  A host's score is
+    its own seed and that share, weighed ``1 - damping`` and ``damping``.
     """
     kinds = F.array(
         F.struct(F.lit("trust").alias("kind"), F.col("source").alias("host"), F.col("target").alias("to"), "pages"),
         F.struct(F.lit("distrust").alias("kind"), F.col("target").alias("host"), F.col("source").alias("to"), "pages"),
     )
-    both = links.select(F.inline(kinds))
+    both = links.where(F.col("source") != F.col("target")).select(F.inline(kinds))
     total = both.groupBy("kind", "host").agg(F.sum("pages").alias("all_pages"))
     edges = materialize(
         both.join(total, ["kind", "host"]).select("kind", "host", "to", (F.col("pages") / F.col("all_pages")).alias("part")),
         "host-edges",
     )
+    own = seeds.unpivot("host", ["trust", "distrust"], "kind", "seed").select("kind", "host", "seed")
+    linked = edges.select("kind", F.explode(F.array("host", "to")).alias("host")).distinct()
     start = materialize(
-        seeds.unpivot("host", ["trust", "distrust"], "kind", "score").where("score > 0"), "host-seeds"
+        linked.join(own, ["kind", "host"], "left").select("kind", "host", F.coalesce("seed", F.lit(0.0)).alias("seed")),
+        "host-seeds",
     )
-    base = start.select("kind", "host", (F.col("score") * (1 - damping)).alias("score"))
-    scores = start
+    sums = [F.sum(c).alias(c) for c in ("score", "evenly")]
+    base = start.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"), F.lit(1 - damping).alias("evenly"))
+    scores = start.select("kind", "host", F.col("seed").alias("score"), F.lit(1.0).alias("evenly"))
     for i in range(rounds):
         moved = scores.join(edges, ["kind", "host"]).select(
-            "kind", F.col("to").alias("host"), (F.col("score") * F.col("part") * damping).alias("score")
+            "kind", F.col("to").alias("host"), *((F.col(c) * F.col("part") * damping).alias(c) for c in ("score", "evenly"))
         )
-        scores = base.unionByName(moved).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if (i + 1) % ROUNDS_A_TABLE == 0:
-            scores = materialize(scores, "host-scores")
-    return scores.groupBy("host").agg(
-        *(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust"))
+        if i + 1 < rounds:
+            scores = base.unionByName(moved).groupBy("kind", "host").agg(*sums)
+            if (i + 1) % ROUNDS_A_TABLE == 0:
+                scores = materialize(scores, "host-scores")
+    reached = moved.groupBy("kind", "host").agg(*sums)
+    parts = own.select("kind", "host", (F.col("seed") * (1 - damping)).alias("part")).unionByName(
+        reached.select("kind", "host", (F.col("score") / F.col("evenly") * damping).alias("part"))
+    )
+    return parts.groupBy("host").agg(
+        *(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("part"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust"))
     )
 
 
@@ -121,21 +135,23 @@ def judge(
     rules: tuple[UrlRule, ...] = RULES,
     damping: float = 0.85,
     rounds: int = 8,
-    least: float = 0.01,
+    least: float = 0.1,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict for each page.
 
-    Seeds of trust (distrust) are the hosts of whose pages the rules allow
-    (block) more than half.  Without a rule a page is blocked where its host's
-    distrust is at least ``least`` and above its trust, else allowed; a page
-    without a host is allowed.
+    Every host with a ruled page is a seed: of trust by the share of its pages
+    that the rules allow, of distrust by the share they block.  Without a rule
+    a page is blocked where its host's distrust is at least ``least`` and above
+    its trust, else allowed; a page without a host is allowed.  Both scores are
+    shares (``spread``), so the verdict on a host does not depend on how many
+    pages, hosts or fellow linkers there are.  At least one round is made.
     Null urls and html, repeated rows and other columns do no harm; an empty
     table gives no rows.
     """
     judged = judged_by_rules(pages, rules)
-    share = lambda v: (F.avg((F.coalesce(F.col("ruled"), F.lit("")) == v).cast("double")) > 0.5).cast("double")
+    share = lambda v: F.avg((F.coalesce(F.col("ruled"), F.lit("")) == v).cast("double"))
     seeds = judged.where(F.col("host") != "").groupBy("host").agg(share(ALLOW).alias("trust"), share(BLOCK).alias("distrust"))
-    scores = spread(seeds, host_links(pages), damping, rounds)
+    scores = spread(seeds, host_links(pages), damping, max(1, rounds))
     bad = scores.where((F.col("distrust") >= least) & (F.col("distrust") > F.col("trust"))).select("host", F.lit(BLOCK).alias("spread"))
     return judged.join(bad, "host", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", "spread", F.lit(ALLOW)).alias("verdict")

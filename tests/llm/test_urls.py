@@ -1,5 +1,6 @@
 """URL filters: parts, longest rule, and spread of trust and distrust."""
 
+import re
 from collections import defaultdict
 
 import pytest
@@ -50,7 +51,7 @@ def plain(pages, damping, rounds):
         seeds[own][0] += url.endswith("/fr/")
         seeds[own][1] += ".net/" in url
         targets = {host(("http:" + x) if x.startswith("//") else x.lower()) if "//" in x else "" if ":" in x else own for x in links}
-        for t in targets - {""}:
+        for t in targets - {"", own}:
             edges[own, t] += 1
     out, into = defaultdict(float), defaultdict(float)
     for (a, b), w in edges.items():
@@ -58,17 +59,21 @@ def plain(pages, damping, rounds):
         into[b] += w
     t0 = {h: s[0] / n[h] for h, s in seeds.items()}
     d0 = {h: s[1] / n[h] for h, s in seeds.items()}
-    t, d = dict(t0), dict(d0)
+    hosts = {h for e in edges for h in e}
+    t, d, te, de = (defaultdict(float, ((h, x.get(h, 0)) for h in hosts)) for x in (t0, d0, dict.fromkeys(hosts, 1), dict.fromkeys(hosts, 1)))
     for _ in range(rounds):
-        t2, d2 = defaultdict(float), defaultdict(float)
-        for h in {*t, *t0}:
-            t2[h] += (1 - damping) * t0.get(h, 0)
-            d2[h] += (1 - damping) * d0.get(h, 0)
+        moved = [defaultdict(float) for _ in range(4)]
         for (a, b), w in edges.items():
-            t2[b] += damping * t.get(a, 0) * w / out[a]
-            d2[a] += damping * d.get(b, 0) * w / into[b]
-        t, d = t2, d2
-    return {h: (t.get(h, 0), d.get(h, 0)) for h in {*t, *d} if t.get(h) or d.get(h)}
+            for to, kind, at in ((b, moved[0], t[a] / out[a]), (b, moved[1], te[a] / out[a]), (a, moved[2], d[b] / into[b]), (a, moved[3], de[b] / into[b])):
+                kind[to] += damping * at * w
+        t, te, d, de = (
+            defaultdict(float, ((h, (1 - damping) * x.get(h, 0) + m[h]) for h in hosts))
+            for x, m in zip((t0, dict.fromkeys(hosts, 1), d0, dict.fromkeys(hosts, 1)), moved, strict=True)
+        )
+    share = lambda m, e, h: m[h] / e[h] if e.get(h) else 0.0
+    return {
+        h: tuple((1 - damping) * x.get(h, 0) + damping * share(*m, h) for x, m in ((t0, moved[:2]), (d0, moved[2:]))) for h in {*hosts, *n}
+    }
 
 
 def test_spread_over_links(spark):
@@ -87,7 +92,48 @@ def test_spread_over_links(spark):
     assert verdict == {"bad.net": "block", "farm.com": "block", "mixed.com": "block", "good.com": "allow", "news.org": "allow"}
 
 
+def linked(spark, graph):
+    rows = [(i, u, "".join(f"<a href='{x}'>a</a>" for x in links)) for i, (u, links) in enumerate(graph)]
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def farm(linkers, pages_a_host):
+    """Linkers of one blocked host, as many of a good one, and a portal that links to all of them."""
+    everyone = [f"http://{kind}{i}.com/" for kind in ("farm", "fan") for i in range(linkers)]
+    return [
+        ("http://bad.net/", []), ("http://good.org/fr/", []),
+        *((f"http://farm{i}.com/{p}", ["http://bad.net/", "/own"]) for i in range(linkers) for p in range(pages_a_host)),
+        *((f"http://fan{i}.com/{p}", ["http://good.org/"]) for i in range(linkers) for p in range(pages_a_host)),
+        ("http://portal.com/", ["http://bad.net/", *everyone[linkers:], *(f"http://other{i}.com/" for i in range(20))]),
+        *((f"http://some.org/{p}", []) for p in ("fr/1", "x", "y", "z")),
+        *((f"http://part.example.com/{p}", []) for p in ("de/1", "x", "y", "z")),
+        *((f"http://points{i}.com/", ["http://part.example.com/x"]) for i in range(3)),
+    ]
+
+
+@pytest.mark.parametrize("linkers,pages_a_host", [(1, 1), (12, 3), (500, 2)])
+def test_same_verdicts_at_every_size(spark, linkers, pages_a_host):
+    verdicts = defaultdict(set)
+    for r in urls.judge(linked(spark, farm(linkers, pages_a_host))).where("rule is null").collect():
+        verdicts[re.sub(r"^(farm|fan|points)\d+\.com$", r"\1", r["host"])].add(r["verdict"])
+    assert verdicts.pop("farm") == {"block"} and verdicts.pop("fan") == {"allow"}
+    assert verdicts["portal.com"] == {"allow"} and verdicts["some.org"] == {"allow"} and verdicts["part.example.com"] == {"allow"}
+    assert verdicts["points"] == {"block"}  # a quarter of what they point at is blocked
+
+
+def test_sql_on_linked_hosts(spark):
+    import duckdb
+    from ledgerlens.llm.oracle import ORACLE
+
+    pages = linked(spark, [*GRAPH, *farm(12, 3)])
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    want = con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({ORACLE['op5_url_filters']})").fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in urls.judge(pages).collect())
+
+
 def test_plan_is_native(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
-    plan = urls.host_links(pages)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    for frame in (urls.host_links(pages), urls.judge(pages)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan
