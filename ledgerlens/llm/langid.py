@@ -1,11 +1,11 @@
 """Language identification by words first, then shorter and shorter n-grams.
 
-Training counts words and padded character n-grams of labelled texts as Spark
-aggregates and keeps the most frequent of each language; that table is bounded
-by ``model_rows``, whatever the corpus.  A known word adds its log frequency in
-each language; an unseen word adds the mean log frequency of its longest
-n-grams that are known to any language.  Texts are scored whole, in Arrow
-batches, where they lie: no shuffle.
+Training counts words and padded character n-grams of a bounded sample of
+labelled texts as Spark aggregates; every label is learned, and every word and
+n-gram of the sample, those seen once included.  A known word adds its log
+frequency in each language; an unseen word adds the mean log frequency of its
+longest n-grams that are known to any language.  Texts are scored whole, in
+Arrow batches, where they lie: no shuffle.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.batches import by_bytes
@@ -26,7 +27,9 @@ from ledgerlens.llm.tokens import text_of
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 4
 UNDECIDED = "und"
-CACHED_WORDS = 100_000
+CACHED_BYTES = 64 << 20
+LEAST_DOCS = 64
+SMOOTHING = 0.5
 COUNTED_BYTES = 8 << 20
 
 
@@ -65,39 +68,77 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model(NamedTuple):
-    """index[kind]: token -> row of table[kind], log frequencies by language."""
+    """Log frequencies by kind (0 words, else n-gram length), sparse in the languages.
+
+    index[kind]: token -> entry; entry e has languages at[kind][starts[kind][e] :
+    starts[kind][e + 1]] and there adds as much of more[kind] to base[kind].
+    """
 
     langs: list[str]
     index: list[dict[str, int]]
-    table: list[np.ndarray]
+    starts: list[np.ndarray]
+    at: list[np.ndarray]
+    more: list[np.ndarray]
+    base: np.ndarray  # [kinds, languages]
+
+    def vector(self, kind: int, entry: int) -> np.ndarray:
+        part = slice(self.starts[kind][entry], self.starts[kind][entry + 1])
+        out = self.base[kind].copy()
+        out[self.at[kind][part]] += self.more[kind][part]
+        return out
 
 
-def train(
-    documents: DataFrame,
-    sample_docs: int = 20_000,
-    model_rows: int = 100_000,
-    max_langs: int = 200,
-) -> Model:
+def model_of(langs: list[str], counts: pa.Table) -> Model:
+    """A model from rows (lang, kind, token, n), each (lang, kind, token) once.
+
+    A token's frequency in a language is ``(n + 0.5) / (total + 0.5 * tokens)``
+    over the kind's tokens, all languages together.
+    """
+    place = {lang: i for i, lang in enumerate(langs)}
+    index: list[dict[str, int]] = []
+    starts, ats, mores = [], [], []
+    base = np.zeros((LONGEST + 1, len(langs)))
+    for kind in range(LONGEST + 1):
+        rows = counts.filter(pc.equal(counts["kind"], kind))
+        tokens = rows["token"].combine_chunks().dictionary_encode()
+        known, entry = tokens.dictionary, tokens.indices.to_numpy()
+        at = np.array([place[x] for x in rows["lang"].to_pylist()], np.int32)
+        n = rows["n"].to_numpy().astype(float)
+        order = np.lexsort((at, entry))
+        index.append({token: i for i, token in enumerate(known.to_pylist())})
+        starts.append(np.searchsorted(entry[order], np.arange(len(known) + 1)))
+        ats.append(at[order])
+        mores.append(np.log((n[order] + SMOOTHING) / SMOOTHING))
+        total = np.bincount(at, weights=n, minlength=len(langs))
+        base[kind] = np.log(SMOOTHING / (total + SMOOTHING * max(1, len(known))))
+    return Model(langs, index, starts, ats, mores, base)
+
+
+COUNTS = pa.schema({"lang": pa.string(), "kind": pa.int32(), "token": pa.string(), "n": pa.int64()})
+
+
+def train(documents: DataFrame, sample_docs: int = 20_000) -> Model:
     """Fit on a sample of about ``sample_docs`` labelled texts outside the held-out part.
 
-    Every language gets the same share of the sample, chosen by a hash of the
-    id.  ``model_rows`` bounds the rows that reach the driver; ``max_langs`` the
-    languages (the most frequent labels).  No labelled text gives an empty model.
+    Every language gets the same share of the sample, at least 64 texts (all, if
+    it has fewer), chosen by a hash of id and text; the driver gets one row a
+    label and the words and n-grams of the sample.  No labelled text gives an
+    empty model.
     """
     spark = documents.sparkSession
     labelled = documents.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))
     )
-    rows = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    rows = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not rows:
-        return Model([], [{} for _ in range(LONGEST + 1)], [np.zeros((0, 0))] * (LONGEST + 1))
-    langs = sorted(r["lang"] for r in rows)
+        return model_of([], COUNTS.empty_table())
     scale = 1 << 30
+    share = max(sample_docs / len(rows), LEAST_DOCS)
     cutoffs = spark.createDataFrame(
-        [(r["lang"], int(scale * min(1.0, sample_docs / len(rows) / r["n"]))) for r in rows], "lang string, cutoff long"
+        [(r["lang"], int(scale * min(1.0, share / r["n"]))) for r in rows], "lang string, cutoff long"
     )
-    chosen = labelled.join(F.broadcast(cutoffs), "lang").where(
-        F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < F.col("cutoff")
+    chosen = labelled.join(F.broadcast(cutoffs), "lang").where(  # one row a label
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(scale)) < F.col("cutoff")
     )
     counts = (
         chosen.select("lang", "text")
@@ -105,30 +146,7 @@ def train(
         .groupBy("lang", "kind", "token")
         .agg(F.sum("n").alias("n"))
     )
-    of = Window.partitionBy("lang", "kind")
-    most = model_rows // (len(langs) * (LONGEST + 1))
-    top = (
-        counts.withColumn("total", F.sum("n").over(of))
-        .withColumn("place", F.row_number().over(of.orderBy(F.desc("n"), "token")))
-        .where((F.col("place") <= most) & ((F.col("n") > 1) | (F.col("kind") > 0)))
-        .select("lang", "kind", "token", "n", "total")
-        .toArrow()
-    )
-    at = {lang: i for i, lang in enumerate(langs)}
-    index: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
-    cells: list[list[tuple[int, int, int]]] = [[] for _ in index]
-    totals = np.ones((len(index), len(langs)))
-    for lang, kind, token, n, total in zip(*(c.to_pylist() for c in top.columns), strict=True):
-        row = index[kind].setdefault(token, len(index[kind]))
-        cells[kind].append((row, at[lang], n))
-        totals[kind, at[lang]] = total
-    tables = []
-    for kind, known in enumerate(index):
-        table = np.full((len(known), len(langs)), 0.5)
-        for row, lang_at, n in cells[kind]:
-            table[row, lang_at] += n
-        tables.append(np.log(table / (totals[kind] + 0.5 * max(1, len(known)))))
-    return Model(langs, index, tables)
+    return model_of(sorted(r["lang"] for r in rows), counts.toArrow().cast(COUNTS))
 
 
 class Scorer:
@@ -136,23 +154,26 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
+        self.most = CACHED_BYTES // (8 * max(1, len(model.langs)))
         self.reset()
 
     def reset(self) -> None:
         self.unknown: set[int] = set()
-        self.ids = dict(self.model.index[0])
-        self.vectors = self.model.table[0].copy()
-        self.used = len(self.ids)
+        self.ids: dict[str, int] = {}
+        self.vectors = np.zeros((0, len(self.model.langs)))
+        self.used = 0
 
     def learn(self, words: list[str]) -> None:
-        """Give every unseen word the vector of its longest known n-grams."""
+        """Give every new word its own vector or that of its longest known n-grams."""
         model, rows = self.model, np.zeros((len(words), len(self.model.langs)))
         for i, word in enumerate(words):
+            if word in model.index[0]:
+                rows[i] = model.vector(0, model.index[0][word])
+                continue
             for n in range(LONGEST, 0, -1):
-                known = model.index[n]
-                found = [known[g] for g in grams(word, n) if g in known]
-                if found:
-                    rows[i] = model.table[n][found].mean(axis=0)
+                known = [model.index[n][g] for g in grams(word, n) if g in model.index[n]]
+                if known:
+                    rows[i] = sum(model.vector(n, e) for e in known) / len(known)
                     break
             else:
                 self.unknown.add(self.used + i)
@@ -169,7 +190,7 @@ class Scorer:
         words = LETTERS.findall(text.lower())
         if not self.model.langs or not (any(map(str.isalpha, words)) or any(map(str.isalpha, text))):
             return UNDECIDED, 0.0
-        if self.used > CACHED_WORDS + len(self.model.index[0]):
+        if self.used > self.most:
             self.reset()
         unseen = [w for w in dict.fromkeys(words) if w not in self.ids]
         if unseen:

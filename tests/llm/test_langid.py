@@ -1,6 +1,12 @@
 """Language identification: held-out accuracy and awkward texts."""
 
+import math
+import random
+import re
 import zlib
+from collections import Counter
+
+import pytest
 
 from ledgerlens.llm import langid
 
@@ -37,11 +43,17 @@ def test_prediction_reads_only_the_text(awkward):
 
 
 def test_unseen_words_back_off():
-    import numpy as np
+    import pyarrow as pa
 
-    table = [np.log(np.array(t, dtype=float)) for t in ([[0.9, 0.1]], [[0.5, 0.5]], [[0.2, 0.8]], [[0.9, 0.1]], [[0.1, 0.9]])]
-    model = langid.Model(["a", "b"], [{"known": 0}, {"z": 0}, {"q$": 0}, {"abc": 0}, {"^abc": 0}], table)
-    scorer = langid.Scorer(model)
+    rows = [
+        (kind, token, lang, n)
+        for kind, token, *by in ((0, "known", 90, 10), (1, "z", 5, 5), (2, "q$", 2, 8), (3, "abc", 90, 10), (4, "^abc", 10, 90))
+        for lang, n in zip("ab", by, strict=True)
+    ]
+    counts = pa.table({k: [r[i] for r in rows] for i, k in enumerate(("kind", "token", "lang", "n"))})
+    # every kind holds one token, so each language needs others to be uncertain
+    other = pa.table({"kind": list(range(5)) * 2, "token": ["\0"] * 10, "lang": ["a"] * 5 + ["b"] * 5, "n": [100] * 10})
+    scorer = langid.Scorer(langid.model_of(["a", "b"], pa.concat_tables([counts, other])))
     assert scorer.score("known")[0] == "a"
     assert scorer.score("abcd")[0] == "b"  # longest n-gram first
     assert scorer.score("xabc")[0] == "a"
@@ -49,6 +61,65 @@ def test_unseen_words_back_off():
     assert scorer.score("qqq zzz known known")[0] == "a"
 
 
+def plain(rows, languages):
+    """lang_pred and score of each (doc_id, text, lang), counted and scored by the letter."""
+    letters = lambda text: re.findall(r"[^\W\d_]+", text.lower())
+    cut = lambda w, n: [("^" * (n > 1) + w + "$" * (n > 1))[i : i + n] for i in range(len(w) + 2 * (n > 1) - n + 1)]
+    counts = [{lang: Counter() for lang in languages} for _ in range(5)]
+    for doc, text, lang in rows:
+        if lang is not None and text is not None and (doc is None or zlib.crc32(str(doc).encode()) % 4 != 2):
+            for w in letters(text):
+                counts[0][lang][w] += 1
+                for n in range(1, 5):
+                    counts[n][lang].update(cut(w, n))
+    tokens = [set().union(*by.values()) for by in counts]
+
+    def log_frequency(kind, token, lang):
+        return math.log((counts[kind][lang][token] + 0.5) / (sum(counts[kind][lang].values()) + 0.5 * max(1, len(tokens[kind]))))
+
+    def of_word(w, lang):
+        if w in tokens[0]:
+            return log_frequency(0, w, lang)
+        for n in range(4, 0, -1):
+            known = [g for g in cut(w, n) if g in tokens[n]]
+            if known:
+                return sum(log_frequency(n, g, lang) for g in known) / len(known)
+        return 0.0
+
+    for doc, text, _ in rows:
+        words = letters(text or "")
+        if not any(map(str.isalpha, words)) and not any(map(str.isalpha, text or "")):
+            yield doc, "und", 0.0
+            continue
+        mean = [sum(of_word(w, lang) for w in words) / max(1, len(words)) for lang in languages]
+        odds = [math.exp(m - max(mean)) for m in mean]
+        yield doc, languages[odds.index(max(odds))], max(odds) / sum(odds)
+
+
+def test_equals_a_plain_pass(spark):
+    r = random.Random(4)
+    stems = {"en": "the house of water", "de": "das haus über wasser", "fr": "été maison rouge eau", "Ελ": "το σπίτι νερό"}
+    rows = [
+        (i, " ".join(r.choice(stems[lang].split()) + r.choice(["", "s", "er", "q9", "-x"]) for _ in range(r.randrange(1, 30))), lang)
+        for i in range(60)
+        for lang in [r.choice(list(stems))]
+    ]
+    rows += [(100, None, "en"), (101, "", "de"), (102, "12 _ 3", None), (103, "жщю ҂", None), (None, "eau du puits", "fr"), (104, "once only", "rare")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(table).collect()}
+    languages = sorted({*stems, "rare"})
+    for doc, lang, score in plain(rows, languages):
+        assert got[doc] == (lang, pytest.approx(score)), doc
+
+
+def test_every_label_and_every_word_is_learned(spark):
+    rows = [(4 * i, f"word{chr(97 + i % 26)}{chr(97 + i // 26)} only", f"l{i:03}") for i in range(300)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    assert model.langs == sorted(r[2] for r in learned)
+    assert set(model.index[0]) == {"only"} | {r[1].split()[0] for r in learned}
+
+
 def test_keep_identified_returns_whole_rows(awkward):
     kept = langid.keep_identified(awkward)
     assert kept.schema == awkward.schema
