@@ -81,11 +81,12 @@ class Model(NamedTuple):
     more: list[np.ndarray]
     base: np.ndarray  # [kinds, languages]
 
-    def vector(self, kind: int, entry: int) -> np.ndarray:
-        part = slice(self.starts[kind][entry], self.starts[kind][entry + 1])
-        out = self.base[kind].copy()
-        out[self.at[kind][part]] += self.more[kind][part]
-        return out
+    def add(self, rows: np.ndarray, kind: int, entries: np.ndarray, owners: np.ndarray, weights: np.ndarray) -> None:
+        """Adds to row ``owners[i]`` the part of entry ``entries[i]`` above the base, times its weight."""
+        first = self.starts[kind][entries]
+        counts = self.starts[kind][entries + 1] - first
+        flat = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        np.add.at(rows, (np.repeat(owners, counts), self.at[kind][flat]), self.more[kind][flat] * np.repeat(weights, counts))
 
 
 def model_of(langs: list[str], counts: pa.Table) -> Model:
@@ -166,17 +167,24 @@ class Scorer:
     def learn(self, words: list[str]) -> None:
         """Give every new word its own vector or that of its longest known n-grams."""
         model, rows = self.model, np.zeros((len(words), len(self.model.langs)))
+        kinds = np.full(len(words), -1)
+        entries: list[list[int]] = [[] for _ in model.index]
+        owners: list[list[int]] = [[] for _ in model.index]
         for i, word in enumerate(words):
-            if word in model.index[0]:
-                rows[i] = model.vector(0, model.index[0][word])
-                continue
-            for n in range(LONGEST, 0, -1):
-                known = [model.index[n][g] for g in grams(word, n) if g in model.index[n]]
-                if known:
-                    rows[i] = sum(model.vector(n, e) for e in known) / len(known)
-                    break
+            known = [model.index[0][word]] if word in model.index[0] else []
+            n = 0 if known else LONGEST
+            while n and not (known := [model.index[n][g] for g in grams(word, n) if g in model.index[n]]):
+                n -= 1
+            if known:
+                kinds[i] = n
+                entries[n].extend(known)
+                owners[n].extend([i] * len(known))
             else:
                 self.unknown.add(self.used + i)
+        for kind in set(kinds[kinds >= 0].tolist()):
+            rows[kinds == kind] += model.base[kind]
+            own = np.array(owners[kind])
+            model.add(rows, kind, np.array(entries[kind]), own, 1 / np.bincount(own)[own])
         if self.used + len(words) > len(self.vectors):
             grown = np.zeros((2 * (self.used + len(words)), rows.shape[1]))
             grown[: self.used] = self.vectors[: self.used]
