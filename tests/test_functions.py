@@ -124,3 +124,11 @@ def test_date_tokens_and_reasons(spark):
     want = {t: v if isinstance(v, str) else str(v) for t, v in texts.items()}
     assert dict(map(tuple, got.collect())) == want
     assert rows(spark.createDataFrame([(None,)], "t string").select(read_date("t").isNull())) == [(True,)]
+
+
+def test_date_text_is_read_once(spark):
+    """The reader's expression stays small: no step is copied into each of its uses."""
+    from ledgerlens.functions.date_tokens import read_date
+
+    plan = spark.createDataFrame([("x",)], "t string").select(read_date("t").alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 1 and len(plan) < 50_000
