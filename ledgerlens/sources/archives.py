@@ -30,23 +30,37 @@ EXTRACT_SUFFIXES = (".xls", ".xlsx")
 LEGACY_SUFFIXES = (".xls",)
 
 
+# Members handed to Spark together: up to this many, or this many unpacked bytes.
+BATCH_MEMBERS = 1024
+BATCH_BYTES = 4 * 1024 * 1024
+_COLUMNS = ["archive", "member", "basename", "is_dir", "size", "content", "error"]
+
+
 def _expand(batches):
+    """Frames of members: small members travel together, a large one with the few
+    before it, so what is unpacked at a time stays bounded."""
+    rows, held = [], 0
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"]):
-            yield from _members_of(path.rsplit("/", 1)[-1], content)
+            for row in _members_of(path.rsplit("/", 1)[-1], content):
+                rows.append(row)
+                held += row[4] or 0
+                if len(rows) >= BATCH_MEMBERS or held >= BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=_COLUMNS, dtype=object)
+                    rows, held = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=_COLUMNS, dtype=object)
 
 
 def _row(archive, member, data, error=None):
     is_dir = member is not None and member.endswith("/")
     base = None if member is None else member.rstrip("/").rsplit("/", 1)[-1]
-    size = None if data is None else len(data)
-    return pd.DataFrame([(archive, member, base, is_dir, size, data, error)],
-                        columns=["archive", "member", "basename", "is_dir", "size", "content", "error"])
+    return archive, member, base, is_dir, None if data is None else len(data), data, error
 
 
 def _members_of(archive, content):
-    """One frame for each member, so one member is unpacked at a time; a broken
-    archive or member is a row that says so."""
+    """One row for each member, unpacked as it is asked for; a broken archive or
+    member is a row that says so."""
     try:
         zf = zipfile.ZipFile(io.BytesIO(content))
     except zipfile.BadZipFile as e:

@@ -144,3 +144,28 @@ def test_collision_names_against_one_after_another(spark):
         spark.createDataFrame(members, "dest string, basename string, ord int"),
         spark.createDataFrame(have, "dest string, file_name string"))
     assert sorted(rows(got, "dest", "ord", "target_name")) == sorted(want)
+
+
+def test_archive_members_travel_in_batches():
+    """Small members share a frame; a full one is handed on before the next member."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    from ledgerlens.sources import archives as A
+
+    def packed(members):
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w") as zf:
+            for name, data in members:
+                zf.writestr(name, data)
+        return buf.getvalue()
+
+    small = packed([(f"m{i}.xls", b"x") for i in range(300)])
+    large = packed([("a.xls", b"x" * A.BATCH_BYTES), ("b.xls", b"y" * A.BATCH_BYTES)])
+    content = [small, small, b"broken", large]
+    pdf = pd.DataFrame({"path": [f"/d/{i}.zip" for i in range(4)], "content": content})
+    frames = list(A._expand([pdf]))
+    assert [len(f) for f in frames] == [602, 1]
+    assert sum(f["error"].notna().sum() for f in frames) == 1
