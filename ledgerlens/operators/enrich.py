@@ -160,15 +160,17 @@ def apply_overrides(report: DataFrame, overrides: DataFrame, class_name: str, co
 
 def run_date_of(report_cells: DataFrame, given=None) -> DataFrame:
     """CTL-5: run date per report file: the given date, else the report's
-    cell B3 (row 3, column 2; strict date rules incl. Excel serials)."""
+    cell B3 (row 3, column 2; strict date rules incl. Excel serials); stored, one
+    row per file, so that rows meet it by a broadcast."""
     from ..functions import parse_date_strict, parse_number
+    from ..session import materialize
 
     b3 = report_cells.where((F.col("row_idx") == 2) & (F.col("col_idx") == 1)).select(
         "source_file", parse_date_strict(F.col("value"), parse_number(F.col("value"))).alias("_b3"))
     files = report_cells.select("source_file").distinct()
     d = files.join(b3, "source_file", "left")
     g = F.lit(given).cast("date") if given is not None else F.lit(None).cast("date")
-    return d.select("source_file", F.coalesce(g, F.col("_b3")).alias("run_date"))
+    return materialize(d.select("source_file", F.coalesce(g, F.col("_b3")).alias("run_date")), "run-dates")
 
 
 def attach_thresholds(report: DataFrame, thresholds: DataFrame, run_date: Column) -> DataFrame:

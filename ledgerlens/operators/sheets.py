@@ -5,7 +5,9 @@ A row is ``(source_file, sheet, sheet_no, row_idx, values)``: 0-based
 positions, ``values`` the cell texts from column A on (null: blank cell), one
 table row per sheet row.  A record is then a projection of ``values``: body
 rows are never exploded, shuffled or regrouped.  What differs between sheets
-(header row, code column, first gap) is a small table with one row per sheet.
+(header row, code column, first gap) is a small table with one row per sheet,
+stored before rows meet it: Spark then knows its size and does not shuffle the
+rows of a sheet into one task for it.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import header_norm, norm_label, strip_ws
+from ..session import materialize
 from . import grid
 from .grid import letter_to_index_py
 
@@ -85,9 +88,9 @@ def label_rows(
     else:
         hit = normaliser(cell(letter)).isin(*wanted)
     first = top.where(hit).groupBy(*KEYS).agg(F.min("row_idx").alias("_first"))
-    return rows.select(*KEYS).distinct().join(first, list(KEYS), "left").select(
+    return materialize(rows.select(*KEYS).distinct().join(first, list(KEYS), "left").select(
         *KEYS, F.coalesce("_first", F.lit(default)).cast("int").alias("header_row")
-    )
+    ), "label-rows")
 
 
 def code_columns(rows: DataFrame, headers: DataFrame, aliases: Sequence[str] = CODE_ALIASES) -> DataFrame:
@@ -99,7 +102,7 @@ def code_columns(rows: DataFrame, headers: DataFrame, aliases: Sequence[str] = C
     at = rows.join(headers, list(KEYS)).where(F.col("row_idx") == F.col("header_row")).select(
         *KEYS, F.coalesce(*places).cast("int").alias("code_col")
     )
-    return headers.join(at, list(KEYS), "left")
+    return materialize(headers.join(at, list(KEYS), "left"), "code-columns")
 
 
 def body(rows: DataFrame, headers: DataFrame) -> DataFrame:
@@ -127,16 +130,16 @@ def first_blank(rows: DataFrame, key: str = "code") -> DataFrame:
     full = blocks.withColumn("_rank", rank).where(F.col("_rank") == F.col("_block")).groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("_full")
     )
-    sheets = rows.select(*KEYS, "header_row").distinct().join(full, list(KEYS), "left").select(
+    sheets = materialize(rows.select(*KEYS, "header_row").distinct().join(full, list(KEYS), "left").select(
         *KEYS, "header_row", F.coalesce("_full", F.lit(0)).alias("_full")
-    )
+    ), "full-blocks")
     inside = keyed.join(sheets, list(KEYS)).where(F.col("_block") == F.col("_full")).groupBy(*KEYS).agg(
         F.array_min(F.array_except(F.sequence(F.lit(0), F.lit(BLOCK_ROWS)), F.collect_set("_at"))).alias("_gap")
     )
-    return sheets.join(inside, list(KEYS), "left").select(
+    return materialize(sheets.join(inside, list(KEYS), "left").select(
         *KEYS,
         (F.col("header_row") + 1 + F.col("_full") * BLOCK_ROWS + F.coalesce("_gap", F.lit(0))).alias("cut"),
-    )
+    ), "cuts")
 
 
 def until_first_blank(rows: DataFrame, key: str = "code") -> DataFrame:
@@ -217,8 +220,6 @@ def prepare(rows: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame]
     """GRD-2..4, GRD-8, GRD-10..12: headers and layout of every file's first
     sheet, by the rules of ``grid`` on the cells of its first rows only; both
     are written once (files x columns)."""
-    from ..session import materialize
-
     first = rows.where(F.col("sheet_no") == 0)
     top = materialize(cells_of(first.where(F.col("row_idx") <= grid.SEARCH_ROWS)), "top-cells")
     headers = materialize(grid.detect_headers(top, expected), "headers")
@@ -255,7 +256,8 @@ def label_cells(rows: DataFrame, label: str, search_rows: int = SEARCH_ROWS, row
     top = rows.where(F.col("row_idx") < search_rows) if row is None else rows.where(F.col("row_idx") == row)
     at = F.array_position(F.transform("values", lambda v: F.coalesce(norm_label(v), F.lit(""))), " ".join(label.lower().split()))
     first = top.where(at > 0).groupBy(*KEYS).agg(F.min(F.struct("row_idx", at.cast("int").alias("at"))).alias("_f"))
-    return first.select(*KEYS, F.col("_f.row_idx").alias("header_row"), (F.col("_f.at") - 1).alias("label_col"))
+    return materialize(
+        first.select(*KEYS, F.col("_f.row_idx").alias("header_row"), (F.col("_f.at") - 1).alias("label_col")), "label-cells")
 
 
 def production_amounts(rows: DataFrame, amount, main: str, forward: str, header_row: int, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:

@@ -123,3 +123,25 @@ def test_read_cells(spark, tmp_path, fmt):
     cells = spark.createDataFrame([("a.xls", 0, 1, "Class"), ("a.xls", 1, 1, "1,5")], CELLS_SCHEMA)
     (cells.write.option("header", True).csv if fmt == "csv" else cells.write.parquet)(path)
     assert sorted(rows(read_cells(spark, path, fmt))) == sorted(rows(cells))
+
+
+def test_rows_are_not_shuffled_to_their_sheet(spark, tmp_path):
+    """Rows meet the per-sheet tables by a broadcast, whatever the rows' own size."""
+    from pyspark.sql import functions as F
+
+    from ledgerlens.operators import sheets as SH
+
+    cells = F.array(F.when(F.col("id") == 2, "code").otherwise(F.concat(F.lit("S"), F.xxhash64("id").cast("string"))))
+    spark.range(40_000).select(
+        F.lit("a.xls").alias("source_file"), F.lit("Sheet1").alias("sheet"), F.lit(0).alias("sheet_no"),
+        F.col("id").cast("int").alias("row_idx"), cells.alias("values")).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "50000")
+    try:
+        kept = SH.until_first_blank(SH.body(rows, SH.code_columns(rows, SH.label_rows(rows, ["code"], default=0))))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        assert kept.count() == 39_997
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
