@@ -210,3 +210,38 @@ def test_ctl5_run_date_argument_else_b3(spark):
     assert got == {"a": dt.date(2025, 9, 19), "b": dt.date(2025, 9, 19), "c": None}
     given = dict(rows(enrich.run_date_of(cells, "2025-06-30"), "source_file", "run_date"))
     assert set(given.values()) == {dt.date(2025, 6, 30)}
+
+
+def test_cells_and_numbered_rows_are_not_shuffled_for_small_tables(spark, tmp_path):
+    """Cells meet the binding, and numbered rows their offsets, by a broadcast."""
+    from ledgerlens.operators.placement import sequential_index
+
+    x = spark.range(40_000).select(F.lit("a.xls").alias("source_file"), F.col("id").cast("int").alias("row_idx"),
+                                   F.lit(0).alias("col_idx"), F.xxhash64("id").cast("string").alias("value"))
+    x.write.parquet(f"{tmp_path}/cells")
+    cells = spark.read.parquet(f"{tmp_path}/cells")
+    headers = spark.createDataFrame([("a.xls", 10)], "source_file string, body_start int")
+    binding = cells.groupBy("source_file", "col_idx").agg(F.lit("x").alias("name"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "50000")
+    try:
+        for out, n in ((grid.to_records(cells, binding, F.broadcast(headers), ["x"]), 39_990),
+                       (sequential_index(cells, ["row_idx"], ["source_file"]), 40_000)):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+            assert out.count() == n
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_stop_at_blank_across_blocks(spark):
+    """The cut lies in a later block; rows that come twice, blank keys and files without keys."""
+    n = grid.BLOCK_ROWS
+    keyed = spark.range(2 * n + 7).select(F.lit("a").alias("source_file"), (F.col("id") + 3).cast("int").alias("row_idx"), F.lit("k").alias("code"))
+    odd = spark.createDataFrame([("a", 3, "k"), ("a", 2 * n + 10, " "), ("a", 2 * n + 11, "k"), ("a", 1, "k"), ("b", 5, "k")],
+                                "source_file string, row_idx int, code string")
+    start = spark.createDataFrame([("a", 3), ("b", 3)], "source_file string, start_row int")
+    kept = grid.stop_at_blank(keyed.unionByName(odd), "code", start)
+    assert kept.columns == ["source_file", "row_idx", "code", "start_row"]
+    got = kept.agg(F.count(F.lit(1)), F.min("row_idx"), F.max("row_idx"), F.max("source_file")).first()
+    assert tuple(got) == (2 * n + 8, 3, 2 * n + 9, "a")
