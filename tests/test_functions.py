@@ -132,3 +132,33 @@ def test_date_text_is_read_once(spark):
 
     plan = spark.createDataFrame([("x",)], "t string").select(read_date("t").alias("r"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") <= 1 and len(plan) < 50_000
+
+
+def test_plain_texts_are_not_cleaned_first(spark):
+    """Plain numbers, dates and codes take a short way; others give what the long one gives."""
+    import datetime as dt
+
+    from ledgerlens.functions import strip_ws
+    from ledgerlens.functions.date_tokens import date_value, read_date
+
+    numbers = ["1", "-1.5", "1,5", "+.5", "5,", "1e3", "1,5E-2", "12\n", "12\u0085", "1 ", " 1 ", "1 000,5", "1'000", "1,000.5", "1.2.3", "", "n.c.", "nan", "1d", None]
+    eu = [1.0, -1.5, 1.5, 0.5, 5.0, 1e3, 0.015, 12.0, 12.0, 1.0, 1.0, 1000.5, 1000.0, None, None, None, None, None, None, None]
+    df = spark.createDataFrame([(x,) for x in numbers], "t string")
+    assert [r[0] for r in df.select(parse_number("t", "eu")).collect()] == eu
+    mixed = dict(df.select("t", parse_number("t", "mixed")).collect())
+    assert [mixed[x] for x in ("1,5", "1,000.5", "5,")] == [1.5, 1000.5, 5.0]
+
+    texts = ["a", " a ", f"{NB}a b\x1f", " \t a　 ", "", "  ", "é", " é ", "\x7f", None]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    assert [r[0] for r in df.select(strip_ws("t")).collect()] == ["a", "a", "a b", "a", "", "", "é", "é", "\x7f", None]
+
+    dates = ["19/09/2025", "09-19-2025", "31.02.2025", "32/01/2025", "13/13/2025", "00/01/2025", "01/02/0000", "2025-09-19", "2025/13/01", "0099-01-02",
+             "19/09/2025\n", "1/2/2025", "19/09/2025 10:30", "19/09.2025", "", None]
+    df = spark.createDataFrame([(x,) for x in dates], "t string")
+    both = df.select("t", date_value("t").alias("v"), read_date("t")["value"].alias("w")).collect()
+    assert [(r.t, r.v) for r in both] == [(r.t, r.w) for r in both]
+    assert both[0].v == dt.datetime(2025, 9, 19) and both[1].v == dt.datetime(2025, 9, 19) and both[7].v == dt.datetime(2025, 9, 19)
+    # the short way comes first: a plain text meets no token step and no search through all blanks
+    plan = lambda c: spark.createDataFrame([("x",)], "t string").select(c.alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+    for c in (parse_number("t"), date_value("t"), strip_ws("t")):
+        assert "CASE WHEN" in plan(c).split("AS r")[0][:60]
