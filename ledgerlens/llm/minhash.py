@@ -11,10 +11,13 @@
    Candidates whose estimate lies below what a true link reaches go.
 4. The rest is confirmed on whole sets: no false link.
 5. Buckets whose members are still in different components are compared in full,
-   in blocks.  Estimates cannot tell pairs just below the threshold from links,
-   so there an exact test follows: two sets that must share o of n and m shingles
-   share ``DEEP`` of the n - o + DEEP and m - o + DEEP rarest (of all, where o is
-   less).  A pair is let through in the first band it shares.
+   in blocks, the most similar pairs first: each of the ``rungs`` lets pass the
+   pairs whose estimate lies between it and the one before, and their links join
+   components before the next, so few pairs of one family are ever written.
+   Estimates cannot tell pairs just below the threshold from links, so there an
+   exact test follows: two sets that must share o of n and m shingles share
+   ``DEEP`` of the n - o + DEEP and m - o + DEEP rarest (of all, where o is less).
+   A pair is let through in the first band it shares.
 
 A link is missed only if it shares no band or its estimate falls below the
 bound; ``layout`` chooses rows a band and ``least_matches`` the bound so that
@@ -44,6 +47,8 @@ CACHED_WORDS = 200_000
 DEEP = 32
 #: Shingles are counted in 2^COUNT_BITS buckets of their hash to tell rare from frequent.
 COUNT_BITS = 20
+#: Rungs above the lowest, in standard deviations of the matches of a pair at the threshold.
+RUNGS = (1.5, 0.5, -0.5, -1.5)
 #: Shingles and hash functions handled at once: a few MB whatever the batch.
 TILE, FUNCTIONS = 8192, 16
 
@@ -73,6 +78,15 @@ def least_matches(percent: int, minima: int, bits: int) -> int:
     return minima
 
 
+def rungs(percent: int, minima: int, bits: int) -> list[int]:
+    """Falling bounds of the matches of a pair; the last is ``least_matches``."""
+    agree = percent / 100 + (1 - percent / 100) * 2.0**-bits
+    spread = math.sqrt(minima * agree * (1 - agree))
+    least = least_matches(percent, minima, bits)
+    above = {round(minima * agree + z * spread) for z in RUNGS}
+    return [*sorted((m for m in above if least < m <= minima), reverse=True), least]
+
+
 def estimate(matches: Column | float, minima: int, bits: int) -> Column | float:
     """Collision-corrected similarity of ``matches`` agreeing values."""
     chance = 2.0**-bits
@@ -239,10 +253,8 @@ def whole_sets(documents: DataFrame, classes: DataFrame, wanted: DataFrame, word
     return found.join(wanted, "class", "left_semi").groupBy("class").agg(F.first("hashes").alias("hashes"))
 
 
-def confirmed(documents: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+def reaching(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets reach the threshold, as (u, v)."""
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "wanted")
-    sets = materialize(whole_sets(documents, classes, wanted, words), "sets")
     left = sets.select(F.col("class").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("class").alias("b"), F.col("hashes").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -250,12 +262,20 @@ def confirmed(documents: DataFrame, classes: DataFrame, pairs: DataFrame, words:
     return pairs.join(left, "a").join(right, "b").where(enough).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def similar(x: str, y: str, percent: int, n: int, bits: int) -> Column:
-    """Sizes and the corrected estimate allow a link between rows ``x`` and ``y``."""
+def confirmed(documents: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``reaching`` of pairs whose sets are read for them."""
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "wanted")
+    return reaching(pairs, materialize(whole_sets(documents, classes, wanted, words), "sets"), percent)
+
+
+def similar(x: str, y: str, percent: int, n: int, bits: int, matching: tuple[int, int] | None = None) -> Column:
+    """Sizes and the corrected estimate allow a link between rows ``x`` and ``y``;
+    ``matching``: from the first number of matches, below the second."""
     sizes = 100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")
-    least = estimate(float(least_matches(percent, n, bits)), n, bits)
+    least, below = matching or (least_matches(percent, n, bits), n + 1)
     found = matches(F.col(f"{x}.planes"), F.col(f"{y}.planes"), n, bits)
-    return sizes & (estimate(found, n, bits) >= least - 1e-9)
+    middle, reach = (least + below - 1) / 2, (below - 1 - least) / 2  # one comparison: the count is a long expression
+    return sizes & (F.abs(found - F.lit(middle)) <= reach)
 
 
 def ordered(x: str, y: str) -> tuple[Column, Column]:
@@ -310,14 +330,17 @@ def rarest(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
     return sets.mapInArrow(rows, "class binary, rare array<int>")
 
 
-def across(members: DataFrame, facts: DataFrame, percent: int, n: int, bits: int, block_rows: int) -> DataFrame:
+def across(
+    members: DataFrame, facts: DataFrame, percent: int, n: int, bits: int, block_rows: int, matching: tuple[int, int] | None = None
+) -> DataFrame:
     """Candidate pairs (a, b) of c in one bucket whose members lie in different components.
 
     The members of a bucket are dealt into blocks of about ``block_rows``, and
     each pair of blocks is a cell of its own, so a bucket that holds most classes
     is spread over many tasks.  Both sides of the join are one table, shuffled
     once.  It lets only pairs pass whose estimate and rarest shingles allow a
-    link, in the first band they share.  ``facts``: one row for each c.
+    link, in the first band they share.  ``facts``: one row for each c, with the keys
+    of torn buckets; buckets mended since hold no pair of different components.
     """
     blocks = members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -332,7 +355,7 @@ def across(members: DataFrame, facts: DataFrame, percent: int, n: int, bits: int
     deep = F.least(F.lit(DEEP), share)
     first = lambda side: F.slice(f"{side}.rare", F.lit(1), F.col(f"{side}.n") - share + deep)
     common = F.size(F.array_intersect(first("x"), first("y")))
-    near = similar("x", "y", percent, n, bits) & here & (common + F.col("x.alike") >= deep)
+    near = similar("x", "y", percent, n, bits, matching) & here & (common + F.col("x.alike") >= deep)
     met = x.join(y, [*same, F.col("x.root") != F.col("y.root"), once, near])
     return met.select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
 
@@ -401,15 +424,21 @@ def link(
     alike = (F.size("rare") - F.size(F.array_distinct("rare"))).alias("alike")  # equal by chance, counted once below
     facts = rare.join(inside, "c").select("c", "n", "planes", "rare", alike, F.col("torn.key").alias("keys"))
     facts = materialize(facts, "facts")
-    close = materialize(across(members, facts, percent, functions, bits, block_rows), "pairs")
     of = lambda end: named.select(F.col("c").alias(end), F.col("class").alias(f"{end}_class"))
-    close = close.join(of("a"), "a").join(of("b"), "b").select(*ordered("a_class", "b_class"))
-    last = materialize(close.join(tested, ["a", "b"], "left_anti"), "pairs")
-    whole = merged(apart, confirmed(documents, classes, last, words, percent))
-
-    reps = classes.select("class", "rep").join(whole, "class")
+    below = functions + 1
+    for least in rungs(percent, functions, bits):
+        close = materialize(across(members, facts, percent, functions, bits, block_rows, (least, below)), "pairs")
+        close = close.join(of("a"), "a").join(of("b"), "b").select(*ordered("a_class", "b_class"))
+        asked = materialize(close.join(tested, ["a", "b"], "left_anti").distinct(), "pairs")
+        links = materialize(reaching(asked, sets, percent), "links")
+        below = least
+        if not links.isEmpty():
+            apart = merged(apart, links)
+            members = torn(members, apart)
+
+    reps = classes.select("class", "rep").join(apart, "class")
     least = reps.groupBy("root").agg(F.min("rep").alias("component_id"))
-    ids = whole.select("class", "root").join(least, "root").select("class", "component_id")
+    ids = apart.select("class", "root").join(least, "root").select("class", "component_id")
     component = F.coalesce("component_id", "doc_id")
     return described.join(ids, "class", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"),

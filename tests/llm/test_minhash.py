@@ -136,3 +136,33 @@ def test_layout_and_bound_leave_no_link_out():
         least = minhash.least_matches(percent, 128, 4)
         assert 0 < least < 128 * percent / 100
     assert minhash.layout(85, 128) == (32, 4)
+
+
+def test_a_family_writes_few_candidate_pairs(spark, monkeypatch):
+    """Most similar pairs first: their links leave few pairs of components to the lower rungs."""
+    r = random.Random(7)
+    template = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(240):
+        text = list(template)
+        for _ in range(r.randint(0, 3)):
+            text[r.randrange(60)] = f"x{r.randrange(9999)}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    written, across = [], minhash.across
+
+    def counted(*args):
+        pairs = minhash.materialize(across(*args), "pairs")
+        written.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(minhash, "across", counted)
+    assert got(docs, words=3, percent=85) == plain(docs)
+    assert len(written) == len(minhash.rungs(85, 128, 4)) == 5 and sum(written) < 4 * len(rows)
+
+
+def test_rungs_fall_to_the_least_matches():
+    for percent in (50, 80, 85, 95):
+        found = minhash.rungs(percent, 128, 4)
+        assert found == sorted(set(found), reverse=True) and found[-1] == minhash.least_matches(percent, 128, 4)
+        assert found[0] <= 128
