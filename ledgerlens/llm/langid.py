@@ -18,6 +18,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,9 @@ from ledgerlens.llm.tokens import text_of
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 4
 UNDECIDED = "und"
-CACHED_BYTES = 64 << 20
+CACHED_BYTES = 32 << 20
+#: What a remembered word takes beside its vector: the text, its number and the places in two tables.
+WORD_BYTES = 200
 LEAST_DOCS = 64
 SMOOTHING = 0.5
 COUNTED_BYTES = 8 << 20
@@ -67,15 +70,60 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
+class Tokens:
+    """Distinct tokens, numbered in the order of their hashes.
+
+    They lie in two arrays and one run of UTF-8 bytes: every worker of an executor
+    holds a model of its own, and objects would take ten times as much.
+    """
+
+    def __init__(self, tokens: list[str]):
+        raw = [t.encode("utf-8", "surrogatepass") for t in tokens]
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw))
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        self.text = b"".join([raw[i] for i in order])
+        self.starts = np.cumsum([0, *(len(raw[i]) for i in order)])
+        self.place = np.empty(len(raw), np.int64)
+        self.place[order] = np.arange(len(raw))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k != "place"}  # the caller's order, not needed any more
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def __iter__(self) -> Iterator[str]:
+        for a, b in zip(self.starts[:-1].tolist(), self.starts[1:].tolist(), strict=True):
+            yield self.text[a:b].decode("utf-8", "surrogatepass")
+
+    def find(self, tokens: list[str]) -> np.ndarray:
+        """The number of each token, -1 where it is not among them."""
+        out = np.full(len(tokens), -1)
+        if not len(self) or not tokens:
+            return out
+        raw = [t.encode("utf-8", "surrogatepass") for t in tokens]
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw))
+        at = np.searchsorted(self.hashes, h)
+        while True:  # once more for each token whose hash an earlier one shares
+            left = np.flatnonzero((out < 0) & (self.hashes[np.minimum(at, len(self) - 1)] == h) & (at < len(self)))
+            if not len(left):
+                return out
+            first, end = self.starts[at[left]].tolist(), self.starts[at[left] + 1].tolist()
+            same = [self.text[a:b] == raw[i] for i, a, b in zip(left.tolist(), first, end, strict=True)]
+            out[left[same]] = at[left[same]]
+            at[left] += 1
+
+
 class Model(NamedTuple):
     """Log frequencies by kind (0 words, else n-gram length), sparse in the languages.
 
-    index[kind]: token -> entry; entry e has languages at[kind][starts[kind][e] :
+    index[kind]: the tokens, each of them an entry; entry e has languages at[kind][starts[kind][e] :
     starts[kind][e + 1]] and there adds as much of more[kind] to base[kind].
     """
 
     langs: list[str]
-    index: list[dict[str, int]]
+    index: list[Tokens]
     starts: list[np.ndarray]
     at: list[np.ndarray]
     more: list[np.ndarray]
@@ -96,17 +144,19 @@ def model_of(langs: list[str], counts: pa.Table) -> Model:
     over the kind's tokens, all languages together.
     """
     place = {lang: i for i, lang in enumerate(langs)}
-    index: list[dict[str, int]] = []
+    index: list[Tokens] = []
     starts, ats, mores = [], [], []
     base = np.zeros((LONGEST + 1, len(langs)))
     for kind in range(LONGEST + 1):
         rows = counts.filter(pc.equal(counts["kind"], kind))
         tokens = rows["token"].combine_chunks().dictionary_encode()
-        known, entry = tokens.dictionary, tokens.indices.to_numpy()
-        at = np.array([place[x] for x in rows["lang"].to_pylist()], np.int32)
+        known = Tokens(tokens.dictionary.to_pylist())
+        entry = known.place[tokens.indices.to_numpy()]
+        named = rows["lang"].combine_chunks().dictionary_encode()
+        at = np.array([place[x] for x in named.dictionary.to_pylist()], np.int32)[named.indices.to_numpy()]
         n = rows["n"].to_numpy().astype(float)
         order = np.lexsort((at, entry))
-        index.append({token: i for i, token in enumerate(known.to_pylist())})
+        index.append(known)
         starts.append(np.searchsorted(entry[order], np.arange(len(known) + 1)))
         ats.append(at[order])
         mores.append(np.log((n[order] + SMOOTHING) / SMOOTHING))
@@ -155,7 +205,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.most = CACHED_BYTES // (8 * max(1, len(model.langs)))
+        self.most = CACHED_BYTES // (WORD_BYTES + 8 * len(model.langs))
         self.reset()
 
     def reset(self) -> None:
@@ -167,24 +217,20 @@ class Scorer:
     def learn(self, words: list[str]) -> None:
         """Give every new word its own vector or that of its longest known n-grams."""
         model, rows = self.model, np.zeros((len(words), len(self.model.langs)))
-        kinds = np.full(len(words), -1)
-        entries: list[list[int]] = [[] for _ in model.index]
-        owners: list[list[int]] = [[] for _ in model.index]
-        for i, word in enumerate(words):
-            known = [model.index[0][word]] if word in model.index[0] else []
-            n = 0 if known else LONGEST
-            while n and not (known := [model.index[n][g] for g in grams(word, n) if g in model.index[n]]):
-                n -= 1
-            if known:
-                kinds[i] = n
-                entries[n].extend(known)
-                owners[n].extend([i] * len(known))
-            else:
-                self.unknown.add(self.used + i)
-        for kind in set(kinds[kinds >= 0].tolist()):
-            rows[kinds == kind] += model.base[kind]
-            own = np.array(owners[kind])
-            model.add(rows, kind, np.array(entries[kind]), own, 1 / np.bincount(own)[own])
+        left = np.arange(len(words))
+        for kind in (0, *range(LONGEST, 0, -1)):
+            found = [grams(words[i], kind) if kind else [words[i]] for i in left.tolist()]
+            own = np.repeat(left, [len(f) for f in found])
+            entries = model.index[kind].find([g for f in found for g in f])
+            own, entries = own[entries >= 0], entries[entries >= 0]
+            if len(own):
+                times = np.bincount(own, minlength=len(words))
+                rows[times > 0] += model.base[kind]
+                model.add(rows, kind, entries, own, 1 / times[own])
+                left = left[times[left] == 0]
+            if not len(left):
+                break
+        self.unknown.update((self.used + left).tolist())
         if self.used + len(words) > len(self.vectors):
             grown = np.zeros((2 * (self.used + len(words)), rows.shape[1]))
             grown[: self.used] = self.vectors[: self.used]
@@ -195,7 +241,9 @@ class Scorer:
         self.used += len(words)
 
     def score(self, text: str) -> tuple[str, float]:
-        words = LETTERS.findall(text.lower())
+        return self._score(text, LETTERS.findall(text.lower()))
+
+    def _score(self, text: str, words: list[str]) -> tuple[str, float]:
         if not self.model.langs or not (any(map(str.isalpha, words)) or any(map(str.isalpha, text))):
             return UNDECIDED, 0.0
         if self.used > self.most:
@@ -212,9 +260,10 @@ class Scorer:
 
     def decides(self, text: str) -> bool:
         """Whether the text has letters and a word or n-gram that the model knows."""
-        if self.score(text)[0] == UNDECIDED:
+        words = LETTERS.findall(text.lower())
+        if self._score(text, words)[0] == UNDECIDED:
             return False
-        return any(self.ids[w] not in self.unknown for w in LETTERS.findall(text.lower()))
+        return any(self.ids[w] not in self.unknown for w in words)
 
 
 def predict(documents: DataFrame, model: Model) -> DataFrame:

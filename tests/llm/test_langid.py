@@ -137,3 +137,35 @@ def test_keep_identified_does_not_depend_on_the_number_of_labels(spark):
     assert {r["doc_id"] for r in langid.keep_identified(docs).collect()} >= set(range(20))
     unlabelled = docs.selectExpr("doc_id", "text", "cast(null as string) as lang")
     assert langid.keep_identified(unlabelled).count() == 22
+
+
+def test_tokens_are_told_apart_where_hashes_agree(monkeypatch):
+    tokens = ["été", "", "water", "wat", "er", "日本"]
+    for same in (False, True):
+        if same:
+            monkeypatch.setattr(langid.xxhash, "xxh3_64_intdigest", lambda raw: len(raw) % 2)
+        found = langid.Tokens(tokens)
+        assert sorted(found) == sorted(tokens) and len(found) == len(tokens)
+        named = list(found)
+        assert [named[i] for i in found.find(tokens)] == tokens
+        assert found.find(["none", "no", "ete"]).tolist() == [-1, -1, -1]
+    assert langid.Tokens([]).find(["a"]).tolist() == [-1] and langid.Tokens(["a"]).find([]).tolist() == []
+
+
+def test_a_worker_holds_little_for_a_model_and_its_words():
+    import pickle
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n = 50_000
+    counts = pa.table({"lang": ["a"] * n, "kind": [0] * n, "token": [f"known{i}" for i in range(n)], "n": [1] * n})
+    packed = pickle.dumps(langid.model_of(["a"], counts))
+    tracemalloc.start()
+    scorer = langid.Scorer(pickle.loads(packed))
+    assert tracemalloc.get_traced_memory()[0] < 80 * n
+    for i in range(300):
+        scorer.score(" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}x{chr(97 + j % 26)}{chr(97 + j // 26 % 26)}{chr(97 + j // 676)}" for j in range(1000)))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < langid.CACHED_BYTES + 80 * n
