@@ -427,7 +427,7 @@ def link(
     of = lambda end: named.select(F.col("c").alias(end), F.col("class").alias(f"{end}_class"))
     below = functions + 1
     for least in rungs(percent, functions, bits):
-        close = materialize(across(members, facts, percent, functions, bits, block_rows, (least, below)), "pairs")
+        close = across(members, facts, percent, functions, bits, block_rows, (least, below))
         close = close.join(of("a"), "a").join(of("b"), "b").select(*ordered("a_class", "b_class"))
         asked = materialize(close.join(tested, ["a", "b"], "left_anti").distinct(), "pairs")
         links = materialize(reaching(asked, sets, percent), "links")

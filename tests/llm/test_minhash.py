@@ -166,3 +166,12 @@ def test_rungs_fall_to_the_least_matches():
         found = minhash.rungs(percent, 128, 4)
         assert found == sorted(set(found), reverse=True) and found[-1] == minhash.least_matches(percent, 128, 4)
         assert found[0] <= 128
+
+
+def test_candidates_of_a_rung_are_stored_once(spark, monkeypatch):
+    stored = []
+    write = minhash.materialize
+    monkeypatch.setattr(minhash, "materialize", lambda df, name: (stored.append(name), write(df, name))[1])
+    docs = spark.createDataFrame(near_copies(3), "doc_id long, text string")
+    assert got(docs, words=3, percent=85) == plain(docs)
+    assert stored.count("pairs") == 1 + len(minhash.rungs(85, 128, 4))
