@@ -162,3 +162,17 @@ def test_plain_texts_are_not_cleaned_first(spark):
     plan = lambda c: spark.createDataFrame([("x",)], "t string").select(c.alias("r"))._jdf.queryExecution().optimizedPlan().toString()
     for c in (parse_number("t"), date_value("t")):
         assert "CASE WHEN" in plan(c).split("AS r")[0][:60]
+
+
+def test_two_numbers_are_no_text_for_the_token_reader(spark, monkeypatch):
+    """Plain amounts in a date column are read where their separator stands, as by tokens."""
+    from ledgerlens.functions import date_tokens
+
+    texts = ["18.00", "48.00", "45.11", "45.13", "31.12", "12.2024", "13.2024", "2024-3", "1999/12", "0.0", "7,5", "100.5",
+             "10000.5", "1.1", "99999999999.3", "3.99999999999"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    by_tokens = rows(df.select("t", date_tokens.read_date("t")["value"]))
+    assert [t for t, v in by_tokens if v is not None] == ["45.11", "12.2024", "2024-3", "1999/12"]
+    never = F.raise_error(F.lit("read by tokens")).cast("timestamp_ntz")
+    monkeypatch.setattr(date_tokens, "read_date", lambda c: F.struct(never.alias("value")))
+    assert rows(df.select("t", date_tokens.date_value("t"))) == by_tokens

@@ -245,3 +245,29 @@ def test_stop_at_blank_across_blocks(spark):
     assert kept.columns == ["source_file", "row_idx", "code", "start_row"]
     got = kept.agg(F.count(F.lit(1)), F.min("row_idx"), F.max("row_idx"), F.max("source_file")).first()
     assert tuple(got) == (2 * n + 8, 3, 2 * n + 9, "a")
+
+
+def test_records_are_aggregated_once_per_bound_column(spark):
+    """Columns that feed several names, names with several columns, cells that come
+    twice, unmapped cells, a file without columns; row numbers beyond an int."""
+    far = 2**40
+    cells = spark.createDataFrame(
+        [("a", 0, 0, "head"), ("a", 1, 0, "x"), ("a", 1, 0, "y"), ("a", 1, 2, "z"), ("a", 2, 9, "unmapped"), ("a", far, 1, "w"),
+         ("a", far + 1, 0, None), ("b", 1, 0, "p"), ("b", 1, 1, "q"), ("c", 3, 0, "r"), ("no header", 1, 0, "s"), (None, 1, 0, "t"), ("a", None, 0, "u")],
+        "source_file string, row_idx long, col_idx int, value string",
+    )
+    headers = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1), ("d", 1)], "source_file string, body_start int")
+    binding = spark.createDataFrame(
+        [("a", 0, "n"), ("a", 0, "m"), ("a", 1, "m"), ("a", 2, "two"), ("a", 0, "two"), ("a", 0, "n"), ("b", 1, "n"), ("b", 0, "other")],
+        "source_file string, col_idx int, name string",
+    )
+    out = grid.to_records(cells, binding, headers, ["n", "m", "two", "absent"])
+    assert out.columns == ["source_file", "row_idx", "n", "m", "two", "absent", "ord"]
+    assert sorted(tuple(r[:6]) for r in rows(out)) == [
+        ("a", 1, "y", "y", "z", None), ("a", 2, None, None, None, None), ("a", far, None, "w", None, None),
+        ("a", far + 1, None, None, None, None), ("b", 1, "q", None, None, None), ("c", 3, None, None, None, None),
+    ]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("max(CASE") == 3  # columns 0, 1 and 2 of a, not four names
+    empty = grid.to_records(cells, binding.limit(0), headers, ["n"])
+    assert sorted(tuple(r[:3]) for r in rows(empty.where("source_file <> 'a'"))) == [("b", 1, None), ("c", 3, None)]
