@@ -271,3 +271,20 @@ def test_records_are_aggregated_once_per_bound_column(spark):
     assert plan.count("max(CASE") == 3  # columns 0, 1 and 2 of a, not four names
     empty = grid.to_records(cells, binding.limit(0), headers, ["n"])
     assert sorted(tuple(r[:3]) for r in rows(empty.where("source_file <> 'a'"))) == [("b", 1, None), ("c", 3, None)]
+
+
+def test_preview_maps_the_first_rows_only(spark):
+    """The rows are known by their code cells (the greatest, where one comes twice)
+    before cells become records; the preview is that of all records."""
+    body = [("f", r, 0, c) for r, c in ((1, "n/a"), (2, "A"), (3, " "), (5, "B"), (5, "n/a"), (6, "C"), (7, "D"))] + [("g", 1, 1, "E"), ("g", 2, 1, "F")]
+    body += [(f, r, 2, f"{r},5") for f in "fg" for r in range(1, 9)]
+    cells = [("f", 0, 0, "Custom Attribute5 Value"), ("g", 0, 1, "Custom Attribute5 Value"), *[(f, 0, 2, "Notional") for f in "fg"]]
+    c, h, lay = _grid(spark, cells + body)
+    m = mapping.compile_mapping({"variables": {"v": {"source": "Notional"}}, "columns": [{"target": "Notional", "source_letter": "C"}]})
+    for n, shown in ((2, [("f", 2), ("f", 6)]), (4, [("f", 2), ("f", 6), ("f", 7), ("g", 1)]), (99, [("f", 2), ("f", 6), ("f", 7), ("g", 1), ("g", 2)])):
+        first = mapping.mapped_records(c, h, lay, m, first=n)
+        assert sorted(rows(first, "source_file", "row_idx")) == shown
+        got, every = (rows(mapping.preview(mapping.apply_mapping(r, m, preview=True)[0], n)) for r in (first, mapping.mapped_records(c, h, lay, m)))
+        assert got == every and [r[:2] for r in got] == shown
+    without_codes = c.where("row_idx = 0 or col_idx = 2")
+    assert mapping.mapped_records(without_codes, h, lay, m, first=3).count() == 0
