@@ -288,3 +288,116 @@ def test_preview_maps_the_first_rows_only(spark):
         assert got == every and [r[:2] for r in got] == shown
     without_codes = c.where("row_idx = 0 or col_idx = 2")
     assert mapping.mapped_records(without_codes, h, lay, m, first=3).count() == 0
+
+
+def _shuffled_bytes(spark):
+    import pathlib
+
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {p: p.stat().st_size for d in dirs for p in pathlib.Path(d.getPath()).glob("*/shuffle_*.data")}
+
+
+def _left(spark, before, most, seconds=20):
+    """Bytes of new shuffle files, when at most ``most`` are left (they are removed in the background)."""
+    import time
+
+    for _ in range(seconds * 4):
+        left = sum(n for p, n in _shuffled_bytes(spark).items() if p not in before)
+        if left <= most:
+            break
+        time.sleep(0.25)
+    return left
+
+
+def test_numbering_leaves_no_shuffle_of_its_rows(spark, tmp_path):
+    """What the range shuffle wrote goes when the rows are stored; the setting is put back."""
+    import gc
+
+    spark.range(60_000).select(F.xxhash64("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v")).write.parquet(f"{tmp_path}/x")
+    gc.collect()
+    key, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", _shuffled_bytes(spark)
+    old = spark.conf.get(key)
+    seq = sequential_index(spark.read.parquet(f"{tmp_path}/x"), ["k"], name="n")  # 60,000 x 64 characters
+    assert _left(spark, before, 200_000) <= 200_000 and spark.conf.get(key) == old
+    assert tuple(seq.agg(F.min("n"), F.max("n"), F.count_distinct("n")).first()) == (1, 60_000, 60_000)
+
+
+def test_numbering_by_slices(spark):
+    """A slice without rows, groups in some slices only, rows without a group; numbers of each group or going on."""
+    data = [(g, i) for g, some in (("b", range(0, 90, 2)), ("a", range(40, 60)), ("c", [5])) for i in some] + [(None, 7)]
+    df = spark.createDataFrame(data, "g string, i int").repartition(5)
+    i = F.col("i")
+    slices = [i < 30, (i >= 30) & (i < 31), (i >= 31) & (i < 50), i >= 50]
+    known = sorted(r for r in data if r[0])
+    on = {r: 3 + k for k, r in enumerate(known)}
+    again = {r: 3 + k for g in "abc" for k, r in enumerate(x for x in known if x[0] == g)}
+    for restart, expected in ((False, on), (True, again)):
+        for cut in (None, slices):
+            out = sequential_index(df, ["i"], ["g"], name="n", start=3, slices=cut, restart=restart)
+            assert out.columns == ["g", "i", "n"]
+            assert {tuple(r[:2]): r[2] for r in rows(out)} == expected and out.count() == len(expected)
+
+
+def test_row_slices_hold_every_row_once(spark):
+    far = 2**40
+    cells = spark.createDataFrame(
+        [("a", r, c, "v") for r in range(200) for c in range(3)] + [("b", far + r, 0, "v") for r in range(50)] + [("a", None, 0, "v")],
+        "source_file string, row_idx long, col_idx int, value string")
+    assert grid.row_slices(cells) is None and grid.row_slices(cells.where("row_idx < 0"), 1) is None
+    near = cells.where("row_idx < 200")
+    cut = grid.row_slices(near, 90)
+    assert [near.where(s).count() for s in cut] == [90] * 6 + [60]
+    assert [cells.where(s).count() for s in grid.row_slices(cells, 90)] == [600, 50]  # a bin of rows is not cut
+
+
+def test_cells_become_placed_records_by_slices(spark, monkeypatch):
+    """Report cells of rows placed by slices are those of rows placed at once; only
+    code cells that hold, by file and row; cells of a slice are filtered where they are read."""
+    body = [("f", r, 0, c) for r, c in ((1, "n/a"), (2, "A"), (3, " "), (5, "B"), (5, "n/a"), (6, "C"), (40, "D"))] + [("e", r, 1, f"E{r}") for r in (1, 2, 39)]
+    body += [(f, r, 2, f"{r},5") for f in "ef" for r in range(1, 41)]
+    cells = [("f", 0, 0, "Custom Attribute5 Value"), ("e", 0, 1, "Custom Attribute5 Value"), *[(f, 0, 2, "Notional") for f in "ef"]]
+    c, h, lay = _grid(spark, cells + body)
+    m = mapping.compile_mapping({"variables": {"v": {"source": "Notional"}}, "columns": [{"target": "Notional", "source_letter": "C"}],
+                                 "computed": [{"target": "Dirty Value (%)", "expr": "v / 2"}]})
+    header = ["Notional", "Dirty Value (%)"]
+    rec = mapping.mapped_records(c, h, lay, m)
+    at_once = mapping.report_cells(mapping.apply_mapping(rec, m, header)[0], header, 6, dt.date(2025, 9, 19))
+    for n in (10, 1_000):
+        slices = grid.row_slices(c, n)
+        assert (slices is None) == (n == 1_000)
+        placed = mapping.placed_records(rec, slices, start=7)
+        assert sorted(rows(placed, "sheet_row", "source_file", "row_idx")) == [
+            (7, "e", 1), (8, "e", 2), (9, "e", 39), (10, "f", 2), (11, "f", 6), (12, "f", 40)]
+        report, _ = mapping.apply_mapping(placed, m, header, keep=("sheet_row",))
+        assert sorted(map(str, rows(mapping.report_cells(report, header, 6, dt.date(2025, 9, 19))))) == sorted(map(str, rows(at_once)))
+
+
+def test_report_cells_stores_little(spark, tmp_path, monkeypatch):
+    """The numbered lines go when the cells are stored; the cells of one slice are read
+    by their row numbers, and no shuffle of a slice outlives it."""
+    import gc
+    import pathlib
+
+    from ledgerlens.plans import catalog, grid_queries, mapping_queries
+    from ledgerlens.session import ensure_checkpoint_dir
+    from ledgerlens.sources import cells as source
+
+    assert "report_cells" in catalog.QUERIES
+    sf = "/root/testdata/sf0.001"
+    tables = pathlib.Path(ensure_checkpoint_dir(spark).removeprefix("file:")) / "ledgerlens-tables"
+    old = set(tables.glob("*")) if tables.exists() else set()
+    c = source.cells(spark, sf)
+    new = {p.name.split("-")[0] for p in set(tables.glob("*")) - old}
+    assert new == {"cells"}
+    plan = mapping.mapped_records(c, *grid.prepare(c, dims.expected_headers(spark)), mapping.compile_mapping(mapping_queries.G_MAPPING))
+    plan = plan.where((F.col("row_idx") >= 700) & (F.col("row_idx") < 900))._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(row_idx,700)" in plan and "LessThan(row_idx,900)" in plan
+    grid_queries._grid(spark, sf)
+    expected = sorted(map(str, mapping_queries.report_cells(spark, sf).collect()))
+    monkeypatch.setattr(grid, "CELLS_AT_ONCE", 9_000)
+    gc.collect()
+    before = _shuffled_bytes(spark)
+    out = mapping_queries.report_cells(spark, sf)  # about 40,000 cells
+    assert _left(spark, before, 60_000) <= 60_000
+    assert len([f for f in out.inputFiles() if "/ranged-" in f and "/4/" in f]) >= 1  # five slices
+    assert sorted(map(str, out.collect())) == expected
